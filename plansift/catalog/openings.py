@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from plansift import views as V
 from plansift.catalog.cleaning import base, sql_classify, sql_junctions, sql_merge
 from plansift.catalog.registry import query, rnd
+from plansift.session import cut_lineage
 from plansift.operators import config, intervals as I, junctions as J, nearest as N, openings as O, walls as W
 
 SWING = "CASE {0} WHEN 'bottom' THEN 'up' WHEN 'top' THEN 'down' WHEN 'left' THEN 'right' WHEN 'right' THEN 'left' END"
@@ -40,7 +41,8 @@ SQL_FINAL = sql_merge("walls", "mg") + ", " + sql_junctions("mg", "jn") + ", " +
 
 def final_walls(spark, sf):
     merged = W.merge_collinear(base(spark, sf))
-    return W.classify_exterior(merged, J.line_connections(J.junction_hits(merged)))
+    # read many times below, so computed once and kept in the shared checkpoint folder
+    return cut_lineage(W.classify_exterior(merged, J.line_connections(J.junction_hits(merged))))
 
 
 def sql_best(src, walls, out, enforce="o.orientation", tol="4"):
