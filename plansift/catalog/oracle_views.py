@@ -82,7 +82,7 @@ VIEWS: dict[str, tuple[str, str]] = {
  ((l_suppkey * 7) % 79)::DOUBLE AS y2, (1 + l_orderkey % 17)::DOUBLE AS radius,
  ((l_orderkey * 15) % 360)::DOUBLE AS start_angle, ((l_suppkey * 45) % 360)::DOUBLE AS end_angle,
  l_orderkey % 256 AS dim_raw FROM lineitem"""),
-    "members": ("", """SELECT source AS archive, doc_id AS ordinal,
+    "members": ("", """SELECT concat('arch-', (doc_id // 12) % 7) AS archive, doc_id AS ordinal,
  CASE doc_id % 4 WHEN 0 THEN concat('s', doc_id // 12, '.png') WHEN 1 THEN concat('s', doc_id // 12, '.svg')
  WHEN 2 THEN concat(lang, '/label_', doc_id, '.JSON') ELSE concat(lang, '/raw') END AS name FROM documents"""),
     # default limits: snap 4, junction 6, merge gap 48, minimum length 12

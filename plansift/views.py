@@ -253,9 +253,9 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
-    """Archive members named after the path of every page link."""
+    """Archive members, twelve documents in a row per archive."""
     return load(spark, sf, "documents").selectExpr(
-        "source AS archive", "doc_id AS ordinal",
+        "concat('arch-', floor(doc_id / 12) % 7) AS archive", "doc_id AS ordinal",
         """CASE WHEN doc_id % 4 = 0 THEN concat('s', floor(doc_id / 12), '.png')
                 WHEN doc_id % 4 = 1 THEN concat('s', floor(doc_id / 12), '.svg')
                 WHEN doc_id % 4 = 2 THEN concat(lang, '/label_', doc_id, '.JSON')
