@@ -1 +1,210 @@
-"""Queries of this family."""
+"""Component, room and region queries."""
+
+from pyspark.sql import functions as F
+
+from plansift import views as V
+from plansift.catalog.cleaning import base
+from plansift.catalog.masks import BASE, CLOSED, FRAME, closed_mask, frame, icon_mask, runs_digest, sql_close, sql_complement, sql_dilate, wall_mask
+from plansift.catalog.registry import query, rnd
+from plansift.functions.formats import feet_inches
+from plansift.operators import components as C, masks as M, regions as R
+
+
+def sql_compact(src, out):
+    return f"""
+{out}_g AS (SELECT *, y - row_number() OVER (PARTITION BY plan_id, x0, x1 ORDER BY y) AS g FROM {src}),
+{out} AS (SELECT plan_id, x0, x1, min(y) AS y0, max(y) AS y1, min(y) * 2097152 + x0 AS id FROM {out}_g GROUP BY plan_id, x0, x1, g)"""
+
+
+def sql_label(src, out, slack=1):
+    """Components by smallest-id propagation over boxes."""
+    return sql_compact(src, f"{out}_b") + f""",
+{out}_e AS (SELECT a.plan_id, a.id AS a, b.id AS b FROM {out}_b a JOIN {out}_b b ON a.plan_id = b.plan_id AND a.y1 + 1 = b.y0 AND a.x0 <= b.x1 + {slack} AND a.x1 + {slack} >= b.x0),
+{out}_n AS (SELECT * FROM {out}_e UNION ALL SELECT plan_id, b, a FROM {out}_e),
+{out}_c(plan_id, id, comp) USING KEY (plan_id, id) AS (SELECT plan_id, id, id AS comp FROM {out}_b UNION
+ (SELECT n.plan_id, n.b AS id, min(c.comp) AS comp FROM {out}_c c JOIN {out}_n n ON n.plan_id = c.plan_id AND n.a = c.id
+  JOIN recurring.{out}_c r ON r.plan_id = n.plan_id AND r.id = n.b WHERE c.comp < r.comp GROUP BY n.plan_id, n.b)),
+{out} AS (SELECT b.*, c.comp FROM {out}_b b JOIN {out}_c c USING (plan_id, id))"""
+
+
+def sql_stats(src, out):
+    return f"""
+{out} AS (SELECT plan_id, comp, sum((x1 - x0 + 1) * (y1 - y0 + 1))::BIGINT AS area, min(x0) AS bx0, max(x1) AS bx1, min(y0) AS by0, max(y1) AS by1,
+ sum((x1 - x0 + 1) * (y1 - y0 + 1) * (x0 + x1)) / 2 / sum((x1 - x0 + 1) * (y1 - y0 + 1)) AS cx,
+ sum((x1 - x0 + 1) * (y1 - y0 + 1) * (y0 + y1)) / 2 / sum((x1 - x0 + 1) * (y1 - y0 + 1)) AS cy FROM {src} GROUP BY plan_id, comp)"""
+
+
+ROUND = f"SELECT plan_id, comp, area, bx0, bx1, by0, by1, {rnd('cx', 4)} AS cx, {rnd('cy', 4)} AS cy FROM "
+
+
+def rounded(stats):
+    return stats.select("plan_id", "comp", "area", "bx0", "bx1", "by0", "by1", M.round_to("cx", 4).alias("cx"), M.round_to("cy", 4).alias("cy"))
+
+
+@query("g02_components", "walls plans", BASE + "," + sql_label("wm", "lb") + "," + sql_stats("lb", "st") + " " + ROUND + "st")
+def _(spark, sf):
+    return rounded(C.component_stats(C.label_boxes(wall_mask(spark, sf))))
+
+
+FREE = CLOSED + "," + sql_complement("closed", "fr") + "," + sql_label("fr", "lf", 0)
+
+
+def free_boxes(spark, sf):
+    return C.label_boxes(M.complement(closed_mask(spark, sf), frame(spark, sf)), diagonal=False)
+
+
+# nearest free pixel per label, pixel by pixel
+SEEDED = FREE + "," + sql_stats("lf", "st") + """,
+sd AS (SELECT l.*, greatest(0, least(seed_x, w - 1)) AS sx, greatest(0, least(seed_y, h - 1)) AS sy FROM labels3 l JOIN frame USING (plan_id)),
+off AS (SELECT a.v AS dx, b.v AS dy, greatest(abs(a.v), abs(b.v)) AS ring FROM (SELECT unnest(range(-20, 21)) AS v) a, (SELECT unnest(range(-20, 21)) AS v) b),
+cand AS (SELECT sd.plan_id, label_ord, lf.comp, dx, dy, ring, sx, sy FROM sd JOIN lf ON lf.plan_id = sd.plan_id AND lf.x0 <= sx + 20 AND lf.x1 >= sx - 20 AND lf.y0 <= sy + 20 AND lf.y1 >= sy - 20
+ JOIN off ON sx + dx BETWEEN lf.x0 AND lf.x1 AND sy + dy BETWEEN lf.y0 AND lf.y1),
+pick AS (SELECT plan_id, label_ord, arg_min({'comp': comp, 'x': sx + dx, 'y': sy + dy}, (ring, dx, dy)) AS p FROM cand GROUP BY plan_id, label_ord),
+rg AS (SELECT k.plan_id, label_ord, p.comp AS comp, p.x AS seed_x, p.y AS seed_y, area, bx0, bx1, by0, by1 FROM pick k JOIN st ON st.plan_id = k.plan_id AND st.comp = k.p.comp WHERE area >= 50)"""
+
+
+def regions(spark, sf, free=None):
+    free = free_boxes(spark, sf) if free is None else free
+    return C.room_regions(V.labels(spark, sf), free, frame(spark, sf))
+
+
+@query("g03_room_regions", "walls openings labels3", SEEDED + " SELECT * FROM rg")
+def _(spark, sf):
+    return regions(spark, sf).select("plan_id", F.col("label_ord").cast("long").alias("label_ord"), "comp", "seed_x", "seed_y", "area", "bx0", "bx1", "by0", "by1")
+
+
+AUDIT = SEEDED + """,
+pr AS (SELECT plan_id, comp, max(area) AS area, count(*) AS n FROM rg GROUP BY plan_id, comp),
+ra AS (SELECT plan_id, sum(area)::BIGINT AS union_area_px, sum(area * n)::BIGINT AS raw_labeled_area_px, sum(area * (n - 1))::BIGINT AS overlap_area_px,
+ sum(n - 1)::BIGINT AS duplicated_region_count, sum(n - 1)::BIGINT AS overlapping_label_count FROM pr GROUP BY plan_id)"""
+
+
+@query("a25_region_audit", "walls openings labels3", AUDIT + " SELECT * FROM ra")
+def _(spark, sf):
+    return C.region_audit(regions(spark, sf))
+
+
+TOTAL = AUDIT + """,
+sc AS (SELECT ra.*, total_sqft, CASE WHEN total_sqft > 0 AND union_area_px >= 100 THEN sqrt(total_sqft * 144.0::DOUBLE / union_area_px) END AS scale_ipp
+ FROM ra JOIN (SELECT plan_id, any_value(total_sqft) AS total_sqft FROM labels3 GROUP BY plan_id) USING (plan_id))"""
+
+
+def totals(spark, sf):
+    return V.labels(spark, sf).groupBy("plan_id").agg(F.max("total_sqft").alias("total_sqft"))
+
+
+@query("a23_scale_from_total", "walls openings labels3", TOTAL + f""" SELECT plan_id, {rnd('scale_ipp', 6)} AS scale_ipp, {rnd('raw_labeled_area_px * scale_ipp * scale_ipp / 144', 4)} AS raw_sum_sqft,
+ {rnd('(raw_labeled_area_px * scale_ipp * scale_ipp / 144 - total_sqft) / total_sqft * 100', 4)} AS total_delta_pct FROM sc""")
+def _(spark, sf):
+    out = C.scale_from_total(C.region_audit(regions(spark, sf)), totals(spark, sf))
+    return out.select("plan_id", M.round_to("scale_ipp", 6).alias("scale_ipp"), M.round_to("raw_sum_sqft", 4).alias("raw_sum_sqft"), M.round_to("total_delta_pct", 4).alias("total_delta_pct"))
+
+
+@query("a24_scale_from_labels", "walls openings labels3", SEEDED + f""",
+ea AS (SELECT rg.plan_id, sqrt(sqft * 144.0::DOUBLE / area) AS scale FROM rg JOIN labels3 USING (plan_id, label_ord) WHERE sqft > 0)
+SELECT plan_id, {rnd('quantile_cont(scale, 0.5)', 6)} AS scale_ipp, count(*) AS n_labels FROM ea GROUP BY plan_id""")
+def _(spark, sf):
+    rows = regions(spark, sf).join(V.labels(spark, sf).select("plan_id", "label_ord", "sqft"), ["plan_id", "label_ord"])
+    return C.scale_from_labels(rows).select("plan_id", M.round_to("scale_ipp", 6).alias("scale_ipp"), "n_labels")
+
+
+@query("w16_room_dimensions", "walls openings labels3", TOTAL + """,
+bd AS (SELECT rg.*, greatest(12, least(30, floor(least(bx1 - bx0, by1 - by0) * 0.25)))::BIGINT AS band FROM rg),
+hx AS (SELECT bd.plan_id, label_ord, max(x1 - x0) AS span_w FROM bd JOIN lf ON lf.plan_id = bd.plan_id AND lf.comp = bd.comp AND seed_x BETWEEN x0 AND x1 AND y0 <= seed_y + band AND y1 >= seed_y - band GROUP BY ALL),
+vp AS (SELECT lf.plan_id, lf.comp, x, y0, y1 FROM lf, LATERAL (SELECT unnest(range(x0, x1 + 1)) AS x)),
+vg AS (SELECT *, sum(CASE WHEN y0 > prev + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id, comp, x ORDER BY y0 ROWS UNBOUNDED PRECEDING) AS g
+ FROM (SELECT *, lag(y1) OVER (PARTITION BY plan_id, comp, x ORDER BY y0) AS prev FROM vp)),
+vr AS (SELECT plan_id, comp, x, min(y0) AS y0, max(y1) AS y1 FROM vg GROUP BY plan_id, comp, x, g),
+vx AS (SELECT bd.plan_id, label_ord, max(y1 - y0) AS span_h FROM bd JOIN vr ON vr.plan_id = bd.plan_id AND vr.comp = bd.comp AND seed_y BETWEEN y0 AND y1 AND x BETWEEN seed_x - band AND seed_x + band GROUP BY ALL)
+SELECT plan_id, label_ord, span_w, span_h FROM hx JOIN vx USING (plan_id, label_ord)""")
+def _(spark, sf):
+    from plansift.session import cut_lineage
+    free = cut_lineage(free_boxes(spark, sf))
+    out = C.seed_spans(regions(spark, sf, free), free)
+    return out.select("plan_id", F.col("label_ord").cast("long").alias("label_ord"), "span_w", "span_h")
+
+
+@query("g04_interior_components", "walls plans", BASE + "," + sql_dilate("wm", "dl", M.rect_kernel(3)) + "," + sql_complement("dl", "fr") + "," + sql_label("fr", "lf", 0) + "," + sql_stats("lf", "st")
+       + " SELECT s.plan_id, comp, area FROM st s JOIN frame USING (plan_id) WHERE bx0 > 0 AND by0 > 0 AND bx1 < w - 1 AND by1 < h - 1")
+def _(spark, sf):
+    f = frame(spark, sf)
+    free = C.label_boxes(M.complement(M.dilate(wall_mask(spark, sf), M.rect_kernel(3), f), f), diagonal=False)
+    return C.inner_components(C.component_stats(free), f).select("plan_id", "comp", "area")
+
+
+@query("g06_footprint", "walls plans", BASE + "," + sql_complement("wm", "fr") + "," + sql_label("fr", "lf", 0) + "," + sql_stats("lf", "st") + """,
+en AS (SELECT s.plan_id, comp FROM st s JOIN frame USING (plan_id) WHERE bx0 > 0 AND by0 > 0 AND bx1 < w - 1 AND by1 < h - 1),
+ir AS (SELECT lf.plan_id, unnest(range(y0, y1 + 1)) AS y, x0, x1 FROM lf JOIN en USING (plan_id, comp)),
+al AS (SELECT plan_id, y, x0, x1 FROM wm UNION ALL SELECT plan_id, y, x0, x1 FROM ir),""" + sql_close("al", "fp", M.rect_kernel(5)) + "," + sql_label("fp", "lp") + "," + sql_stats("lp", "sp") + """
+SELECT plan_id, count(*) AS n_components, arg_min(area, (-area, comp))::BIGINT AS area, arg_min(comp, (-area, comp))::BIGINT AS comp, sum(area)::BIGINT AS total_area FROM sp GROUP BY plan_id""")
+def _(spark, sf):
+    stats = C.component_stats(C.label_boxes(C.footprint(wall_mask(spark, sf), frame(spark, sf))))
+    total = stats.groupBy("plan_id").agg(F.sum("area").alias("total_area"))
+    return C.largest_component(stats).join(total, "plan_id").select("plan_id", "n_components", "top.area", "top.comp", "total_area")
+
+
+@query("a26_mask_summary", "walls plans", BASE + "," + sql_label("wm", "lb") + "," + sql_stats("lb", "st") + f"""
+SELECT plan_id, sum(area)::BIGINT AS nonzero_pixel_count, {rnd('sum(area) / any_value(w * h)', 6)} AS coverage_ratio, count(*) AS component_count, max(area) AS largest_component_area,
+ min(bx0) AS x1, min(by0) AS y1, max(bx1) + 1 AS x2, max(by1) + 1 AS y2 FROM st JOIN frame USING (plan_id) GROUP BY plan_id""")
+def _(spark, sf):
+    return R.mask_summary(C.component_stats(C.label_boxes(wall_mask(spark, sf))), frame(spark, sf))
+
+
+@query("m09_heatmap_junctions", "pixel_grid", "frame AS (SELECT DISTINCT image_id AS plan_id, 64 AS w, 64 AS h FROM pixel_grid), pt AS (SELECT image_id AS plan_id, y, x AS x0, x AS x1 FROM pixel_grid),"
+       + sql_dilate("pt", "dl", M.ellipse_kernel(5)) + "," + sql_label("dl", "lb") + "," + sql_stats("lb", "st") + " " + ROUND + "st WHERE area >= 3")
+def _(spark, sf):
+    grid = V.pixel_grid(spark, sf)
+    f = grid.select(F.col("image_id").alias("plan_id")).distinct().selectExpr("plan_id", "64L AS w", "64L AS h")
+    points = grid.selectExpr("image_id AS plan_id", "cast(y AS bigint) AS y", "cast(x AS bigint) AS x0", "cast(x AS bigint) AS x1")
+    return rounded(R.heatmap_junctions(points, f))
+
+
+@query("m10_icon_openings", "walls openings plans", None)
+def _(spark, sf):
+    f = frame(spark, sf)
+    doors = R.icons_to_openings(icon_mask(spark, sf, "door"), f, "door")
+    return doors.unionByName(R.icons_to_openings(icon_mask(spark, sf, "window"), f, "window"))
+
+
+@query("f12_minimum_area", "walls plans", BASE + "," + sql_label("wm", "lb") + "," + sql_stats("lb", "st") + " SELECT plan_id, comp, area FROM st WHERE area >= 150")
+def _(spark, sf):
+    return C.component_stats(C.label_boxes(wall_mask(spark, sf))).filter("area >= 150").select("plan_id", "comp", "area")
+
+
+@query("g01_endpoint_clusters", "walls", """
+en AS (SELECT plan_id, wall_no, 0 AS end_no, wall_no * 2 AS id, CASE orientation WHEN 'horizontal' THEN s ELSE coord END AS x, CASE orientation WHEN 'horizontal' THEN coord ELSE s END AS y FROM (SELECT *, ord AS wall_no FROM walls)
+ UNION ALL SELECT plan_id, wall_no, 1, wall_no * 2 + 1, CASE orientation WHEN 'horizontal' THEN e ELSE coord END, CASE orientation WHEN 'horizontal' THEN coord ELSE e END FROM (SELECT *, ord AS wall_no FROM walls)),
+ed AS (SELECT a.plan_id, a.id AS a, b.id AS b FROM en a JOIN en b ON a.plan_id = b.plan_id AND a.wall_no <> b.wall_no AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 144),
+cc(plan_id, id, comp) USING KEY (plan_id, id) AS (SELECT plan_id, id, id FROM en UNION (SELECT n.plan_id, n.b, min(c.comp) FROM cc c JOIN ed n ON n.plan_id = c.plan_id AND n.a = c.id
+ JOIN recurring.cc r ON r.plan_id = n.plan_id AND r.id = n.b WHERE c.comp < r.comp GROUP BY n.plan_id, n.b)),
+lb AS (SELECT en.*, comp FROM en JOIN cc USING (plan_id, id)),
+mn AS (SELECT plan_id, comp, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM lb GROUP BY ALL)
+SELECT plan_id, wall_no, end_no, comp, n, """ + rnd("mx", 6) + " AS x, " + rnd("my", 6) + " AS y FROM lb JOIN mn USING (plan_id, comp)")
+def _(spark, sf):
+    flat = "orientation = 'horizontal'"
+    walls = V.walls(spark, sf)
+    ends = walls.selectExpr("plan_id", "ord AS wall_no", "0 AS end_no", f"if({flat}, s, coord) AS x", f"if({flat}, coord, s) AS y").unionByName(
+        walls.selectExpr("plan_id", "ord AS wall_no", "1 AS end_no", f"if({flat}, e, coord) AS x", f"if({flat}, coord, e) AS y"))
+    out = C.endpoint_clusters(ends)
+    return out.withColumn("x", M.round_to("x", 6)).withColumn("y", M.round_to("y", 6))
+
+
+# -- region plan
+
+@query("m12_region_plan", "walls plans", None)
+def _(spark, sf):
+    return R.region_plan(wall_mask(spark, sf), frame(spark, sf))
+
+
+@query("a27_region_meta", "walls plans", None)
+def _(spark, sf):
+    return R.region_meta(R.region_plan(wall_mask(spark, sf), frame(spark, sf)))
+
+
+@query("f10_region_candidates", "walls plans", BASE + """,
+nd AS (SELECT plan_id, greatest(8, least(w, h) // 40) AS need FROM frame),
+hr AS (SELECT wm.* FROM wm JOIN nd USING (plan_id) WHERE x1 - x0 + 1 >= need),""" + sql_label("hr", "lb") + "," + sql_stats("lb", "st") + """
+SELECT plan_id, comp, bx1 - bx0 + 1 AS length, by1 - by0 + 1 AS depth, CASE WHEN bx1 - bx0 + 1 < need OR by1 - by0 + 1 < 2 THEN 'too_short'
+ WHEN (bx1 - bx0 + 1) / (by1 - by0 + 1) < 2.5 THEN 'insufficient_aspect_ratio' END AS skip_reason FROM st JOIN nd USING (plan_id)""")
+def _(spark, sf):
+    return R.candidates(wall_mask(spark, sf), frame(spark, sf), horizontal=True).select("plan_id", "comp", "length", "depth", "skip_reason")

@@ -171,7 +171,7 @@ def locate_seeds(labels: DataFrame, free: DataFrame, frame: DataFrame, radius: i
     row_low, row_high = F.greatest(dy0, -r), F.least(dy1, r)
     up, down = (dy0 <= -r) & (dy1 >= -r), (dy0 <= r) & (dy1 >= r)
     best_dx = F.when(r == 0, 0).when(edge_x, -r).when(up | down, left_dx).otherwise(r)
-    best_dy = F.when(r == 0, 0).when(edge_x, row_low).when(up, -r).when(down, r).otherwise(row_low)
+    best_dy = F.when(r == 0, 0).when(edge_x | (left_dx == r), row_low).when(up, -r).when(down, r).otherwise(row_low)
     hits = near.withColumn("ring", ring).filter(F.col("ring") <= radius).withColumn("dx", best_dx).withColumn("dy", best_dy)
     keys = ["plan_id", "label_ord"]
     best = hits.groupBy(*keys).agg(F.min_by(F.struct("comp", "ring", "dx", "dy", "sx", "sy"), F.struct("ring", "dx", "dy")).alias("b"))

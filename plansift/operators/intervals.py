@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from plansift.functions.numeric import round_to
 
 
-def merge_spans(rows: DataFrame, keys: list[str], low: str, high: str, slack: Column | float = 0.0) -> DataFrame:
+def merge_spans(
+    rows: DataFrame, keys: list[str], low: str, high: str, slack: Column | float = 0.0, distinct: bool = False
+) -> DataFrame:
     """Maximal intervals per key; the next one joins when it starts within ``slack`` of the reach.
 
     Rows that start at the same place always belong together, so they collapse
-    to their furthest end on the map side before the ordered pass.
+    to their furthest end on the map side before the ordered pass. Callers whose
+    rows are distinct already say so and save that shuffle.
     """
     gap = slack if isinstance(slack, Column) else F.lit(slack)
-    starts = rows.groupBy(*keys, low).agg(F.max(high).alias(high))
+    starts = rows if distinct else rows.groupBy(*keys, low).agg(F.max(high).alias(high))
     order = Window.partitionBy(*keys).orderBy(low)
     return (
         starts.withColumn("_reach", F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1)))

@@ -20,8 +20,12 @@ KEY = ["plan_id"]
 
 
 def merge_runs(runs: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Disjoint maximal runs; touching runs join."""
-    return merge_spans(runs, [*keys, "y"], "x0", "x1", 1).select(*keys, "y", "x0", "x1")
+    """Disjoint maximal runs; touching runs join.
+
+    Runs come from distinct boxes, so a row holds at most one run per box edge
+    and goes through one shuffle.
+    """
+    return merge_spans(runs, [*keys, "y"], "x0", "x1", 1, distinct=True).select(*keys, "y", "x0", "x1")
 
 
 def clip(boxes: DataFrame, frame: DataFrame) -> DataFrame:
@@ -152,7 +156,7 @@ def dilate(runs: DataFrame, kernel: list[tuple[int, int, int]], frame: DataFrame
     )
     if frame is not None:
         grown = clip(grown, frame)
-    return merge_runs(boxes_to_runs(grown, keys), keys)
+    return merge_runs(boxes_to_runs(grown.distinct(), keys), keys)
 
 
 def erode(runs: DataFrame, kernel: list[tuple[int, int, int]], frame: DataFrame, border: str = "extend") -> DataFrame:
