@@ -177,7 +177,14 @@ def _(spark, sf):
     return I.fold_exterior(rows.select("plan_id", "orientation", "coord", "s", "ord", "e", "source").distinct())
 
 
-@query("w06_merge_mask_walls", "", None)
+@query("w06_merge_mask_walls", "walls", """
+ls AS (SELECT plan_id, orientation, list([{'coord': coord::BIGINT, 's': s::BIGINT, 'e': e::BIGINT}] ORDER BY coord, s, ord) AS items FROM walls GROUP BY ALL),
+fd AS (SELECT plan_id, orientation, list_reduce(items, lambda acc, x: CASE
+  WHEN len(list_filter(acc, lambda m: abs(x[1].coord - m.coord) < 16 AND x[1].s <= m.e + 15 AND x[1].e >= m.s - 15)) = 0 THEN list_concat(acc, x)
+  ELSE list_transform(acc, lambda m, i: CASE WHEN i = list_position(list_transform(acc, lambda q: abs(x[1].coord - q.coord) < 16 AND x[1].s <= q.e + 15 AND x[1].e >= q.s - 15), true)
+   THEN {'coord': (x[1].coord + m.coord) // 2, 's': least(x[1].s, m.s), 'e': greatest(x[1].e, m.e)} ELSE m END) END) AS items FROM ls),
+fl AS (SELECT plan_id, orientation, unnest(items) AS g FROM fd)
+SELECT plan_id, orientation, g.coord AS coord, g.s AS s, g.e AS e FROM fl""")
 def _(spark, sf):
     return X.merge_mask_walls(V.walls(spark, sf))
 

@@ -50,10 +50,10 @@ def sql_best(src, walls, out, enforce="o.orientation", tol="4"):
     return f"""
 {out}_c AS (SELECT o.plan_id, o.opening_id, w.wall_id, w.orientation AS wo, w.coord, w.s, w.e, w.ord, {own} AS pass,
   CASE w.orientation WHEN 'horizontal' THEN abs(o.y - w.coord) ELSE abs(o.x - w.coord) END AS dist,
-  CASE w.orientation WHEN 'horizontal' THEN o.x ELSE o.y END AS along, o.span
+  CASE w.orientation WHEN 'horizontal' THEN o.x ELSE o.y END AS along, o.span, {tol} AS tol_
   FROM {src} o JOIN {walls} w ON o.plan_id = w.plan_id),
 {out} AS (SELECT plan_id, opening_id, arg_min({{'wall_id': wall_id, 'o': wo, 'coord': coord, 's': s, 'e': e, 'dist': dist}}, (pass, dist, s - e, ord)) AS line
-  FROM {out}_c WHERE along + span / 2 >= s - {tol} AND along - span / 2 <= e + {tol} GROUP BY plan_id, opening_id)"""
+  FROM {out}_c WHERE along + span / 2 >= s - tol_ AND along - span / 2 <= e + tol_ GROUP BY plan_id, opening_id)"""
 
 
 @query("j04_best_wall", "walls openings", sql_best("openings", "walls", "bw")
@@ -64,7 +64,7 @@ def _(spark, sf):
     return out.select("plan_id", "opening_id", "line.wall_id", "line.dist")
 
 
-ANCHOR = (SQL_FINAL + sql_best("openings", "fw", "b1") + ", " + sql_best("openings", "fw", "b2", "NULL") + """,
+ANCHOR_STEPS = """,
 a AS (SELECT o.*, b1.line AS line, CASE WHEN b1.line.o = 'horizontal' THEN o.x ELSE o.y END - b1.line.s - o.span / 2 AS off FROM openings o
  LEFT JOIN b1 USING (plan_id, opening_id)),
 a2 AS (SELECT a.*, off >= -4 AND off + span <= a.line.e - a.line.s + 4 AS ok, b2.line AS line2,
@@ -76,7 +76,8 @@ anchored AS (SELECT a3.plan_id, opening_id, kind, CASE WHEN line IS NULL THEN 'n
  line.wall_id AS wall_id, span, line.o AS orientation, CASE line.o WHEN 'horizontal' THEN line.s + off + span / 2 ELSE line.coord END AS x,
  CASE line.o WHEN 'horizontal' THEN line.coord ELSE line.s + off + span / 2 END AS y, """ + rnd("off", 4) + """ AS "offset",
  coalesce(a3.side, w.side, CASE line.o WHEN 'horizontal' THEN 'top' ELSE 'right' END) AS side, a3.side IS NULL AS side_inferred,
- """ + rnd("least(a3.confidence, w.confidence)", 4) + """ AS confidence FROM a3 LEFT JOIN fw w ON w.plan_id = a3.plan_id AND w.wall_id = line.wall_id) """)
+ """ + rnd("least(a3.confidence, w.confidence)", 4) + """ AS confidence FROM a3 LEFT JOIN fw w ON w.plan_id = a3.plan_id AND w.wall_id = line.wall_id) """
+ANCHOR = SQL_FINAL + sql_best("openings", "fw", "b1") + ", " + sql_best("openings", "fw", "b2", "NULL") + ANCHOR_STEPS
 
 
 def anchored(spark, sf):

@@ -205,19 +205,6 @@ def audit_rollup(chains: DataFrame) -> DataFrame:
 # -- ordered merges ----------------------------------------------------------------
 
 
-def _fold_collinear(group: pd.DataFrame) -> pd.DataFrame:
-    out: list[list[int]] = []
-    for row in group.sort_values(["coord", "s", "ord"]).itertuples():
-        for seg in out:
-            if abs(row.coord - seg[0]) < row.dist and row.s <= seg[2] + row.gap and row.e >= seg[1] - row.gap:
-                seg[0], seg[1], seg[2] = (row.coord + seg[0]) // 2, min(row.s, seg[1]), max(row.e, seg[2])
-                break
-        else:
-            out.append([row.coord, row.s, row.e])
-    head = group.iloc[0]
-    return pd.DataFrame({"plan_id": head.plan_id, "orientation": head.orientation, "coord": [o[0] for o in out], "s": [o[1] for o in out], "e": [o[2] for o in out]})
-
-
 def merge_mask_walls(walls: DataFrame, gap: int = 15, dist: int = 16) -> DataFrame:
     """Merge into the first earlier wall that is close and touching; the line becomes the integer mean.
 
@@ -236,8 +223,19 @@ def merge_mask_walls(walls: DataFrame, gap: int = 15, dist: int = 16) -> DataFra
     islands = starts.withColumn("_reach", F.max("e").over(along.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
         "_new", (F.col("s") > F.col("_reach") + gap).cast("int")).withColumn(
         "island", F.sum(F.coalesce("_new", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0))).select(*keys, "band", "s", "island")
-    chains = banded.join(islands, [*keys, "band", "s"]).withColumns({"gap": F.lit(gap), "dist": F.lit(dist)})
-    return chains.groupBy(*keys, "band", "island").applyInPandas(_fold_collinear, "plan_id long, orientation string, coord long, s long, e long")
+    chains = banded.join(islands, [*keys, "band", "s"]).groupBy(*keys, "band", "island").agg(
+        F.sort_array(F.collect_list(F.struct("coord", "s", "ord", "e"))).alias("items"))
+
+    def step(acc: Column, w: Column) -> Column:
+        fits = F.transform(acc, lambda m: (F.abs(w["coord"] - m["coord"]) < dist) & (w["s"] <= m["e"] + gap) & (w["e"] >= m["s"] - gap))
+        at = F.array_position(fits, F.lit(True)) - 1
+        merged = F.transform(acc, lambda m, i: F.when(i == at, F.struct(
+            F.floor((w["coord"] + m["coord"]) / 2).alias("coord"), F.least(w["s"], m["s"]).alias("s"), m["ord"].alias("ord"), F.greatest(w["e"], m["e"]).alias("e"),
+        )).otherwise(m))
+        return F.when(at < 0, F.concat(acc, F.array(w))).otherwise(merged)
+
+    folded = F.aggregate(F.slice("items", 2, F.size("items")), F.slice("items", 1, 1), step)
+    return chains.select(*keys, F.inline(folded)).drop("ord")
 
 
 def merge_shared_walls(spans: DataFrame, thickness: float = 4.0) -> DataFrame:
