@@ -1 +1,70 @@
-"""Queries of this family."""
+"""Streaming jobs driven over the event table until all of it is read."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from plansift import views as V
+from plansift.catalog.registry import query
+from plansift.catalog.training import BEST
+from plansift.operators import training as T
+from plansift.sources import files
+from plansift.streaming import jobs
+
+
+def event_stream(spark, sf):
+    schema = V.load(spark, sf, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
+
+
+def index_stream(spark, sf):
+    return event_stream(spark, sf).selectExpr("event_id", "event_type AS source", "concat('u', event_id % 5000) AS source_url", "cast(ts AS timestamp) AS ts")
+
+
+@query("r01_progress_windows", "crawl_index", """SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, source, count(*) AS n FROM crawl_index
+ WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM crawl_index) GROUP BY ALL""")
+def _(spark, sf):
+    folder = files.scratch(spark)
+    jobs.progress(index_stream(spark, sf), folder, once=True).awaitTermination()
+    return spark.read.schema("window_start timestamp, source string, n long").parquet(f"{folder}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("r01_progress_totals", "crawl_index", "SELECT source, count(*) AS n, max(ts) AS last_ts FROM crawl_index GROUP BY source")
+def _(spark, sf):
+    folder = files.scratch(spark)
+    jobs.progress_totals(index_stream(spark, sf), folder, once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+
+
+@query("r02_event_log", "", """SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type AS event, count(*) AS n FROM events
+ WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(date_trunc('second', ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
+def _(spark, sf):
+    folder = files.scratch(spark)
+    lines = V.load(spark, sf, "events").select(F.to_json(F.struct(
+        F.col("event_type").alias("event"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "user_id")).alias("value"))
+    lines.write.text(f"{folder}/in")
+    jobs.event_log(spark.readStream.text(f"{folder}/in"), folder, once=True).awaitTermination()
+    return spark.read.schema("window_start timestamp, event string, n long").parquet(f"{folder}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("r03_unique_urls", "crawl_index", "SELECT DISTINCT source_url FROM crawl_index")
+def _(spark, sf):
+    folder = files.scratch(spark)
+    jobs.unique_urls(index_stream(spark, sf), folder, once=True).awaitTermination()
+    return spark.read.schema("source_url string").parquet(f"{folder}/out")
+
+
+@query("r04_training_history", "run_log", BEST + " SELECT run_id, max(best_epoch) AS best_epoch, min(best_loss) AS best_loss FROM (SELECT be.* FROM be LEFT JOIN fs ON fs.run_id = be.run_id WHERE stop IS NULL OR epoch <= stop) GROUP BY run_id")
+def _(spark, sf):
+    folder = files.scratch(spark)
+    records = event_stream(spark, sf).selectExpr("user_id AS run_id", "event_id", "ts", "value AS val_loss")
+    jobs.history(records, folder, once=True).awaitTermination()
+    table = spark.read.schema(records.schema).parquet(f"{folder}/out")
+    epochs = table.select("run_id", "val_loss", F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "event_id")).alias("epoch"))
+    return T.best_so_far(epochs, ["run_id"], 8).groupBy("run_id").agg(F.max("best_epoch").alias("best_epoch"), F.min("best_loss").alias("best_loss"))
+
+
+@query("r05_until_target", "crawl_index", "SELECT source, least(count(*), CASE WHEN source = 'click' THEN 1500 ELSE 300 END)::BIGINT AS n FROM crawl_index GROUP BY source")
+def _(spark, sf):
+    folder = files.scratch(spark)
+    jobs.until_target(index_stream(spark, sf), {"click": 1500}, 300, folder, once=True).awaitTermination()
+    return spark.read.schema("event_id long, source string, source_url string").parquet(f"{folder}/out").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
