@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plansift import views as V
 from plansift.catalog.cleaning import base
-from plansift.catalog.masks import BASE, CLOSED, FRAME, closed_mask, frame, icon_mask, runs_digest, sql_close, sql_complement, sql_dilate, wall_mask
+from plansift.catalog.masks import BASE, CLOSED, FRAME, ICONS, closed_mask, frame, icon_mask, runs_digest, sql_close, sql_complement, sql_dilate, wall_mask
 from plansift.catalog.registry import query, rnd
 from plansift.functions.formats import feet_inches
 from plansift.operators import components as C, masks as M, regions as R
@@ -159,7 +159,14 @@ def _(spark, sf):
     return rounded(R.heatmap_junctions(points, f))
 
 
-@query("m10_icon_openings", "walls openings plans", None)
+def sql_icons(mask, kind, size, least):
+    kernel = M.ellipse_kernel(size)
+    return (sql_close(mask, f"{mask}_c", kernel) + "," + sql_dilate(f"{mask}_c", f"{mask}_d", kernel) + "," + sql_label(f"{mask}_d", f"{mask}_l") + "," + sql_stats(f"{mask}_l", f"{mask}_s") + f""",
+{mask}_o AS (SELECT plan_id, '{kind}' AS kind, {rnd('cx', 4)} AS x, {rnd('cy', 4)} AS y, greatest(bx1 - bx0, by1 - by0) + 1.0::DOUBLE AS span,
+ CASE WHEN bx1 - bx0 >= by1 - by0 THEN 'horizontal' ELSE 'vertical' END AS orientation, area FROM {mask}_s WHERE area >= {least})""")
+
+
+@query("m10_icon_openings", "walls openings plans", FRAME + "," + ICONS + "," + sql_icons("dm", "door", 11, 120) + "," + sql_icons("nm", "window", 15, 150) + " SELECT * FROM dm_o UNION ALL SELECT * FROM nm_o")
 def _(spark, sf):
     f = frame(spark, sf)
     doors = R.icons_to_openings(icon_mask(spark, sf, "door"), f, "door")

@@ -334,3 +334,22 @@ def _(spark, sf):
     rows = points.join(hit, ["plan_id", "opening_id"], "left").select(
         "plan_id", "opening_id", "kind", "side", F.col("line.wall_id").alias("wall_id"), F.lit(None).cast("string").alias("swing"))
     return O.fill_semantics(rows, walls)
+
+
+@query("f14_validate_responses", "walls", """SELECT plan_id, wall_id, CASE WHEN k % 11 = 0 THEN 'MODEL_NOT_LOADED' WHEN k % 11 BETWEEN 1 AND 6 THEN 'INVALID_RESPONSE' END AS code,
+ CASE k % 11 WHEN 0 THEN 'Unknown worker error' WHEN 1 THEN 'missing required fields: model_version' WHEN 2 THEN 'wall polyline must contain exactly 2 points' WHEN 3 THEN 'invalid wall orientation'
+ WHEN 4 THEN 'invalid opening kind' WHEN 5 THEN 'opening span must be positive' WHEN 6 THEN 'image_size must contain width and height' END AS message FROM walls""")
+def _(spark, sf):
+    from plansift.sources import responses
+    fault = F.col("k") % 11
+    point = F.struct(F.col("s").alias("x"), F.col("coord").alias("y"))
+    doc = F.to_json(F.struct(
+        F.when(fault == 0, F.struct(F.lit("MODEL_NOT_LOADED").alias("code"))).alias("error"), F.lit("m").alias("model_name"),
+        F.when(fault != 1, "1").alias("model_version"),
+        F.array(F.struct(F.when(fault == 2, F.array(point)).otherwise(F.array(point, point)).alias("polyline"), "thickness",
+                         F.when(fault == 3, "diagonal").otherwise(F.col("orientation")).alias("orientation"))).alias("walls"),
+        F.array(F.struct(F.when(fault == 4, "arch").otherwise("door").alias("kind"), F.when(fault == 5, 0.0).otherwise(20.0).alias("span"))).alias("openings"),
+        F.struct(F.lit(10).alias("width"), F.when(fault != 6, 20).alias("height")).alias("image_size"),
+    ))
+    out = responses.validate(V.walls(spark, sf).select("plan_id", "wall_id", doc.alias("response")))
+    return out.select("plan_id", "wall_id", "code", "message")

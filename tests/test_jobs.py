@@ -65,7 +65,7 @@ def test_link_rules(spark):
 def test_regularize_points(spark):
     df = spark.createDataFrame([([(0, 0), (100, 3), (104, 80), (104, 80), (60, 40)],)], "p array<struct<x:bigint,y:bigint>>")
     got = [(p.x, p.y) for p in df.select(drawing.regularize(F.col("p")).alias("p")).first().p]
-    assert got == [(0, 0), (100, 0), (100, 80), (60, 40)]
+    assert got == [(0, 0), (100, 0), (100, 80), (104, 80), (60, 40)]
 
 
 def test_miter_of_a_right_angle(spark):
