@@ -49,13 +49,13 @@ def box_ids(boxes: DataFrame) -> DataFrame:
 
 
 def label_boxes(runs: DataFrame, diagonal: bool = True) -> DataFrame:
-    """Disjoint boxes of the mask with their component (id of the topmost, leftmost box).
+    """Disjoint boxes of the mask (runs or boxes) with their component (id of the topmost, leftmost box).
 
     Runs are stacked into boxes first. Boxes of one mask that overlap in x never
     share a row, so neighbours are exactly the pairs where one ends on the row
     above the other's first row.
     """
-    boxes = cut_lineage(box_ids(M.compact(runs)))
+    boxes = cut_lineage(box_ids(runs if "y0" in runs.columns else M.compact(runs)))
     slack = 1 if diagonal else 0
     upper = boxes.select("plan_id", (F.col("y1") + 1).alias("row"), F.col("x0").alias("ax0"), F.col("x1").alias("ax1"), F.col("id").alias("a"))
     lower = boxes.select("plan_id", F.col("y0").alias("row"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("id").alias("b"))
@@ -90,15 +90,16 @@ def inner_components(stats: DataFrame, frame: DataFrame) -> DataFrame:
 
 
 def footprint(solid: DataFrame, frame: DataFrame) -> DataFrame:
-    """Walls plus enclosed space, closed by 5 x 5, as merged runs.
+    """Walls plus enclosed space, closed by 5 x 5, as disjoint boxes.
 
     Free space reached from a one-pixel ring around the frame is outside; a
     free component touches that ring exactly when it touches the frame.
     """
-    free = label_boxes(M.complement(solid, frame), diagonal=False)
+    walls = solid if "y0" in solid.columns else M.compact(solid)
+    free = label_boxes(M.complement_boxes(walls, frame), diagonal=False)
     enclosed = inner_components(component_stats(free), frame).select("plan_id", "comp")
-    inside = M.boxes_to_runs(free.join(enclosed, ["plan_id", "comp"], "left_semi"))
-    return M.close(M.union(solid, inside), M.rect_kernel(5), frame)
+    inside = free.join(enclosed, ["plan_id", "comp"], "left_semi").select(*walls.columns)
+    return M.close_boxes(M.merge_boxes(walls.unionByName(inside)), M.rect_kernel(5), frame)
 
 
 def largest_component(stats: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from plansift.functions.numeric import round_half_even, round_to
 from plansift.operators.intervals import merge_spans
-from plansift.operators.junctions import CELL, cell_of
+from plansift.operators.junctions import cell_of
+from plansift.session import cut_lineage
 
 KEY = ["plan_id"]
 
@@ -58,8 +59,12 @@ def wall_boxes(walls: DataFrame) -> DataFrame:
 
 def rasterize(walls: DataFrame, frame: DataFrame) -> DataFrame:
     """Walls as merged runs inside the frame."""
-    boxes = clip(wall_boxes(walls).select("plan_id", "x0", "x1", "y0", "y1"), frame)
-    return merge_runs(boxes_to_runs(boxes.distinct()))
+    return boxes_to_runs(rasterize_boxes(walls, frame))
+
+
+def rasterize_boxes(walls: DataFrame, frame: DataFrame) -> DataFrame:
+    """M01 as disjoint boxes."""
+    return merge_boxes(clip(wall_boxes(walls).select("plan_id", "x0", "x1", "y0", "y1"), frame))
 
 
 def complement(runs: DataFrame, frame: DataFrame, pad: int = 0) -> DataFrame:
@@ -143,20 +148,34 @@ def nested_boxes(kernel: list[tuple[int, int, int]]) -> list[tuple[int, int, int
     return out
 
 
-def dilate(runs: DataFrame, kernel: list[tuple[int, int, int]], frame: DataFrame | None = None, keys: list[str] = KEY) -> DataFrame:
-    """Grow by a convex kernel.
-
-    Runs are stacked into boxes first, so a box grows once per nested kernel
-    box instead of every run once per kernel row.
-    """
+def dilate_boxes(boxes: DataFrame, kernel: list[tuple[int, int, int]], frame: DataFrame | None = None, keys: list[str] = KEY) -> DataFrame:
+    """Grow boxes once per nested kernel box and make them disjoint again."""
     parts = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("up", "down", "left", "right"), box)]) for box in nested_boxes(kernel)])
-    grown = compact(runs, keys).select(*keys, "x0", "x1", "y0", "y1", F.inline(parts)).select(
+    grown = boxes.select(*keys, "x0", "x1", "y0", "y1", F.inline(parts)).select(
         *keys, (F.col("x0") - F.col("left")).alias("x0"), (F.col("x1") + F.col("right")).alias("x1"),
         (F.col("y0") - F.col("up")).alias("y0"), (F.col("y1") + F.col("down")).alias("y1"),
     )
-    if frame is not None:
-        grown = clip(grown, frame)
-    return merge_runs(boxes_to_runs(grown.distinct(), keys), keys)
+    return merge_boxes(grown if frame is None else clip(grown, frame), keys)
+
+
+def erode_boxes(boxes: DataFrame, kernel: list[tuple[int, int, int]], frame: DataFrame, border: str = "extend") -> DataFrame:
+    pad = max(max(abs(dy), a, b) for dy, a, b in kernel) if border == "clip" else 0
+    mirrored = [(-dy, b, a) for dy, a, b in kernel]
+    return complement_boxes(dilate_boxes(complement_boxes(boxes, frame, pad), mirrored, frame), frame)
+
+
+def close_boxes(boxes: DataFrame, kernel, frame: DataFrame) -> DataFrame:
+    return erode_boxes(dilate_boxes(boxes, kernel, frame), kernel, frame)
+
+
+def open_boxes(boxes: DataFrame, kernel, frame: DataFrame, border: str = "extend") -> DataFrame:
+    mirrored = [(-dy, b, a) for dy, a, b in kernel]
+    return dilate_boxes(erode_boxes(boxes, kernel, frame, border), mirrored, frame)
+
+
+def dilate(runs: DataFrame, kernel: list[tuple[int, int, int]], frame: DataFrame | None = None, keys: list[str] = KEY) -> DataFrame:
+    """Grow by a convex kernel. The work runs on stacked boxes; rows are listed again at the end."""
+    return boxes_to_runs(dilate_boxes(compact(runs, keys), kernel, frame, keys), keys)
 
 
 def erode(runs: DataFrame, kernel: list[tuple[int, int, int]], frame: DataFrame, border: str = "extend") -> DataFrame:
@@ -164,18 +183,15 @@ def erode(runs: DataFrame, kernel: list[tuple[int, int, int]], frame: DataFrame,
 
     ``border='extend'`` treats outside pixels as set, ``'clip'`` as unset.
     """
-    pad = max(max(abs(dy), a, b) for dy, a, b in kernel) if border == "clip" else 0
-    mirrored = [(-dy, b, a) for dy, a, b in kernel]
-    return complement(dilate(complement(runs, frame, pad), mirrored, frame), frame)
+    return boxes_to_runs(erode_boxes(compact(runs), kernel, frame, border))
 
 
 def close(runs: DataFrame, kernel, frame: DataFrame) -> DataFrame:
-    return erode(dilate(runs, kernel, frame), kernel, frame)
+    return boxes_to_runs(close_boxes(compact(runs), kernel, frame))
 
 
 def open_(runs: DataFrame, kernel, frame: DataFrame, border: str = "extend") -> DataFrame:
-    mirrored = [(-dy, b, a) for dy, a, b in kernel]
-    return dilate(erode(runs, kernel, frame, border), mirrored, frame)
+    return boxes_to_runs(open_boxes(compact(runs), kernel, frame, border))
 
 
 # -- rectangles ----------------------------------------------------------------
@@ -192,6 +208,62 @@ def compact(runs: DataFrame, keys: list[str] = KEY) -> DataFrame:
     )
 
 
+def _cut_rows(boxes: DataFrame, edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Boxes cut at every row edge of their plan, and the slabs between the edges.
+
+    Edges are distinct rows, so a plan has at most one slab per row of its picture.
+    """
+    order = Window.partitionBy(*keys).orderBy("b")
+    slabs = edges.withColumn("next", F.lead("b").over(order)).filter("next IS NOT NULL")
+    listed = boxes.withColumn("cell", F.explode(F.sequence(cell_of(F.col("y0")), cell_of(F.col("y1")))))
+    pieces = (
+        listed.join(slabs.withColumn("cell", cell_of(F.col("b"))), [*keys, "cell"])
+        .filter(F.col("b").between(F.col("y0"), F.col("y1")))
+        .select(*keys, F.col("b").alias("y0"), (F.col("next") - 1).alias("y1"), "x0", "x1")
+    )
+    return pieces, slabs
+
+
+def _row_edges(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    return boxes.select(*keys, F.explode(F.array("y0", F.col("y1") + 1)).alias("b"))
+
+
+def stack(boxes: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Join boxes of equal width that continue each other downwards."""
+    order = Window.partitionBy(*keys, "x0", "x1").orderBy("y0")
+    joined = boxes.withColumn("_new", (F.col("y0") != F.lag("y1").over(order) + 1).cast("int")).withColumn(
+        "_g", F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return joined.groupBy(*keys, "x0", "x1", "_g").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("_g")
+
+
+def merge_boxes(boxes: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Overlapping boxes -> disjoint stacked boxes of the same pixels.
+
+    Rows between two neighbouring box edges look alike, so one slab stands for
+    all of them and no pixel row is listed. The boxes are read twice (edges and
+    pieces), so they are written once to keep chained steps linear.
+    """
+    unique = cut_lineage(boxes.select(*keys, "x0", "x1", "y0", "y1").distinct())
+    pieces, _ = _cut_rows(unique, _row_edges(unique, keys).distinct(), keys)
+    merged = merge_spans(pieces, [*keys, "y0", "y1"], "x0", "x1", 1, distinct=True).drop("island")
+    return stack(merged, keys)
+
+
+def complement_boxes(boxes: DataFrame, frame: DataFrame, pad: int = 0) -> DataFrame:
+    """Free space of the frame (widened by ``pad``) around disjoint boxes, as stacked boxes."""
+    boxes = cut_lineage(boxes.select("plan_id", "x0", "x1", "y0", "y1"))
+    wide = frame.select("plan_id", F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h"))
+    rim = wide.select("plan_id", F.explode(F.array(F.lit(-pad).cast("long"), F.col("h") + pad)).alias("b"))
+    pieces, slabs = _cut_rows(boxes, _row_edges(boxes, KEY).unionByName(rim).distinct(), KEY)
+    rows = slabs.join(wide, "plan_id").select("plan_id", F.col("b").alias("y0"), (F.col("next") - 1).alias("y1"), "w")
+    ends = F.array(F.lit(-pad - 1).cast("long"), F.col("w") + pad)
+    posts = rows.select("plan_id", "y0", "y1", F.explode(ends).alias("x0")).withColumn("x1", F.col("x0"))
+    order = Window.partitionBy("plan_id", "y0", "y1").orderBy("x0")
+    free = pieces.unionByName(posts).select(
+        "plan_id", "y0", "y1", (F.col("x1") + 1).alias("x0"), (F.lead("x0").over(order) - 1).alias("x1")).filter("x0 <= x1")
+    return stack(free)
+
+
 def column_slabs(boxes: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """Disjoint boxes turned by 90 degrees: maximal vertical runs, equal columns kept together.
 
