@@ -10,7 +10,7 @@ from plansift.sources import cases, files
 
 
 def test_splits_are_stable_and_complete(spark):
-    rows = [("resplan", i) for i in range(10)] + [("cubicasa", 100 + i) for i in range(4)]
+    rows = [("first", i) for i in range(10)] + [("second", 100 + i) for i in range(4)]
     df = spark.createDataFrame(rows, "dataset string, sample_id long")
     a = {r.sample_id: r.split for r in datasets.assign_splits(df, seed=9).collect()}
     assert a == {r.sample_id: r.split for r in datasets.assign_splits(df.repartition(3), seed=9).collect()}
