@@ -31,19 +31,24 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the reliable folder the session names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. A temporary folder is used
-    only in local mode, where driver and executors share one file system.
+    A temporary folder is used only in local mode, where driver and executors
+    share one file system.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` to the reliable folder the session names."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
