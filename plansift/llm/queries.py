@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.llm import lines, mixing, quality, sharding
+from plansift.llm import lines, minhash, mixing, quality, sharding, substrings
 from plansift.llm.common import table
 
 
@@ -76,3 +76,15 @@ d AS (SELECT documents.*, {_UNIT.format(seed=mixing.SEED)} AS u FROM documents),
 c AS (SELECT d.* EXCLUDE (u), (SELECT count(*) FROM k WHERE k.source IS NOT DISTINCT FROM d.source AND k.cdf <= d.u) AS n_copies FROM d),
 e AS (SELECT c.*, unnest(range(0, n_copies)) AS copy FROM c)
 SELECT doc_id, text, lang, source, n_chars, copy, n_copies, md5(concat('{mixing.SEED}-order:', coalesce(doc_id::VARCHAR, 'null'), ':', copy)) AS shuffle_key FROM e"""
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+QUERIES |= {f.__name__: f for f in (op5_minhash_dedup, op6_substring_dedup)}
