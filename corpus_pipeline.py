@@ -6,10 +6,10 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plansift.llm import lines, mixing, quality
+from plansift.llm import lines, minhash, mixing, pieces, quality
 from plansift.llm.common import table, written
 
 
@@ -33,10 +33,44 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("row.*")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest id.
+
+    Of rows that share an id one stays; rows without an id all stay.
+    """
+    found = minhash.near_duplicates(docs, shingle=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
+    # the join already brings the rows of an id together, so picking one of them costs no further shuffle
+    one = Window.partitionBy("doc_id").orderBy("doc_id", F.xxhash64("text"))
+    kept = docs.join(found, "doc_id", "left_semi").withColumn("_row", F.row_number().over(one)).filter("_row = 1")
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate draws, in shuffled order."""
+    return mixing.mix(docs).select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest id.
+
+    Of rows that share an id one stays; rows without an id all stay.
+    """
+    found = minhash.near_duplicates(docs, shingle=5, percent=80).filter("kept").select(F.col("doc_id").alias("of")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").dropDuplicates()
+
+
+def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts with digests of ids and of the decoded text."""
+    return pieces.encode_decode(docs, pieces.public_model(), digest=True).select(
+        "doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("mix_sources", mix_sources),
+    ("sentence_pieces", sentence_pieces),
 ]
 
 #: Hash signatures and the tokenizer cannot be said in SQL; tests hold the stages against brute force.

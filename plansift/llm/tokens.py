@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,19 @@ SLICE_BYTES = 4 << 20
 WORD_MEMORY = 1 << 19
 
 
+def kept_in_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker makes once and keeps for its later tasks.
+
+    Functions travel by value, so their module's globals are new in each task;
+    a module object of its own outlives them. Results never depend on it.
+    """
+    state = sys.modules.setdefault("plansift_worker_state", types.ModuleType("plansift_worker_state"))
+    kept = state.__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class WordHashes(dict):
     """Bytes of a word -> 64-bit hash, remembered for frequent words."""
 
