@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.llm import lines, minhash, mixing, pieces, quality, sharding, substrings
+from plansift.llm import lines, minhash, mixing, pieces, quality, sharding, substrings, vectors
 from plansift.llm.common import table
 
 
@@ -92,4 +92,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
-QUERIES |= {f.__name__: f for f in (op5_minhash_dedup, op6_substring_dedup, op7_sentencepiece)}
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_embedding_dedup, op5_minhash_dedup, op6_substring_dedup, op7_sentencepiece)}
