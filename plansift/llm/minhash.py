@@ -14,8 +14,10 @@ one row. Buckets are never expanded into pairs:
    sets, skipping pairs that are joined already. Links found become components.
 2. Whatever is left is done exactly: in each bucket that still holds several
    components, all members outside its largest component meet every member of
-   other components. Pairs pass a size test and a test on their minhashes, then
-   their full sets are compared.
+   other components. Shingles that no other such member holds bound how much a
+   member can share with any other; members and pairs that cannot reach the
+   threshold fall away without being compared. The rest pass a test on their
+   minhashes, then their full sets are compared.
 
 So every pair that shares a bucket is either verified or already connected.
 Shingles are compared as 64-bit hashes of their words.
@@ -213,6 +215,34 @@ def _both(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
     return pairs
 
 
+def _shared_bounds(sets: DataFrame) -> DataFrame:
+    """(id, n, items) -> id, low (size) and most: how many of its shingles any other of these sets can share.
+
+    Shingles that only one set holds count out. An id with several sets keeps its largest size as the bound.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, items in zip(batch.column("id").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                values = np.frombuffer(items, np.int64)
+                for start in range(0, len(values), 100_000):
+                    part = values[start : start + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i)), pa.array(part)], ["id", "shingle"])
+
+    held = sets.select("id", "items").mapInArrow(run, "id long, shingle long").groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
+    alone = held.filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = sets.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("c"))
+    most = F.when(F.col("c") == 1, F.col("high") - F.coalesce("alone", F.lit(0))).otherwise(F.col("high"))
+    return sizes.join(alone, "id", "left").select("id", "low", most.alias("most"))
+
+
+def _may_link(alive: DataFrame, percent: int) -> DataFrame:
+    """Rows of (key, id, comp, low, most) that could be similar to the smallest other set of their bucket, at best."""
+    least = alive.groupBy("key").agg(F.min("low").alias("least"))
+    fits = 100 * F.col("most") >= percent * (F.col("low") + F.greatest("least", "most") - F.col("most"))
+    return alive.join(least, "key").filter(fits).drop("least")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, half: int = HALF, side: int = SIDE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     marks = written(signatures(docs, shingle, half, side))
@@ -244,16 +274,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, half:
 
     first = components(links)
     named = buckets.select("key", "id").distinct().join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    named = written(named.join(reps.groupBy("id").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high")), "id"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    alive = named.join(mixed, "key")
+    alive = written(named.join(mixed, "key"))
+    bounds = written(_shared_bounds(alive.select("id").distinct().join(sets, "id")))
+    alive = written(_may_link(alive.join(bounds, "id"), percent))
     largest = alive.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
         F.max_by("comp", F.struct("c", "comp")).alias("largest"))
     strays = alive.join(largest, "key").filter("comp <> largest").select(
-        "key", F.col("id").alias("x"), F.col("comp").alias("comp_x"), F.col("n_low").alias("low_x"), F.col("n_high").alias("high_x"), "largest")
+        "key", F.col("id").alias("x"), F.col("comp").alias("comp_x"), F.col("low").alias("low_x"), F.col("most").alias("most_x"), "largest")
+    both = F.least("most", "most_x")
     met = strays.join(alive, "key").filter(
         (F.col("comp") != F.col("comp_x")) & ((F.col("comp") == F.col("largest")) | (F.col("x") < F.col("id")))
-        & (100 * F.col("high_x") >= percent * F.col("n_low")) & (100 * F.col("n_high") >= percent * F.col("low_x")))
+        & (100 * both >= percent * (F.col("low") + F.col("low_x") - both)))
     pairs = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
     close = _agree(_both(pairs, reps, "sig"), percent, 2 * side * half).distinct()
     rest = _check_pairs(_both(close, sets, "items"), percent)
