@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.llm import lines, minhash, mixing, pieces, quality, sharding, substrings, vectors
+from plansift.llm import licenses, lines, minhash, mixing, pieces, quality, sharding, substrings, toxicity, vectors
 from plansift.llm.common import table
 
 
@@ -96,4 +96,16 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_embedding_dedup, op5_minhash_dedup, op6_substring_dedup, op7_sentencepiece)}
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    each = F.transform("licences", lambda x: F.concat(x["licence"], F.lit(":"), x["kind"], F.lit("="), x["n"].cast("string")))
+    return found.select("doc_id", "n_known", F.array_join(each, ";").alias("licences"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op3_license_scan"] = licenses.oracle_sql()
+
+QUERIES |= {f.__name__: f for f in (op1_embedding_dedup, op3_license_scan, op4_toxicity, op5_minhash_dedup, op6_substring_dedup, op7_sentencepiece)}
