@@ -22,10 +22,10 @@ def _(spark, sf):
     return links(spark, sf).select("page_id", F.col("ordinal").cast("long").alias("ordinal"), "href", C.resolve(F.col("href"), F.col("url")).alias("target"))
 
 
-@query("u02_distinct_links", "", LINKS + " SELECT href, min(page_id * 1000 + ordinal) AS ordinal FROM lk GROUP BY href")
+@query("u02_distinct_links", "", LINKS + " SELECT href, page_id, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY href ORDER BY page_id, ordinal) AS rn FROM lk) WHERE rn = 1")
 def _(spark, sf):
-    rows = links(spark, sf).withColumn("ordinal", F.col("page_id") * 1000 + F.col("ordinal"))
-    return C.distinct_in_order(rows, [], "href", "ordinal")
+    rows = links(spark, sf).withColumn("at", F.struct("page_id", "ordinal"))
+    return C.distinct_in_order(rows, [], "href", "at").select("href", "at.page_id", "at.ordinal")
 
 
 @query("t03_first_links", "", LINKS + " SELECT page_id, href, rn FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ordinal) AS rn FROM lk) WHERE rn <= 3")

@@ -1,5 +1,9 @@
 """Dataset and label queries, including the file sources they read."""
 
+import io
+import tarfile
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -241,11 +245,11 @@ def _(spark, sf):
     return labels.explode_heatmaps(docs)
 
 
-@query("s07_write_report", "manifest", "SELECT sample_id AS case_id, dataset, part AS run_id FROM manifest WHERE part = 'en'")
+@query("s07_write_report", "manifest", "SELECT sample_id AS case_id, dataset, part AS run_id FROM manifest")
 def _(spark, sf):
     path = files.scratch(spark) + "/report"
     files.write_report(V.manifest(spark, sf).selectExpr("sample_id AS case_id", "part AS run_id", "dataset"), path)
-    return files.read_report(spark, path, "en").select("case_id", "run_id", "dataset")
+    return files.read_report(spark, path).select("case_id", "run_id", "dataset")
 
 
 @query("s08_array_summary", "", LABEL + """,
@@ -262,7 +266,8 @@ def _(spark, sf):
 @query("s09_crawl_checkpoint", "crawl_index", "SELECT source, count(*) AS n, count(DISTINCT source_url) AS urls FROM crawl_index GROUP BY source")
 def _(spark, sf):
     path = files.scratch(spark) + "/index"
-    files.save_table(V.crawl_index(spark, sf).limit(5), path)
+    # an older state of the whole index: the first version of the checkpoint, which the second replaces
+    files.save_table(V.crawl_index(spark, sf).withColumn("source", F.concat(F.lit("old-"), "source")), path)
     files.save_table(V.crawl_index(spark, sf), path)
     return files.load_table(spark, path, V.crawl_index(spark, sf).schema).groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("source_url").alias("urls"))
@@ -277,12 +282,25 @@ def _(spark, sf):
     return spark.read.schema(rows.schema).json(path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pack_archives(batches):
+    """Archives of n empty members each, as the query's input files."""
+    for batch in batches:
+        blobs = []
+        for n, d in zip(batch["n"], batch["d"]):
+            buffer = io.BytesIO()
+            with tarfile.open(fileobj=buffer, mode="w") as tar:
+                for i in range(n):
+                    tar.addfile(tarfile.TarInfo(f"d{d}/f{i}" + (".png", ".svg", "")[i % 3]))
+            blobs.append(buffer.getvalue())
+        yield pd.DataFrame({"archive": batch["archive"], "content": blobs})
+
+
 @query("s11_scan_archives", "", """SELECT doc_id AS archive, i AS ordinal, concat('d', doc_id % 3, '/f', i, CASE i % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.svg' ELSE '' END) AS name
- FROM documents, LATERAL (SELECT unnest(range(1 + doc_id % 5)) AS i) WHERE i < 4""")
+ FROM documents, LATERAL (SELECT unnest(range(1 + doc_id % 5)) AS i)""")
 def _(spark, sf):
     docs = V.load(spark, sf, "documents").selectExpr("doc_id AS archive", "1 + doc_id % 5 AS n", "doc_id % 3 AS d")
-    packed = docs.mapInPandas(archives.encode_test_archives, "archive long, content binary")
-    return archives.scan(packed, scan_limit=4)
+    packed = docs.mapInPandas(pack_archives, "archive long, content binary")
+    return archives.scan(packed)
 
 
 @query("s12_paired_members", "members", """SELECT archive, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM members WHERE name NOT LIKE '%/%' AND regexp_matches(lower(name), '\\.(png|svg)$')

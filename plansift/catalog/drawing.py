@@ -11,7 +11,6 @@ from plansift.functions.formats import feet_inches
 from plansift.functions.numeric import round_to
 from plansift.operators import drawing as D, intervals as I, junctions as J, regions as R
 from plansift.sources import archives
-from plansift.catalog.datasets import svg_docs
 
 
 def r6(df, *cols, n=6):
@@ -209,9 +208,35 @@ def _(spark, sf):
     return D.scale_view_box(rows, 256, 200).select("plan_id", "opening_id", "px", "py")
 
 
-@query("p38_classify_elements", "", "SELECT doc_id AS archive, 2::BIGINT AS ordinal, CASE WHEN doc_id % 2 = 0 THEN 'wall' ELSE 'window' END AS cls FROM documents")
+P38_LAYERS = ["WALL", "COLUMN", "window", "DOOR", "DOOR_FIRE", "0", "0", "NOTES"]
+P38_STROKES = ["rgb(178,0,178)", "rgb(63,63,63)", "rgb(1,2,3)"]
+P38_PATHS = ["M 0 0 L 9 9", "M 1 1 A 2 2 0 0 1 4 4"]
+
+
+def _pick(values, index):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int") + 1)
+
+
+def _sql_pick(values, index):
+    return f"(['{"', '".join(values)}'])[({index}) % {len(values)} + 1]"
+
+
+@query("p38_classify_elements", "", f"""
+el AS (SELECT doc_id AS archive, n, CASE n WHEN 0 THEN 'svg' WHEN 1 THEN 'g' WHEN 4 THEN 'circle' ELSE 'path' END AS tag,
+ CASE WHEN n > 0 THEN {_sql_pick(P38_LAYERS, "n_chars")} END AS layer, n = 2 AND n_chars % 40 = 33 AS by_id,
+ CASE n WHEN 2 THEN {_sql_pick(P38_STROKES, "n_chars // 8")} WHEN 3 THEN {_sql_pick(P38_STROKES, "n_chars // 24")} END AS stroke,
+ n = 3 AND n_chars // 72 % 2 = 1 AS arc FROM documents, (VALUES (0), (1), (2), (3), (4)) t(n))
+SELECT archive, n::BIGINT AS ordinal, CASE WHEN upper(layer) IN ('WALL', 'COLUMN') THEN 'wall'
+ WHEN upper(layer) = 'WINDOW' OR (layer = '0' AND tag = 'path' AND (by_id OR stroke = 'rgb(178,0,178)')) THEN 'window'
+ WHEN layer IN ('DOOR', 'DOOR_FIRE') OR (layer = '0' AND tag = 'path' AND arc AND stroke = 'rgb(63,63,63)') THEN 'door' END AS cls FROM el""")
 def _(spark, sf):
-    rows = archives.svg_elements(svg_docs(spark, sf)).filter("ordinal = 2")
+    n = F.col("n_chars")
+    docs = V.load(spark, sf, "documents").select(F.col("doc_id").alias("archive"), F.format_string(
+        '<svg xmlns="http://www.w3.org/2000/svg" xmlns:inkscape="http://www.inkscape.org/namespaces/inkscape" viewBox="0 0 100 100">'
+        '<g inkscape:label="%s"><path semantic-id="%d" stroke="%s" d="M 0 0 L 9 9"/><path stroke="%s" d="%s"/><circle cx="5" cy="6" r="2"/></g></svg>',
+        _pick(P38_LAYERS, n), n % 40, _pick(P38_STROKES, F.floor(n / 8)), _pick(P38_STROKES, F.floor(n / 24)),
+        _pick(P38_PATHS, F.floor(n / 72))).alias("svg"))
+    rows = archives.svg_elements(docs)
     return rows.select("archive", F.col("ordinal").cast("long").alias("ordinal"), D.classify_element(*(F.col(c) for c in ("layer", "tag", "stroke", "semantic_id", "d"))).alias("cls"))
 
 

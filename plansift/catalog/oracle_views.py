@@ -1,7 +1,7 @@
 """SQL twins of ``plansift.views``: name -> (views it needs, SELECT text)."""
 
-ORD = "(l_orderkey * 100000 + l_suppkey) * 10 + l_linenumber"
-ID = "concat_ws('-', l_orderkey, l_suppkey, l_linenumber)"
+ORD = "((l_orderkey * 100000 + l_suppkey) * 10 + l_linenumber) * 64 + CAST(floor(l_quantity) AS BIGINT)"
+ID = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(floor(l_quantity) AS BIGINT))"
 FLAT = "(l_orderkey + l_linenumber) % 2 = 0"
 SPAN_S = "40 * (l_orderkey % 4) + l_linenumber % 3"
 SPAN_E = f"{SPAN_S} + 40 * (1 + CAST(floor(l_quantity) AS BIGINT) % 6)"

@@ -11,8 +11,8 @@ QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
 FAMILIES = [
-    "cleaning", "openings", "intervals", "gates", "datasets", "masks", "components",
-    "matching", "geometry", "drawing", "crawl", "store", "training", "streams", "flows",
+    "cleaning", "openings", "gates", "datasets", "masks", "components",
+    "matching", "drawing", "crawl", "store", "training", "streams", "flows",
 ]
 
 

@@ -9,7 +9,7 @@ from plansift.operators import masks as M
 from plansift.operators.junctions import cell_of
 from plansift.session import cut_lineage
 
-ROW = 1 << 21  # box id = y0 * ROW + x0, coordinates stay below two million
+ROW = 1 << 21  # box id = y0 * ROW + x0, unique while x0 lies in -ROW/2 .. ROW/2 - 1
 
 
 def star_components(edges: DataFrame, key: str, max_rounds: int = 60) -> DataFrame:
@@ -45,7 +45,10 @@ def _fingerprint(pairs: DataFrame, key: str) -> tuple:
 
 
 def box_ids(boxes: DataFrame) -> DataFrame:
-    return boxes.withColumn("id", F.col("y0") * ROW + F.col("x0"))
+    """Boxes with ``id``; a column outside the range of the ids is an error, never a silent clash."""
+    fits = F.col("x0").between(-(ROW // 2), ROW // 2 - 1)
+    return boxes.withColumn("id", F.when(fits, F.col("y0") * ROW + F.col("x0")).otherwise(
+        F.raise_error(F.concat(F.lit("box column out of range: "), F.col("x0").cast("string")))))
 
 
 def label_boxes(runs: DataFrame, diagonal: bool = True) -> DataFrame:

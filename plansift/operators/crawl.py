@@ -76,7 +76,7 @@ def distinct_in_order(rows: DataFrame, keys: list[str], value: str, ordinal: str
     return rows.groupBy(*keys, value).agg(F.min(ordinal).alias(ordinal))
 
 
-def first_per_page(rows: DataFrame, n: int = 80) -> DataFrame:
+def first_per_page(rows: DataFrame, n: int) -> DataFrame:
     """The first ``n`` links of every page."""
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("ordinal"))
     return rows.withColumn("rn", rank).filter(F.col("rn") <= n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import tarfile
 from xml.etree import ElementTree
 
@@ -13,36 +14,19 @@ from pyspark.sql import functions as F
 LABEL = "{http://www.inkscape.org/namespaces/inkscape}label"
 
 
-def scan(contents: DataFrame, scan_limit: int = 5000) -> DataFrame:
-    """(archive, content) -> members in archive order, at most ``scan_limit`` per archive."""
+def scan(contents: DataFrame, scan_limit: int | None = None) -> DataFrame:
+    """(archive, content) -> members in archive order, all of them unless ``scan_limit`` is given."""
 
     def walk(batches):
         for batch in batches:
-            rows = []
             for archive, content in zip(batch["archive"], batch["content"]):
                 with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for ordinal, member in enumerate(tar):
-                        if ordinal >= scan_limit:
-                            break
-                        rows.append((archive, ordinal, member.name))
-            yield pd.DataFrame(rows, columns=["archive", "ordinal", "name"])
+                    rows = [(archive, ordinal, member.name) for ordinal, member in enumerate(itertools.islice(tar, scan_limit))]
+                yield pd.DataFrame(rows, columns=["archive", "ordinal", "name"])
 
     return contents.select("archive", "content").mapInPandas(walk, "archive long, ordinal long, name string")
 
 
-def encode_test_archives(batches):
-    """Small archives for the registered query, n empty members each."""
-    for batch in batches:
-        blobs = []
-        for n, d in zip(batch["n"], batch["d"]):
-            buffer = io.BytesIO()
-            with tarfile.open(fileobj=buffer, mode="w") as tar:
-                for i in range(n):
-                    tar.addfile(tarfile.TarInfo(f"d{d}/f{i}" + (".png", ".svg", "")[i % 3]))
-            blobs.append(buffer.getvalue())
-        yield pd.DataFrame({"archive": batch["archive"], "content": blobs})
-
-
 def paired_stems(members: DataFrame) -> DataFrame:
     """Root-level stems that have both a .png and a .svg member."""
     ext = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))

@@ -57,8 +57,10 @@ def write_report(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").partitionBy("run_id").parquet(path)
 
 
-def read_report(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("run_id") == run_id)
+def read_report(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """Rows of one run, which reads its folder only, or of all runs."""
+    report = spark.read.parquet(path)
+    return report if run_id is None else report.filter(F.col("run_id") == run_id)
 
 
 def save_table(df: DataFrame, path: str) -> None:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ORD = "(l_orderkey * 100000 + l_suppkey) * 10 + l_linenumber"
+# (orderkey, partkey, suppkey, linenumber) repeats at some scale factors; the quantity tells those rows apart
+ORD = "((l_orderkey * 100000 + l_suppkey) * 10 + l_linenumber) * 64 + cast(l_quantity AS int)"
+ID = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(l_quantity AS int))"
 
 
 def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -31,7 +33,7 @@ def walls(spark: SparkSession, sf: str) -> DataFrame:
         .filter("l_returnflag IN ('A', 'N')")
         .selectExpr(
             "l_partkey AS plan_id",
-            "concat_ws('-', l_orderkey, l_suppkey, l_linenumber) AS wall_id",
+            f"{ID} AS wall_id",
             f"{ORD} AS ord",
             "if((l_orderkey + l_linenumber) % 2 = 0, 'horizontal', 'vertical') AS orientation",
             "cast(40 * (l_suppkey % 8) + l_orderkey % 5 AS double) AS coord",
@@ -51,7 +53,7 @@ def truth_walls(spark: SparkSession, sf: str) -> DataFrame:
         .filter("l_returnflag IN ('A', 'N') AND l_orderkey % 10 <> 0")
         .selectExpr(
             "l_partkey AS plan_id",
-            "concat_ws('-', l_orderkey, l_suppkey, l_linenumber) AS wall_id",
+            f"{ID} AS wall_id",
             f"{ORD} AS ord",
             "if((l_orderkey + l_linenumber) % 2 = 0, 'horizontal', 'vertical') AS orientation",
             "cast(40 * (l_suppkey % 8) + l_orderkey % 5 + l_suppkey % 3 - 1 AS double) AS coord",
@@ -77,7 +79,7 @@ def raw_walls(spark: SparkSession, sf: str) -> DataFrame:
         .filter("l_returnflag IN ('A', 'N')")
         .selectExpr(
             "l_partkey AS plan_id",
-            "concat_ws('-', l_orderkey, l_suppkey, l_linenumber) AS wall_id",
+            f"{ID} AS wall_id",
             f"{ORD} AS ord",
             f"if(l_orderkey % 4 = 0 OR {slant} <> 0, NULL, if({flat}, 'horizontal', 'vertical')) AS orientation",
             f"if({flat}, if({flip}, {e}, {s}), {c}) AS ax",
@@ -107,7 +109,7 @@ def openings(spark: SparkSession, sf: str) -> DataFrame:
         .filter("l_returnflag = 'R'")
         .selectExpr(
             "l_partkey AS plan_id",
-            "concat_ws('-', l_orderkey, l_suppkey, l_linenumber) AS opening_id",
+            f"{ID} AS opening_id",
             f"{ORD} AS ord",
             "if(l_linestatus = 'O', 'door', 'window') AS kind",
             f"if({flat}, 'horizontal', 'vertical') AS orientation",
