@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plansift import views as V
 from plansift.catalog.registry import query, rnd
+from plansift.functions.ranking import number_by
 from plansift.operators import config, junctions as J, walls as W
 
 D = config.DEFAULTS
@@ -245,9 +246,8 @@ def _(spark, sf):
 
 @query("w17_sequential_ids", "walls", "SELECT plan_id, wall_id AS source_id, printf('wall-%04d', row_number() OVER (PARTITION BY plan_id ORDER BY ord)) AS wall_id FROM walls")
 def _(spark, sf):
-    from pyspark.sql import Window
-    n = F.row_number().over(Window.partitionBy("plan_id").orderBy("ord"))
-    return V.walls(spark, sf).select("plan_id", F.col("wall_id").alias("source_id"), F.format_string("wall-%04d", n).alias("wall_id"))
+    rows = number_by(V.walls(spark, sf).select("plan_id", "wall_id", "ord"), ["plan_id"], "ord", "n")
+    return rows.select("plan_id", F.col("wall_id").alias("source_id"), F.format_string("wall-%04d", "n").alias("wall_id"))
 
 
 @query("f04_minimum_length", "walls", sql_merge("walls", "mg", "48", "60") + " SELECT plan_id, wall_id, s, e FROM mg")

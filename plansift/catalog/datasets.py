@@ -4,11 +4,11 @@ import io
 import tarfile
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plansift import views as V
 from plansift.catalog.registry import query, rnd
+from plansift.functions.ranking import number_by
 from plansift.operators import datasets as D
 from plansift.sources import archives, cases, files, labels, structures
 
@@ -86,8 +86,8 @@ def _(spark, sf):
 
 @query("t01_ordered_splits", "manifest", SPLIT.format(src="manifest") + " SELECT split, dataset, sample_id, row_number() OVER (PARTITION BY split, dataset ORDER BY sample_id) AS pos FROM splits")
 def _(spark, sf):
-    pos = F.row_number().over(Window.partitionBy("split", "dataset").orderBy("sample_id"))
-    return D.assign_splits(V.manifest(spark, sf)).select("split", "dataset", "sample_id", pos.alias("pos")).orderBy("split", "dataset", "sample_id")
+    rows = D.assign_splits(V.manifest(spark, sf)).select("split", "dataset", "sample_id")
+    return number_by(rows, ["split", "dataset"], "sample_id", "pos").orderBy("split", "dataset", "sample_id")
 
 
 PATHS = """'samples/' || dataset || '/' || sample_id || '/image.png' AS image_path, 'samples/' || dataset || '/' || sample_id || '/label.npy' AS label_path,

@@ -332,7 +332,11 @@ def _(spark, sf):
     return D.layer_summary(V.entities(spark, sf))
 
 
-@query("p45_regularize_points", "polygons", None)
+@query("p45_regularize_points", "polygons", """
+ls AS (SELECT plan_id, poly_id, list([{'x': px::BIGINT, 'y': py::BIGINT}] ORDER BY corner) AS items FROM polygons GROUP BY ALL)
+SELECT plan_id, poly_id, to_json(list_reduce(items, lambda acc, p: CASE WHEN abs(p[1].x - acc[-1].x) < 1 AND abs(p[1].y - acc[-1].y) < 1 THEN acc ELSE list_concat(acc, [{
+ 'x': CASE WHEN abs(degrees(atan2((p[1].y - acc[-1].y)::DOUBLE, (p[1].x - acc[-1].x)::DOUBLE))) BETWEEN 15 AND 165 AND abs(abs(degrees(atan2((p[1].y - acc[-1].y)::DOUBLE, (p[1].x - acc[-1].x)::DOUBLE))) - 90) < 15 THEN acc[-1].x ELSE p[1].x END,
+ 'y': CASE WHEN abs(degrees(atan2((p[1].y - acc[-1].y)::DOUBLE, (p[1].x - acc[-1].x)::DOUBLE))) BETWEEN 15 AND 165 THEN p[1].y ELSE acc[-1].y END}]) END))::VARCHAR AS points FROM ls""")
 def _(spark, sf):
     item = F.sort_array(F.collect_list(F.struct("corner", F.col("px").cast("long").alias("x"), F.col("py").cast("long").alias("y"))))
     lists = V.polygons(spark, sf).groupBy("plan_id", "poly_id").agg(F.transform(item, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
@@ -340,7 +344,29 @@ def _(spark, sf):
     return out.select("plan_id", "poly_id", F.to_json("points").alias("points"))
 
 
-@query("g05_miter_outline", "polygons", None)
+def sql_option(name, sign):
+    """One miter candidate of G05 in SQL: both corners slid along the wall to the neighbour's edge lines."""
+    def meet(corner, side):
+        t = f"(((sx - ({side}) * oy * 3) - {corner}x) * oy - ((sy + ({side}) * ox * 3) - {corner}y) * ox) / cr"
+        return f"{corner}x + {t} * dx AS p{corner}x, {corner}y + {t} * dy AS p{corner}y"
+    return f"""
+{name}_p AS (SELECT *, {meet("qa", sign)}, {meet("qb", -sign)} FROM nb WHERE abs(cr) >= 1e-8),
+{name} AS (SELECT plan_id, wall_id, "end", ord, sqrt((pqax - px) ** 2 + (pqay - py) ** 2) AS da, sqrt((pqbx - px) ** 2 + (pqby - py) ** 2) AS db, {-sign} AS rank, pqax, pqay, pqbx, pqby FROM {name}_p)"""
+
+
+@query("g05_miter_outline", "polygons", """
+w AS (SELECT plan_id, poly_id AS wall_id, max(px) FILTER (corner = 0) AS x1, max(py) FILTER (corner = 0) AS y1, max(px) FILTER (corner = 2) AS x2, max(py) FILTER (corner = 2) AS y2 FROM polygons WHERE poly_type = 'wall' GROUP BY ALL),
+l AS (SELECT *, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS len FROM w), u AS (SELECT *, (x2 - x1) / len AS ux, (y2 - y1) / len AS uy FROM l WHERE len >= 1),
+en AS (SELECT plan_id, wall_id, 1 AS "end", x1 AS px, y1 AS py, ux AS dx, uy AS dy, ux, uy FROM u UNION ALL SELECT plan_id, wall_id, 2, x2, y2, -ux, -uy, ux, uy FROM u),
+ec AS (SELECT *, px - uy * 3 AS qax, py + ux * 3 AS qay, px + uy * 3 AS qbx, py - ux * 3 AS qby FROM en),
+ne AS (SELECT plan_id, wall_id AS ord, 1 AS o_end, x1 AS sx, y1 AS sy, x2 AS fx, y2 AS fy, len FROM l UNION ALL SELECT plan_id, wall_id, 2, x2, y2, x1, y1, len FROM l),
+hi AS (SELECT ec.*, ord, sx, sy, (fx - sx) / len AS ox, (fy - sy) / len AS oy, len FROM ec JOIN ne ON ec.plan_id = ne.plan_id AND wall_id <> ord AND abs(px - sx) < 12 AND abs(py - sy) < 12
+ QUALIFY row_number() OVER (PARTITION BY ec.plan_id, wall_id, "end", ord ORDER BY o_end) = 1),
+nb AS (SELECT *, dx * oy - dy * ox AS cr FROM hi WHERE len >= 1),""" + sql_option("oa", 1) + "," + sql_option("ob", -1) + """,
+be AS (SELECT * FROM (SELECT * FROM oa UNION ALL SELECT * FROM ob) WHERE da < 12 AND db < 12 QUALIFY row_number() OVER (PARTITION BY plan_id, wall_id, "end", ord ORDER BY da + db, rank) = 1),
+la AS (SELECT * FROM be QUALIFY row_number() OVER (PARTITION BY plan_id, wall_id, "end" ORDER BY ord DESC) = 1)
+SELECT plan_id, wall_id, "end", """ + ", ".join(f"{rnd(f'coalesce(p{c}, {c})', 4)} AS {n}" for c, n in (("qax", "ax"), ("qay", "ay"), ("qbx", "bx"), ("qby", "by_"))) + """, la.ord IS NOT NULL AS mitred
+ FROM ec LEFT JOIN la USING (plan_id, wall_id, "end")""")
 def _(spark, sf):
     # polygon diagonals stand for slanted walls
     ends = V.polygons(spark, sf).filter("poly_type = 'wall'").groupBy("plan_id", "poly_id").agg(

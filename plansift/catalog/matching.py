@@ -1,6 +1,5 @@
 """Matching queries."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plansift import views as V
@@ -9,14 +8,28 @@ from plansift.catalog.masks import BASE, FRAME, ICONS, frame, icon_mask, sql_ras
 from plansift.catalog.registry import query, rnd
 from plansift.operators import config, intervals as I, junctions as J, masks as M, matching as X, nearest as N
 from plansift.functions.numeric import round_to
+from plansift.functions.ranking import number_rows
 
 
 def numbered_junctions(walls):
     points = J.junctions(config.with_default_config(walls))
-    return points.withColumn("ord", F.row_number().over(Window.partitionBy("plan_id").orderBy("x", "y")).cast("long"))
+    return number_rows(points, ["plan_id"], ["x"], ["y"], "ord")
 
 
-@query("j21_junction_match", "", None)
+GREEDY = f"""
+ls AS (SELECT plan_id, list([{{'p': p_ord, 'e': e_ord}}] ORDER BY p_ord, score, e_ord) AS items FROM pr GROUP BY plan_id),
+fd AS (SELECT plan_id, len(list_reduce(items, lambda acc, x: CASE WHEN len(list_filter(acc, lambda m: m.p = x[1].p OR m.e = x[1].e)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS n FROM ls),
+cp AS (SELECT plan_id, count(*) AS n FROM pd GROUP BY plan_id), ce AS (SELECT plan_id, count(*) AS n FROM td GROUP BY plan_id),
+al AS (SELECT plan_id, coalesce(cp.n, 0) AS predicted, coalesce(ce.n, 0) AS expected, coalesce(fd.n, 0) AS matches FROM cp FULL JOIN ce USING (plan_id) LEFT JOIN fd USING (plan_id))
+SELECT plan_id, predicted, expected, matches,
+ {rnd("CASE WHEN predicted > 0 THEN matches / predicted WHEN expected = 0 THEN 1.0::DOUBLE ELSE 0 END", 6)} AS precision,
+ {rnd("CASE WHEN expected > 0 THEN matches / expected WHEN predicted = 0 THEN 1.0::DOUBLE ELSE 0 END", 6)} AS recall FROM al"""
+
+
+@query("j21_junction_match", "walls truth_walls", sql_junctions("walls", "p") + "," + sql_junctions("truth_walls", "t") + """,
+pd AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY x, y) AS ord FROM p), td AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY x, y) AS ord FROM t),
+pr AS (SELECT pd.plan_id, pd.ord AS p_ord, td.ord AS e_ord, sqrt((pd.x - td.x) * (pd.x - td.x) + (pd.y - td.y) * (pd.y - td.y)) AS score FROM pd JOIN td ON pd.plan_id = td.plan_id AND pd.type = td.type
+ AND sqrt((pd.x - td.x) * (pd.x - td.x) + (pd.y - td.y) * (pd.y - td.y)) <= 12),""" + GREEDY)
 def _(spark, sf):
     from plansift.session import cut_lineage
     pred, truth = (cut_lineage(numbered_junctions(w)) for w in (V.walls(spark, sf), V.truth_walls(spark, sf)))
@@ -36,7 +49,11 @@ def opening_sides(spark, sf):
     return pred, truth
 
 
-@query("j22_opening_match", "", None)
+@query("j22_opening_match", "openings", """
+pd AS (SELECT * FROM openings), td AS (SELECT * REPLACE (x + k % 7 AS x, span + k % 5 AS span) FROM openings WHERE k % 10 <> 0),
+pq AS (SELECT p.plan_id, p.ord AS p_ord, t.ord AS e_ord, sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y)) AS d, abs(p.span - t.span) / greatest(p.span, t.span) AS er, greatest(p.span, t.span) AS m
+ FROM pd p JOIN td t ON p.plan_id = t.plan_id AND p.kind = t.kind),
+pr AS (SELECT plan_id, p_ord, e_ord, d + er * 10 AS score FROM pq WHERE d <= greatest(12, m * 0.75) AND er <= 0.5),""" + GREEDY)
 def _(spark, sf):
     pred, truth = opening_sides(spark, sf)
     return X.match_metrics(pred, truth, X.greedy_match(X.opening_pairs(pred, truth)))
@@ -189,7 +206,20 @@ def _(spark, sf):
     return X.merge_mask_walls(V.walls(spark, sf))
 
 
-@query("j23_merge_shared_walls", "", None)
+def sql_spans(src, out):
+    """Maximal spans of (plan_id, coord, s, e) in SQL."""
+    return f"""
+{out}_r AS (SELECT *, max(e) OVER (PARTITION BY plan_id, coord ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {src}),
+{out}_i AS (SELECT *, sum(CASE WHEN s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id, coord ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM {out}_r),
+{out} AS (SELECT plan_id, coord, min(s) AS s, max(e) AS e FROM {out}_i GROUP BY plan_id, coord, g)"""
+
+
+@query("j23_merge_shared_walls", "walls", "sv AS (SELECT plan_id, floor(coord / 4) * 4 + 4 * (k % 2) AS coord, s, e FROM walls WHERE orientation = 'vertical')," + sql_spans("sv", "m1") + """,
+ln AS (SELECT plan_id, coord, list({'s': s, 'e': e} ORDER BY s, e) AS spans FROM m1 GROUP BY ALL),
+ls AS (SELECT plan_id, list([{'coord': coord, 'spans': spans}] ORDER BY coord) AS items FROM ln GROUP BY plan_id),
+fd AS (SELECT plan_id, unnest(list_reduce(items, lambda acc, x: CASE WHEN x[1].coord - acc[-1].coord = 4 AND len(list_filter(acc[-1].spans, lambda a: len(list_filter(x[1].spans, lambda b: a.s < b.e AND b.s < a.e)) > 0)) > 0
+ THEN list_concat(acc[:-2], [{'coord': x[1].coord, 'spans': list_concat(x[1].spans, acc[-1].spans)}]) ELSE list_concat(acc, x) END)) AS g FROM ls),
+f2 AS (SELECT plan_id, g.coord AS coord, unnest(g.spans) AS sp FROM fd), f3 AS (SELECT plan_id, coord, sp.s AS s, sp.e AS e FROM f2),""" + sql_spans("f3", "m2") + " SELECT plan_id, coord, s, e FROM m2")
 def _(spark, sf):
     spans = V.walls(spark, sf).filter("orientation = 'vertical'").withColumn("coord", F.floor(F.col("coord") / 4) * 4.0 + 4 * (F.col("k") % 2))
     return X.merge_shared_walls(spans.select("plan_id", "coord", "s", "e"))

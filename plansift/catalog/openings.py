@@ -1,11 +1,11 @@
 """Opening queries."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plansift import views as V
 from plansift.catalog.cleaning import base, sql_classify, sql_junctions, sql_merge
 from plansift.catalog.registry import query, rnd
+from plansift.functions.ranking import number_by
 from plansift.session import cut_lineage
 from plansift.operators import config, intervals as I, junctions as J, nearest as N, openings as O, walls as W
 
@@ -275,8 +275,8 @@ SELECT l.plan_id, line_no, p.x AS x1, image_h - p.y AS y1, q.x AS x2, image_h -
  CASE WHEN abs(q.x - p.x) >= abs(q.y - p.y) THEN 'horizontal' ELSE 'vertical' END AS orientation
  FROM a l JOIN pt p ON p.plan_id = l.plan_id AND p.idx = l.a JOIN pt q ON q.plan_id = l.plan_id AND q.idx = l.b JOIN plans ON plans.plan_id = l.plan_id""")
 def _(spark, sf):
-    idx = F.row_number().over(Window.partitionBy("plan_id").orderBy("poly_id")) - 1
-    points = V.polygons(spark, sf).filter("corner = 0").select("plan_id", F.col("px").alias("x"), F.col("py").alias("y"), idx.cast("long").alias("idx"))
+    corners = number_by(V.polygons(spark, sf).filter("corner = 0").select("plan_id", "poly_id", "px", "py"), ["plan_id"], "poly_id", "n")
+    points = corners.selectExpr("plan_id", "px AS x", "py AS y", "n - 1 AS idx")
     lines = points.filter("idx % 2 = 0").selectExpr("plan_id", "idx AS line_no", "idx AS a", "idx + 1 AS b")
     return O.vector_lines(points, lines, V.plans(spark, sf))
 
@@ -294,8 +294,7 @@ def _(spark, sf):
 @query("p17_contract_to_structure", "walls plans", """SELECT w.plan_id, printf('raw-wall-%04d', row_number() OVER (PARTITION BY w.plan_id ORDER BY ord)) AS wall_id,
  orientation, coord, s, e, concat('remote_worker/', unit) AS source, 'unverified' AS scale_status FROM walls w JOIN plans USING (plan_id)""")
 def _(spark, sf):
-    n = F.row_number().over(Window.partitionBy("plan_id").orderBy("ord"))
-    return V.walls(spark, sf).withColumn("n", n).join(V.plans(spark, sf), "plan_id").select(
+    return number_by(V.walls(spark, sf), ["plan_id"], "ord", "n").join(V.plans(spark, sf), "plan_id").select(
         "plan_id", F.format_string("raw-wall-%04d", "n").alias("wall_id"), "orientation", "coord", "s", "e",
         F.concat(F.lit("remote_worker/"), "unit").alias("source"), F.lit("unverified").alias("scale_status"))
 

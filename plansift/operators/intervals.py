@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansift.functions.numeric import round_to
+from plansift.functions.ranking import number_rows
 
 
 def merge_spans(
@@ -33,8 +34,8 @@ def merge_legacy_walls(candidates: DataFrame) -> DataFrame:
     """W04 on room edges: one wall per maximal span of a line and exterior flag, numbered in line order."""
     keys = ["plan_id", "orientation", "coord", "is_exterior"]
     merged = merge_spans(candidates, keys, "s", "e", 1e-6)
-    number = F.row_number().over(Window.partitionBy("plan_id").orderBy("orientation", "coord", "is_exterior", "s"))
-    return merged.select("plan_id", F.format_string("wall-%04d", number).alias("wall_id"), "orientation", "coord", "is_exterior", "s", "e")
+    numbered = number_rows(merged, ["plan_id"], keys[1:], ["s"], "n")
+    return numbered.select("plan_id", F.format_string("wall-%04d", "n").alias("wall_id"), "orientation", "coord", "is_exterior", "s", "e")
 
 
 def solid_parts(walls: DataFrame, gaps: DataFrame) -> DataFrame:

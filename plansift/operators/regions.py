@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plansift.functions.numeric import round_to
+from plansift.functions.ranking import number_by
 from plansift.operators import components as C
 from plansift.operators import masks as M
 from plansift.operators.junctions import cell_of
@@ -174,8 +175,8 @@ def region_plan(mask: DataFrame, frame: DataFrame, erasers: DataFrame | None = N
     for n in names:
         adjusted = adjusted | (F.abs(F.col(n) - F.col(f"raw_{n}")) > 1e-6)
     joined = clamp_thickness(after.join(old, ["plan_id", "orientation", "ord"]).withColumn("adjusted", adjusted))
-    number = F.row_number().over(Window.partitionBy("plan_id", "orientation").orderBy("ord"))
-    return joined.withColumn("region_id", F.format_string("%s-region-%04d", F.substring("orientation", 1, 1), number))
+    numbered = number_by(joined, ["plan_id", "orientation"], "ord", "_number")
+    return numbered.withColumn("region_id", F.format_string("%s-region-%04d", F.substring("orientation", 1, 1), "_number")).drop("_number")
 
 
 def region_meta(plan: DataFrame) -> DataFrame:

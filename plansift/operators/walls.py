@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansift.functions.numeric import round_to
+from plansift.functions.ranking import number_rows
 
 EPS = 1e-6
 DIAGONAL_DEG = 15.0
@@ -268,8 +269,7 @@ def merge_collinear(walls: DataFrame) -> DataFrame:
         )
         .filter(F.col("e") - F.col("s") >= F.col("cfg.min_length"))
     )
-    number = F.row_number().over(Window.partitionBy("plan_id").orderBy("line_ord", "s"))
-    return merged.withColumn("ord", number.cast("long")).select(
+    return number_rows(merged, ["plan_id"], ["line_ord"], ["s"], "ord").select(
         "plan_id", F.format_string("wall-%04d", "ord").alias("wall_id"), "ord", "orientation", "coord", "s", "e",
         "thickness", "confidence", F.lit(False).alias("is_exterior"), F.lit(None).cast("string").alias("side"),
         "n_sources", "cfg",
