@@ -79,6 +79,13 @@ ra AS (SELECT plan_id, sum(area)::BIGINT AS union_area_px, sum(area * n)::BIGINT
  sum(n - 1)::BIGINT AS duplicated_region_count, sum(n - 1)::BIGINT AS overlapping_label_count FROM pr GROUP BY plan_id)"""
 
 
+@query("a25_room_rows", "walls openings labels3", SEEDED + """
+SELECT plan_id, label_ord, area, CASE WHEN label_ord > f THEN f END AS duplicate_of_index, CASE WHEN label_ord > f THEN area ELSE 0 END AS overlap_area_px
+ FROM (SELECT *, min(label_ord) OVER (PARTITION BY plan_id, comp) AS f FROM rg)""")
+def _(spark, sf):
+    return C.room_rows(regions(spark, sf))
+
+
 @query("a25_region_audit", "walls openings labels3", AUDIT + " SELECT * FROM ra")
 def _(spark, sf):
     return C.region_audit(regions(spark, sf))

@@ -233,6 +233,19 @@ def _(spark, sf):
     return out.select("sample_id", *[F.col(c).cast("long").alias(c) for c in ("channel", "cls", "pixels")])
 
 
+@query("a12_sample_counts", "", LABEL + f""",
+px AS (SELECT sample_id, channel, cls, sum(x1 - x0 + 1) AS p FROM rn GROUP BY ALL),
+ct AS (SELECT sample_id, coalesce(sum(p) FILTER (channel = 0), 0)::BIGINT AS total, coalesce(sum(p) FILTER (channel = 0 AND cls = 2), 0)::BIGINT AS wall,
+ coalesce(sum(p) FILTER (channel = 0 AND cls = 1), 0)::BIGINT AS outdoor, coalesce(sum(p) FILTER (channel = 0 AND cls > 2), 0)::BIGINT AS room,
+ coalesce(sum(p) FILTER (channel = 1 AND cls IN (1, 2)), 0)::BIGINT AS opening, coalesce(sum(p) FILTER (channel = 1 AND cls <> 0), 0)::BIGINT AS icon,
+ count(*) FILTER (channel = 0 AND cls > 2) AS rooms FROM px GROUP BY sample_id)
+SELECT *, {rnd('wall / greatest(total, 1)', 6)} AS wall_ratio, {rnd('room / greatest(total, 1)', 6)} AS room_ratio, {rnd('opening / greatest(total, 1)', 6)} AS opening_ratio FROM ct""")
+def _(spark, sf):
+    docs = V.load(spark, sf, "documents").selectExpr("doc_id AS sample_id", "8 + doc_id % 5 AS h", "10 + doc_id % 7 AS w")
+    runs = labels.read_label_runs(docs.mapInPandas(labels.encode_test_labels, "sample_id long, content binary"))
+    return D.with_ratios(D.sample_counts(D.class_pixels(runs)))
+
+
 @query("s06_read_heatmaps", "", """SELECT doc_id AS sample_id, c::VARCHAR AS channel, (doc_id + i) % 50 AS x, (3 * doc_id + i) % 40 AS y
  FROM documents, (VALUES (0), (1), (2)) t(c), LATERAL (SELECT unnest(range((doc_id + c) % 4)) AS i)""")
 def _(spark, sf):

@@ -315,6 +315,21 @@ def _(spark, sf):
     return D.polyline_segments(rows, ["plan_id", "poly_id"])
 
 
+@query("p33_polyline_length", "polygons", f"""
+n AS (SELECT plan_id, poly_id, px, py, coalesce(lead(px) OVER w, CASE WHEN cls < 2 THEN first_value(px) OVER w END) AS qx, coalesce(lead(py) OVER w, CASE WHEN cls < 2 THEN first_value(py) OVER w END) AS qy
+ FROM polygons WINDOW w AS (PARTITION BY plan_id, poly_id ORDER BY corner))
+SELECT plan_id, poly_id, {rnd('coalesce(sum(sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py))), 0)', 4)} AS total_length FROM n GROUP BY plan_id, poly_id""")
+def _(spark, sf):
+    rows = V.polygons(spark, sf).selectExpr("plan_id", "poly_id", "corner AS n", "px AS x", "py AS y", "cls < 2 AS closed")
+    return D.polyline_lengths(rows, ["plan_id", "poly_id"])
+
+
+@query("a17_dimension_types", "entities", """SELECT file_id, layer, CASE dim_raw & 15 WHEN 0 THEN 'LINEAR' WHEN 1 THEN 'ALIGNED' WHEN 2 THEN 'ANGULAR' WHEN 3 THEN 'DIAMETER' WHEN 4 THEN 'RADIUS' WHEN 5 THEN 'ANGULAR_3PT'
+ WHEN 6 THEN 'ORDINATE' ELSE concat('UNKNOWN(', dim_raw & 15, ')') END AS dim_type, count(*) AS n FROM entities WHERE type = 'DIMENSION' GROUP BY ALL""")
+def _(spark, sf):
+    return D.dimension_types(V.entities(spark, sf))
+
+
 @query("p34_dimension_types", "entities", """SELECT file_id, handle, CASE dim_raw & 15 WHEN 0 THEN 'LINEAR' WHEN 1 THEN 'ALIGNED' WHEN 2 THEN 'ANGULAR' WHEN 3 THEN 'DIAMETER' WHEN 4 THEN 'RADIUS' WHEN 5 THEN 'ANGULAR_3PT' WHEN 6 THEN 'ORDINATE'
  ELSE concat('UNKNOWN(', dim_raw & 15, ')') END AS dim_type FROM entities WHERE type = 'DIMENSION'""")
 def _(spark, sf):

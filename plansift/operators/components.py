@@ -191,6 +191,14 @@ def room_regions(labels: DataFrame, free: DataFrame, frame: DataFrame, min_area:
     return found.join(component_stats(free), ["plan_id", "comp"]).filter(F.col("area") >= min_area)
 
 
+def room_rows(regions: DataFrame) -> DataFrame:
+    """Each label's region with the first label that has the same one, and the area already covered by it."""
+    first = regions.groupBy("plan_id", "comp").agg(F.min("label_ord").alias("first"))
+    again = F.col("label_ord") > F.col("first")
+    return regions.join(first, ["plan_id", "comp"]).select(
+        "plan_id", "label_ord", "area", F.when(again, F.col("first")).alias("duplicate_of_index"), F.when(again, F.col("area")).otherwise(0).alias("overlap_area_px"))
+
+
 def region_audit(regions: DataFrame) -> DataFrame:
     """Union and raw area, overlap and repeated regions. Regions are components, so two are equal or disjoint."""
     per_region = regions.groupBy("plan_id", "comp").agg(F.max("area").alias("area"), F.count(F.lit(1)).alias("n"))

@@ -41,6 +41,11 @@ def sample_counts(pixels: DataFrame) -> DataFrame:
     )
 
 
+def with_ratios(counts: DataFrame) -> DataFrame:
+    """Wall, room and opening share of all pixels of a sample."""
+    return counts.withColumns({f"{n}_ratio": round_to(F.col(n) / F.greatest("total", F.lit(1)), 6) for n in ("wall", "room", "opening")})
+
+
 def score_samples(counts: DataFrame) -> DataFrame:
     """Nine flags and the additive score, clamped to 0..100.
 

@@ -75,6 +75,16 @@ def polyline_segments(vertices: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def polyline_lengths(vertices: DataFrame, keys: list[str]) -> DataFrame:
+    """Total length of each polyline, the way back of closed ones included. ``vertices``: keys, n, x, y, closed."""
+    order = Window.partitionBy(*keys).orderBy("n")
+    point = F.struct("x", "y")
+    first = F.first(point).over(order)
+    to = F.coalesce(F.lead(point).over(order), F.when(F.col("closed"), first))
+    steps = vertices.withColumn("_to", to).withColumn("_length", F.hypot(F.col("_to.x") - F.col("x"), F.col("_to.y") - F.col("y")))
+    return steps.groupBy(*keys).agg(round_to(F.coalesce(F.sum("_length"), F.lit(0.0)), 4).alias("total_length"))
+
+
 def layer_filter(rows: DataFrame, layers: list[str]) -> DataFrame:
     """entities on the named layers."""
     return rows.filter(F.col("layer").isin(*layers))
@@ -88,6 +98,12 @@ def layer_summary(rows: DataFrame) -> DataFrame:
     ).filter("level IN (0, 1, 3)")
 
 
+def dimension_types(rows: DataFrame) -> DataFrame:
+    """Dimension entities per file, layer and decoded type."""
+    found = rows.filter("type = 'DIMENSION'").withColumn("dim_type", dimension_type(F.col("dim_raw")))
+    return found.groupBy("file_id", "layer", "dim_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def input_profile(sizes: DataFrame) -> DataFrame:
     """Pictures with a short side below 512 are scaled up; sizes and scales of the run."""
     short = F.least("image_w", "image_h")
