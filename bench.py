@@ -23,6 +23,7 @@ HEADLINE = [
     "j04_best_wall", "f03_furniture_filter", "j07_nearest_midpoint_80", "w07_dedupe_openings", "w04_merge_spans",
     "a12_score_samples", "w11_stratified_split", "a19_class_iou", "m04_nearest_color", "m01_rasterize_walls",
     "j24_crawl_resume", "t05_take_until_target", "w13_best_and_early_stop", "j27_project_list", "r06_harvest_links",
+    "m03_close_open", "m12_region_plan", "g06_footprint", "clean_walls_flow",
 ]
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from plansift.functions.numeric import round_half_even, round_to
 from plansift.operators.intervals import merge_spans
 from plansift.operators.junctions import cell_of
-from plansift.session import cut_lineage
 
 KEY = ["plan_id"]
 
@@ -208,24 +207,25 @@ def compact(runs: DataFrame, keys: list[str] = KEY) -> DataFrame:
     )
 
 
-def _cut_rows(boxes: DataFrame, edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Boxes cut at every row edge of their plan, and the slabs between the edges.
+#: Rows of a band. A band has at most BAND + 1 row edges, whatever it holds.
+BAND = 64
 
-    Edges are distinct rows, so a plan has at most one slab per row of its picture.
-    """
-    order = Window.partitionBy(*keys).orderBy("b")
-    slabs = edges.withColumn("next", F.lead("b").over(order)).filter("next IS NOT NULL")
-    listed = boxes.withColumn("cell", F.explode(F.sequence(cell_of(F.col("y0")), cell_of(F.col("y1")))))
-    pieces = (
-        listed.join(slabs.withColumn("cell", cell_of(F.col("b"))), [*keys, "cell"])
-        .filter(F.col("b").between(F.col("y0"), F.col("y1")))
-        .select(*keys, F.col("b").alias("y0"), (F.col("next") - 1).alias("y1"), "x0", "x1")
-    )
-    return pieces, slabs
 
+def _pieces(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Boxes cut at every row edge inside their band of rows: keys, band, y0, y1, x0, x1.
 
-def _row_edges(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    return boxes.select(*keys, F.explode(F.array("y0", F.col("y1") + 1)).alias("b"))
+    One shuffle by (keys, band) brings a band together; its edges are a short
+    array. Boxes are read once, so nothing has to be written between steps.
+    """
+    first, last = F.floor(F.col("y0") / BAND), F.floor(F.col("y1") / BAND)
+    banded = boxes.select(*keys, "x0", "x1", "y0", "y1", F.explode(F.sequence(first, last)).alias("band")).select(
+        *keys, "band", "x0", "x1", F.greatest("y0", F.col("band") * BAND).alias("y0"), F.least("y1", F.col("band") * BAND + BAND - 1).alias("y1"))
+    around = Window.partitionBy(*keys, "band")
+    edges = F.array_sort(F.array_union(F.collect_set("y0").over(around), F.collect_set(F.col("y1") + 1).over(around)))
+    own = F.filter("_edges", lambda e: (e >= F.col("y0")) & (e <= F.col("y1") + 1))
+    cut = banded.withColumn("_edges", edges).select(*keys, "band", "x0", "x1", own.alias("_own"))
+    rows = F.zip_with(F.slice("_own", 1, F.size("_own") - 1), F.slice("_own", 2, F.size("_own") - 1), lambda lo, hi: F.struct(lo.alias("y0"), (hi - 1).alias("y1")))
+    return cut.select(*keys, "band", "x0", "x1", F.inline(rows))
 
 
 def stack(boxes: DataFrame, keys: list[str] = KEY) -> DataFrame:
@@ -240,26 +240,21 @@ def merge_boxes(boxes: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """Overlapping boxes -> disjoint stacked boxes of the same pixels.
 
     Rows between two neighbouring box edges look alike, so one slab stands for
-    all of them and no pixel row is listed. The boxes are read twice (edges and
-    pieces), so they are written once to keep chained steps linear.
+    all of them and no pixel row is listed. Equal boxes collapse on the map side.
     """
-    unique = cut_lineage(boxes.select(*keys, "x0", "x1", "y0", "y1").distinct())
-    pieces, _ = _cut_rows(unique, _row_edges(unique, keys).distinct(), keys)
-    merged = merge_spans(pieces, [*keys, "y0", "y1"], "x0", "x1", 1, distinct=True).drop("island")
-    return stack(merged, keys)
+    unique = boxes.select(*keys, "x0", "x1", "y0", "y1").distinct()
+    merged = merge_spans(_pieces(unique, keys), [*keys, "band", "y0", "y1"], "x0", "x1", 1, distinct=True)
+    return stack(merged.drop("island", "band"), keys)
 
 
 def complement_boxes(boxes: DataFrame, frame: DataFrame, pad: int = 0) -> DataFrame:
     """Free space of the frame (widened by ``pad``) around disjoint boxes, as stacked boxes."""
-    boxes = cut_lineage(boxes.select("plan_id", "x0", "x1", "y0", "y1"))
-    wide = frame.select("plan_id", F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h"))
-    rim = wide.select("plan_id", F.explode(F.array(F.lit(-pad).cast("long"), F.col("h") + pad)).alias("b"))
-    pieces, slabs = _cut_rows(boxes, _row_edges(boxes, KEY).unionByName(rim).distinct(), KEY)
-    rows = slabs.join(wide, "plan_id").select("plan_id", F.col("b").alias("y0"), (F.col("next") - 1).alias("y1"), "w")
-    ends = F.array(F.lit(-pad - 1).cast("long"), F.col("w") + pad)
-    posts = rows.select("plan_id", "y0", "y1", F.explode(ends).alias("x0")).withColumn("x1", F.col("x0"))
-    order = Window.partitionBy("plan_id", "y0", "y1").orderBy("x0")
-    free = pieces.unionByName(posts).select(
+    w, h = F.col("w").cast("long"), F.col("h").cast("long")
+    ends = F.array(F.lit(-pad - 1).cast("long"), w + pad)
+    posts = frame.select("plan_id", F.explode(ends).alias("x0"), F.lit(-pad).cast("long").alias("y0"), (h + pad - 1).alias("y1")).filter("y0 <= y1")
+    rows = boxes.select("plan_id", "x0", "x1", "y0", "y1").unionByName(posts.withColumn("x1", F.col("x0")))
+    order = Window.partitionBy("plan_id", "band", "y0", "y1").orderBy("x0")
+    free = _pieces(rows, KEY).select(
         "plan_id", "y0", "y1", (F.col("x1") + 1).alias("x0"), (F.lead("x0").over(order) - 1).alias("x1")).filter("x0 <= x1")
     return stack(free)
 

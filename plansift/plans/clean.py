@@ -53,12 +53,42 @@ def clean_walls(raw: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]
     return final, removed
 
 
+#: Columns that raw openings may leave out.
+OPTIONAL = {"wall_id": "string", "offset": "double", "side": "string", "swing": "string", "door_type": "string", "type": "string"}
+
+
+def _dropped(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
+    """Rows per plan that a filter took."""
+    counts = before.groupBy("plan_id").agg(F.count(F.lit(1)).alias("b")).join(
+        after.groupBy("plan_id").agg(F.count(F.lit(1)).alias("a")), "plan_id", "left")
+    gone = F.col("b") - F.coalesce("a", F.lit(0))
+    return counts.select("plan_id", gone.alias("n"), F.lit(name).alias("filter")).filter("n > 0")
+
+
+def clean_openings(raw: DataFrame, final: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """P03, F03, then W07 and W08 for openings that name their wall; openings before anchoring, and removals per filter."""
+    full = raw
+    for name, kind in OPTIONAL.items():
+        if name not in full.columns:
+            full = full.withColumn(name, F.lit(None).cast(kind))
+    usable = openings.normalize_openings(full).filter("error IS NULL").drop("error")
+    near = openings.drop_furniture(config.with_adaptive_config(usable, plans), final)
+    named, free = near.filter("wall_id IS NOT NULL"), near.filter("wall_id IS NULL")
+    along = F.when(F.col("orientation") == "horizontal", F.col("x")).otherwise(F.col("y"))
+    kept = openings.dedupe_on_wall(named.withColumn("along", along)).select("plan_id", "wall_id", "kind", "ord")
+    single = named.join(kept, ["plan_id", "wall_id", "kind", "ord"], "left_semi")
+    limited = openings.limit_exterior_windows(single, final)
+    removed = (
+        _dropped(raw, usable, "opening_invalid").unionByName(_dropped(usable, near, "furniture"))
+        .unionByName(_dropped(named, single, "opening_duplicate")).unionByName(_dropped(single, limited, "window_limit")))
+    return free.unionByName(limited), removed
+
+
 def clean(raw_walls: DataFrame, raw_openings: DataFrame, plans: DataFrame) -> Structures:
-    """All stages for all plans. ``raw_openings`` carry no wall yet, so the per-wall filters W07 and W08 pass them through."""
+    """All stages for all plans. Openings keep the wall and offset they name; the rest find theirs when anchored."""
     final, removed = clean_walls(raw_walls, plans)
-    near = openings.drop_furniture(config.with_adaptive_config(raw_openings, plans), final)
-    rows = near.withColumns({"offset": F.lit(None).cast("double"), "wall_id": F.lit(None).cast("string")})
-    return Structures(final, openings.anchor(rows, final), junctions.junctions(final), removed)
+    rows, gone = clean_openings(raw_openings, final, plans)
+    return Structures(final, openings.anchor(rows, final), junctions.junctions(final), removed.unionByName(gone))
 
 
 def gate(result: Structures, plans: DataFrame) -> DataFrame:
