@@ -12,9 +12,10 @@ one row. Buckets are never expanded into pairs:
 1. Each class joins the smallest class it meets in any bucket. Such a star is
    split into chunks of bounded size; inside a chunk links are verified on full
    sets, skipping pairs that are joined already. Links found become components.
-2. Whatever is left is done exactly: in each bucket that still holds several
-   components, all members outside its largest component meet every member of
-   other components. Shingles that no other such member holds bound how much a
+2. In each bucket that still holds several components, the member with the
+   fewest shingles of its own is compared with the members of other components.
+3. Whatever is left is done exactly: all members outside the largest component
+   of a bucket meet every member of other components. Shingles that no other such member holds bound how much a
    member can share with any other; members and pairs that cannot reach the
    threshold fall away without being compared. The rest pass a test on their
    minhashes, then their full sets are compared.
@@ -236,6 +237,19 @@ def _shared_bounds(sets: DataFrame) -> DataFrame:
     return sizes.join(alone, "id", "left").select("id", "low", most.alias("most"))
 
 
+def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
+    close = _agree(_both(pairs, reps, "sig"), percent, hashes).distinct()
+    return _check_pairs(_both(close, sets, "items"), percent)
+
+
+def _halves(reps: DataFrame) -> DataFrame:
+    """id, a and b: its half keys, which differ by position. Empty for an id with several sets, whose pairs then repeat."""
+    one = reps.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("a").alias("a"), F.first("b").alias("b"))
+    none = F.array().cast("array<long>")
+    return one.select("id", *[F.when(F.col("c") == 1, F.col(c)).otherwise(none).alias(c) for c in ("a", "b")])
+
+
 def _may_link(alive: DataFrame, percent: int) -> DataFrame:
     """Rows of (key, id, comp, low, most) that could be similar to the smallest other set of their bucket, at best."""
     least = alive.groupBy("key").agg(F.min("low").alias("least"))
@@ -251,8 +265,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, half:
     reps = written(
         linkable.join(classes.select(F.col("id").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"])
         .select(F.col("doc_id").alias("id"), "k1", "k2", "n", "sig", "a", "b"))
-    keys = reps.select("id", F.explode("a").alias("ka"), "b").select("id", "ka", F.explode("b").alias("kb")).select(
-        "id", F.xxhash64("ka", "kb").alias("key"))
+    keys = reps.select("id", F.posexplode("a").alias("i", "ka"), "b").select("id", "i", "ka", F.posexplode("b").alias("j", "kb")).select(
+        "id", F.xxhash64("ka", "kb").alias("key"), F.col("i").cast("byte").alias("i"), F.col("j").cast("byte").alias("j"))
     crowded = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low")
     buckets = written(keys.join(crowded, "key"))
 
@@ -273,23 +287,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, half:
     links = written(_star_links(members.filter("id <> star").unionByName(centres), percent))
 
     first = components(links)
-    named = buckets.select("key", "id").distinct().join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    named = buckets.select("key", "i", "j", "id").distinct().join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     alive = written(named.join(mixed, "key"))
     bounds = written(_shared_bounds(alive.select("id").distinct().join(sets, "id")))
-    alive = written(_may_link(alive.join(bounds, "id"), percent))
+    alive = written(_may_link(alive.join(bounds, "id"), percent).join(_halves(reps), "id"))
+    # first the member of each bucket with the fewest shingles of its own, the likeliest to link the others
+    nearest = alive.groupBy("key").agg(F.min_by(
+        F.struct("id", "comp", "low", "most"), F.struct(F.col("low") - F.col("most"), "id")).alias("near"))
+    both = F.least("most", "near.most")
+    tried = alive.join(nearest, "key").filter(
+        (F.col("comp") != F.col("near.comp")) & (100 * both >= percent * (F.col("low") + F.col("near.low") - both)))
+    tried = tried.select(F.least("id", "near.id").alias("a"), F.greatest("id", "near.id").alias("b")).distinct()
+    more = written(_verified(tried, reps, sets, percent, 2 * side * half))
+    names = alive.select("id", "comp").distinct()
+    joined = more.join(names.withColumnRenamed("id", "a").withColumnRenamed("comp", "ca"), "a").join(
+        names.withColumnRenamed("id", "b").withColumnRenamed("comp", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    renamed = components(joined).select(F.col("id").alias("comp"), F.col("comp").alias("new"))
+    alive = alive.join(renamed, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
+    mixed = alive.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    alive = written(alive.join(mixed, "key"))
+
+    # then all that is left
     largest = alive.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
         F.max_by("comp", F.struct("c", "comp")).alias("largest"))
     strays = alive.join(largest, "key").filter("comp <> largest").select(
-        "key", F.col("id").alias("x"), F.col("comp").alias("comp_x"), F.col("low").alias("low_x"), F.col("most").alias("most_x"), "largest")
+        "key", F.col("id").alias("x"), F.col("comp").alias("comp_x"), F.col("low").alias("low_x"), F.col("most").alias("most_x"),
+        F.col("a").alias("a_x"), F.col("b").alias("b_x"), "largest")
     both = F.least("most", "most_x")
     met = strays.join(alive, "key").filter(
         (F.col("comp") != F.col("comp_x")) & ((F.col("comp") == F.col("largest")) | (F.col("x") < F.col("id")))
-        & (100 * both >= percent * (F.col("low") + F.col("low_x") - both)))
+        & (100 * both >= percent * (F.col("low") + F.col("low_x") - both))
+        # a pair meets in many tables; it is taken from the first
+        & ~F.arrays_overlap(F.slice("a", 1, F.col("i")), F.slice("a_x", 1, F.col("i")))
+        & ~F.arrays_overlap(F.slice("b", 1, F.col("j")), F.slice("b_x", 1, F.col("j"))))
     pairs = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    close = _agree(_both(pairs, reps, "sig"), percent, 2 * side * half).distinct()
-    rest = _check_pairs(_both(close, sets, "items"), percent)
-    every = components(links.unionByName(rest))
+    rest = _verified(pairs, reps, sets, percent, 2 * side * half)
+    every = components(links.unionByName(more).unionByName(rest))
 
     class_comp = classes.join(every, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("comp"))
     out = marks.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(class_comp, ["k1", "k2"], "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansift.llm import licenses, lines, minhash, mixing, pieces, quality, sharding, substrings, toxicity, vectors
-from plansift.llm.common import table
+from plansift.llm.common import table, written
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    found = lines.dedup_lines(pages, "page_id", lines.host_of(F.col("url")), lines.visible_text(F.col("html")))
+    # the text of a page is cut out of its html once; counting, marking and dropping lines read it again
+    pages = written(table(spark, sf_dir, "pages").select(
+        "page_id", lines.host_of(F.col("url")).alias("host"), lines.visible_text(F.col("html")).alias("text")))
+    found = lines.dedup_lines(pages, "page_id", F.col("host"), F.col("text"))
     return found.select("row.page_id", "host", "n_lines", "n_dropped", "kept_text")
 
 
