@@ -3,18 +3,20 @@
 A window is 50 consecutive words of a document. A word goes if a window over it
 also starts in a document with a smaller id.
 
-1. Each task counts the windows of its partition in a sketch. A window is
-   counted through its minimiser, the smallest hash among its 26 runs of 25
-   words: equal windows have equal minimisers, so a minimiser's count is never
-   below the window's, while only one position in fourteen is counted. A
-   document counts a minimiser once. The sketches (sorted cell numbers, a row of
-   cells for each half of the hash) are merged by shard, sums stop at two.
-2. The merged sketch is one bit a cell: two documents or more. Its width follows
-   the number of counted minimisers up to MAX_CELLS, which bounds what is
-   broadcast (MAX_CELLS / 8 bytes). Beyond that width only more windows pass.
+1. Each task counts the windows of its partition in a sketch of two rows with
+   2**32 cells. A window is counted through its minimiser, the smallest hash
+   among its 26 runs of 25 words: equal windows have equal minimisers, so a
+   minimiser's count is never below the window's, while only one position in
+   fourteen is counted. A document counts a minimiser once. The partial sketches
+   (sorted cell numbers) are merged by shard, sums stop at two. A third row
+   counts whole texts.
+2. The cells counted twice are folded into one bit map, as wide as their number
+   asks for up to MAX_CELLS, which bounds what is broadcast (MAX_CELLS / 8
+   bytes). Beyond that width only more windows pass.
 3. A second pass over the texts keeps the windows whose estimate is two or more
    in both rows. Exactly those are grouped by 96 bits of hash of their words, and
-   the smallest document id of each group decides.
+   the smallest document id of each group decides. Of texts estimated equal, all
+   but the first go as a whole and only the first brings windows.
 
 Estimates are never too low, so no repeated window is lost. A passage that very
 many documents share is summed in the map tasks; the join that marks it is a
@@ -28,12 +30,13 @@ words from each other.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +45,12 @@ from plansift.llm.tokens import U64, WordHashes, column_bytes, constants, hashed
 
 WINDOW = 50
 GRAM = 25
-#: Cells of both sketch rows together; one bit each is broadcast, 128 MB at most.
+#: Cells of all sketch rows together; one bit each is broadcast, 128 MB at most.
 MAX_CELLS = 1 << 30
 MIN_CELLS = 1 << 16
-CELLS_PER_ITEM = 16
+CELLS_PER_ITEM = 64
+#: Rows of the sketch: two for minimisers, one for whole texts.
+ROWS, TEXTS = 3, 2
 SHARD_BITS = 8
 LAST_ID = (1 << 63) - 1
 
@@ -100,101 +105,157 @@ class Windows:
 
 
 def _cells(low: np.ndarray, row: int) -> np.ndarray:
-    """A 32-bit cell number per minimiser and row; narrower sketches use its top bits."""
+    """A 32-bit cell number per minimiser and row; narrower maps use its top bits."""
     return ((low >> U64(32)) if row == 0 else (low & U64(0xFFFFFFFF))).astype(np.uint32)
 
 
+def _sketch_batches(rows: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(row, shard, cells): sorted cell numbers of one partition, repeated once for each further document."""
+    for row, values in rows.items():
+        cells = np.sort(values)
+        cuts = np.searchsorted(cells >> np.uint32(32 - SHARD_BITS), np.arange((1 << SHARD_BITS) + 1))
+        parts = [(s, cells[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([row] * len(parts), pa.int32()), pa.array([s for s, _ in parts], pa.int32()),
+            pa.array([c.tobytes() for _, c in parts], pa.binary()),
+        ], ["row", "shard", "cells"])
+
+
+def _once_each(doc: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values without repeats inside a document."""
+    if not len(values):
+        return values
+    order = np.lexsort((values, doc))
+    values, doc = values[order], doc[order]
+    return values[np.concatenate([[True], (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])])]
+
+
 def partial_sketches(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(row, shard, n, cells): sorted cell numbers of one partition, repeated once for each further document."""
+    """A partial sketch of the minimisers (rows 0 and 1) and of the texts (row 2) of each partition of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, found = Windows(window, gram), []
+        windows, found, whole = Windows(window, gram), [], []
         for batch in batches:
             texts = column_bytes(batch, "text")
             for i, j in slices(texts):
-                _, _, _, doc, low = windows.of([(t or b"").split() for t in texts[i:j]])
-                if len(low):
-                    order = np.lexsort((low, doc))
-                    low, doc = low[order], doc[order]
-                    fresh = np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])])
-                    found.append(low[fresh])
-        if not found:
-            return
-        low = np.concatenate(found)
-        for row in (0, 1):
-            cells = np.sort(_cells(low, row))
-            cuts = np.searchsorted(cells >> np.uint32(32 - SHARD_BITS), np.arange((1 << SHARD_BITS) + 1))
-            parts = [(s, cells[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([row] * len(parts), pa.int32()), pa.array([s for s, _ in parts], pa.int32()),
-                pa.array([len(c) for _, c in parts], pa.int64()), pa.array([c.tobytes() for _, c in parts], pa.binary()),
-            ], ["row", "shard", "n", "cells"])
+                split = [(t or b"").split() for t in texts[i:j]]
+                _, _, _, doc, low = windows.of(split)
+                found.append(_once_each(doc, low))
+                whole += [_text_key(w)[:4] for w in split if len(w) >= window]
+        if whole:
+            low = np.concatenate(found)
+            yield from _sketch_batches({0: _cells(low, 0), 1: _cells(low, 1), TEXTS: np.frombuffer(b"".join(whole), np.uint32)})
 
-    return docs.select("text").mapInArrow(run, "row int, shard int, n long, cells binary")
+    return docs.select("text").mapInArrow(run, "row int, shard int, cells binary")
 
 
-def merged_sketch(partial: DataFrame, bits: int) -> DataFrame:
-    """(row, shard, twice): a bit for each of the shard's cells counted twice or more over all partitions."""
-    width = bits - SHARD_BITS
+def merged_cells(partial: DataFrame) -> DataFrame:
+    """(row, shard, n, cells): the cells of a shard counted twice or more over all partitions."""
+    size = 1 << (32 - SHARD_BITS)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = np.zeros(1 << width, bool), np.zeros(1 << width, bool)
+        once, twice = np.zeros(size, bool), np.zeros(size, bool)
         for part in parts:
             for data in part["cells"]:
-                cells = np.frombuffer(data, np.uint32)
-                cells = (cells & np.uint32((1 << (32 - SHARD_BITS)) - 1)) >> np.uint32(32 - SHARD_BITS - width)
-                again = cells[1:][cells[1:] == cells[:-1]]
-                twice[again] = True
+                cells = np.frombuffer(data, np.uint32) & np.uint32(size - 1)
+                twice[cells[1:][cells[1:] == cells[:-1]]] = True
                 twice[cells[once[cells]]] = True
                 once[cells] = True
-        yield pd.DataFrame({"row": [int(key[0])], "shard": [int(key[1])], "twice": [np.packbits(twice).tobytes()]})
+        cells = (np.flatnonzero(twice) + int(key[1]) * size).astype(np.uint32)
+        yield pd.DataFrame({"row": [int(key[0])], "shard": [int(key[1])], "n": [len(cells)], "cells": [cells.tobytes()]})
+
+    # annotations name the iterator form; they are set here because the module's are strings
+    run.__annotations__ = {"key": tuple, "parts": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    return partial.groupBy("row", "shard").applyInPandas(run, "row int, shard int, n long, cells binary")
+
+
+def folded(merged: DataFrame, bits: int) -> DataFrame:
+    """(row, shard, part): bit maps of 2**bits cells a row, in parts of a shard each; a cell folds to its top bits."""
+    width = bits - SHARD_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for data in batch.column("cells").to_pylist():
+                cells = (np.frombuffer(data, np.uint32) & np.uint32((1 << (32 - SHARD_BITS)) - 1)) >> np.uint32(32 - SHARD_BITS - width)
+                held = np.zeros(1 << width, bool)
+                held[cells] = True
+                parts.append(np.packbits(held).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("shard"), pa.array(parts, pa.binary())], ["row", "shard", "part"])
+
+    return merged.select("row", "shard", "cells").mapInArrow(run, "row int, shard int, part binary")
+
+
+@dataclass
+class Sketch:
+    """One bit for each folded cell counted twice or more, for all rows; MAX_CELLS / 8 bytes at most."""
 
-    def typed(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from run(key, parts)
+    twice: np.ndarray
+    bits: int
 
-    typed.__annotations__ = {"key": tuple, "parts": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    return partial.select("row", "shard", "cells").groupBy("row", "shard").applyInPandas(
-        typed, "row int, shard int, twice binary")
 
+def _estimated(twice: np.ndarray, bits: int, cells: np.ndarray, row: int) -> np.ndarray:
+    """Whether a row of the sketch counts cells twice or more."""
+    cell = cells >> np.uint32(32 - bits)
+    bit = (7 - (cell & np.uint32(7))).astype(np.uint8)
+    return (twice[row * ((1 << bits) // 8) + (cell >> np.uint32(3))] >> bit) & 1 == 1
 
-def sketch_bits(counted: int, max_cells: int = MAX_CELLS) -> int:
-    """log2 of a row's cells: CELLS_PER_ITEM for each counted minimiser over both rows, within the bounds."""
-    cells = min(max(counted * CELLS_PER_ITEM, MIN_CELLS), max_cells)
-    return max(SHARD_BITS + 3, int(np.ceil(np.log2(cells))) - 1)
+
+def sketch(docs: DataFrame, window: int, gram: int, max_cells: int) -> Sketch:
+    """The merged sketch of all partitions, as wide as its number of repeated cells asks for."""
+    merged = written(merged_cells(partial_sketches(docs, window, gram)))
+    most = merged.groupBy("row").agg(F.sum("n").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    cells = min(max(most * CELLS_PER_ITEM, MIN_CELLS), max_cells // ROWS)
+    bits = min(max(SHARD_BITS + 3, int(np.floor(np.log2(cells)))), 32)
+    row_bytes, shard_bytes = (1 << bits) // 8, (1 << (bits - SHARD_BITS)) // 8
+    twice = np.zeros(ROWS * row_bytes, np.uint8)
+    for part in folded(merged, bits).toLocalIterator():
+        at = part["row"] * row_bytes + part["shard"] * shard_bytes
+        twice[at : at + shard_bytes] = np.frombuffer(part["part"], np.uint8)
+    return Sketch(twice, bits)
 
 
-def candidates(docs: DataFrame, twice: np.ndarray, bits: int, window: int, gram: int, digest: bool) -> DataFrame:
-    """Every document with its candidate windows; without any, its kept words are final."""
-    shared = docs.sparkSession.sparkContext.broadcast(twice)
-    row_bytes = (1 << bits) // 8
+def _text_key(words: list[bytes]) -> bytes:
+    """128 bits of a word sequence."""
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def candidates(docs: DataFrame, sketch: Sketch, window: int, gram: int, digest: bool, copies: bool = True) -> DataFrame:
+    """Every document with its candidate windows; without any, its kept words are final.
+
+    With ``copies`` a text estimated to stand in several documents is passed on without windows (``copy``).
+    ``id`` and ``tag`` (32 bits of the text) name a row in what follows; rows equal in both have equal results.
+    """
+    shared, bits = docs.sparkSession.sparkContext.broadcast(sketch.twice), sketch.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, table = Windows(window, gram), shared.value
         for batch in batches:
-            texts, ids = column_bytes(batch, "text"), batch.column("doc_id")
+            texts, ids = column_bytes(batch, "text"), batch.column("doc_id").cast(pa.int64())
             for i, j in slices(texts):
                 split = [(t or b"").split() for t in texts[i:j]]
                 values, offsets, starts, doc, low = windows.of(split)
-                hit = np.ones(len(low), bool)
-                for row in (0, 1):
-                    cell = _cells(low, row) >> np.uint32(32 - bits)
-                    hit &= (table[row * row_bytes + (cell >> np.uint32(3))] >> (7 - (cell & np.uint32(7))).astype(np.uint8)) & 1 == 1
+                keys = [_text_key(w) for w in split]
+                copy = np.diff(offsets) >= window if copies else np.zeros(len(split), bool)
+                copy &= _estimated(table, bits, np.frombuffer(b"".join(k[:4] for k in keys), np.uint32), TEXTS)
+                hit = _estimated(table, bits, _cells(low, 0), 0) & _estimated(table, bits, _cells(low, 1), 1) & ~copy[doc]
                 starts, doc = starts[hit], doc[hit]
                 first = windows.first(values, window)[starts].view(np.int64)
                 second = (windows.second(values, window)[starts] >> U64(32)).astype(np.uint32).view(np.int32)
                 cuts = np.searchsorted(doc, np.arange(len(split) + 1)).astype(np.int32)
-                some = cuts[1:] > cuts[:-1]
+                some = (cuts[1:] > cuts[:-1]) | copy
                 lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (
                     first, second, (starts - offsets[doc]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.frombuffer(os.urandom(8 * len(split)), np.int64)), ids.slice(i, j - i).cast(pa.int64()),
+                    ids.slice(i, j - i), ids.slice(i, j - i).fill_null(LAST_ID),
+                    pa.array(np.frombuffer(b"".join(k[4:8] for k in keys), np.int32)), pa.array(copy), pa.array(keys, pa.binary()),
                     pa.array(np.diff(offsets)),
                     pa.array([None if s else _kept(w, digest) for w, s in zip(split, some, strict=True)], pa.string()),
                     pa.array([b" ".join(w).decode() if s else None for w, s in zip(split, some, strict=True)], pa.string()),
                     *lists,
-                ], ["key", "doc_id", "n_words", "kept", "words", "h1", "h2", "start"])
+                ], ["doc_id", "id", "tag", "copy", "text_key", "n_words", "kept", "words", "h1", "h2", "start"])
 
     return docs.select("doc_id", "text").mapInArrow(run, (
-        "key long, doc_id long, n_words long, kept string, words string, h1 array<long>, h2 array<int>, start array<int>"))
+        "doc_id long, id long, tag int, copy boolean, text_key binary, n_words long, kept string, words string, h1 array<long>, h2 array<int>, start array<int>"))
 
 
 def _kept(words: list[bytes], digest: bool) -> str:
@@ -235,21 +296,24 @@ def dedup_substrings(
 
     With ``digest`` kept is the sha256 of that text, and unchanged texts are not written between the passes.
     """
-    partial = written(partial_sketches(docs, window, gram))
-    counted = partial.filter("row = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
-    bits = sketch_bits(counted, max_cells)
-    row_bytes, shard_bytes = (1 << bits) // 8, (1 << (bits - SHARD_BITS)) // 8
-    twice = np.zeros(2 * row_bytes, np.uint8)  # bounded by max_cells / 8
-    for part in merged_sketch(partial, bits).toLocalIterator():
-        at = part["row"] * row_bytes + part["shard"] * shard_bytes
-        twice[at : at + shard_bytes] = np.frombuffer(part["twice"], np.uint8)
-    found = written(candidates(docs, twice, bits, window, gram, digest))
-    order = F.coalesce("doc_id", F.lit(LAST_ID)).alias("id")
-    rows = found.filter("words is not null").select("key", order, F.explode(F.arrays_zip("h1", "h2", "start")).alias("w"))
-    rows = rows.select("key", "id", "w.h1", "w.h2", "w.start")
-    firsts = rows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").drop("high")
-    starts = rows.join(firsts, ["h1", "h2"]).filter("id > low").groupBy("key").agg(F.collect_list("start").alias("starts"))
-    cut = _cut(found.filter("words is not null").join(starts, "key", "left"), window, digest)
+    counted = sketch(docs, window, gram, max_cells)
+    found = written(candidates(docs, counted, window, gram, digest))
+    copies = found.filter("copy").select("doc_id", "id", "text_key", "n_words", "words")
+    first = copies.groupBy("text_key").agg(F.min("id").alias("first"))
+    copies = written(copies.join(first, "text_key"))
+    firsts = candidates(
+        copies.filter("id = first").select("doc_id", F.col("words").alias("text")), counted, window, gram, digest, copies=False)
+    found = found.filter("not copy").unionByName(written(firsts))
+
+    some = found.filter("words is not null")
+    rows = some.select("id", "tag", F.explode(F.arrays_zip("h1", "h2", "start")).alias("w")).select("id", "tag", "w.h1", "w.h2", "w.start")
+    lowest = rows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").drop("high")
+    starts = rows.join(lowest, ["h1", "h2"]).filter("id > low").groupBy("id", "tag").agg(F.collect_list("start").alias("starts"))
+    cut = _cut(some.select("doc_id", "id", "tag", "n_words", "words").join(starts, ["id", "tag"], "left"), window, digest)
     none = F.array().cast("array<struct<first:int,end:int>>")
     whole = found.filter("words is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), none.alias("spans"), "kept")
-    return whole.unionByName(cut)
+    nothing = hashlib.sha256(b"").hexdigest() if digest else ""
+    all_words = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("end")))
+    later = copies.filter("id > first").select(
+        "doc_id", "n_words", F.col("n_words").alias("n_removed"), all_words.alias("spans"), F.lit(nothing).alias("kept"))
+    return whole.unionByName(cut).unionByName(later)
