@@ -49,6 +49,8 @@ CHUNK_ROWS = 128
 CHUNK_SHINGLES = 2_000_000
 #: Standard deviations below the expected number of equal minhashes at which a pair is still compared in full.
 SLACK = 5.0
+#: Classes of shingles whose counts bound what two sets share.
+CLASSES = 128
 
 
 class Shingles:
@@ -250,6 +252,18 @@ def _halves(reps: DataFrame) -> DataFrame:
     return one.select("id", *[F.when(F.col("c") == 1, F.col(c)).otherwise(none).alias(c) for c in ("a", "b")])
 
 
+def _class_counts(sets: DataFrame) -> DataFrame:
+    """id and counts: how many shingles of its set fall in each of CLASSES classes; none for long sets or several of one id."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.bincount((np.frombuffer(x, U64) >> U64(20)) % U64(CLASSES), minlength=CLASSES) for x in batch.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("id"), pa.array([c.astype(np.int8).tolist() if c.max() < 128 else None for c in counts], pa.list_(pa.int8()))], ["id", "counts"])
+
+    held = sets.select("id", "items").mapInArrow(run, "id long, counts array<tinyint>")
+    return held.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("counts").alias("counts")).filter("c = 1").drop("c")
+
+
 def _may_link(alive: DataFrame, percent: int) -> DataFrame:
     """Rows of (key, id, comp, low, most) that could be similar to the smallest other set of their bucket, at best."""
     least = alive.groupBy("key").agg(F.min("low").alias("least"))
@@ -306,21 +320,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, half:
     renamed = components(joined).select(F.col("id").alias("comp"), F.col("comp").alias("new"))
     alive = alive.join(renamed, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
     mixed = alive.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    alive = written(alive.join(mixed, "key"))
+    alive = alive.join(mixed, "key")
+    alive = written(alive.join(_class_counts(alive.select("id").distinct().join(sets, "id")), "id", "left"))
 
     # then all that is left
     largest = alive.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
         F.max_by("comp", F.struct("c", "comp")).alias("largest"))
     strays = alive.join(largest, "key").filter("comp <> largest").select(
         "key", F.col("id").alias("x"), F.col("comp").alias("comp_x"), F.col("low").alias("low_x"), F.col("most").alias("most_x"),
-        F.col("a").alias("a_x"), F.col("b").alias("b_x"), "largest")
+        F.col("a").alias("a_x"), F.col("b").alias("b_x"), F.col("counts").alias("counts_x"), "largest")
     both = F.least("most", "most_x")
+    shared = F.aggregate(F.zip_with("counts", "counts_x", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda acc, v: acc + v)
     met = strays.join(alive, "key").filter(
         (F.col("comp") != F.col("comp_x")) & ((F.col("comp") == F.col("largest")) | (F.col("x") < F.col("id")))
         & (100 * both >= percent * (F.col("low") + F.col("low_x") - both))
         # a pair meets in many tables; it is taken from the first
         & ~F.arrays_overlap(F.slice("a", 1, F.col("i")), F.slice("a_x", 1, F.col("i")))
-        & ~F.arrays_overlap(F.slice("b", 1, F.col("j")), F.slice("b_x", 1, F.col("j"))))
+        & ~F.arrays_overlap(F.slice("b", 1, F.col("j")), F.slice("b_x", 1, F.col("j")))
+        # sets share at most the smaller count of each class of shingles
+        & F.coalesce((100 + percent) * shared >= percent * (F.col("low") + F.col("low_x")), F.lit(True)))
     pairs = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
     rest = _verified(pairs, reps, sets, percent, 2 * side * half)
     every = components(links.unionByName(more).unionByName(rest))
