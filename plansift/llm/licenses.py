@@ -1,10 +1,12 @@
 """Operator 3: licence scans by sentence rules.
 
-A text is cut into sentences (line breaks, and stops before white space), each
-is normalised to lower-case letters and digits, and known licence sentences are
-mapped to identifiers. A document is then the ordered sequence of its known
-sentences; a break stands where more than MAX_GAP other sentences lie between
-two of them. Licence rules are sequences of identifiers: they match where theirs
+A text is cut at stops before white space and at blank lines. Known licence
+sentences are found from line start to line end in between, over as many lines
+as they are wrapped to, with or without comment leaders; the other lines up to
+the next cut or known sentence are one sentence. Each is normalised to
+lower-case letters and digits, and known ones are mapped to identifiers. A
+document is then the ordered sequence of its known sentences; a break stands
+where more than MAX_GAP other sentences lie between two of them. Licence rules are sequences of identifiers: they match where theirs
 stand in that order without a break. Longer rules go first and use up what they
 match, so the notice inside a full text is not counted again.
 
@@ -110,6 +112,10 @@ RULES.sort(key=lambda rule: -len(rule[2]))
 MARKERS = ("licens", "permi", "warrant", "redistribut", "copyright", "rights", "liable", "software", "released under")
 
 STOPS = r"[.!?;:]+([ \t\r\n]+|$)"
+#: What stands before the text of a line: indents, comment marks, and the words that open comments in batch, m4 and Fortran.
+LEADERS = r"(?md)^[^a-z0-9\n]+((rem|dnl|c)[ \t]+)?|^(rem|dnl|c)[ \t]+"
+#: No text has it after the first step.
+CUT = "\x01"
 
 
 def normalised(sentence: str) -> str:
@@ -132,10 +138,19 @@ def _tables() -> tuple[dict[str, int], list[tuple[str, str, str]]]:
     return codes, rules
 
 
+def _known_pattern() -> str:
+    """Whole known sentences, the longest first; between words may stand line breaks, but no cut."""
+    parts = sorted({part for parts in known_parts().values() for part in parts}, key=lambda part: (-len(part.split()), part))
+    either = "|".join("[^a-z0-9\\x01]+".join(part.split()) for part in parts)
+    return rf"(?<![^\n\x01])[^a-z0-9\n\x01]*({either})[^a-z0-9\n\x01]*(?![^\n\x01])"
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences; blank ones stay in place as empty strings, so positions count lines and stops."""
-    cut = F.split(F.regexp_replace(F.lower(text), STOPS, "\n"), "\n", -1)
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    """Normalised sentences in order; those between neighbouring cuts are empty."""
+    lines = F.regexp_replace(F.translate(F.lower(text), CUT, "\x02"), LEADERS, "")
+    cut = F.regexp_replace(lines, rf"{STOPS}|\n{{2,}}", CUT)
+    found = F.split(F.regexp_replace(cut, _known_pattern(), f"{CUT}$1{CUT}"), CUT, -1)
+    return F.transform(found, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
 
 def scan(docs: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
@@ -143,12 +158,12 @@ def scan(docs: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
     codes, rules = _tables()
     lookup = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
     text = F.coalesce(F.col("text"), F.lit(""))
-    # only sentences that hold a word count for the gaps
+    # only sentences that hold a word count for the gaps; a marker of two words may be wrapped, so its first is looked for
     found = let(F.filter(sentences(text), lambda s: s != ""), lambda all_s: F.filter(
         F.transform(all_s, lambda s, i: F.struct(i.alias("position"), F.try_element_at(lookup, s).alias("code"))),
         lambda x: x["code"].isNotNull()))
     none = F.array().cast("array<struct<position:int,code:int>>")
-    marked = docs.select("doc_id", F.when(F.lower(text).rlike("|".join(MARKERS)), found).otherwise(none).alias("known"))
+    marked = docs.select("doc_id", F.when(F.lower(text).rlike("|".join(m.split()[0] for m in MARKERS)), found).otherwise(none).alias("known"))
     start = F.struct(F.lit(-1).alias("last"), F.lit("").alias("seq"))
     seq = F.aggregate("known", start, lambda acc, x: F.struct(
         x["position"].alias("last"),

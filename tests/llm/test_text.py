@@ -3,6 +3,7 @@
 import hashlib
 import random
 import sys
+import textwrap
 import zlib
 from pathlib import Path
 
@@ -83,6 +84,33 @@ def test_license_full_texts_and_gaps(spark, no_docs, edge_docs):
     assert [(x["licence"], x["n"]) for x in found[14]] == [("mit", 1), ("cc-by-nc-4.0", 1)]
 
 
+@pytest.mark.parametrize("width", [38, 72])
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "// ", ";; ", "REM ", "dnl ", "C     "])
+def test_license_wrapped_texts(spark, width, leader):
+    """Every rule is found in hard-wrapped text, in comments, with either line end, and with a long sentence between two known ones."""
+    other = "In no event will the authors be held to pay for any damages of any kind that arise from what was made here or elsewhere"
+    wrapped = lambda names, end: end.join(leader + line for line in textwrap.wrap(
+        ". ".join(names), width, break_long_words=False, break_on_hyphens=False))
+    rows, expected = [], {}
+    for k, (licence, kind, names) in enumerate(licenses.RULES):
+        texts = [licenses.SENTENCES[n] for n in names]
+        between = [texts[0], other, *texts[1:]]
+        rows += [(3 * k, "Copyright 2020 A. Author\n" + wrapped(texts, "\n")), (3 * k + 1, wrapped(texts, "\r\n")), (3 * k + 2, wrapped(between, "\n") + "\nend")]
+        expected |= {3 * k + i: [(licence, kind, 1)] for i in range(3)}
+    got = {r["doc_id"]: [(x["licence"], x["kind"], x["n"]) for x in r["licences"]]
+           for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+
+
+def test_license_blank_lines_end_sentences(spark):
+    grant = licenses.SENTENCES["unlicense-free"]
+    rows = [(1, grant.replace("software released", "software\n\nreleased") + ".\n" + licenses.SENTENCES["unlicense-anyone"]),
+            (2, "Released\n# under the MIT\n# License"), (3, "This work is released\nunder CC0 1.0"),
+            (4, "Licensed under the Apache License, Version 2.0\n(the \"License\");\nelse"), (5, "x Released under\nthe MIT License")]
+    got = {r["doc_id"]: [(x["licence"], x["kind"]) for x in r["licences"]] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [("mit", "notice")], 3: [("cc0-1.0", "notice")], 4: [("apache-2.0", "notice")], 5: []}
+
+
 def _toxic_rows(n):
     rng = random.Random(3)
     words = [f"word{i}" for i in range(300)]
