@@ -1,15 +1,18 @@
 """Operator 4: toxicity by class-conditional Kneser-Ney models.
 
-Each class has its own continuation counts: the number of different words that a
-word follows in texts of that class, so copies of a text count once. What the
-discount takes away goes to the word's beginning (its first letters), counted in
-the same way for the class, and from there to counts shared by both classes. A
-rare word therefore scores as its beginning does, and a word that is new in both
-classes says nothing.
+Each class has its own model P(word | word before): the number of times the word
+follows the other in texts of that class, less the discount. What the discount
+takes away goes to the word's continuation count, the number of different words
+that it follows in texts of the class, so that copies of a text count once
+there. What the discount takes of that goes to the word's beginning (its first
+letters), counted in the same way for the class, and from there to counts shared
+by both classes. A rare word therefore scores as its beginning does, and a word
+that is new in both classes says nothing beyond what stood before it.
 
 A document is compared by its log-likelihood ratio (toxic against ordinary) per
-word, over all its words and over its most telling ones; a logistic curve fitted
-on documents that gave no counts turns these into a score. The discount with the
+word, over all its words and over its most telling ones, under the whole model
+and under the continuation counts alone; a logistic curve fitted on documents
+that gave no counts turns these into a score. The discount with the
 least loss on those documents is used.
 
 Counts come from a sample of labelled documents that is bounded by
@@ -24,14 +27,15 @@ classes every score is the share of toxic labels.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +48,8 @@ DISCOUNTS = (1.5, 2.5, 4.0, 8.0)
 CALIBRATION = 0.3
 THRESHOLD = 0.3
 TOP = 3
+#: Ratio per word, best and TOP best, under both models.
+FEATURES = 6
 WORD = re.compile(r"[^\W\d_]+")
 MEMORY = 1 << 19
 
@@ -53,22 +59,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def word_pairs(rows: DataFrame) -> DataFrame:
-    """(toxic, before, word) for each word of (text, toxic), null before the first."""
+    """before, word and how often they stand together in ordinary (c0) and toxic texts (c1); before is empty at the first word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                toxic, before, word = [], [], []
+                toxic, before, word, n = [], [], [], []
                 for text, label in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
                     words = WORD.findall((text or "").lower())
-                    pairs = set(zip(["", *words], words, strict=False))
+                    pairs = Counter(zip(["", *words], words, strict=False))
                     toxic += [label] * len(pairs)
                     before += [b for b, _ in pairs]
                     word += [w for _, w in pairs]
+                    n += pairs.values()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(toxic, pa.int32()), pa.array(before, pa.string()), pa.array(word, pa.string())], ["toxic", "before", "word"])
+                    [pa.array(toxic, pa.int32()), pa.array(before, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())],
+                    ["toxic", "before", "word", "n"])
 
-    return rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, before string, word string")
+    each = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, before string, word string, n long")
+    return each.groupBy("before", "word").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in (0, 1)])
 
 
 @dataclass
@@ -83,74 +92,147 @@ class Counts:
 
     def backoff(self, label: int, discount: float) -> float:
         taken = sum(n * min(discount, k) for k, n in self.of_count[label].items())
-        return taken / max(self.total[label], 1)
+        return taken / self.total[label] if self.total[label] else 1.0
+
+    def own(self, label: int, discount: float, n: tuple[int, int, int]) -> float:
+        return max(n[label] - discount, 0) / max(self.total[label], 1)
+
+
+def often() -> Column:
+    """Whether a pair keeps a count of its own after some discount."""
+    return F.greatest("c0", "c1") > min(DISCOUNTS)
 
 
 def continuation_counts(pairs: DataFrame, expression: Column) -> Counts:
-    """Counts of one kind of expression; only those seen twice in a class come to the driver.
+    """Counts of one kind of expression; those seen twice in a class or in a frequent pair come to the driver.
 
     The sample bounds their number; the others have no count of their own left after any discount.
     """
-    # (before, word) pairs are distinct per class; both classes together count a pair once
-    rows = pairs.select("before", "word", expression.alias("e"), "toxic").groupBy("before", "word", "e").agg(
-        F.max(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("n0"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("n1"))
-    table = written(rows.groupBy("e").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("s")))
+    table = written(pairs.groupBy(expression.alias("e")).agg(
+        F.count_if(F.col("c0") > 0).alias("n0"), F.count_if(F.col("c1") > 0).alias("n1"), F.count(F.lit(1)).alias("s"),
+        F.max(often()).alias("often")))
     top = int(max(DISCOUNTS)) + 1
     sums = table.agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"), F.sum("s").alias("s")).first()
     of_count = []
     for column in ("n0", "n1"):
         found = table.filter(F.col(column) > 0).groupBy(F.least(column, F.lit(top)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
         of_count.append({r["k"]: r["n"] for r in found})
-    kept = {r["e"]: (r["n0"], r["n1"], r["s"]) for r in table.filter("n0 > 1 or n1 > 1").toLocalIterator()}
+    got = table.filter("n0 > 1 or n1 > 1 or often").select("e", "n0", "n1", "s").toArrow()
+    kept = {e: (n0, n1, s) for e, n0, n1, s in zip(*[c.to_pylist() for c in got.columns], strict=True)}
     return Counts(kept, (sums["a"] or 0, sums["b"] or 0), sums["s"] or 0, (of_count[0], of_count[1]))
 
 
-class Ratios(dict):
-    """Log-likelihood ratio per word; words without counts get that of their beginning."""
+class Ids(dict):
+    """Numbers of words: known ones first, then one for all without counts, then those of beginnings."""
 
-    def __init__(self, known: dict[str, float], beginnings: dict[str, float]):
-        super().__init__(known)
-        self.known, self.beginnings = known, beginnings
+    def __init__(self, words: list[str], beginnings: list[str]):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.words, self.others = words, {e: len(words) + 1 + k for k, e in enumerate(beginnings)}
 
-    @staticmethod
-    def of(words: Counts, beginnings: Counts, discount: float) -> Ratios:
-        first = [beginnings.backoff(c, discount) for c in (0, 1)]
-        second = [words.backoff(c, discount) for c in (0, 1)]
-
-        def ratio(p: list[float]) -> float:
-            return math.log(p[1] / p[0])
-
-        def own(counts: Counts, c: int, n: tuple[int, int, int]) -> float:
-            return max(n[c] - discount, 0) / max(counts.total[c], 1)
-
-        start = {e: [own(beginnings, c, n) + first[c] * n[2] / beginnings.shared for c in (0, 1)] for e, n in beginnings.kept.items()}
-        base = ratio(first)
-        # words are measured against a word new in both classes, whose ratio is then 0
-        known: dict[str, float] = {}
-        for e, n in words.kept.items():
-            head = e[:BEGINNING]
-            below = start.get(head)
-            if below is None:
-                continue
-            share = n[2] / max(beginnings.kept[head][2], 1)
-            p = [own(words, c, n) + second[c] * below[c] * share for c in (0, 1)]
-            known[e] = ratio(p) - base - ratio(second)
-        return Ratios(known, {e: ratio(p) - base for e, p in start.items()})
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= MEMORY + len(self.known):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMORY + len(self.words):
             self.clear()
-            self.update(self.known)
-        value = self[word] = self.beginnings.get(word[:BEGINNING], 0.0)
+            self.update(zip(self.words, range(len(self.words)), strict=True))
+        value = self[word] = self.others.get(word[:BEGINNING], len(self.words))
         return value
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Ratio per word over the whole text, of its most telling word, and of its TOP most telling words."""
-        values = list(map(self.__getitem__, WORD.findall((text or "").lower())))
-        if not values:
-            return 0.0, 0.0, 0.0
-        best = heapq.nlargest(TOP, values)
-        return sum(values) / len(values), best[0], sum(best) / TOP
+
+@dataclass
+class Ratios:
+    """Log-likelihood ratios of one discount, measured against a word new in both classes, whose ratio is 0."""
+
+    #: by number of a word: of its continuation counts, and of what is left to them after the word
+    lowest: np.ndarray
+    after: np.ndarray
+    #: by place in the sorted frequent pairs
+    pairs: np.ndarray
+
+    def features(self, word: np.ndarray, before: np.ndarray, place: np.ndarray, hit: np.ndarray) -> list[float]:
+        """Ratio per word over the whole text, of its most telling word, and of its TOP most telling words, under both models."""
+        lowest = self.lowest[word]
+        return [*_summary(np.where(hit, self.pairs[place], lowest + self.after[before])), *_summary(lowest)]
+
+
+def _summary(values: np.ndarray) -> tuple[float, float, float]:
+    if not len(values):
+        return 0.0, 0.0, 0.0
+    best = np.partition(values, len(values) - TOP)[-TOP:] if len(values) > TOP else values
+    return float(values.sum()) / len(values), float(best.max()), float(best.sum()) / TOP
+
+
+@dataclass
+class Tables:
+    """What scoring looks up: numbers of words, sorted keys of frequent pairs, and the ratios of some discounts."""
+
+    words: list[str]
+    beginnings: list[str]
+    keys: np.ndarray
+    ratios: list[Ratios]
+
+    def reader(self):
+        """A function from a text to the features of each discount."""
+        ids = Ids(self.words, self.beginnings)
+
+        def read(text: str | None) -> list[list[float]]:
+            found = np.fromiter(map(ids.__getitem__, ["", *WORD.findall((text or "").lower())]), np.int64)
+            before, word = found[:-1], found[1:]
+            key = before << 32 | word
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return [r.features(word, before, place, self.keys[place] == key) for r in self.ratios]
+
+        return read
+
+    @staticmethod
+    def of(pairs: DataFrame) -> Tables:
+        """Tables for all discounts; frequent pairs and the words before them come to the driver, bounded by the sample."""
+        words = continuation_counts(pairs, F.col("word"))
+        beginnings = continuation_counts(pairs, F.substring("word", 1, BEGINNING))
+        taken = [F.sum(F.least(F.col(f"c{c}").cast("double"), F.lit(d))).alias(f"t{c}_{k}") for k, d in enumerate(DISCOUNTS) for c in (0, 1)]
+        rows = pairs.groupBy("before").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.max(often()).alias("often"), *taken)
+        contexts = rows.filter("often").drop("often").toArrow()
+        frequent = pairs.filter(often()).select("before", "word", "c0", "c1").toArrow()
+
+        names = sorted(words.kept.keys() | set(contexts.column("before").to_pylist()))
+        heads = sorted(beginnings.kept)
+        numbers = pa.array(names, pa.string())
+        size = len(names) + 1 + len(heads)
+        at = lambda column: pc.index_in(column.cast(pa.string()), value_set=numbers).to_numpy().astype(np.int64)
+        before, word = at(frequent.column("before")), at(frequent.column("word"))
+        order = np.argsort(before << 32 | word)
+        before, word = before[order], word[order]
+        counts = [frequent.column(f"c{c}").to_numpy()[order] for c in (0, 1)]
+        # a key that no text has keeps the table from being empty
+        keys = np.append(before << 32 | word, np.iinfo(np.int64).max)
+
+        ratios = []
+        for k, discount in enumerate(DISCOUNTS):
+            first = [beginnings.backoff(c, discount) for c in (0, 1)]
+            second = [words.backoff(c, discount) for c in (0, 1)]
+            base = math.log(first[1] / first[0])
+            offset = base + math.log(second[1] / second[0])
+            start = {e: [beginnings.own(c, discount, n) + first[c] * n[2] / beginnings.shared for c in (0, 1)] for e, n in beginnings.kept.items()}
+            of_head = {e: math.log(p[1] / p[0]) - base for e, p in start.items()}
+            lowest, likely = np.zeros(size), np.zeros((2, len(names)))
+            lowest[len(names) + 1 :] = [of_head[e] for e in heads]
+            for i, e in enumerate(names):
+                n, head = words.kept.get(e), e[:BEGINNING]
+                if n is None:
+                    lowest[i] = of_head.get(head, 0.0)
+                    continue
+                below, of = start[head], beginnings.kept[head][2]
+                p = [words.own(c, discount, n) + second[c] * below[c] * n[2] / of for c in (0, 1)]
+                likely[:, i] = p
+                lowest[i] = math.log(p[1] / p[0]) - offset
+            # what the discount takes of a word's followers; a word that a class does not have leaves all to the lower counts
+            left, times = np.ones((2, size)), np.ones((2, size))
+            for c in (0, 1):
+                total = contexts.column(f"c{c}").to_numpy()
+                place = at(contexts.column("before"))
+                left[c, place] = np.where(total > 0, contexts.column(f"t{c}_{k}").to_numpy() / np.maximum(total, 1), 1.0)
+                times[c, place] = np.maximum(total, 1)
+            p = [np.maximum(counts[c] - discount, 0) / times[c, before] + left[c, before] * likely[c, word] for c in (0, 1)]
+            ratios.append(Ratios(lowest, np.log(left[1] / left[0]), np.append(np.log(p[1] / p[0]) - offset, 0.0)))
+        return Tables(names, heads, keys, ratios)
 
 
 @dataclass
@@ -198,15 +280,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Da
 
 @dataclass
 class Model:
-    ratios: Ratios | None
+    #: with the ratios of the one discount chosen
+    tables: Tables | None
     curve: Curve | None
     prior: float
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        if self.ratios is None:
-            return np.full(len(texts), self.prior)
-        return self.curve(np.array([self.ratios.features(t) for t in texts]).reshape(-1, 3))
-
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     sample = labelled_sample(docs, labels, max_labelled)
@@ -215,40 +293,38 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     prior = sum(v for (_, toxic), v in sizes.items() if toxic == 1) / n if n else 0.0
     if not all(sizes.get((True, c)) for c in (0, 1)):
         return Model(None, None, prior)
-    pairs = written(word_pairs(sample.filter("fit")))
-    words = continuation_counts(pairs, F.col("word"))
-    beginnings = continuation_counts(pairs, F.substring("word", 1, BEGINNING))
-    tried = [Ratios.of(words, beginnings, d) for d in DISCOUNTS]
+    tried = Tables.of(written(word_pairs(sample.filter("fit"))))
     judged = sample.filter("not fit") if all(sizes.get((False, c)) for c in (0, 1)) else sample
-    shared = docs.sparkSession.sparkContext.broadcast([(r.known, r.beginnings) for r in tried])
+    shared = docs.sparkSession.sparkContext.broadcast(tried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [Ratios(*state) for state in shared.value]
+        read = shared.value.reader()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            rows = [[x for ratios in models for x in ratios.features(t)] for t in texts]
+            rows = [[x for features in read(t) for x in features] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
 
     got = judged.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, x array<double>").collect()
     x, y = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)
-    curves = [Curve.fitted(x[:, 3 * k : 3 * k + 3], y) for k in range(len(tried))]
-    best = min(range(len(tried)), key=lambda k: curves[k].loss)
-    return Model(tried[best], curves[best], prior)
+    curves = [Curve.fitted(x[:, FEATURES * k : FEATURES * (k + 1)], y) for k in range(len(DISCOUNTS))]
+    best = min(range(len(DISCOUNTS)), key=lambda k: curves[k].loss)
+    return Model(replace(tried, ratios=[tried.ratios[best]]), curves[best], prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score for every row of ``docs``."""
-    state = None if model.ratios is None else (model.ratios.known, model.ratios.beginnings)
-    shared = docs.sparkSession.sparkContext.broadcast(state)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model.tables)  # bounded by the sample
     curve, prior = model.curve, model.prior
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = Model(Ratios(*shared.value) if shared.value else None, curve, prior)
+        read = shared.value.reader() if shared.value else None
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(local.scores(part.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
+                if read is None:
+                    scores = np.full(part.num_rows, prior)
+                else:
+                    scores = curve(np.array([read(t)[0] for t in part.column("text").to_pylist()]).reshape(-1, FEATURES))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double")

@@ -1,10 +1,12 @@
 """Operators on single texts: quality, licences, toxicity, pieces."""
 
 import hashlib
+import math
 import random
 import sys
 import textwrap
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -139,6 +141,54 @@ def test_toxicity_held_out(spark):
     assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-12 for r in got)
 
 
+@pytest.mark.parametrize("phrase", ["baca daca ebca fada", "zab yec xid wof"])
+def test_toxicity_of_a_fixed_phrase(spark, phrase):
+    """Neither ordinary words in a fixed order nor words that each have one predecessor show in continuation counts."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(1500):
+        text = ["".join(rng.choices("abcdef", k=2)) + rng.choice(["ca", "da"]) for _ in range(rng.randint(20, 120))]
+        text.append("".join(rng.choices("ghijklmnopqrstu", k=9)))  # new words stand in all texts
+        rows.append((i, " ".join(([phrase] if i % 5 == 0 else []) + text), int(i % 5 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.toxicity(docs, labels).collect() if r["held_out"]]
+    assert len(held) > 300 and sum(r["predicted"] == rows[r["doc_id"]][2] for r in held) >= 0.99 * len(held)
+
+
+def test_toxicity_pairs_against_loops(spark):
+    """Ratios equal the formula over plain counts."""
+    rows = [(" ".join(random.Random(i).choices(["aa", "bb", "cc", "dd"], k=9)), i % 2) for i in range(30)]
+    tables = toxicity.Tables.of(toxicity.word_pairs(spark.createDataFrame(rows, "text string, toxic int")))
+    pairs = [Counter(), Counter()]
+    for text, y in rows:
+        words = ["", *text.split()]
+        pairs[y].update(zip(words, words[1:], strict=False))
+    both = pairs[0].keys() | pairs[1].keys()
+    shared = Counter(w for _, w in both)
+
+    def lower(c, w, d):
+        follows = Counter(b for _, b in pairs[c])
+        total = sum(follows.values())
+        left = sum(min(d, n) for n in follows.values()) / total
+        own = max(follows[w] - d, 0) / total
+        # a beginning is the word itself here
+        return own + left * (own + left * shared[w] / len(both)), left
+
+    for k, d in enumerate(toxicity.DISCOUNTS):
+        p = {}
+        for v, w in {(v, w) for v in ["", "aa", "bb", "cc", "dd"] for w in ["aa", "bb", "cc", "dd"]}:
+            for c in (0, 1):
+                total = sum(n for (b, _), n in pairs[c].items() if b == v)
+                left = sum(min(d, n) for (b, _), n in pairs[c].items() if b == v) / total
+                p[v, w, c] = max(pairs[c][v, w] - d, 0) / total + left * lower(c, w, d)[0]
+        offset = 2 * math.log(lower(1, "aa", d)[1] / lower(0, "aa", d)[1])
+        for text, _ in rows[:5]:
+            words = ["", *text.split()]
+            each = [math.log(p[v, w, 1] / p[v, w, 0]) - offset for v, w in zip(words, words[1:], strict=False)]
+            assert abs(tables.reader()(text)[k][0] - sum(each) / len(each)) < 1e-9
+
+
 def test_toxicity_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(0, 1, 0), (5, 0, 1), (5, 0, 0), (None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.filter("1 = 0")):
