@@ -45,20 +45,6 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate draws, in shuffled order."""
-    return mixing.mix(docs).select("row.*")
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id.
-
-    Of rows that share an id one stays; rows without an id all stay.
-    """
-    found = minhash.near_duplicates(docs, shingle=5, percent=80).filter("kept").select(F.col("doc_id").alias("of")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").dropDuplicates()
-
-
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts with digests of ids and of the decoded text."""
     return pieces.encode_decode(docs, pieces.public_model(), digest=True).select(

@@ -185,6 +185,15 @@ def test_shards_of_repeated_rows_and_few_buckets(spark):
     assert sorted(Counter(r["shard"] for r in got).values()) == [13, 13, 13, 14]
 
 
+def test_pipeline_near_dedup_of_repeated_and_null_ids(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, base, "en", "a", 1), (1, base + " tail", "en", "b", 2), (2, base + " end", "de", "a", 3), (3, "other text of few words here", "en", "a", 4)]
+    rows += [(None, base, "en", "a", 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert Counter(r["doc_id"] for r in got) == {1: 1, 3: 1, None: 2}
+
+
 def test_pipeline_stages(spark, edge_docs, documents):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "line_dedup", "near_dedup", "mix_sources", "sentence_pieces"]
