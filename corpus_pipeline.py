@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; n_chars follows the text."""
-    found = lines.dedup_lines(docs, "doc_id", F.col("source"), F.col("text"))
+    """Boilerplate lines of a source go, however few documents it has; n_chars follows the text."""
+    found = lines.dedup_lines(docs, "doc_id", F.col("source"), F.col("text"), min_pages=2)  # a line of one document is never dropped
     cut = F.col("n_dropped") > 0
     return found.select(*[
         F.when(cut, F.col("kept_text")).otherwise(F.col("row.text")).alias("text") if c == "text"

@@ -185,6 +185,14 @@ def test_shards_of_repeated_rows_and_few_buckets(spark):
     assert sorted(Counter(r["shard"] for r in got).values()) == [13, 13, 13, 14]
 
 
+def test_pipeline_line_dedup_of_small_sources(spark):
+    sizes = {"one": 1, "two": 2, "four": 4, "none": 2}
+    rows = [(10 * k + i, f"nav\nown {i}" if s != "none" else f"nav {i}", "en", s, 9) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {i: (f"own {i % 10}", 5) if s in ("two", "four") else (t, 9) for i, t, _, s, _ in rows}
+
+
 def test_pipeline_near_dedup_of_repeated_and_null_ids(spark):
     base = " ".join(f"w{i}" for i in range(200))
     rows = [(1, base, "en", "a", 1), (1, base + " tail", "en", "b", 2), (2, base + " end", "de", "a", 3), (3, "other text of few words here", "en", "a", 4)]
