@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.llm import licenses, lines, minhash, mixing, pieces, quality, sharding, substrings, toxicity, vectors
+from plansift.llm import divergence, interactions, licenses, lines, minhash, mixing, pieces, quality, sharding, substrings, toxicity, vectors
 from plansift.llm.common import table, written
 
 
@@ -111,3 +111,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op3_license_scan"] = licenses.oracle_sql()
 
 QUERIES |= {f.__name__: f for f in (op1_embedding_dedup, op3_license_scan, op4_toxicity, op5_minhash_dedup, op6_substring_dedup, op7_sentencepiece)}
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op12_filter_interactions, op13_source_divergence)}
+ORACLE["op12_filter_interactions"] = interactions.oracle_sql()
+ORACLE["op13_source_divergence"] = divergence.oracle_sql()
