@@ -115,11 +115,11 @@ def term_counts(texts: DataFrame) -> DataFrame:
 
 
 def share(count: Column, total: Column, kinds: Column) -> Column:
-    """p of a term with ``count`` occurrences; exact."""
+    """p of a term with ``count`` occurrences; exact, and null where nothing is kept."""
     wide = lambda c: c.cast("decimal(20,0)")
     top = (wide(F.lit(SCALE)) * (wide(count) + F.lit(1).cast("decimal(1,0)"))).cast("decimal(38,0)")
     bottom = (wide(total) + wide(kinds)).cast("decimal(38,0)")
-    return 1 + F.call_function("div", top, bottom)
+    return 1 + F.call_function("div", top, F.nullif(bottom, F.lit(0).cast("decimal(38,0)")))
 
 
 def f_of(p: Column, q: Column) -> Column:
