@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plansift.llm import divergence, interactions, licenses, lines, minhash, mixing, pieces, quality, sharding, substrings, toxicity, vectors
+from plansift.llm import divergence, extraction, interactions, licenses, lines, minhash, mixing, pieces, quality, sharding, substrings, toxicity, vectors
 from plansift.llm.common import table, written
 
 
@@ -121,6 +121,11 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op12_filter_interactions, op13_source_divergence)}
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES |= {f.__name__: f for f in (op11_html_extraction, op12_filter_interactions, op13_source_divergence)}
 ORACLE["op12_filter_interactions"] = interactions.oracle_sql()
 ORACLE["op13_source_divergence"] = divergence.oracle_sql()
