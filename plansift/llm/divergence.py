@@ -4,7 +4,7 @@ Equal texts of a language are one row with a count per source, found by a hash
 join of small rows (language, text key, source, count) with the texts, each of
 which travels once. Every such text is cut into terms once; its term counts are
 added times the copies, per source, and its terms' document frequencies times
-all copies, inside the task before anything is shuffled.
+all copies, inside the task; a task then passes on one row per term.
 
 A pair of sources is compared over all kept terms of the language, but most
 terms stand in few sources. With p0 and q0 the shares of absent terms,
@@ -31,7 +31,7 @@ looked at, whatever they are called. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +46,10 @@ TOP_TERMS = 200
 SCALE = 10**9
 #: Sources of a language that stand together in one row of a term.
 PACK = 64
-#: Counts a task gathers before it passes them on.
-MEMORY = 1 << 18
+#: Counts a task gathers before it adds them up and passes them on.
+MEMORY = 1 << 22
+#: Stands for the number of a source where documents are counted.
+DOCUMENTS = -1
 #: Pack pairs a task keeps sums of (PACK x PACK numbers each).
 OPEN_PAIRS = 64
 
@@ -56,62 +58,77 @@ TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b
 
 
 def terms(text: bytes) -> list[bytes]:
-    return text.translate(TERM_BYTES).split(b" ") if text else []
+    return text.translate(TERM_BYTES).split()
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """lang, text and copies (source, n) of every different text of a language."""
+def numbered_sources(docs: DataFrame) -> DataFrame:
+    """lang, source and k: every group that occurs, numbered from 0 within its language."""
+    named = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    return named.withColumn("k", (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("int"))
+
+
+def distinct_texts(docs: DataFrame, numbered: DataFrame) -> DataFrame:
+    """lang, text and copies (k, n) of every different text of a language."""
     named = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     keyed = named.withColumn("key", F.sha2("text", 256))
     # both sides lie by (lang, key) already, so the join moves nothing more
-    copies = keyed.groupBy("lang", "key", "source").agg(F.count(F.lit(1)).alias("n")).groupBy("lang", "key").agg(
-        F.collect_list(F.struct("source", "n")).alias("copies"))
+    copies = keyed.groupBy("lang", "key", "source").agg(F.count(F.lit(1)).alias("n")).join(bounded(numbered), ["lang", "source"]).groupBy("lang", "key").agg(
+        F.collect_list(F.struct("k", "n")).alias("copies"))
     texts = keyed.groupBy("lang", "key").agg(F.first("text").alias("text"))
-    return texts.join(copies, ["lang", "key"]).select("lang", "text", "copies")
+    return texts.join(copies, ["lang", "key"]).select("lang", "text", F.col("copies.k").alias("k"), F.col("copies.n").alias("n"))
+
+
+class TermIds(dict):
+    """Term -> number, in the order of first sight."""
+
+    def __missing__(self, term: bytes) -> int:
+        number = self[term] = len(self)
+        return number
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """lang, term, source and n: occurrences in a source, or documents of the language where source is null."""
+    """lang, term, k and n: occurrences in source k, or documents of the language where k is DOCUMENTS."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str | None], Counter] = defaultdict(Counter)
-        size = 0
+        langs: dict[str, int] = {}
+        ids, gathered, size = TermIds(), [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), counts in held.items():
-                k = len(counts)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * k, pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()),
-                    pa.array([source] * k, pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "term", "source", "n"])
-            held.clear()
+            lengths = [len(found) for _, _, found, _ in gathered]
+            lang, k = (np.repeat(np.array([g[i] for g in gathered]), lengths) for i in (0, 1))
+            term, n = (np.concatenate([g[i] for g in gathered]) for i in (2, 3))
+            order = np.lexsort((k, lang, term))
+            lang, k, term, n = lang[order], k[order], term[order], n[order]
+            row = np.concatenate([[True], (np.diff(term) != 0) | (np.diff(lang) != 0)])
+            entry = np.flatnonzero(row | np.concatenate([[True], np.diff(k) != 0]))
+            sums, first = np.add.reduceat(n, entry), np.flatnonzero(row)
+            offsets = np.concatenate([np.searchsorted(entry, first), [len(entry)]])
+            names, words = pa.array(list(langs), pa.string()), pa.array(list(ids), pa.binary())
+            entries = pa.StructArray.from_arrays([pa.array(k[entry], pa.int32()), pa.array(sums, pa.int64())], names=["k", "n"])
+            yield pa.RecordBatch.from_arrays([
+                names.take(pa.array(lang[first])), words.take(pa.array(term[first])).cast(pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)],
+                ["lang", "term", "e"])
+            gathered.clear()
+            ids.clear()
 
         for batch in batches:
-            texts = batch.column("text")
-            for i, (lang, copies) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("copies").to_pylist(), strict=True)):
-                found = Counter(terms(texts[i].as_py().encode()))
-                found.pop(b"", None)
-                docs = 0
-                for copy in copies:
-                    docs += copy["n"]
-                    counts = held[lang, copy["source"]]
-                    before = len(counts)
-                    if copy["n"] == 1:
-                        counts.update(found)
-                    else:
-                        for term, n in found.items():
-                            counts[term] += n * copy["n"]
-                    size += len(counts) - before
-                counts = held[lang, None]
-                before = len(counts)
-                for term in found:
-                    counts[term] += docs
-                size += len(counts) - before
-                if size > MEMORY:
+            texts = batch.column("text").cast(pa.binary())
+            for i, (name, ks, ns) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("lang", "k", "n")], strict=True)):
+                words = terms(texts[i].as_py())
+                found, times = np.unique(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), return_counts=True)
+                if not len(found):
+                    continue
+                lang = langs.setdefault(name, len(langs))
+                gathered.append((lang, DOCUMENTS, found, np.full(len(found), sum(ns))))
+                gathered.extend((lang, k, found, times * n) for k, n in zip(ks, ns, strict=True))
+                size += len(found) * (1 + len(ks))
+                if size >= MEMORY:
                     yield from out()
                     size = 0
-        yield from out()
+        if gathered:
+            yield from out()
 
-    each = texts.mapInArrow(run, "lang string, term string, source string, n long")
-    return each.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    each = texts.mapInArrow(run, "lang string, term string, e array<struct<k:int,n:long>>").repartition("lang", "term")
+    return each.select("lang", "term", F.inline("e")).groupBy("lang", "term", "k").agg(F.sum("n").alias("n"))
 
 
 def share(count: Column, total: Column, kinds: Column) -> Column:
@@ -148,7 +165,7 @@ def common_terms(kept: DataFrame) -> DataFrame:
             for (lang, x, y), square in sums.items():
                 s, t = np.nonzero(square)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(s), pa.string()), pa.array(s + x * PACK), pa.array(t + y * PACK), pa.array(square[s, t])],
+                    pa.array([lang] * len(s), pa.string()), pa.array(s + x * PACK, pa.int32()), pa.array(t + y * PACK, pa.int32()), pa.array(square[s, t])],
                     ["lang", "s", "t", "value"])
             sums.clear()
 
@@ -172,7 +189,7 @@ def common_terms(kept: DataFrame) -> DataFrame:
                     np.add.at(square, (a["k"][left] % PACK, b["k"][right] % PACK), f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0))
         yield from out()
 
-    return met.mapInArrow(run, "lang string, s long, t long, value long")
+    return met.mapInArrow(run, "lang string, s int, t int, value long")
 
 
 def source_pairs(groups: DataFrame, kept: DataFrame) -> DataFrame:
@@ -191,20 +208,20 @@ def source_pairs(groups: DataFrame, kept: DataFrame) -> DataFrame:
 
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> DataFrame:
     """lang, source, part, item, value and rank: all other sources of the language (``pair``) and the ``top`` terms (``term``)."""
-    counts = written(term_counts(distinct_texts(docs)))
-    frequent = counts.filter(F.col("source").isNull() & (F.col("n") >= min_docs)).select("lang", "term")
-    found = counts.filter("source is not null").join(frequent, ["lang", "term"])
-    kinds = frequent.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
-    totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    named = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
-    of_lang = Window.partitionBy("lang")
-    total, all_kinds = F.coalesce("total", F.lit(0)), F.coalesce("kinds", F.lit(0))
-    groups = written(named.join(totals, ["lang", "source"], "left").join(kinds, "lang", "left").select(
-        "lang", "source", (F.row_number().over(of_lang.orderBy("source")) - 1).cast("long").alias("k"), total.alias("total"), all_kinds.alias("kinds"),
-        F.sum(total).over(of_lang).alias("lang_total"), share(F.lit(0), total, all_kinds).alias("p0")))
+    numbered = written(numbered_sources(docs))
     of_term = Window.partitionBy("lang", "term")
+    is_source = F.col("k") != DOCUMENTS
+    counted = term_counts(distinct_texts(docs, numbered)).select(
+        "*", F.max(F.when(~is_source, F.col("n"))).over(of_term).alias("docs"), F.sum(F.when(is_source, F.col("n"))).over(of_term).alias("in_lang"))
+    found = written(counted.filter(F.col("docs") >= min_docs).drop("docs"))
+    kinds = found.filter(~is_source).groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
+    totals = found.filter(is_source).groupBy("lang", "k").agg(F.sum("n").alias("total"))
+    total, all_kinds = F.coalesce("total", F.lit(0)), F.coalesce("kinds", F.lit(0))
+    groups = written(numbered.join(totals, ["lang", "k"], "left").join(kinds, "lang", "left").select(
+        "lang", "source", "k", total.alias("total"), all_kinds.alias("kinds"),
+        F.sum(total).over(Window.partitionBy("lang")).alias("lang_total"), share(F.lit(0), total, all_kinds).alias("p0")))
     kept = written(
-        found.withColumn("in_lang", F.sum("n").over(of_term)).join(bounded(groups), ["lang", "source"])
+        found.filter(is_source).join(bounded(groups), ["lang", "k"])
         .select("lang", "term", "source", "k", share(F.col("n"), F.col("total"), F.col("kinds")).alias("p"), "p0",
                 share(F.col("in_lang"), F.col("lang_total"), F.col("kinds")).alias("q")))
     names = groups.select("lang", "k", "source")
