@@ -49,14 +49,42 @@ def opening_sides(spark, sf):
     return pred, truth
 
 
-@query("j22_opening_match", "openings", """
+# an opening's wall is the first that runs through its middle
+OPENING_WALL = """
+ow AS (SELECT o.plan_id, o.ord, min_by(w.wall_id, w.ord) AS wall_id FROM openings o JOIN walls w ON w.plan_id = o.plan_id AND w.orientation = o.orientation
+ AND w.coord = CASE o.orientation WHEN 'horizontal' THEN o.y ELSE o.x END AND CASE o.orientation WHEN 'horizontal' THEN o.x ELSE o.y END BETWEEN w.s AND w.e GROUP BY o.plan_id, o.ord)"""
+
+
+def openings_with_walls(spark, sf):
+    found = V.openings(spark, sf)
+    flat = F.col("o.orientation") == "horizontal"
+    along, cross = F.when(flat, F.col("o.x")).otherwise(F.col("o.y")), F.when(flat, F.col("o.y")).otherwise(F.col("o.x"))
+    on = found.alias("o").join(V.walls(spark, sf).alias("w"), (F.col("o.plan_id") == F.col("w.plan_id")) & (F.col("o.orientation") == F.col("w.orientation")) & (cross == F.col("w.coord"))
+                               & along.between(F.col("w.s"), F.col("w.e"))).groupBy("o.plan_id", "o.ord").agg(F.min_by("w.wall_id", "w.ord").alias("wall_id"))
+    return found.join(on, ["plan_id", "ord"], "left")
+
+
+@query("j22_opening_match", "openings walls truth_walls plans", FRAME + "," + sql_raster("truth_walls", "tm") + "," + OPENING_WALL + """,
 pd AS (SELECT * FROM openings), td AS (SELECT * REPLACE (x + k % 7 AS x, span + k % 5 AS span) FROM openings WHERE k % 10 <> 0),
 pq AS (SELECT p.plan_id, p.ord AS p_ord, t.ord AS e_ord, sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y)) AS d, abs(p.span - t.span) / greatest(p.span, t.span) AS er, greatest(p.span, t.span) AS m
  FROM pd p JOIN td t ON p.plan_id = t.plan_id AND p.kind = t.kind),
-pr AS (SELECT plan_id, p_ord, e_ord, d + er * 10 AS score FROM pq WHERE d <= greatest(12, m * 0.75) AND er <= 0.5),""" + GREEDY)
+pr AS (SELECT plan_id, p_ord, e_ord, d + er * 10 AS score FROM pq WHERE d <= greatest(12, m * 0.75) AND er <= 0.5),""" + GREEDY.replace(
+    "AS n FROM ls)", "AS n, list_reduce(items, lambda acc, x: CASE WHEN len(list_filter(acc, lambda m: m.p = x[1].p OR m.e = x[1].e)) = 0 THEN list_concat(acc, x) ELSE acc END) AS got FROM ls)").replace(
+    "\nSELECT plan_id, predicted", """,
+mp AS (SELECT plan_id, unnest(got).p AS ord FROM fd),
+wr AS (SELECT o.plan_id, o.ord, greatest(3, w.thickness::BIGINT) AS need, greatest(8, o.span::BIGINT) AS r, o.x::BIGINT AS cx, o.y::BIGINT AS cy, w.orientation = 'horizontal' AS flat,
+ w.coord::BIGINT - w.thickness::BIGINT // 2 AS lo, w.thickness::BIGINT AS t, w.s::BIGINT AS s, w.e::BIGINT AS e FROM openings o JOIN mp USING (plan_id, ord) JOIN ow USING (plan_id, ord) JOIN walls w ON w.plan_id = o.plan_id AND w.wall_id = ow.wall_id),
+wb AS (SELECT plan_id, ord, need, greatest(CASE WHEN flat THEN s ELSE lo END, cx - r) AS ax, least(CASE WHEN flat THEN e ELSE lo + t - 1 END, cx + r) AS bx,
+ greatest(CASE WHEN flat THEN lo ELSE s END, cy - r) AS ay, least(CASE WHEN flat THEN lo + t - 1 ELSE e END, cy + r) AS by_ FROM wr),
+an AS (SELECT plan_id, count(*) AS anchored FROM (SELECT wb.plan_id, ord FROM wb JOIN tm ON tm.plan_id = wb.plan_id AND tm.y BETWEEN ay AND by_ AND tm.x0 <= bx AND tm.x1 >= ax
+ GROUP BY wb.plan_id, ord, need HAVING sum(least(bx, x1) - greatest(ax, x0) + 1) >= need) GROUP BY plan_id)
+SELECT plan_id, predicted""").replace(" AS recall FROM al", f""" AS recall, coalesce(anchored, 0) AS anchored,
+ {rnd("CASE WHEN predicted > 0 THEN coalesce(anchored, 0) / predicted WHEN expected = 0 THEN 1.0::DOUBLE ELSE 0 END", 6)} AS anchor_precision FROM al LEFT JOIN an USING (plan_id)"""))
 def _(spark, sf):
     pred, truth = opening_sides(spark, sf)
-    return X.match_metrics(pred, truth, X.greedy_match(X.opening_pairs(pred, truth)))
+    named = openings_with_walls(spark, sf)
+    supported = X.wall_support(named.filter("wall_id IS NOT NULL"), V.walls(spark, sf), M.rasterize_boxes(V.truth_walls(spark, sf), frame(spark, sf)))
+    return X.opening_metrics(pred, truth, X.greedy_match(X.opening_pairs(pred, truth)), supported)
 
 
 @query("j22_opening_pairs", "openings", f"""

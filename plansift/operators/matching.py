@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plansift.functions.numeric import round_to
+from plansift.functions.numeric import round_half_even, round_to
 from plansift.operators import masks as M
-from plansift.operators.components import star_components
 from plansift.operators.intervals import merge_spans
 from plansift.operators.junctions import CELL, cell_of, junction_summary, junctions
 from plansift.session import cut_lineage
@@ -16,39 +14,30 @@ from plansift.session import cut_lineage
 JUNCTION_REACH = 12.0
 
 
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs in predicted order, each taking its best free partner."""
-    taken_p, taken_e, rows = set(), set(), []
-    for row in group.sort_values(["p_ord", "score", "e_ord"]).itertuples():
-        if row.p_ord not in taken_p and row.e_ord not in taken_e:
-            taken_p.add(row.p_ord)
-            taken_e.add(row.e_ord)
-            rows.append((row.plan_id, row.p_ord, row.e_ord, row.score))
-    return pd.DataFrame(rows, columns=["plan_id", "p_ord", "e_ord", "score"])
-
-
 def greedy_match(pairs: DataFrame) -> DataFrame:
     """One-to-one greedy matching of candidate pairs (plan_id, p_ord, e_ord, score).
 
-    Greedy choices only interact through shared partners, so the pairs split
-    into the connected components of the candidate graph. A pair alone in its
-    component is a match as it stands; only contested components are resolved
-    in order, each on its own, wherever in the cluster it lands.
+    Predictions choose in the order of p_ord, each the free partner with the
+    least (score, e_ord). A pair is settled once it is the best of its
+    prediction and no earlier prediction wants its partner, whatever happens
+    elsewhere. Each round settles all such pairs, with a minimum per side, and
+    takes their ends out by anti joins. The first open prediction of a plan
+    always settles or runs out of partners, so the rounds end; their number is
+    that of the longest chain of choices that wait for each other, and no
+    component is ever gathered in one place.
     """
-    pairs = cut_lineage(pairs)
-    per_p = pairs.groupBy("plan_id", "p_ord").agg(F.count(F.lit(1)).alias("np"))
-    per_e = pairs.groupBy("plan_id", "e_ord").agg(F.count(F.lit(1)).alias("ne"))
-    counted = pairs.join(per_p, ["plan_id", "p_ord"]).join(per_e, ["plan_id", "e_ord"])
-    alone = counted.filter("np = 1 AND ne = 1").select("plan_id", "p_ord", "e_ord", "score")
-    contested = counted.filter("np > 1 OR ne > 1").select("plan_id", "p_ord", "e_ord", "score")
-    # even ids are predictions, odd ids expectations
-    edges = contested.select("plan_id", (F.col("p_ord") * 2).alias("a"), (F.col("e_ord") * 2 + 1).alias("b"))
-    comp = star_components(edges, "plan_id")
-    root = edges.select("plan_id", F.col("a").alias("id")).distinct().join(comp, ["plan_id", "id"], "left").select(
-        "plan_id", (F.col("id") / 2).cast("long").alias("p_ord"), F.coalesce("comp", "id").alias("comp"))
-    resolved = contested.join(root, ["plan_id", "p_ord"]).groupBy("plan_id", "comp").applyInPandas(
-        _greedy, "plan_id long, p_ord long, e_ord long, score double")
-    return alone.unionByName(resolved)
+    p, e = ["plan_id", "p_ord"], ["plan_id", "e_ord"]
+    left = cut_lineage(pairs.select(*p, "e_ord", "score"))
+    settled = left.filter("1 = 0")
+    while not left.isEmpty():
+        best = left.groupBy(*p).agg(F.min(F.struct("score", "e_ord")).alias("b")).select(*p, "b.e_ord", "b.score")
+        first = left.groupBy(*e).agg(F.min("p_ord").alias("first"))
+        now = best.join(first, e).filter("p_ord = first").drop("first")
+        rest = left.join(now.select(*p), p, "left_anti").join(now.select(*e), e, "left_anti")
+        state = cut_lineage(now.withColumn("settled", F.lit(True)).unionByName(rest.withColumn("settled", F.lit(False))))
+        settled = settled.unionByName(state.filter("settled").drop("settled"))
+        left = state.filter("NOT settled").drop("settled")
+    return settled
 
 
 def junction_pairs(pred: DataFrame, truth: DataFrame, reach: float = JUNCTION_REACH) -> DataFrame:
@@ -92,6 +81,41 @@ def match_metrics(pred: DataFrame, truth: DataFrame, matches: DataFrame) -> Data
     return out.withColumns({"precision": round_to(precision, 6), "recall": round_to(recall, 6)})
 
 
+def wall_support(openings: DataFrame, walls: DataFrame, mask: DataFrame) -> DataFrame:
+    """Openings whose wall is drawn in the mask around them (plan_id, ord).
+
+    ``openings``: plan_id, ord, wall_id, x, y, span; ``mask``: disjoint boxes of
+    the other side's walls. An opening's own wall is drawn and cut to a square
+    of max(8, span) around the opening; at least max(3, thickness) pixels of
+    that must be in the mask. Openings without a known wall have no support.
+    """
+    pixel = lambda c: round_half_even(c).cast("long")
+    radius = F.greatest(F.lit(8), pixel("span"))
+    need = F.greatest(F.lit(3), pixel("thickness"))
+    drawn = M.wall_boxes(walls.select("plan_id", "wall_id", "orientation", "coord", "s", "e", "thickness"))
+    near = openings.select("plan_id", "ord", "wall_id", pixel("x").alias("cx"), pixel("y").alias("cy"), radius.alias("r")).join(
+        drawn, ["plan_id", "wall_id"]).select(
+        "plan_id", "ord", need.alias("need"),
+        F.greatest("x0", F.col("cx") - F.col("r")).alias("ax"), F.least("x1", F.col("cx") + F.col("r")).alias("bx"),
+        F.greatest("y0", F.col("cy") - F.col("r")).alias("ay"), F.least("y1", F.col("cy") + F.col("r")).alias("by")).filter("ax <= bx AND ay <= by")
+    over = lambda lo, hi: F.explode(F.sequence(cell_of(F.col(lo)), cell_of(F.col(hi))))
+    probe = near.withColumn("gx", over("ax", "bx")).withColumn("gy", over("ay", "by"))
+    listed = mask.select("plan_id", "x0", "x1", "y0", "y1").withColumn("gx", over("x0", "x1")).withColumn("gy", over("y0", "y1"))
+    # two boxes meet in the cell where their common part begins, and only there
+    x, y = F.greatest("ax", "x0"), F.greatest("ay", "y0")
+    width, height = F.least("bx", "x1") - x + 1, F.least("by", "y1") - y + 1
+    return probe.join(listed, ["plan_id", "gx", "gy"]).filter((width > 0) & (height > 0) & (cell_of(x) == F.col("gx")) & (cell_of(y) == F.col("gy"))).groupBy(
+        "plan_id", "ord", "need").agg(F.sum(width * height).alias("pixels")).filter("pixels >= need").select("plan_id", "ord")
+
+
+def opening_metrics(pred: DataFrame, truth: DataFrame, matches: DataFrame, supported: DataFrame) -> DataFrame:
+    """match_metrics, with the matches that have wall support and their share of the predictions."""
+    anchored = matches.join(supported.withColumnRenamed("ord", "p_ord"), ["plan_id", "p_ord"], "left_semi").groupBy("plan_id").agg(F.count(F.lit(1)).alias("anchored"))
+    out = match_metrics(pred, truth, matches).join(anchored, "plan_id", "left").fillna(0, ["anchored"])
+    share = F.when(F.col("predicted") > 0, F.col("anchored") / F.col("predicted")).otherwise(F.when(F.col("expected") == 0, 1.0).otherwise(0.0))
+    return out.withColumn("anchor_precision", round_to(share, 6))
+
+
 # -- windows, exterior segments, parents -----------------------------------------
 
 
