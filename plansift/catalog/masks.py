@@ -136,8 +136,7 @@ def _(spark, sf):
 
 @query("m03_close_open", "walls plans", BASE + "," + sql_close("wm", "cl", M.rect_kernel(5, 2)) + "," + sql_open("cl", "op", M.rect_kernel(3)) + digest("op"))
 def _(spark, sf):
-    f = frame(spark, sf)
-    return runs_digest(M.open_(M.close(wall_mask(spark, sf), M.rect_kernel(5, 2), f), M.rect_kernel(3), f))
+    return runs_digest(M.close_open(wall_mask(spark, sf), M.rect_kernel(5, 2), M.rect_kernel(3), frame(spark, sf)))
 
 
 @query("m02_line_opening", "walls plans", BASE + """,

@@ -8,6 +8,7 @@ runs of a row with each other. ``frame`` is ``(plan_id, w, h)``.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,50 +148,137 @@ def nested_boxes(kernel: list[tuple[int, int, int]]) -> list[tuple[int, int, int
     return out
 
 
-def dilate_boxes(boxes: DataFrame, kernel: list[tuple[int, int, int]], frame: DataFrame | None = None, keys: list[str] = KEY) -> DataFrame:
-    """Grow boxes once per nested kernel box and make them disjoint again."""
-    parts = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("up", "down", "left", "right"), box)]) for box in nested_boxes(kernel)])
-    grown = boxes.select(*keys, "x0", "x1", "y0", "y1", F.inline(parts)).select(
-        *keys, (F.col("x0") - F.col("left")).alias("x0"), (F.col("x1") + F.col("right")).alias("x1"),
-        (F.col("y0") - F.col("up")).alias("y0"), (F.col("y1") + F.col("down")).alias("y1"),
-    )
-    return merge_boxes(grown if frame is None else clip(grown, frame), keys)
+@dataclass(frozen=True)
+class Step:
+    """Grow by rectangles (up, down, left, right), then turn set and unset pixels over if ``turn``.
+
+    ``pad`` widens the frame of the turn. No rectangle leaves the pixels as they are.
+    """
+
+    grow: tuple[tuple[int, int, int, int], ...] = ()
+    turn: bool = False
+    pad: int = 0
+
+
+def grow(kernel: list[tuple[int, int, int]]) -> Step:
+    return Step(tuple(nested_boxes(kernel)))
+
 
+def mirrored(kernel: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    return [(-dy, b, a) for dy, a, b in kernel]
 
-def erode_boxes(boxes: DataFrame, kernel: list[tuple[int, int, int]], frame: DataFrame, border: str = "extend") -> DataFrame:
+
+def erosion(kernel: list[tuple[int, int, int]], border: str = "extend") -> list[Step]:
+    """Turn, grow by the mirrored kernel, turn. ``border='extend'`` treats outside pixels as set, ``'clip'`` as unset."""
     pad = max(max(abs(dy), a, b) for dy, a, b in kernel) if border == "clip" else 0
-    mirrored = [(-dy, b, a) for dy, a, b in kernel]
-    return complement_boxes(dilate_boxes(complement_boxes(boxes, frame, pad), mirrored, frame), frame)
+    return [Step(turn=True, pad=pad), Step(grow(mirrored(kernel)).grow, turn=True)]
+
+
+def closing(kernel: list[tuple[int, int, int]]) -> list[Step]:
+    return [grow(kernel), *erosion(kernel)]
+
+
+def opening(kernel: list[tuple[int, int, int]], border: str = "extend") -> list[Step]:
+    return [*erosion(kernel, border), grow(mirrored(kernel))]
+
+
+def shorten(steps: list[Step]) -> list[Step]:
+    """The same chain in fewer steps, each of which costs one shuffle.
+
+    A turn right after growing belongs to that step, two turns in a row cancel,
+    and two growths in a row are one by all sums of their rectangles. Cutting to
+    the frame in between changes nothing for rectangles: a pixel outside can be
+    moved to the nearest one inside without losing reach.
+    """
+    out: list[Step] = []
+    for step in steps:
+        last = out[-1] if out else None
+        if last is None or step.pad or last.pad or (last.turn and step.grow):
+            out.append(step)
+        elif last.turn:
+            out[-1] = replace(last, turn=not step.turn)
+        else:
+            both = tuple(sorted({tuple(i + j for i, j in zip(p, q)) for p in last.grow for q in step.grow})) if last.grow and step.grow else last.grow or step.grow
+            out[-1] = Step(both, step.turn)
+        if out and not out[-1].grow and not out[-1].turn:
+            out.pop()
+    return out
+
+
+def morph(boxes: DataFrame, steps: list[Step], frame: DataFrame | None = None, keys: list[str] = KEY, stacked: bool = True) -> DataFrame:
+    """Disjoint boxes after a chain of growing and turning over.
+
+    Boxes meet in bands of rows. A step brings each band together once, cuts it
+    at its row edges, and reads the union, or the gaps of a turned step, from
+    the running end of the spans in each slab; pieces of equal width are put
+    together inside the band. Only the last step joins boxes over band borders
+    (``stacked``). The size of the frame travels with the boxes, so it is joined once.
+    """
+    wide = keys if frame is None else [*keys, "w", "h"]
+    rows = boxes.select(*keys, "x0", "x1", "y0", "y1")
+    if frame is not None:
+        size = frame.select("plan_id", F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h"))
+        rows = rows.join(size, "plan_id")
+    for step in shorten(steps):
+        if step.grow:
+            parts = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(("up", "down", "left", "right"), box)]) for box in step.grow])
+            x0, x1, y0, y1 = F.col("x0") - F.col("left"), F.col("x1") + F.col("right"), F.col("y0") - F.col("up"), F.col("y1") + F.col("down")
+            if frame is not None:
+                x0, x1, y0, y1 = F.greatest(x0, F.lit(0)), F.least(x1, F.col("w") - 1), F.greatest(y0, F.lit(0)), F.least(y1, F.col("h") - 1)
+            rows = rows.select(*wide, "x0", "x1", "y0", "y1", F.inline(parts)).select(
+                *wide, x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1")).filter("x0 <= x1 AND y0 <= y1")
+        if step.turn:
+            ends = F.array(F.lit(-step.pad - 1).cast("long"), F.col("w") + step.pad)
+            posts = size.select(*wide, F.explode(ends).alias("x0"), F.lit(-step.pad).cast("long").alias("y0"), (F.col("h") + step.pad - 1).alias("y1")).filter("y0 <= y1")
+            rows = rows.unionByName(posts.withColumn("x1", F.col("x0")))
+        slab = [*wide, "band", "y0", "y1"]
+        order = Window.partitionBy(*slab).orderBy("x0")
+        spans = _pieces(rows, wide).withColumn("_reach", F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        if step.turn:
+            flat = spans.filter("x0 > _reach + 1").select(*slab, (F.col("_reach") + 1).alias("x0"), (F.col("x0") - 1).alias("x1"))
+        else:
+            fresh = F.sum(F.coalesce((F.col("x0") > F.col("_reach") + 1).cast("int"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+            flat = spans.withColumn("_island", fresh).groupBy(*slab, "_island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_island")
+        rows = stack(flat, [*wide, "band"]).drop("band")
+    out = rows.select(*keys, "x0", "x1", "y0", "y1")
+    return stack(out, keys) if stacked else out
+
+
+def dilate_boxes(boxes: DataFrame, kernel: list[tuple[int, int, int]], frame: DataFrame | None = None, keys: list[str] = KEY) -> DataFrame:
+    """Grow boxes by a convex kernel and make them disjoint again."""
+    return morph(boxes, [grow(kernel)], frame, keys)
 
 
 def close_boxes(boxes: DataFrame, kernel, frame: DataFrame) -> DataFrame:
-    return erode_boxes(dilate_boxes(boxes, kernel, frame), kernel, frame)
+    return morph(boxes, closing(kernel), frame)
 
 
-def open_boxes(boxes: DataFrame, kernel, frame: DataFrame, border: str = "extend") -> DataFrame:
-    mirrored = [(-dy, b, a) for dy, a, b in kernel]
-    return dilate_boxes(erode_boxes(boxes, kernel, frame, border), mirrored, frame)
+def morph_runs(runs: DataFrame, steps: list[Step], frame: DataFrame | None = None, keys: list[str] = KEY) -> DataFrame:
+    """A chain on runs. The work runs on stacked boxes; rows are listed again at the end."""
+    return boxes_to_runs(morph(compact(runs, keys), steps, frame, keys, stacked=False), keys)
 
 
 def dilate(runs: DataFrame, kernel: list[tuple[int, int, int]], frame: DataFrame | None = None, keys: list[str] = KEY) -> DataFrame:
-    """Grow by a convex kernel. The work runs on stacked boxes; rows are listed again at the end."""
-    return boxes_to_runs(dilate_boxes(compact(runs, keys), kernel, frame, keys), keys)
+    """Grow by a convex kernel."""
+    return morph_runs(runs, [grow(kernel)], frame, keys)
 
 
 def erode(runs: DataFrame, kernel: list[tuple[int, int, int]], frame: DataFrame, border: str = "extend") -> DataFrame:
-    """Complement, dilate by the mirrored kernel, complement.
-
-    ``border='extend'`` treats outside pixels as set, ``'clip'`` as unset.
-    """
-    return boxes_to_runs(erode_boxes(compact(runs), kernel, frame, border))
+    """Shrink by a convex kernel."""
+    return morph_runs(runs, erosion(kernel, border), frame)
 
 
 def close(runs: DataFrame, kernel, frame: DataFrame) -> DataFrame:
-    return boxes_to_runs(close_boxes(compact(runs), kernel, frame))
+    return morph_runs(runs, closing(kernel), frame)
 
 
 def open_(runs: DataFrame, kernel, frame: DataFrame, border: str = "extend") -> DataFrame:
-    return boxes_to_runs(open_boxes(compact(runs), kernel, frame, border))
+    return morph_runs(runs, opening(kernel, border), frame)
+
+
+def close_open(runs: DataFrame, close_kernel, open_kernel, frame: DataFrame) -> DataFrame:
+    """Close, then open, as one chain of three steps."""
+    return morph_runs(runs, [*closing(close_kernel), *opening(open_kernel)], frame)
 
 
 # -- rectangles ----------------------------------------------------------------
@@ -207,24 +295,27 @@ def compact(runs: DataFrame, keys: list[str] = KEY) -> DataFrame:
     )
 
 
-#: Rows of a band. A band has at most BAND + 1 row edges, whatever it holds.
+#: Rows of a band, one bit each. A band has at most BAND + 1 row edges, whatever it holds.
 BAND = 64
 
 
 def _pieces(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Boxes cut at every row edge inside their band of rows: keys, band, y0, y1, x0, x1.
 
-    One shuffle by (keys, band) brings a band together; its edges are a short
-    array. Boxes are read once, so nothing has to be written between steps.
+    One shuffle by (keys, band) brings a band together; its edges are one
+    64-bit number. Boxes are read once, so nothing has to be written between steps.
     """
     first, last = F.floor(F.col("y0") / BAND), F.floor(F.col("y1") / BAND)
     banded = boxes.select(*keys, "x0", "x1", "y0", "y1", F.explode(F.sequence(first, last)).alias("band")).select(
         *keys, "band", "x0", "x1", F.greatest("y0", F.col("band") * BAND).alias("y0"), F.least("y1", F.col("band") * BAND + BAND - 1).alias("y1"))
-    around = Window.partitionBy(*keys, "band")
-    edges = F.array_sort(F.array_union(F.collect_set("y0").over(around), F.collect_set(F.col("y1") + 1).over(around)))
-    own = F.filter("_edges", lambda e: (e >= F.col("y0")) & (e <= F.col("y1") + 1))
-    cut = banded.withColumn("_edges", edges).select(*keys, "band", "x0", "x1", own.alias("_own"))
-    rows = F.zip_with(F.slice("_own", 1, F.size("_own") - 1), F.slice("_own", 2, F.size("_own") - 1), lambda lo, hi: F.struct(lo.alias("y0"), (hi - 1).alias("y1")))
+    # the row edges of a band are the bits of one number; the edge below its last row ends every piece anyway
+    bit = lambda y: F.call_function("shiftleft", F.lit(1).cast("long"), y.cast("int"))
+    top, below = F.col("y0") - F.col("band") * BAND, F.col("y1") + 1 - F.col("band") * BAND
+    edges = bit(top).bitwiseOR(F.when(below < BAND, bit(below)).otherwise(F.lit(0).cast("long")))
+    marked = banded.withColumn("_edges", F.bit_or(edges).over(Window.partitionBy(*keys, "band")))
+    starts = F.filter(F.sequence("y0", "y1"), lambda y: (y == F.col("y0")) | (F.call_function("shiftrightunsigned", F.col("_edges"), (y - F.col("band") * BAND).cast("int")).bitwiseAND(1) == 1))
+    cut = marked.select(*keys, "band", "x0", "x1", "y1", starts.alias("_own"))
+    rows = F.transform("_own", lambda y, i: F.struct(y.alias("y0"), F.coalesce(F.get("_own", i + 1) - 1, F.col("y1")).alias("y1")))
     return cut.select(*keys, "band", "x0", "x1", F.inline(rows))
 
 

@@ -60,7 +60,7 @@ def icons_to_openings(icons: DataFrame, frame: DataFrame, kind: str) -> DataFram
     # fixed values: kernel size and least area per kind
     size, least_area = (11, 120) if kind == "door" else (15, 150)
     kernel = M.ellipse_kernel(size)
-    clustered = M.dilate_boxes(M.close_boxes(M.compact(icons), kernel, frame), kernel, frame)
+    clustered = M.morph(M.compact(icons), [*M.closing(kernel), M.grow(kernel)], frame)
     stats = C.component_stats(C.label_boxes(clustered)).filter(F.col("area") >= least_area)
     w, h = F.col("bx1") - F.col("bx0") + 1, F.col("by1") - F.col("by0") + 1
     return stats.select(
@@ -159,7 +159,7 @@ def clamp_thickness(rects: DataFrame, limit: float = MAX_THICKNESS) -> DataFrame
 
 def clean_mask(mask: DataFrame, frame: DataFrame, erasers: DataFrame | None = None) -> DataFrame:
     """Close by 5 x 5 twice, open by 3 x 3, cut the erasers."""
-    cleaned = M.boxes_to_runs(M.open_boxes(M.close_boxes(M.compact(mask), M.rect_kernel(5, 2), frame), M.rect_kernel(3), frame))
+    cleaned = M.close_open(mask, M.rect_kernel(5, 2), M.rect_kernel(3), frame)
     return cleaned if erasers is None else M.subtract(cleaned, erasers)
 
 
