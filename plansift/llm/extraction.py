@@ -140,8 +140,11 @@ def own_labels(page: dom.Page) -> bool:
 
 def train(pages: DataFrame, layouts: int = LAYOUTS, max_labelled: int = MAX_LABELLED) -> Model:
     """A model from layouts and from at most ``max_labelled`` pages of the table that name their parts."""
-    named = pages.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]") & (F.length("html") <= MAX_CHARS))
-    drawn = named.select("html", md5_unit("page", F.col("page_id"), F.md5("html")).alias("u")).orderBy("u").limit(max_labelled).collect()
+    named = pages.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]") & (F.length("html") <= MAX_CHARS)).select(
+        "html", md5_unit("page", F.col("page_id"), F.md5("html")).alias("u"))
+    # the numbers alone are sorted; only the pages drawn come to the driver
+    last = named.select("u").orderBy("u").limit(max_labelled).agg(F.max("u")).first()[0]
+    drawn = named.filter(F.col("u") <= F.lit(last)).limit(max_labelled).collect() if last is not None else []
     own = [page for page in (dom.read(row["html"]) for row in drawn) if own_labels(page)]
     return fit([dom.read(source) for source in labelled_pages(layouts)] + own)
 
