@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from plansift.operators import masks as M
 from plansift.operators.junctions import cell_of
 from plansift.session import cut_lineage
 
+#: Rows of a plan whose boxes one task labels before labels meet over the borders.
+BLOCK_ROWS = 4096
 ROW = 1 << 21  # box id = y0 * ROW + x0, unique while x0 lies in -ROW/2 .. ROW/2 - 1
 
 
@@ -44,6 +50,58 @@ def _fingerprint(pairs: DataFrame, key: str) -> tuple:
     return (row["n"], row["x"], row["s"])
 
 
+#: Edges that one task contracts at a time.
+CHUNK = 1 << 18
+
+
+def contract(edges: DataFrame, key: str) -> DataFrame:
+    """Edges (key, a, b) with the same components, at most one per node of a chunk.
+
+    The first of two levels: a task links each node of a chunk of its edges to
+    the smallest one that the chunk connects it with. Chunks are bounded, so a
+    group of any size is contracted piece by piece; what holds the pieces
+    together is left to ``star_components``, which then has few rounds to go.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK:
+                yield _local_stars(held)
+                held, n = [], 0
+        if n:
+            yield _local_stars(held)
+
+    kinds = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in (key, "a", "b"))
+    return edges.select(key, "a", "b").mapInArrow(run, kinds)
+
+
+def _local_stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    key, a, b = (np.concatenate([batch.column(i).to_numpy(zero_copy_only=False) for batch in batches]) for i in range(3))
+    keys, ids = np.concatenate([key, key]), np.concatenate([a, b])
+    order = np.lexsort((ids, keys))
+    fresh = np.concatenate([[True], (np.diff(keys[order]) != 0) | (np.diff(ids[order]) != 0)])
+    node = np.empty(len(ids), np.int64)
+    node[order] = np.cumsum(fresh) - 1
+    keys, ids = keys[order][fresh], ids[order][fresh]
+    u, v = node[: len(a)], node[len(a) :]
+    # nodes are numbered by id within their key, so the smallest number is the smallest id
+    low = np.arange(len(ids))
+    while True:
+        before = low.copy()
+        least = np.minimum(low[u], low[v])
+        for end in (low[u], low[v], u, v):
+            np.minimum.at(low, end, least)
+        while (low[low] != low).any():
+            low = low[low]
+        if (low == before).all():
+            break
+    moved = low != np.arange(len(ids))
+    columns = [pa.array(x, batches[0].column(i).type) for i, x in enumerate((keys[moved], ids[moved], ids[low[moved]]))]
+    return pa.RecordBatch.from_arrays(columns, batches[0].schema.names)
+
+
 def box_ids(boxes: DataFrame) -> DataFrame:
     """Boxes with ``id``; a column outside the range of the ids is an error, never a silent clash."""
     fits = F.col("x0").between(-(ROW // 2), ROW // 2 - 1)
@@ -69,9 +127,10 @@ def label_boxes(runs: DataFrame, diagonal: bool = True) -> DataFrame:
     edges = (
         cells(upper, "ax0", "ax1").join(cells(lower, "bx0", "bx1"), ["plan_id", "row", "cell"])
         .filter((F.col("ax0") <= F.col("bx1") + slack) & (F.col("ax1") + slack >= F.col("bx0")))
-        .select("plan_id", "a", "b")
     )
-    comp = star_components(edges, "plan_id")
+    # a plan's neighbouring rows go to one task, and a very tall plan to several
+    near = edges.repartition("plan_id", F.floor(F.col("row") / BLOCK_ROWS))
+    comp = star_components(contract(near, "plan_id"), "plan_id")
     return boxes.join(comp, ["plan_id", "id"], "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
@@ -122,8 +181,9 @@ def endpoint_clusters(ends: DataFrame, tolerance: float = 12.0) -> DataFrame:
     ids = ends.withColumn("id", F.col("wall_no") * 2 + F.col("end_no"))
     spots = ids.groupBy("plan_id", "x", "y").agg(
         F.min("id").alias("rep"), F.min("wall_no").alias("w_lo"), F.max("wall_no").alias("w_hi"))
+    block = F.floor(F.col("y") / BLOCK_ROWS).alias("block")
     same_spot = ids.join(spots.filter("w_lo <> w_hi"), ["plan_id", "x", "y"]).select(
-        "plan_id", F.col("id").alias("a"), F.col("rep").alias("b"))
+        "plan_id", F.col("id").alias("a"), F.col("rep").alias("b"), block)
     cells = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     left = spots.select(
         "plan_id", "x", "y", F.col("rep").alias("a"), F.col("w_lo").alias("a_lo"), F.col("w_hi").alias("a_hi"), F.inline(cells)
@@ -136,8 +196,8 @@ def endpoint_clusters(ends: DataFrame, tolerance: float = 12.0) -> DataFrame:
     one_wall = (F.col("a_lo") == F.col("a_hi")) & (F.col("b_lo") == F.col("b_hi")) & (F.col("a_lo") == F.col("b_lo"))
     near = left.join(right, ["plan_id", "cx", "cy"]).filter(
         (F.col("a") < F.col("b")) & ~one_wall & (dx * dx + dy * dy <= tolerance * tolerance)
-    ).select("plan_id", "a", "b")
-    comp = star_components(same_spot.unionByName(near), "plan_id")
+    ).select("plan_id", "a", "b", block)
+    comp = star_components(contract(same_spot.unionByName(near).repartition("plan_id", "block"), "plan_id"), "plan_id")
     labelled = ids.join(comp, ["plan_id", "id"], "left").withColumn("comp", F.coalesce("comp", "id"))
     means = labelled.groupBy("plan_id", "comp").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count(F.lit(1)).alias("n"))
     return labelled.join(means, ["plan_id", "comp"]).select("plan_id", "wall_no", "end_no", "comp", "n", F.col("mx").alias("x"), F.col("my").alias("y"))
@@ -155,7 +215,7 @@ def locate_seeds(labels: DataFrame, free: DataFrame, frame: DataFrame, radius: i
     seeds = labels.join(frame.select("plan_id", "w", "h"), "plan_id").withColumns(
         {"sx": F.greatest(F.lit(0), F.least(F.col("seed_x"), F.col("w") - 1)), "sy": F.greatest(F.lit(0), F.least(F.col("seed_y"), F.col("h") - 1))}
     )
-    listed = free.select("plan_id", "id", "comp", "x0", "x1", "y0", "y1").withColumns({}).withColumn(
+    listed = free.select("plan_id", "id", "comp", "x0", "x1", "y0", "y1").withColumn(
         "cy", F.explode(F.sequence(cell_of(F.col("y0")), cell_of(F.col("y1"))))
     ).withColumn("cx", F.explode(F.sequence(cell_of(F.col("x0")), cell_of(F.col("x1")))))
     probe = seeds.withColumn("cy", F.explode(F.sequence(cell_of(F.col("sy") - radius), cell_of(F.col("sy") + radius)))).withColumn(

@@ -65,18 +65,34 @@ def _dropped(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
     return counts.select("plan_id", gone.alias("n"), F.lit(name).alias("filter")).filter("n > 0")
 
 
+def _numbered(raw: DataFrame) -> DataFrame:
+    """Openings with ``ord``; without one they count by id, so that no order depends on how the rows lie."""
+    return raw if "ord" in raw.columns else raw.withColumn("ord", F.col("opening_id"))
+
+
+def _on_walls(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Openings of known walls with ``along``: their middle on the axis of the wall, from the offset where there is no position."""
+    line = lines.select("plan_id", "wall_id", F.struct("orientation", "s").alias("line"))
+    middle = F.coalesce(
+        F.when(F.col("line.orientation") == "horizontal", F.col("x")).otherwise(F.col("y")), F.col("line.s") + F.col("offset") + F.col("span") / 2)
+    return rows.join(line, ["plan_id", "wall_id"]).withColumn("along", middle).drop("line")
+
+
 def clean_openings(raw: DataFrame, final: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """P03, F03, then W07 and W08 for openings that name their wall; openings before anchoring, and removals per filter."""
-    full = raw
+    """P03, F03, then W07 and W08 for openings that name a known wall; openings before anchoring, and removals per filter.
+
+    Openings that name no wall, or one that does not exist, are not compared with others.
+    """
+    full = _numbered(raw)
     for name, kind in OPTIONAL.items():
         if name not in full.columns:
             full = full.withColumn(name, F.lit(None).cast(kind))
     usable = openings.normalize_openings(full).filter("error IS NULL").drop("error")
     near = openings.drop_furniture(config.with_adaptive_config(usable, plans), final)
-    named, free = near.filter("wall_id IS NOT NULL"), near.filter("wall_id IS NULL")
-    along = F.when(F.col("orientation") == "horizontal", F.col("x")).otherwise(F.col("y"))
-    kept = openings.dedupe_on_wall(named.withColumn("along", along)).select("plan_id", "wall_id", "kind", "ord")
-    single = named.join(kept, ["plan_id", "wall_id", "kind", "ord"], "left_semi")
+    named = _on_walls(near, final)
+    free = near.join(final.select("plan_id", "wall_id"), ["plan_id", "wall_id"], "left_anti")
+    kept = openings.dedupe_on_wall(named).select("plan_id", "wall_id", "kind", "ord")
+    single = named.join(kept, ["plan_id", "wall_id", "kind", "ord"], "left_semi").drop("along")
     limited = openings.limit_exterior_windows(single, final)
     removed = (
         _dropped(raw, usable, "opening_invalid").unionByName(_dropped(usable, near, "furniture"))

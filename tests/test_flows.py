@@ -35,3 +35,24 @@ def test_row_numbers_over_buckets(spark):
     rows = spark.createDataFrame([(g, (i * 37) % 101) for g in ("a", "b", None) for i in range(101)], "g string, v long")
     got = number_by(rows, ["g"], "v", "n").collect()
     assert len(got) == 303 and all(r["n"] == r["v"] + 1 for r in got)
+
+
+def _openings(spark, rows):
+    raw = spark.createDataFrame(rows, "plan_id long, opening_id string, kind string, x double, y double, span double, wall_id string, offset double, orientation string")
+    return raw.withColumn("confidence", F.lit(0.9)).withColumn("k", F.lit(0))
+
+
+def test_openings_are_compared_on_known_walls_only_and_on_the_wall_s_axis(spark):
+    final = walls(spark, BOX).withColumn("is_exterior", F.lit(False))
+    plans = spark.createDataFrame([(1, 400, 320, "pixel")], "plan_id long, image_w long, image_h long, unit string")
+    rows = [
+        # two doors by offset alone, far apart; a third lies on the first
+        (1, "a", "door", None, None, 20.0, "w0", 30.0, None), (1, "b", "door", None, None, 20.0, "w0", 150.0, None), (1, "c", "door", 42.0, 0.0, 18.0, "w0", None, None),
+        # two on a wall that does not exist stay as they are
+        (1, "d", "window", 60.0, 0.0, 20.0, "w77", None, None), (1, "e", "window", 61.0, 0.0, 20.0, "w77", None, None),
+        # two on an upright wall, far apart, that call themselves horizontal
+        (1, "f", "door", 200.0, 20.0, 16.0, "w3", None, "horizontal"), (1, "g", "door", 200.0, 100.0, 16.0, "w3", None, "horizontal"),
+    ]
+    kept, removed = clean.clean_openings(_openings(spark, rows), final, plans)
+    assert {r["opening_id"] for r in kept.collect()} == {"a", "b", "d", "e", "f", "g"}
+    assert [(r["filter"], r["n"]) for r in removed.collect()] == [("opening_duplicate", 1)]

@@ -113,3 +113,30 @@ def test_endpoint_clusters_skip_ends_of_one_wall(spark):
     out = {(r.wall_no, r.end_no): (r.x, r.n) for r in C.endpoint_clusters(df).collect()}
     assert out[(0, 0)] == (0.0, 1) and out[(0, 1)] == (5.0, 1)
     assert out[(1, 1)] == (203.0, 2) == out[(2, 0)]
+
+
+def test_chains_in_few_steps(spark):
+    a, f = blob(6, 20), frame(spark, W, H)
+    k, m = M.rect_kernel(3, 2), M.rect_kernel(6)
+    flip = lambda kernel: [(-dy, r, left) for dy, left, r in kernel]
+    steps = [*M.closing(k), *M.opening(m)]
+    assert len(M.shorten(steps)) == 3
+    want = grow(shrink(shrink(grow(a, k), k), m), flip(m))
+    assert pixels_of(M.close_open(mask(spark, a), k, m, f)) == want
+    e = M.ellipse_kernel(7)
+    grown = pixels_of(M.boxes_to_runs(M.morph(M.compact(mask(spark, a)), [*M.closing(e), M.grow(e)], f)))
+    assert grown == grow(shrink(grow(a, e), e), e)
+    clipped = pixels_of(M.open_(mask(spark, a), M.rect_kernel(3), f, border="clip"))
+    inner = {(x, y) for x, y in a if all((x + i, y + j) in a for i in (-1, 0, 1) for j in (-1, 0, 1))}
+    assert clipped == grow(inner, M.rect_kernel(3))
+
+
+def test_morphology_of_empty_and_full_plans_over_many_bands(spark):
+    f = frame(spark, 30, 200).unionByName(frame(spark, 5, 5, plan=2))
+    a = {(x, y) for x in range(4, 9) for y in range(3, 190)} | {(29, 199)}
+    kernel = M.rect_kernel(5)
+    whole = {(x, y) for x in range(30) for y in range(200)}
+    got = M.erode(mask(spark, a), kernel, f)
+    assert pixels_of(got.filter("plan_id = 1")) == {(x, y) for x, y in a if all((x + i, y + j) in a or (x + i, y + j) not in whole for i in range(-2, 3) for j in range(-2, 3))}
+    assert got.filter("plan_id = 2").count() == 0
+    assert pixels_of(M.erode(mask(spark, whole), kernel, f)) == whole

@@ -119,3 +119,64 @@ def test_resolver_leaves_no_overlap_for_drawings(spark):
     rows = walls(spark, BOX).select("plan_id", "wall_id", "ord", "orientation", F.col("coord").alias("mid"), F.col("s").alias("lo"), F.col("e").alias("hi"), F.lit(2.0).alias("half"))
     out = {r.wall_id: (r.lo, r.hi) for r in matching.resolve_junctions(rows, "dxf").collect()}
     assert out["w0"] == (-2.0, 202.0) and out["w2"] == (2.0, 118.0)
+
+
+def greedy_loop(pairs):
+    used, out = set(), []
+    by_p = {}
+    for p, e, score in pairs:
+        by_p.setdefault(p, []).append((score, e))
+    for p in sorted(by_p):
+        free = [(score, e) for score, e in by_p[p] if e not in used]
+        if free:
+            score, e = min(free)
+            used.add(e)
+            out.append((p, e, score))
+    return sorted(out)
+
+
+def test_greedy_match_of_one_component_of_100_000_pairs(spark):
+    import random
+    rng = random.Random(8)
+    pairs = sorted({(p, rng.randrange(16_000)) for p in range(20_000) for _ in range(6)})[:100_000]
+    scored = [(p, e, float(rng.randrange(40))) for p, e in pairs]
+    df = spark.createDataFrame([(1, *r) for r in scored], "plan_id long, p_ord long, e_ord long, score double")
+    assert sorted((r.p_ord, r.e_ord, r.score) for r in matching.greedy_match(df).collect()) == greedy_loop(scored)
+
+
+def test_greedy_match_of_nothing_and_of_a_chain(spark):
+    schema = "plan_id long, p_ord long, e_ord long, score double"
+    assert matching.greedy_match(spark.createDataFrame([], schema)).count() == 0
+    # everyone wants what the one before takes
+    chain = [(p, e, float(p - e)) for p in range(12) for e in (p, p - 1) if e >= 0]
+    df = spark.createDataFrame([(1, *r) for r in chain], schema)
+    assert sorted((r.p_ord, r.e_ord, r.score) for r in matching.greedy_match(df).collect()) == greedy_loop(chain)
+
+
+def test_wall_support_counts_pixels(spark):
+    lines = walls(spark, [(H, 50, 0, 200), (V, 100, 0, 200)])
+    drawn = spark.createDataFrame([(1, 0, 60, 48, 49), (1, 96, 99, 150, 150), (1, 101, 101, 150, 151)], "plan_id long, x0 long, x1 long, y0 long, y1 long")
+    rows = [(0, "w0", 70.0, 50.0, 6.0), (1, "w0", 68.0, 50.0, 8.0), (2, "w0", 120.0, 50.0, 4.0), (3, "w1", 100.0, 150.0, 4.0), (4, "w9", 30.0, 50.0, 9.0), (5, "w0", 30.0, 50.0, 9.0)]
+    ops = spark.createDataFrame([(1, *r) for r in rows], "plan_id long, ord long, wall_id string, x double, y double, span double")
+    # a wall of 4 covers coord - 2 to coord + 1 and needs 4 pixels: ord 0 sees none, ord 1 sees two of column 60, ord 3 sees four
+    wall_0, wall_1 = {(x, y) for x in range(0, 201) for y in range(48, 52)}, {(x, y) for x in range(98, 102) for y in range(0, 201)}
+    mask_px = {(x, y) for _, x0, x1, y0, y1 in drawn.collect() for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)}
+    want = set()
+    for ord_, wall, x, y, span in rows:
+        r = max(8, round(span))
+        box = {p for p in {"w0": wall_0, "w1": wall_1}.get(wall, set()) if abs(p[0] - x) <= r and abs(p[1] - y) <= r}
+        if len(box & mask_px) >= 4:
+            want.add(ord_)
+    assert {r.ord for r in matching.wall_support(ops, lines, drawn).collect()} == want == {3, 5}
+
+
+def test_contracted_edges_keep_components(spark):
+    import random
+    from plansift.operators import components as C
+    rng = random.Random(2)
+    edges = [(k, rng.randrange(400), rng.randrange(400)) for k in (1, 2) for _ in range(300)]
+    df = spark.createDataFrame(edges, "plan_id long, a long, b long").repartition(3)
+    plain = {(r.plan_id, r.id): r.comp for r in C.star_components(df, "plan_id").collect()}
+    small = C.contract(df, "plan_id")
+    assert {(r.plan_id, r.id): r.comp for r in C.star_components(small, "plan_id").collect()} == plain
+    assert small.repartition(1).count() <= 3 * len(plain)
