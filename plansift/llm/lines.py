@@ -1,9 +1,9 @@
 """Operator 8: line dedup by site-relative frequency (native).
 
-A line is boilerplate on a host when the pages that hold it are more than
-``max_ratio`` of the host's pages. Lines are counted once a page, so a page
-cannot push its own lines over the ratio, and hosts with fewer than
-``min_pages`` pages have no measurable boilerplate.
+A line is boilerplate on a host when two pages or more hold it and those are
+more than ``max_ratio`` of the host's pages, however few pages the host has.
+Lines are counted once a page, so a page cannot push its own lines over the
+ratio, and a host of one page keeps all.
 
 Counting is one aggregate over (host, line key) with map-side sums; the key is
 128 bits of hash, so lines never travel twice. A hot host spreads over its
@@ -12,7 +12,9 @@ join that marks it is a plain sort-merge join that Spark splits when skewed.
 
 Defined results: a null host is a host of its own; null text counts as a page
 without lines and stays null. Blank lines are never dropped, nor counted.
-Repeated rows count as pages of their own.
+Repeated rows count as pages of their own. Texts of any length are read whole; an
+empty table gives no rows. The columns of the input come back inside ``row``, so
+none of them clashes with the operator's own.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 from plansift.llm.common import SPACES, let
 
 MAX_RATIO = 0.2
-MIN_PAGES = 5
 
 #: Tags that end a line of visible text.
 BLOCK_TAGS = "p|div|br|li|ul|ol|nav|article|section|header|footer|h[1-6]|title|head|body|html|table|tr|td|th|aside|main|pre|blockquote"
@@ -52,7 +53,7 @@ def _trimmed(lines: Column) -> Column:
 
 
 def dedup_lines(
-    pages: DataFrame, page_id: str, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+    pages: DataFrame, page_id: str, host: Column, text: Column, max_ratio: float = MAX_RATIO,
 ) -> DataFrame:
     """``row`` (all columns of ``pages``), host, n_lines, n_dropped and kept_text per page.
 
@@ -60,7 +61,7 @@ def dedup_lines(
     """
     keyed = pages.select(
         F.struct("*").alias("row"), host.alias("host"), text.alias("text"),
-        F.xxhash64(page_id, host, text).alias("page"),
+        F.struct(F.xxhash64(page_id, host, text).alias("p1"), F.xxhash64(F.lit(7), page_id, host, text).alias("p2")).alias("page"),
     )
     lines = lambda: _trimmed(F.split("text", "\n", -1))
     content = F.filter(F.array_distinct(lines()), lambda line: line != "")
@@ -68,7 +69,7 @@ def dedup_lines(
         keyed.select("page", "host", F.explode(content).alias("line"))
         .select("page", "host", line_key(F.col("line")).alias("key"))
     )
-    totals = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
+    totals = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     found = on_page.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     common = (
         found.join(totals.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))

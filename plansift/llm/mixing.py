@@ -4,12 +4,17 @@ A source of n rows with weight w in a table of N rows has the repetition rate
 N * w / n. Each document draws its number of copies by inverting the Poisson
 distribution of that rate at a uniform number hashed from seed and id, so a
 rerun or a lost executor gives the same copies. Copies are dealt to partitions
-by a second hash and sorted by it there: one shuffle, no hot key.
+by a second hash and sorted by it there. That is the only shuffle of the texts:
+the table of sources is written once and, up to BROADCAST_ROWS sources, sent to
+all tasks; beyond that Spark joins it by shuffle and splits hot sources.
 
 Weights come from ``targets`` or, by default, from the sources' sizes raised to
 ``power`` (temperature sampling). They are normalised to sum to one over the
 sources present; a source without a target gets none. A null source is a source
 of its own. Rows that share an id draw the same count; a null id draws as 'null'.
+An empty table gives no rows; texts, also empty and very long ones, are carried
+whole and never read. The columns of the input come back inside ``row``, so none
+of them clashes with the operator's own.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plansift.llm.common import md5_unit
+from plansift.llm.common import bounded, md5_unit, written
 
 POWER = 0.5
 SEED = "mix-1"
@@ -54,9 +59,9 @@ def rates(docs: DataFrame, targets: DataFrame | None = None, power: float = POWE
 def mix(docs: DataFrame, targets: DataFrame | None = None, power: float = POWER, seed: str = SEED) -> DataFrame:
     """``row`` (all columns of a document), copy (from 0), n_copies and shuffle_key, in shuffled order."""
     # a rate above 700 would underflow exp(); it is split into equal parts that are drawn one by one
-    table = rates(docs, targets, power).select(
+    table = bounded(written(rates(docs, targets, power).select(
         "of", F.greatest(F.ceil(F.col("rate") / 500.0), F.lit(1)).cast("int").alias("parts"), "rate",
-    ).select("of", "parts", poisson_table(F.col("rate") / F.col("parts")).alias("cdf"))
+    ).select("of", "parts", poisson_table(F.col("rate") / F.col("parts")).alias("cdf"))))
     drawn = docs.select(F.struct("*").alias("row"), "source", "doc_id").join(
         table, F.col("source").eqNullSafe(F.col("of"))).withColumn("n_copies", F.aggregate(
             F.sequence(F.lit(1), F.col("parts")), F.lit(0),

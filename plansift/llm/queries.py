@@ -60,7 +60,7 @@ WITH p AS (SELECT row_number() OVER () AS r, page_id, nullif(lower(regexp_extrac
     '(?i)</?({_BLOCK})(/|[ \t\n\r][^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS ls FROM pages),
 l AS (SELECT r, host, unnest(ls) AS raw, generate_subscripts(ls, 1) AS i FROM p),
 t AS (SELECT r, host, i, raw, trim(raw, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS line FROM l),
-totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host HAVING count(*) >= 5),
+totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 bad AS (SELECT t.host, line FROM t JOIN totals ON t.host IS NOT DISTINCT FROM totals.host WHERE line <> ''
   GROUP BY t.host, line HAVING count(DISTINCT r) > 0.2::DOUBLE * any_value(pages) AND count(DISTINCT r) > 1),
 flag AS (SELECT t.*, bad.line IS NOT NULL AS dropped FROM t LEFT JOIN bad ON t.host IS NOT DISTINCT FROM bad.host AND t.line = bad.line)

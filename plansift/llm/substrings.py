@@ -24,7 +24,8 @@ sort-merge join which Spark splits when skewed.
 
 Defined results: null text has no words. Documents under 50 words keep all. A
 null id counts as larger than all others. Rows that share an id never remove
-words from each other.
+words from each other. An empty table gives no rows; columns besides doc_id and
+text are never looked at.
 """
 
 from __future__ import annotations
@@ -223,7 +224,7 @@ def candidates(docs: DataFrame, sketch: Sketch, window: int, gram: int, digest:
     """Every document with its candidate windows; without any, its kept words are final.
 
     With ``copies`` a text estimated to stand in several documents is passed on without windows (``copy``).
-    ``id`` and ``tag`` (32 bits of the text) name a row in what follows; rows equal in both have equal results.
+    ``id`` and ``text_key`` (128 bits of the words) name a row in what follows; rows equal in both have equal results.
     """
     shared, bits = docs.sparkSession.sparkContext.broadcast(sketch.twice), sketch.bits
 
@@ -246,16 +247,15 @@ def candidates(docs: DataFrame, sketch: Sketch, window: int, gram: int, digest:
                 lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (
                     first, second, (starts - offsets[doc]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(i, j - i), ids.slice(i, j - i).fill_null(LAST_ID),
-                    pa.array(np.frombuffer(b"".join(k[4:8] for k in keys), np.int32)), pa.array(copy), pa.array(keys, pa.binary()),
+                    ids.slice(i, j - i), ids.slice(i, j - i).fill_null(LAST_ID), pa.array(copy), pa.array(keys, pa.binary()),
                     pa.array(np.diff(offsets)),
                     pa.array([None if s else _kept(w, digest) for w, s in zip(split, some, strict=True)], pa.string()),
                     pa.array([b" ".join(w).decode() if s else None for w, s in zip(split, some, strict=True)], pa.string()),
                     *lists,
-                ], ["doc_id", "id", "tag", "copy", "text_key", "n_words", "kept", "words", "h1", "h2", "start"])
+                ], ["doc_id", "id", "copy", "text_key", "n_words", "kept", "words", "h1", "h2", "start"])
 
     return docs.select("doc_id", "text").mapInArrow(run, (
-        "doc_id long, id long, tag int, copy boolean, text_key binary, n_words long, kept string, words string, h1 array<long>, h2 array<int>, start array<int>"))
+        "doc_id long, id long, copy boolean, text_key binary, n_words long, kept string, words string, h1 array<long>, h2 array<int>, start array<int>"))
 
 
 def _kept(words: list[bytes], digest: bool) -> str:
@@ -306,10 +306,10 @@ def dedup_substrings(
     found = found.filter("not copy").unionByName(written(firsts))
 
     some = found.filter("words is not null")
-    rows = some.select("id", "tag", F.explode(F.arrays_zip("h1", "h2", "start")).alias("w")).select("id", "tag", "w.h1", "w.h2", "w.start")
+    rows = some.select("id", "text_key", F.explode(F.arrays_zip("h1", "h2", "start")).alias("w")).select("id", "text_key", "w.h1", "w.h2", "w.start")
     lowest = rows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").drop("high")
-    starts = rows.join(lowest, ["h1", "h2"]).filter("id > low").groupBy("id", "tag").agg(F.collect_list("start").alias("starts"))
-    cut = _cut(some.select("doc_id", "id", "tag", "n_words", "words").join(starts, ["id", "tag"], "left"), window, digest)
+    starts = rows.join(lowest, ["h1", "h2"]).filter("id > low").groupBy("id", "text_key").agg(F.collect_list("start").alias("starts"))
+    cut = _cut(some.select("doc_id", "id", "text_key", "n_words", "words").join(starts, ["id", "text_key"], "left"), window, digest)
     none = F.array().cast("array<struct<first:int,end:int>>")
     whole = found.filter("words is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), none.alias("spans"), "kept")
     nothing = hashlib.sha256(b"").hexdigest() if digest else ""
