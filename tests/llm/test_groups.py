@@ -138,6 +138,36 @@ def test_vectors_against_loops(spark):
     assert vectors.near_vectors(df.filter("1 = 0")).count() == 0
 
 
+def test_vectors_recall_over_many_cells(spark, monkeypatch):
+    """Cells, tables and tiles far smaller than the data; pairs planted just above the threshold, a crowded group, links counted once."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 60)
+    monkeypatch.setattr(vectors, "TILE_ROWS", 40)
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((2500, 48)))
+    side = rng.standard_normal((1200, 48))
+    side = unit(side - (side * base[:1200]).sum(axis=1, keepdims=True) * base[:1200])
+    cosine = rng.uniform(0.950001, 0.955, (1200, 1))
+    planted = base[:1200] * cosine + side * np.sqrt(1 - cosine**2)
+    crowd = unit(base[2000] + rng.standard_normal((300, 48)) * 0.02)
+    every = np.concatenate([base, planted, crowd])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()}
+    hit = unit(every) @ unit(every).T >= 0.95
+    want = hit.sum(axis=1) - 1
+    ends = np.array([got[i][0] for i in range(len(every))])
+    assert (ends <= want).all()
+    assert ends[2500:3700].sum() >= 0.99 * want[2500:3700].sum() and ends[3700:].sum() >= 0.999 * want[3700:].sum()
+    assert sum(got[2500 + i][1] == i for i in range(1200)) >= 0.99 * 1200 and len({got[i][1] for i in range(3700, 4000)}) == 1
+
+
+def test_vector_tables_follow_the_recall():
+    chance = vectors.same_cell(math.sqrt(0.1))
+    assert abs(chance - np.clip(1 - np.abs(np.random.default_rng(1).standard_normal(400_000)) * math.sqrt(0.1) / 2, 0, None).mean()) < 1e-3
+    counts = [vectors.table_count(depth, 0.95, 0.9975) for depth in range(12)]
+    assert counts[0] == 1 and counts == sorted(counts) and all(1 - (1 - chance**d) ** counts[d] >= 0.9975 for d in range(1, 12))
+
+
 def test_lines_edges(spark, edge_docs, no_docs):
     find = lambda docs: lines.dedup_lines(docs, "doc_id", F.col("source"), F.col("text"))
     assert find(no_docs).count() == 0
