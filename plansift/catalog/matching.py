@@ -1,10 +1,13 @@
 """Matching queries."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from plansift import views as V
 from plansift.catalog.cleaning import base, sql_junctions
 from plansift.catalog.masks import BASE, FRAME, ICONS, frame, icon_mask, sql_raster, sql_sub, sql_sweep, sql_union, wall_mask
+from plansift.catalog.openings import SQL_FINAL, final_walls
 from plansift.catalog.registry import query, rnd
 from plansift.operators import config, intervals as I, junctions as J, masks as M, matching as X, nearest as N
 from plansift.functions.numeric import round_to
@@ -284,6 +287,66 @@ def _(spark, sf):
     return X.compare_stages(left, right, frame(spark, sf))
 
 
+STAGES = ("raw", "post", "plan", "drawing", "truth")
+STAGE_PAIRS = [("raw", "truth"), ("post", "truth"), ("plan", "truth"), ("drawing", "truth"), ("raw", "post"), ("plan", "post"), ("drawing", "plan")]
+# raw: walls as read; post: merged and classified; plan: thickness 4 or 6; drawing: lines; junctions of plan and drawing are those of post
+STAGE_WALLS = """
+sv AS (SELECT 'raw' AS stage, plan_id, orientation, coord, s, e, thickness, k % 4 = 1 AS is_exterior FROM walls
+ UNION ALL SELECT 'post', plan_id, orientation, coord, s, e, thickness, is_exterior FROM fw
+ UNION ALL SELECT 'plan', plan_id, orientation, coord, s, e, CASE WHEN thickness >= 5 THEN 6 ELSE 4 END, is_exterior FROM fw
+ UNION ALL SELECT 'drawing', plan_id, orientation, coord, s, e, 1, is_exterior FROM fw
+ UNION ALL SELECT 'truth', plan_id, orientation, coord, s, e, thickness, k % 4 = 1 FROM truth_walls),
+sw AS (SELECT * REPLACE (round_even(coord, 0) AS coord, round_even(s, 0) AS s, round_even(e, 0) AS e, greatest(1, round_even(thickness, 0))::BIGINT AS thickness) FROM sv),
+sp AS (VALUES """ + ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(STAGE_PAIRS)) + "),"
+
+
+def _sql_matched(points, candidates, prefix):
+    """Greedy matches of all pairs at once; a plan and a pair are one plan."""
+    n = len(STAGE_PAIRS)
+    body = f"""
+{prefix}pd AS (SELECT q.* REPLACE (q.plan_id * {n} + p.pair AS plan_id) FROM {points} q JOIN sq p ON q.stage = p.lft), {prefix}td AS (SELECT q.* REPLACE (q.plan_id * {n} + p.pair AS plan_id) FROM {points} q JOIN sq p ON q.stage = p.rgt),
+{candidates}""" + re.sub(r"\b(ls|fd|cp|ce|al|pr|pd|td)\b", rf"{prefix}\1", GREEDY)
+    head, _, tail = body.rpartition("\nSELECT plan_id, predicted")
+    return f"{head},\n{prefix}mm AS (SELECT plan_id, predicted{tail}),"
+
+
+@query("j25_all_stages", "walls truth_walls openings plans", SQL_FINAL + FRAME + "," + STAGE_WALLS + "".join(
+    f"m_{s} AS (SELECT * FROM sw WHERE stage = '{s}'), x_{s} AS (SELECT * FROM sw WHERE stage = '{s}' AND is_exterior)," + sql_raster(f"m_{s}", f"r_{s}") + "," + sql_raster(f"x_{s}", f"q_{s}") + "," for s in STAGES)
+    + sql_sweep({**{f"w_{s}": f"r_{s}" for s in STAGES}, **{f"s_{s}": f"q_{s}" for s in STAGES}}, "swp") + ", sq AS (SELECT col0 AS pair, col1 AS lft, col2 AS rgt FROM sp)," + "mk AS (" + " UNION ALL ".join(
+        f"SELECT plan_id, {k} AS pair, {rnd(f'coalesce(sum(x1 - x0 + 1) FILTER (w_{a} AND w_{b}), 0) / nullif(sum(x1 - x0 + 1) FILTER (w_{a} OR w_{b}), 0)', 6)} AS iou,"
+        f" {rnd(f'coalesce(sum(x1 - x0 + 1) FILTER (s_{a} AND s_{b}), 0) / nullif(sum(x1 - x0 + 1) FILTER (s_{b}), 0)', 6)} AS rec FROM swp GROUP BY plan_id" for k, (a, b) in enumerate(STAGE_PAIRS)) + "),"
+    + sql_junctions("walls", "ja") + "," + sql_junctions("fw", "jb") + "," + sql_junctions("truth_walls", "jc") + ", jp AS (" + " UNION ALL ".join(
+        f"SELECT '{stage}' AS stage, plan_id, x, y, type, row_number() OVER (PARTITION BY plan_id ORDER BY x, y) AS ord FROM {src}" for stage, src in (("raw", "ja"), ("post", "jb"), ("plan", "jb"), ("drawing", "jb"), ("truth", "jc"))) + "),"
+    + _sql_matched("jp", "jpr AS (SELECT jpd.plan_id, jpd.ord AS p_ord, jtd.ord AS e_ord, sqrt((jpd.x - jtd.x) * (jpd.x - jtd.x) + (jpd.y - jtd.y) * (jpd.y - jtd.y)) AS score FROM jpd JOIN jtd ON jpd.plan_id = jtd.plan_id AND jpd.type = jtd.type"
+                   " AND sqrt((jpd.x - jtd.x) * (jpd.x - jtd.x) + (jpd.y - jtd.y) * (jpd.y - jtd.y)) <= 12),", "j")
+    + "op AS (SELECT t.stage, plan_id, ord, kind, x, y, span FROM openings, (VALUES ('raw'), ('post')) t(stage) UNION ALL SELECT 'truth', plan_id, ord, kind, x + k % 7, y, span + k % 5 FROM openings WHERE k % 10 <> 0),"
+    + _sql_matched("op", "opq AS (SELECT p.plan_id, p.ord AS p_ord, t.ord AS e_ord, sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y)) AS d, abs(p.span - t.span) / greatest(p.span, t.span) AS er, greatest(p.span, t.span) AS m"
+                   " FROM opd p JOIN otd t ON p.plan_id = t.plan_id AND p.kind = t.kind), opr AS (SELECT plan_id, p_ord, e_ord, d + er * 10 AS score FROM opq WHERE d <= greatest(12, m * 0.75) AND er <= 0.5),", "o")
+    + f"""
+ct AS (SELECT plan_id, stage, count(*) AS n, count(*) FILTER (is_exterior) AS x FROM sw GROUP BY plan_id, stage)
+SELECT f.plan_id, q.lft AS "left", q.rgt AS "right", coalesce(a.n, 0) AS walls_left, coalesce(a.x, 0) AS exterior_left, coalesce(b.n, 0) AS walls_right, coalesce(b.x, 0) AS exterior_right,
+ coalesce(a.n, 0) - coalesce(b.n, 0) AS wall_count_diff, iou AS wall_footprint_iou, rec AS exterior_shell_recall, jm."precision" AS junction_precision, jm.recall AS junction_recall,
+ om."precision" AS opening_precision, om.recall AS opening_recall FROM frame f, sq q LEFT JOIN ct a ON a.plan_id = f.plan_id AND a.stage = q.lft LEFT JOIN ct b ON b.plan_id = f.plan_id AND b.stage = q.rgt
+ LEFT JOIN mk ON mk.plan_id = f.plan_id AND mk.pair = q.pair LEFT JOIN jmm jm ON jm.plan_id = f.plan_id * {len(STAGE_PAIRS)} + q.pair LEFT JOIN omm om ON om.plan_id = f.plan_id * {len(STAGE_PAIRS)} + q.pair""")
+def _(spark, sf):
+    from plansift.session import cut_lineage
+    raw, truth = (w.withColumn("is_exterior", F.col("k") % 4 == 1) for w in (V.walls(spark, sf), V.truth_walls(spark, sf)))
+    post = final_walls(spark, sf)
+    columns = ["plan_id", "orientation", "coord", "s", "e", "thickness", "is_exterior"]
+    named = lambda rows, stage: rows.withColumn("stage", F.lit(stage))
+    walls = named(raw.select(columns), "raw")
+    for rows, stage in ((post, "post"), (post.withColumn("thickness", F.when(F.col("thickness") >= 5, 6.0).otherwise(4.0)), "plan"), (post.withColumn("thickness", F.lit(1.0)), "drawing"), (truth, "truth")):
+        walls = walls.unionByName(named(rows.select(columns), stage))
+    found = {stage: cut_lineage(numbered_junctions(rows.drop("cfg"))) for stage, rows in (("raw", raw), ("post", post), ("truth", truth))}
+    points = named(found["raw"], "raw")
+    for stage, of in (("post", "post"), ("plan", "post"), ("drawing", "post"), ("truth", "truth")):
+        points = points.unionByName(named(found[of], stage))
+    pred, moved = opening_sides(spark, sf)
+    places = ["plan_id", "ord", "kind", "x", "y", "span"]
+    openings = named(pred.select(places), "raw").unionByName(named(pred.select(places), "post")).unionByName(named(moved.select(places), "truth"))
+    return X.compare_all_stages(walls, points, openings, STAGE_PAIRS, frame(spark, sf))
+
+
 @query("j26_line_comparison", "walls truth_walls plans", FRAME + ", lw AS (SELECT * REPLACE (1 AS thickness) FROM walls WHERE k % 3 > 0), rw AS (SELECT * REPLACE (1 AS thickness) FROM truth_walls)," + sql_raster("lw", "lm") + "," + sql_raster("rw", "rm") + ","
        + sql_sweep({"p": "lm", "t": "rm"}, "sa") + f""",
 a AS (SELECT plan_id, {rnd('coalesce(sum(x1 - x0 + 1) FILTER (p AND t), 0) / sum(x1 - x0 + 1)', 6)} AS iou FROM sa GROUP BY plan_id),

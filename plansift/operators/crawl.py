@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansift.functions.numeric import round_to
+from plansift.functions.ranking import with_range_bucket
 
 # fixed values: url patterns
 PLAN_SIGNALS = (
@@ -99,17 +100,24 @@ def quotas(sources: DataFrame, index: DataFrame, target: int, main: str) -> Data
     return out.select("source", quota.cast("long").alias("quota"), "have", F.greatest(F.lit(0), quota.cast("long") - F.col("have")).alias("remaining"))
 
 
-def take_until_target(rows: DataFrame, remaining: DataFrame, buckets: int = 64) -> DataFrame:
-    """The earliest rows of every source until its remaining quota is used.
+def take_until_target(rows: DataFrame, remaining: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The first rows of every source, by ``order``, until its remaining quota is used.
 
-    Rows are first cut inside hash buckets, so a source with most of the rows is
-    never ranked by one task over all of them.
+    Rows are counted in ranges of the first order column; a range that begins
+    behind the quota is dropped before anything is sorted, and rows are ranked
+    inside their range, so no task ranks a source that has most of the rows.
     """
-    limited = rows.join(remaining.select("source", "remaining"), "source")
-    local = F.row_number().over(Window.partitionBy("source", F.pmod(F.hash("ts", "event_id"), F.lit(buckets))).orderBy("ts", "event_id"))
-    few = limited.withColumn("_l", local).filter(F.col("_l") <= F.col("remaining")).drop("_l")
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("ts", "event_id"))
-    return few.withColumn("rn", rank).filter(F.col("rn") <= F.col("remaining"))
+    order = order or ["ts", "event_id"]
+    first = F.col(order[0])
+    number = F.unix_micros(first.cast("timestamp")) if rows.schema[order[0]].dataType.simpleString().startswith("timestamp") else first.cast("long")
+    limited = rows.join(remaining.select("source", "remaining"), "source").filter("remaining > 0").withColumn("_at", number)
+    ranges = with_range_bucket(limited, ["source"], "_at")
+    counts = ranges.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    near = ranges.join(begins, ["source", "_bucket"]).filter("_before < remaining")
+    rank = F.row_number().over(Window.partitionBy("source", "_bucket").orderBy(*order))
+    return near.withColumn("rn", (F.col("_before") + rank).cast("int")).filter("rn <= remaining").drop("_at", "_bucket", "_before")
 
 
 def status_by_source(index: DataFrame, target: int) -> DataFrame:

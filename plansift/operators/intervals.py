@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plansift.functions.folds import fold_sorted
 from plansift.functions.numeric import round_to
 from plansift.functions.ranking import number_rows
 
@@ -115,10 +119,9 @@ def gaps_in_line(runs: DataFrame, keys: list[str], min_gap: int = 12, min_contex
 def fold_exterior(segments: DataFrame, coord_tol: float = 3.0, gap_tol: float = 5.0) -> DataFrame:
     """Merge touching exterior segments of one source; the line moves to the mean at each step.
 
-    The running line feeds the next test, so a chain is folded in order. A
-    coordinate step wider than the tolerance always starts a new chain (the
-    running mean never lies below the chain's first line), which keeps each
-    folded array to one cluster of lines.
+    The running line feeds the next test, so a chain streams through the fold
+    in order. A coordinate step wider than the tolerance always starts a new
+    chain (the running mean never lies below the chain's first line).
     """
     keys = ["plan_id", "orientation"]
     lines = segments.groupBy(*keys, "coord").agg(F.count(F.lit(1)).alias("_n"))
@@ -126,31 +129,21 @@ def fold_exterior(segments: DataFrame, coord_tol: float = 3.0, gap_tol: float =
     clusters = lines.withColumn("_new", (F.col("coord") - F.lag("coord").over(order) > coord_tol).cast("int")).withColumn(
         "cluster", F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
-    item = F.struct("coord", "s", "ord", "e", "source")
-    grouped = (
-        segments.join(clusters.select(*keys, "coord", "cluster"), [*keys, "coord"])
-        .groupBy(*keys, "cluster")
-        .agg(F.sort_array(F.collect_list(item)).alias("items"))
-    )
-
-    def step(acc: Column, seg: Column) -> Column:
-        cur = F.element_at(acc, -1)
-        joins = (
-            (F.abs(seg["coord"] - cur["coord"]) <= coord_tol)
-            & (seg["s"] <= cur["e"] + gap_tol)
-            & (seg["source"] == cur["source"])
-        )
-        merged = F.struct(
-            ((cur["coord"] + seg["coord"]) / 2).alias("coord"), F.least(cur["s"], seg["s"]).alias("s"),
-            cur["ord"].alias("ord"), F.greatest(cur["e"], seg["e"]).alias("e"), cur["source"].alias("source"),
-        )
-        return (
-            F.when(F.size(acc) == 0, F.array(seg))
-            .when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merged)))
-            .otherwise(F.concat(acc, F.array(seg)))
-        )
-
-    empty = F.filter(F.col("items"), lambda x: F.lit(False))
-    return grouped.select(*keys, F.explode(F.aggregate("items", empty, step)).alias("g")).select(
-        *keys, round_to(F.col("g.coord"), 6).alias("coord"), F.col("g.s").alias("s"), F.col("g.e").alias("e"), F.col("g.source").alias("source")
-    )
+    rows = segments.join(clusters.select(*keys, "coord", "cluster"), [*keys, "coord"])
+    fold = partial(_merge_touching, coord_tol, gap_tol)
+    merged = fold_sorted(rows, [*keys, "cluster"], ["coord", "s", "ord"], ["coord", "s", "e", "source"], fold, "coord double, s double, e double, source string")
+    return merged.select(*keys, round_to("coord", 6).alias("coord"), "s", "e", "source")
+
+
+def _merge_touching(coord_tol: float, gap_tol: float, items: Iterator[tuple]) -> Iterator[tuple]:
+    """The segment at hand grows while the next one of its source is close and touches it."""
+    held: tuple | None = None
+    for coord, s, e, source in items:
+        if held is not None and abs(coord - held[0]) <= coord_tol and s <= held[2] + gap_tol and source == held[3]:
+            held = ((held[0] + coord) / 2, min(held[1], s), max(held[2], e), source)
+            continue
+        if held is not None:
+            yield held
+        held = (coord, s, e, source)
+    if held is not None:
+        yield held

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from functools import partial
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plansift.functions.folds import fold_sorted
 from plansift.functions.numeric import round_half_even, round_to
 from plansift.operators import masks as M
 from plansift.operators.intervals import merge_spans
@@ -234,7 +240,7 @@ def merge_mask_walls(walls: DataFrame, gap: int = 15, dist: int = 16) -> DataFra
 
     Walls only interact inside a chain of lines closer than ``dist`` and spans
     closer than ``gap``, so the plan is cut into such chains by two window
-    passes over distinct coordinates and each chain is folded on its own.
+    passes over distinct coordinates and each chain streams through the fold.
     """
     keys = ["plan_id", "orientation"]
     rows = walls.select(*keys, "ord", *[F.col(c).cast("long").alias(c) for c in ("coord", "s", "e")])
@@ -247,46 +253,57 @@ def merge_mask_walls(walls: DataFrame, gap: int = 15, dist: int = 16) -> DataFra
     islands = starts.withColumn("_reach", F.max("e").over(along.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
         "_new", (F.col("s") > F.col("_reach") + gap).cast("int")).withColumn(
         "island", F.sum(F.coalesce("_new", F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0))).select(*keys, "band", "s", "island")
-    chains = banded.join(islands, [*keys, "band", "s"]).groupBy(*keys, "band", "island").agg(
-        F.sort_array(F.collect_list(F.struct("coord", "s", "ord", "e"))).alias("items"))
+    rows = banded.join(islands, [*keys, "band", "s"])
+    folded = fold_sorted(rows, [*keys, "band", "island"], ["coord", "s", "ord"], ["coord", "s", "e"], partial(_merge_into_first, gap, dist), "coord long, s long, e long")
+    return folded.drop("band", "island")
 
-    def step(acc: Column, w: Column) -> Column:
-        fits = F.transform(acc, lambda m: (F.abs(w["coord"] - m["coord"]) < dist) & (w["s"] <= m["e"] + gap) & (w["e"] >= m["s"] - gap))
-        at = F.array_position(fits, F.lit(True)) - 1
-        merged = F.transform(acc, lambda m, i: F.when(i == at, F.struct(
-            F.floor((w["coord"] + m["coord"]) / 2).alias("coord"), F.least(w["s"], m["s"]).alias("s"), m["ord"].alias("ord"), F.greatest(w["e"], m["e"]).alias("e"),
-        )).otherwise(m))
-        return F.when(at < 0, F.concat(acc, F.array(w))).otherwise(merged)
 
-    folded = F.aggregate(F.slice("items", 2, F.size("items")), F.slice("items", 1, 1), step)
-    return chains.select(*keys, F.inline(folded)).drop("ord")
+def _merge_into_first(gap: int, dist: int, items: Iterator[tuple]) -> Iterator[tuple]:
+    """Walls by line; those that lie too far behind the line at hand are final."""
+    open_: list[list[int]] = []
+    for coord, s, e in items:
+        yield from (tuple(m) for m in open_ if coord - m[0] >= dist)
+        open_ = [m for m in open_ if coord - m[0] < dist]
+        first = next((m for m in open_ if s <= m[2] + gap and e >= m[1] - gap), None)
+        if first is None:
+            open_.append([coord, s, e])
+        else:
+            first[:] = (coord + first[0]) // 2, min(s, first[1]), max(e, first[2])
+    yield from (tuple(m) for m in open_)
 
 
 def merge_shared_walls(spans: DataFrame, thickness: float = 4.0) -> DataFrame:
     """Upright walls exactly one thickness left of the next line join it when any spans overlap.
 
     ``spans``: plan_id, coord, s, e. A merged line hands its spans on, so a
-    run of lines one thickness apart is folded from left to right; runs are
-    found by a window over the distinct lines and hold few of them.
+    run of lines one thickness apart streams through the fold from left to right;
+    runs are found by a window over the distinct lines.
     """
     merged = merge_spans(spans, ["plan_id", "coord"], "s", "e").drop("island")
-    lines = merged.groupBy("plan_id", "coord").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
     order = Window.partitionBy("plan_id").orderBy("coord")
-    runs = lines.withColumn("_new", (F.col("coord") - F.lag("coord").over(order) != thickness).cast("int")).withColumn(
-        "run", F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    items = runs.groupBy("plan_id", "run").agg(F.sort_array(F.collect_list(F.struct("coord", "spans"))).alias("lines"))
-
-    def step(acc: Column, line: Column) -> Column:
-        last = F.element_at(acc, -1)
-        touch = F.exists(last["spans"], lambda a: F.exists(line["spans"], lambda b: (a["s"] < b["e"]) & (b["s"] < a["e"])))
-        joined = F.struct(line["coord"].alias("coord"), F.concat(line["spans"], last["spans"]).alias("spans"))
-        return F.when(touch, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(line)))
-
-    folded = F.aggregate(F.slice("lines", 2, F.size("lines")), F.slice("lines", 1, 1), step)
-    flat = items.select("plan_id", F.inline(folded)).select("plan_id", "coord", F.inline("spans"))
+    runs = merged.select("plan_id", "coord").distinct().withColumn("_new", (F.col("coord") - F.lag("coord").over(order) != thickness).cast("int")).withColumn(
+        "run", F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = merged.join(runs, ["plan_id", "coord"])
+    flat = fold_sorted(rows, ["plan_id", "run"], ["coord", "s"], ["coord", "s", "e"], _hand_on, "coord double, s double, e double")
     return merge_spans(flat, ["plan_id", "coord"], "s", "e").drop("island")
 
 
+def _hand_on(items: Iterator[tuple]) -> Iterator[tuple]:
+    """Lines from left to right; a line whose spans overlap those handed on takes them over."""
+    held: list[tuple] = []
+    at = None
+    for coord, group in groupby(items, key=lambda item: item[0]):
+        line = [(s, e) for _, s, e in group]
+        ends = [e for _, e in line]
+        # the spans of a line are disjoint and sorted, so the first that ends behind a start is the only candidate
+        touch = any((k := bisect_right(ends, s)) < len(line) and line[k][0] < e for s, e in held)
+        if not touch:
+            yield from ((at, s, e) for s, e in held)
+            held = []
+        held, at = line + held, coord
+    yield from ((at, s, e) for s, e in held)
+
+
 def gaps_along_walls(walls: DataFrame, mask: DataFrame) -> DataFrame:
     """W15 input: presence of mask pixels along each wall's strip, as runs with the strip bounds.
 
@@ -320,6 +337,58 @@ def compare_stages(left: DataFrame, right: DataFrame, frame: DataFrame) -> DataF
     return out.withColumn("wall_count_diff", F.col("walls_left") - F.col("walls_right")).join(scores, "plan_id", "left").join(shell, "plan_id", "left")
 
 
+def compare_all_stages(
+    walls: DataFrame, points: DataFrame, openings: DataFrame, pairs: list[tuple[str, str]], frame: DataFrame,
+) -> DataFrame:
+    """J25 for any stages of the same plans: one row per plan and (left, right) pair.
+
+    ``walls``: stage, plan_id, orientation, coord, s, e, thickness, is_exterior;
+    ``points``: stage, plan_id, ord, x, y, type; ``openings``: stage, plan_id,
+    ord, kind, x, y, span. All masks are swept at once: two bits per stage, one
+    for its walls and one for its exterior walls; every pair's IoU and shell
+    recall are sums over the sets of bits. All pairs match their junctions, and
+    their openings, in the same rounds.
+    """
+    names = sorted({name for pair in pairs for name in pair})
+    if 2 * len(names) > 62:
+        raise ValueError("at most 31 stages")
+    bit = {name: 1 << k for k, name in enumerate(names)}
+    shell = {name: 1 << (k + len(names)) for k, name in enumerate(names)}
+    number = lambda table: F.element_at(F.create_map(*[F.lit(x) for name, b in table.items() for x in (name, b)]), F.col("stage")).cast("long")
+    known = walls.filter(F.col("stage").isin(names))
+    tagged = known.withColumn("bit", F.explode(F.filter(F.array(number(bit), F.when(F.col("is_exterior"), number(shell))), lambda b: b.isNotNull())))
+    boxes = M.merge_boxes(M.clip(M.wall_boxes(tagged).select("plan_id", "bit", "x0", "x1", "y0", "y1"), frame), ["plan_id", "bit"])
+    areas = M.areas_by_set(boxes)
+
+    listed = F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(a).alias("left"), F.lit(b).alias("right")) for k, (a, b) in enumerate(pairs)])
+    of = lambda bits, side: F.col("bits").bitwiseAND(F.element_at(F.create_map(*[F.lit(x) for name, b in bits.items() for x in (name, b)]), F.col(side)).cast("long")) != 0
+    total = lambda cond: F.sum(F.when(cond, F.col("area")).otherwise(0))
+    a, b, a_shell, b_shell = of(bit, "left"), of(bit, "right"), of(shell, "left"), of(shell, "right")
+    masks = areas.select("*", F.inline(listed)).groupBy("plan_id", "pair").agg(
+        round_to(total(a & b) / F.nullif(total(a | b), F.lit(0)), 6).alias("wall_footprint_iou"),
+        round_to(total(a_shell & b_shell) / F.nullif(total(b_shell), F.lit(0)), 6).alias("exterior_shell_recall"))
+    counts = known.groupBy("plan_id", "stage").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_exterior").alias("x"))
+    each = frame.select("plan_id", F.inline(listed))
+    for side in ("left", "right"):
+        each = each.join(counts.select("plan_id", F.col("stage").alias(side), F.col("n").alias(f"walls_{side}"), F.col("x").alias(f"exterior_{side}")), ["plan_id", side], "left")
+
+    # a plan and a pair together are one plan to the matching
+    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        keyed = rows.select("*", F.inline(listed)).withColumn("plan_id", F.col("plan_id") * len(pairs) + F.col("pair"))
+        return keyed.filter("stage = left").drop("stage", "pair", "left", "right"), keyed.filter("stage = right").drop("stage", "pair", "left", "right")
+
+    def scores(rows: DataFrame, candidates, what: str) -> DataFrame:
+        left, right = sides(rows)
+        found = match_metrics(left, right, greedy_match(candidates(left, right)))
+        return found.select(
+            F.floor(F.col("plan_id") / len(pairs)).cast("long").alias("plan_id"), F.pmod("plan_id", F.lit(len(pairs))).cast("int").alias("pair"),
+            F.col("precision").alias(f"{what}_precision"), F.col("recall").alias(f"{what}_recall"))
+
+    out = each.fillna(0).join(masks, ["plan_id", "pair"], "left")
+    out = out.join(scores(points, junction_pairs, "junction"), ["plan_id", "pair"], "left").join(scores(openings, opening_pairs, "opening"), ["plan_id", "pair"], "left")
+    return out.withColumn("wall_count_diff", F.col("walls_left") - F.col("walls_right")).drop("pair")
+
+
 def compare_lines(drawn: DataFrame, planned: DataFrame, frame: DataFrame) -> DataFrame:
     """Line counts, difference and IoU of one-pixel line masks; two empty sides agree fully."""
     def thin(lines: DataFrame) -> DataFrame:

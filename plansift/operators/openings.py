@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plansift.functions.folds import fold_sorted
 from plansift.functions.numeric import round_to
 from plansift.operators.junctions import CELL, cell_of
 from plansift.operators.nearest import distinct_lines, nearest_lines
@@ -146,8 +149,8 @@ def dedupe_on_wall(openings: DataFrame) -> DataFrame:
     """Of heavily overlapping openings of one kind on one wall keep the larger.
 
     ``openings``: plan_id, wall_id, kind, ord, along, span. Exact repeats go
-    first (map-side), then chains of touching intervals are cut apart, and only
-    one chain of distinct intervals is folded in order.
+    first (map-side), then chains of touching intervals are cut apart, and the
+    distinct intervals of one chain stream through the fold in order.
     """
     group = ["plan_id", "wall_id", "kind"]
     unique = openings.groupBy(*group, "along", "span").agg(F.min("ord").alias("ord"))
@@ -160,24 +163,27 @@ def dedupe_on_wall(openings: DataFrame) -> DataFrame:
         .withColumn("_new", (F.col("low") >= F.col("_reach")).cast("int"))
         .withColumn("chain", F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    item = F.struct("along", "ord", "span", "low", "high")
-    chains = chained.groupBy(*group, "chain").agg(F.sort_array(F.collect_list(item)).alias("items"))
-
-    def clash(a: Column, b: Column) -> Column:
-        overlap = F.greatest(F.lit(0.0), F.least(a["high"], b["high"]) - F.greatest(a["low"], b["low"]))
-        return overlap > F.least(a["span"], b["span"]) * 0.5
-
-    def step(kept: Column, op: Column) -> Column:
-        hit = F.get(F.filter(kept, lambda k: clash(k, op)), F.lit(0))
-        return (
-            F.when(hit.isNull(), F.concat(kept, F.array(op)))
-            .when(op["span"] > hit["span"], F.concat(F.filter(kept, lambda k: k["ord"] != hit["ord"]), F.array(op)))
-            .otherwise(kept)
-        )
-
-    empty = F.filter(F.col("items"), lambda x: F.lit(False))
-    kept = chains.select(*group, F.explode(F.aggregate("items", empty, step)).alias("k"))
-    return kept.select(*group, F.col("k.along").alias("along"), F.col("k.span").alias("span"), F.col("k.ord").alias("ord"))
+    # no opening that follows reaches further back than half of the widest one of its chain
+    wide = chained.withColumn("widest", F.max("span").over(Window.partitionBy(*group, "chain")))
+    kept = fold_sorted(wide, [*group, "chain"], ["along", "ord"], ["along", "span", "ord", "widest"], _keep_larger, "along double, span double, ord long")
+    return kept.drop("chain")
+
+
+def _keep_larger(items: Iterator[tuple]) -> Iterator[tuple]:
+    """Openings in order; one that covers half of the first kept one it meets, or is covered so, replaces it if it is larger."""
+    open_: list[tuple] = []
+    for along, span, ord_, widest in items:
+        back = along - widest / 2
+        yield from (k for k in open_ if k[0] + k[1] / 2 <= back)
+        open_ = [k for k in open_ if k[0] + k[1] / 2 > back]
+        low, high = along - span / 2, along + span / 2
+        hit = next((k for k in open_ if min(high, k[0] + k[1] / 2) - max(low, k[0] - k[1] / 2) > min(span, k[1]) * 0.5), None)
+        if hit is not None and span <= hit[1]:
+            continue
+        if hit is not None:
+            open_.remove(hit)
+        open_.append((along, span, ord_))
+    yield from open_
 
 
 def limit_exterior_windows(openings: DataFrame, walls: DataFrame) -> DataFrame:

@@ -63,21 +63,38 @@ def read_report(spark: SparkSession, path: str, run_id: str | None = None) -> Da
     return report if run_id is None else report.filter(F.col("run_id") == run_id)
 
 
-def save_table(df: DataFrame, path: str) -> None:
-    """Replace a checkpoint table; the commit protocol makes the swap atomic per job."""
-    df.write.mode("overwrite").parquet(path)
-
-
-def load_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read a checkpoint table, empty when it was never written."""
+def read_or_empty(spark: SparkSession, path: str, schema: str | T.StructType, kind: str = "parquet") -> DataFrame:
+    """The files under ``path``; no rows where nothing was written yet."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).format(kind).load(path)
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
         raise
 
 
+VERSION = "number long, name string"
+
+
+def save_table(df: DataFrame, path: str) -> None:
+    """Replace a checkpoint table.
+
+    The new version is written beside the others, and its name is published
+    last, in one small append. A job that fails before that leaves the old version,
+    and a reader never sees half a table.
+    """
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}/data/{name}")
+    last = read_or_empty(spark, f"{path}/versions", VERSION, "json").agg(F.max("number")).first()[0] or 0
+    spark.range(1).select(F.lit(last + 1).cast("long").alias("number"), F.lit(name).alias("name")).write.mode("append").json(f"{path}/versions")
+
+
+def load_table(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Read the last published version of a checkpoint table, empty when there is none."""
+    last = read_or_empty(spark, f"{path}/versions", VERSION, "json").agg(F.max_by("name", "number")).first()[0]
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{path}/data/{last}")
+
+
 def sample_manifest(samples: DataFrame) -> DataFrame:
     """Manifest rows with relative paths and shapes."""
     root = F.concat_ws("/", "dataset", F.col("sample_id").cast("string"))
