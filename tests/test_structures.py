@@ -180,3 +180,37 @@ def test_contracted_edges_keep_components(spark):
     small = C.contract(df, "plan_id")
     assert {(r.plan_id, r.id): r.comp for r in C.star_components(small, "plan_id").collect()} == plain
     assert small.repartition(1).count() <= 3 * len(plain)
+
+
+def test_folds_stream_through_a_chain_of_100_000(spark):
+    import random
+    rng = random.Random(4)
+    items = [(3.0 * i, float(rng.randrange(4, 14)), i) for i in range(100_000)]
+    schema = "plan_id long, wall_id string, kind string, ord long, along double, span double"
+    df = spark.createDataFrame([(1, "w", "door", o, a, s) for a, s, o in items], schema)
+    got = {(r.along, r.span, r.ord) for r in openings.dedupe_on_wall(df).collect()}
+    kept = []
+    for along, span, ord_ in items:
+        hit = next((k for k in kept[-12:] if min(along + span / 2, k[0] + k[1] / 2) - max(along - span / 2, k[0] - k[1] / 2) > 0.5 * min(span, k[1])), None)
+        if hit is not None and span <= hit[1]:
+            continue
+        if hit is not None:
+            kept.remove(hit) if len(kept) < 12 else kept.__delitem__(len(kept) - 12 + kept[-12:].index(hit))
+        kept.append((along, span, ord_))
+    assert got == set(kept)
+
+
+def test_mask_walls_merge_as_in_a_plain_loop(spark):
+    import random
+    rng = random.Random(6)
+    rows = [(1, "horizontal", i, rng.randrange(300), s := rng.randrange(400), s + rng.randrange(5, 60)) for i in range(400)]
+    df = spark.createDataFrame(rows, "plan_id long, orientation string, ord long, coord long, s long, e long")
+    want = []
+    for coord, s, e in sorted((c, s, o, e) for _, _, o, c, s, e in rows) and [(c, s, e) for c, s, o, e in sorted((c, s, o, e) for _, _, o, c, s, e in rows)]:
+        for m in want:
+            if abs(coord - m[0]) < 16 and s <= m[2] + 15 and e >= m[1] - 15:
+                m[:] = [(coord + m[0]) // 2, min(s, m[1]), max(e, m[2])]
+                break
+        else:
+            want.append([coord, s, e])
+    assert sorted((r.coord, r.s, r.e) for r in matching.merge_mask_walls(df).collect()) == sorted(map(tuple, want))
