@@ -28,10 +28,9 @@ def sql_snap(src: str, out: str, snap: str = "4") -> str:
   WINDOW w AS (PARTITION BY plan_id, orientation, role ORDER BY value)),
 {out}_i AS (SELECT *, sum(fresh) OVER (PARTITION BY plan_id, orientation, role ORDER BY value) AS cl FROM {out}_f),
 {out}_c AS (SELECT plan_id, orientation, role, cl, sum(value * n) / sum(n) AS center FROM {out}_i GROUP BY ALL),
-{out}_m AS (SELECT v.plan_id, v.orientation, v.role, v.value,
-  CASE WHEN abs(arg_min(c.center, (abs(c.center - v.value), c.center)) - v.value) <= any_value(v.tol)
-       THEN arg_min(c.center, (abs(c.center - v.value), c.center)) ELSE v.value END AS snapped
-  FROM {out}_i v JOIN {out}_c c USING (plan_id, orientation, role) GROUP BY v.plan_id, v.orientation, v.role, v.value),
+{out}_m AS MATERIALIZED (SELECT v.plan_id, v.orientation, v.role, v.value, coalesce(arg_min(c.center, (abs(c.center - v.value), c.center)), v.value) AS snapped
+  FROM {out}_i v LEFT JOIN {out}_c c ON c.plan_id = v.plan_id AND c.orientation = v.orientation AND c.role = v.role AND c.center BETWEEN v.value - v.tol AND v.value + v.tol
+  GROUP BY v.plan_id, v.orientation, v.role, v.value),
 {out} AS (SELECT w.* REPLACE (a.snapped AS coord, b.snapped AS s, c.snapped AS e) FROM {src} w
   JOIN {out}_m a ON a.plan_id = w.plan_id AND a.orientation = w.orientation AND a.role = 'coord' AND a.value = w.coord
   JOIN {out}_m b ON b.plan_id = w.plan_id AND b.orientation = w.orientation AND b.role = 'span' AND b.value = w.s

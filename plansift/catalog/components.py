@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plansift import views as V
 from plansift.catalog.cleaning import base
-from plansift.catalog.masks import BASE, CLOSED, FRAME, ICONS, closed_mask, frame, icon_mask, runs_digest, sql_close, sql_complement, sql_dilate, wall_mask
+from plansift.catalog.masks import BASE, CLOSED, FRAME, ICONS, closed_mask, frame, icon_mask, runs_digest, sql_close, sql_complement, sql_dilate, sql_merge, sql_open, wall_mask
 from plansift.catalog.registry import query, rnd
 from plansift.functions.formats import feet_inches
 from plansift.operators import components as C, masks as M, regions as R
@@ -205,12 +205,47 @@ def _(spark, sf):
 
 # -- region plan
 
-@query("m12_region_plan", "walls plans", None)
+def sql_trim(src, lo, hi, c1, c2, other, out):
+    """One pass of J16 over {src}: ends move to what they meet in {other}."""
+    high, low = (f"CASE WHEN o.{lo} - 2 < m.{hi} AND m.{hi} < o.{hi} + (o.{hi} - o.{lo}) * 1.3 THEN", f"CASE WHEN o.{lo} - (o.{hi} - o.{lo}) * 1.3 < m.{lo} AND m.{lo} < o.{hi} + 2 THEN")
+    return f"""
+{out}_m AS (SELECT m.plan_id, m.ord, arg_max({high} o.{hi} END, {high} o.ord END) AS nh, arg_max({low} o.{lo} END, {low} o.ord END) AS nl FROM {src} m JOIN {other} o
+ ON m.plan_id = o.plan_id AND (m.{c1} + m.{c2}) / 2 BETWEEN o.{c1} - 2 AND o.{c2} + 2 AND m.{lo} < o.{hi} AND m.{hi} > o.{lo} GROUP BY m.plan_id, m.ord),
+{out} AS (SELECT r.* REPLACE (coalesce(nl, {lo}) AS {lo}, coalesce(nh, {hi}) AS {hi}) FROM {src} r LEFT JOIN {out}_m USING (plan_id, ord))"""
+
+
+REGIONS = BASE + "," + sql_close("wm", "cl", M.rect_kernel(5, 2)) + "," + sql_open("cl", "op", M.rect_kernel(3)) + """,
+nd AS (SELECT plan_id, w, h, greatest(8, least(w, h) // 40) AS need FROM frame),
+hr AS (SELECT op.* FROM op JOIN nd USING (plan_id) WHERE x1 - x0 + 1 >= need),
+px AS (SELECT plan_id, y, unnest(range(x0, x1 + 1)) AS x FROM op),
+pg AS (SELECT *, y - row_number() OVER (PARTITION BY plan_id, x ORDER BY y) AS g FROM px),
+pn AS (SELECT *, count(*) OVER (PARTITION BY plan_id, x, g) AS n FROM pg),
+pk AS (SELECT pn.plan_id, y, x AS x0, x AS x1 FROM pn JOIN nd USING (plan_id) WHERE n >= need),""" + sql_merge("pk", "vr") + "," + sql_label("hr", "hl") + "," + sql_label("vr", "vl") + "," + sql_stats("hl", "hs") + "," + sql_stats("vl", "vs") + """,
+cn AS (SELECT *, bx1 - bx0 + 1 AS len, by1 - by0 + 1 AS dep, 'horizontal' AS o FROM hs UNION ALL SELECT *, by1 - by0 + 1, bx1 - bx0 + 1, 'vertical' FROM vs),
+ac AS (SELECT cn.*, w, h, w / h > 1490.0::DOUBLE / 1050 AS wide, dep * (1 - 0.4::DOUBLE) / 2 AS trim FROM cn JOIN nd USING (plan_id) WHERE len >= need AND dep >= 2 AND len / dep >= 2.5),
+tr AS (SELECT *, CASE WHEN wide THEN 1490.0::DOUBLE / w ELSE 1050.0::DOUBLE / h END AS sc FROM ac),
+pl AS (SELECT *, CASE WHEN wide THEN 40.0::DOUBLE ELSE 40 + (1490 - w * sc) / 2 END AS ox, CASE WHEN wide THEN 30 + (1050 - h * sc) / 2 ELSE 30.0::DOUBLE END AS oy FROM tr),
+rc AS (SELECT plan_id, o, comp AS ord, (CASE o WHEN 'horizontal' THEN bx0 ELSE bx0 + trim END) * sc + ox AS x1, (h - CASE o WHEN 'horizontal' THEN by1 + 1 - trim ELSE by1 + 1 END) * sc + oy AS y1,
+ (CASE o WHEN 'horizontal' THEN bx1 + 1 ELSE bx1 + 1 - trim END) * sc + ox AS x2, (h - CASE o WHEN 'horizontal' THEN by0 + trim ELSE by0 END) * sc + oy AS y2 FROM pl),
+rh AS (SELECT * FROM rc WHERE o = 'horizontal'), rv AS (SELECT * FROM rc WHERE o = 'vertical'),""" + sql_trim("rh", "x1", "x2", "y1", "y2", "rv", "h2") + "," + sql_trim("rv", "y1", "y2", "x1", "x2", "h2", "v2") + """,
+al AS (SELECT * FROM h2 UNION ALL SELECT * FROM v2),
+rs AS (SELECT al.plan_id, al.o AS orientation, al.ord, al.x1, al.y1, al.x2, al.y2, rc.x1 AS raw_x1, rc.y1 AS raw_y1, rc.x2 AS raw_x2, rc.y2 AS raw_y2,
+ greatest(abs(al.x1 - rc.x1), abs(al.y1 - rc.y1), abs(al.x2 - rc.x2), abs(al.y2 - rc.y2)) > 1e-6 AS adjusted, greatest(0.0::DOUBLE, CASE al.o WHEN 'horizontal' THEN al.y2 - al.y1 ELSE al.x2 - al.x1 END) AS thick FROM al JOIN rc USING (plan_id, o, ord)),
+rp AS (SELECT plan_id, orientation, ord, adjusted, thick AS raw_thickness, least(thick, 6) AS draw_thickness, thick > 6 AS clamped, raw_x1, raw_y1, raw_x2, raw_y2,
+ CASE WHEN thick > 6 AND orientation = 'vertical' THEN (x1 + x2) / 2 - 3 ELSE x1 END AS x1, CASE WHEN thick > 6 AND orientation = 'horizontal' THEN (y1 + y2) / 2 - 3 ELSE y1 END AS y1,
+ CASE WHEN thick > 6 AND orientation = 'vertical' THEN (x1 + x2) / 2 + 3 ELSE x2 END AS x2, CASE WHEN thick > 6 AND orientation = 'horizontal' THEN (y1 + y2) / 2 + 3 ELSE y2 END AS y2,
+ printf('%s-region-%04d', orientation[1], row_number() OVER (PARTITION BY plan_id, orientation ORDER BY ord)) AS region_id FROM rs)"""
+REGION_NUMBERS = ["raw_thickness", "draw_thickness", *(f"{raw}{c}{n}" for raw in ("raw_", "") for n in (1, 2) for c in "xy")]
+
+
+@query("m12_region_plan", "walls plans", REGIONS + " SELECT plan_id, region_id, orientation, ord, adjusted, clamped, " + ", ".join(f"{rnd(c, 4)} AS {c}" for c in REGION_NUMBERS) + " FROM rp")
 def _(spark, sf):
-    return R.region_plan(wall_mask(spark, sf), frame(spark, sf))
+    plan = R.region_plan(wall_mask(spark, sf), frame(spark, sf))
+    return plan.select("plan_id", "region_id", "orientation", "ord", "adjusted", "clamped", *[M.round_to(c, 4).alias(c) for c in REGION_NUMBERS])
 
 
-@query("a27_region_meta", "walls plans", None)
+@query("a27_region_meta", "walls plans", REGIONS + """ SELECT plan_id, count(*) AS region_count, count(*) FILTER (clamped) AS clamped_region_count,
+ count(*) FILTER (orientation = 'horizontal' AND adjusted) AS horizontal_adjusted_count, count(*) FILTER (orientation = 'vertical' AND adjusted) AS vertical_adjusted_count FROM rp GROUP BY plan_id""")
 def _(spark, sf):
     return R.region_meta(R.region_plan(wall_mask(spark, sf), frame(spark, sf)))
 

@@ -269,11 +269,9 @@ def _(spark, sf):
 
 
 @query("p15_vector_lines", "polygons plans", """
-pt AS (SELECT plan_id, px AS x, py AS y, row_number() OVER (PARTITION BY plan_id ORDER BY poly_id) - 1 AS idx FROM polygons WHERE corner = 0),
-a AS (SELECT plan_id, idx AS line_no, idx AS a, idx + 1 AS b FROM pt WHERE idx % 2 = 0)
-SELECT l.plan_id, line_no, p.x AS x1, image_h - p.y AS y1, q.x AS x2, image_h - q.y AS y2,
- CASE WHEN abs(q.x - p.x) >= abs(q.y - p.y) THEN 'horizontal' ELSE 'vertical' END AS orientation
- FROM a l JOIN pt p ON p.plan_id = l.plan_id AND p.idx = l.a JOIN pt q ON q.plan_id = l.plan_id AND q.idx = l.b JOIN plans ON plans.plan_id = l.plan_id""")
+pt AS (SELECT plan_id, px AS x1, py AS y1, lead(px) OVER w AS x2, lead(py) OVER w AS y2, row_number() OVER w - 1 AS line_no FROM polygons WHERE corner = 0 WINDOW w AS (PARTITION BY plan_id ORDER BY poly_id))
+SELECT plan_id, line_no, x1, image_h - y1 AS y1, x2, image_h - y2 AS y2, CASE WHEN abs(x2 - x1) >= abs(y2 - y1) THEN 'horizontal' ELSE 'vertical' END AS orientation
+ FROM pt JOIN plans USING (plan_id) WHERE line_no % 2 = 0 AND x2 IS NOT NULL""")
 def _(spark, sf):
     corners = number_by(V.polygons(spark, sf).filter("corner = 0").select("plan_id", "poly_id", "px", "py"), ["plan_id"], "poly_id", "n")
     points = corners.selectExpr("plan_id", "px AS x", "py AS y", "n - 1 AS idx")
