@@ -80,7 +80,7 @@ def nearest_point(
 
     ``points``: plan_id, x, y and ``keep``; ``targets``: plan_id, tx, ty, tord.
     With ``limit`` one pass over 3 x 3 cells of that size is complete. Without
-    it the ring width grows eightfold until every plan's extent is covered.
+    it that pass settles what is near, and a hierarchy of grids the rest.
     """
     spots = targets.groupBy("plan_id", "tx", "ty").agg(
         F.min("tord").alias("tord"), F.min_by(payload, "tord").alias("payload")
@@ -106,20 +106,39 @@ def nearest_point(
         )
 
     rows = points.select(*keep, "x", "y")
+    near = ring(rows, size if limit is None else limit)
     if limit is not None:
-        return ring(rows, limit)
-    span = (
-        points.select("x", "y")
-        .unionByName(targets.select(F.col("tx").alias("x"), F.col("ty").alias("y")))
-        .agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("extent"))
-        .first()
-    )
-    extent = span["extent"] or 0.0
-    done, width = ring(rows, size), size
-    result = done
-    while width < extent:
-        width *= 8
-        rows = rows.join(done.select(*keep), keep, "left_anti")
-        done = ring(rows, width)
-        result = result.unionByName(done)
-    return result
+        return near
+    left = rows.join(near.select(*keep), keep, "left_anti")
+    return near.unionByName(_over_levels(left, spots, keep, dist, size))
+
+
+NEIGHBOURS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+
+
+def _over_levels(rows: DataFrame, spots: DataFrame, keep: list[str], dist: Column, size: float) -> DataFrame:
+    """Nearest spots over a hierarchy of grids whose cells double from level to level, up to the extent of each plan.
+
+    A point looks at the lowest level where a spot lies in its 3 x 3 cells. The
+    nearest of these bounds its distance, and the level whose cells are as wide
+    as that bound holds the true nearest spot.
+    """
+    places = rows.select("plan_id", "x", "y").unionByName(spots.select("plan_id", F.col("tx").alias("x"), F.col("ty").alias("y")))
+    extent = places.groupBy("plan_id").agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("extent"))
+    level_of = lambda reach: F.ceil(F.log2(F.greatest(reach, F.lit(size)) / size) + 1e-9).cast("int")
+    tops = extent.select("plan_id", (level_of(F.col("extent")) + 1).alias("top"))
+    width = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+    listed = spots.join(tops, "plan_id").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top")))).select(
+        "plan_id", "tx", "ty", "tord", "payload", "level", F.floor(F.col("tx") / width).alias("cx"), F.floor(F.col("ty") / width).alias("cy"))
+
+    def around(found: DataFrame) -> DataFrame:
+        cells = F.array(*[F.struct((F.floor(F.col("x") / width) + dx).alias("cx"), (F.floor(F.col("y") / width) + dy).alias("cy")) for dx, dy in NEIGHBOURS])
+        return found.select(*keep, "x", "y", "level", F.inline(cells))
+
+    every = rows.join(tops, "plan_id").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top"))))
+    cell = ["plan_id", "level", "cx", "cy"]
+    lowest = around(every).join(listed.select(*cell).distinct(), cell, "left_semi").groupBy(*keep, "x", "y").agg(F.min("level").alias("level"))
+    bound = around(lowest).join(listed, cell).groupBy(*keep, "x", "y").agg(F.min(dist).alias("bound"))
+    exact = around(bound.withColumn("level", level_of(F.col("bound"))))
+    return exact.join(listed, cell).withColumn("dist", dist).groupBy(*keep).agg(
+        F.min_by(F.struct("payload", "dist"), F.struct("dist", "tord")).alias("hit"))

@@ -214,3 +214,20 @@ def test_mask_walls_merge_as_in_a_plain_loop(spark):
         else:
             want.append([coord, s, e])
     assert sorted((r.coord, r.s, r.e) for r in matching.merge_mask_walls(df).collect()) == sorted(map(tuple, want))
+
+
+def test_nearest_point_over_grid_levels(spark):
+    import random
+    from plansift.operators import nearest
+    rng = random.Random(12)
+    spots = [(p, rng.choice((0, 1)) * 9000 + rng.random() * 50, rng.random() * 40 - 3000, i) for p in (1, 2) for i in range(40)] + [(3, 5.0, 5.0, 0)]
+    points = [(p, i, rng.uniform(-20_000, 20_000), rng.uniform(-4000, 9000)) for p in (1, 2, 3, 4) for i in range(60)] + [(1, 100, *spots[0][1:3])]
+    df = spark.createDataFrame(points, "plan_id long, opening_id long, x double, y double")
+    targets = spark.createDataFrame(spots, "plan_id long, tx double, ty double, tord long")
+    got = {(r.plan_id, r.opening_id): (r.hit.payload, round(r.hit.dist, 6)) for r in nearest.nearest_point(df, targets, ["plan_id", "opening_id"], F.col("tord"), None).collect()}
+    want = {}
+    for p, i, x, y in points:
+        near = min(((abs(x - a) + abs(y - b), o) for q, a, b, o in spots if q == p), default=None)
+        if near:
+            want[p, i] = (near[1], round(near[0], 6))
+    assert got == want
