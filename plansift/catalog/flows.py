@@ -38,12 +38,31 @@ def _(spark, sf):
     return out.select("plan_id", "wall_id", "orientation", *[W.round_to(c, 6).alias(c) for c in ("coord", "s", "e", "thickness")], "confidence", "side", "is_exterior", "n_junctions")
 
 
-NEAR = """,
-op AS (SELECT o.*, snap FROM openings o JOIN cfg ON cfg.plan_id = o.plan_id WHERE span > 200 OR EXISTS (SELECT 1 FROM fw w
+# every third opening names a wall by its number, whether it exists or not
+NAMED = "CASE WHEN k % 3 = 0 THEN {} END"
+
+
+def named_openings(spark, sf):
+    return V.openings(spark, sf).withColumn("wall_id", F.expr(NAMED.format("format_string('wall-%04d', 1 + k % 12)")))
+
+
+CLASH = "least(k.along + k.span / 2, x[1].along + x[1].span / 2) - greatest(k.along - k.span / 2, x[1].along - x[1].span / 2) > least(k.span, x[1].span) * 0.5"
+NEAR = f""",
+oq AS (SELECT o.*, {NAMED.format("printf('wall-%04d', 1 + k % 12)")} AS wall_id, snap FROM openings o JOIN cfg ON cfg.plan_id = o.plan_id WHERE span > 200 OR EXISTS (SELECT 1 FROM fw w
  WHERE w.plan_id = o.plan_id AND CASE w.orientation WHEN 'horizontal' THEN abs(o.y - w.coord) <= snap * 3 AND o.x - span / 2 <= w.e + snap AND o.x + span / 2 >= w.s - snap
- ELSE abs(o.x - w.coord) <= snap * 3 AND o.y - span / 2 <= w.e + snap AND o.y + span / 2 >= w.s - snap END)),"""
-PARSE = CLEAN + NEAR + sql_best("op", "fw", "b1", tol="o.snap") + "," + sql_best("op", "fw", "b2", "NULL", "o.snap") + (
-    ANCHOR_STEPS.replace(">= -4", ">= -snap").replace("+ 4 ", "+ snap ").replace("FROM openings o", "FROM op o"))
+ ELSE abs(o.x - w.coord) <= snap * 3 AND o.y - span / 2 <= w.e + snap AND o.y + span / 2 >= w.s - snap END)),
+nm AS (SELECT oq.*, CASE w.orientation WHEN 'horizontal' THEN oq.x ELSE oq.y END AS along, w.is_exterior AS outer_, {{'wall_id': w.wall_id, 'o': w.orientation, 'coord': w.coord, 's': w.s, 'e': w.e, 'dist': 0.0::DOUBLE}} AS line
+ FROM oq JOIN fw w ON w.plan_id = oq.plan_id AND w.wall_id = oq.wall_id),
+nl AS (SELECT plan_id, wall_id, kind, list([{{'along': along, 'ord': ord, 'span': span}}] ORDER BY along, ord) AS items FROM nm GROUP BY ALL),
+nk AS (SELECT plan_id, wall_id, kind, unnest(list_reduce(items, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {CLASH})) = 0 THEN list_concat(acc, x)
+   WHEN x[1].span > list_filter(acc, lambda k: {CLASH})[1].span THEN list_concat(list_filter(acc, lambda m: m.ord <> list_filter(acc, lambda k: {CLASH})[1].ord), x) ELSE acc END)).ord AS ord FROM nl),
+ns AS (SELECT *, row_number() OVER (PARTITION BY plan_id, wall_id, kind ORDER BY span DESC, ord) AS rn FROM nm SEMI JOIN nk USING (plan_id, wall_id, kind, ord)),
+nw AS (SELECT * FROM ns WHERE kind <> 'window' OR NOT outer_ OR rn <= 3),
+op AS (SELECT * FROM oq ANTI JOIN nm USING (plan_id, opening_id) UNION ALL SELECT * EXCLUDE (along, outer_, line, rn) FROM nw),"""
+PARSE = CLEAN + NEAR + sql_best("op", "fw", "b1", tol="o.snap") + "," + sql_best("op", "fw", "b2", "NULL", "o.snap") + """,
+b0 AS (SELECT plan_id, opening_id, line FROM nw UNION ALL SELECT plan_id, opening_id, line FROM b1 ANTI JOIN nw USING (plan_id, opening_id))""" + (
+    ANCHOR_STEPS.replace(">= -4", ">= -snap").replace("+ 4 ", "+ snap ").replace("FROM openings o", "FROM op o").replace("b1.line", "b0.line").replace("LEFT JOIN b1 ", "LEFT JOIN b0 ")
+    .replace("line.wall_id AS wall_id, span", "line.wall_id AS placed, span"))
 GATE = PARSE + f""",
 bx AS (SELECT plan_id, min(CASE orientation WHEN 'horizontal' THEN s ELSE coord END) AS min_x, max(CASE orientation WHEN 'horizontal' THEN e ELSE coord END) AS max_x,
  min(CASE orientation WHEN 'horizontal' THEN coord ELSE s END) AS min_y, max(CASE orientation WHEN 'horizontal' THEN coord ELSE e END) AS max_y FROM fw GROUP BY plan_id),
@@ -64,7 +83,7 @@ SELECT plan_id, wall_count, exterior_wall_count, opening_count, filtered_opening
 @query("parse_structure_flow", "raw_xy plans openings", GATE)
 def _(spark, sf):
     plans = V.plans(spark, sf)
-    out = clean.gate(clean.clean(raw(spark, sf), V.openings(spark, sf), plans), plans)
+    out = clean.gate(clean.clean(raw(spark, sf), named_openings(spark, sf), plans), plans)
     return out.select("plan_id", "wall_count", "exterior_wall_count", "opening_count", "filtered_opening_count", "junction_count", "bbox_sides_covered",
                       F.array_join("gate_reasons", ",").alias("gate_reasons"))
 

@@ -165,7 +165,8 @@ def dedupe_on_wall(openings: DataFrame) -> DataFrame:
     )
     # no opening that follows reaches further back than half of the widest one of its chain
     wide = chained.withColumn("widest", F.max("span").over(Window.partitionBy(*group, "chain")))
-    kept = fold_sorted(wide, [*group, "chain"], ["along", "ord"], ["along", "span", "ord", "widest"], _keep_larger, "along double, span double, ord long")
+    kept = fold_sorted(wide, [*group, "chain"], ["along", "ord"], ["along", "span", "ord", "widest"], _keep_larger,
+                       f"along double, span double, ord {wide.schema['ord'].dataType.simpleString()}")
     return kept.drop("chain")
 
 

@@ -88,16 +88,17 @@ def clean_openings(raw: DataFrame, final: DataFrame, plans: DataFrame) -> tuple[
         if name not in full.columns:
             full = full.withColumn(name, F.lit(None).cast(kind))
     usable = openings.normalize_openings(full).filter("error IS NULL").drop("error")
-    near = openings.drop_furniture(config.with_adaptive_config(usable, plans), final)
+    # every later step reads these rows several times
+    near = cut_lineage(openings.drop_furniture(config.with_adaptive_config(usable, plans), final))
     named = _on_walls(near, final)
     free = near.join(final.select("plan_id", "wall_id"), ["plan_id", "wall_id"], "left_anti")
     kept = openings.dedupe_on_wall(named).select("plan_id", "wall_id", "kind", "ord")
-    single = named.join(kept, ["plan_id", "wall_id", "kind", "ord"], "left_semi").drop("along")
+    single = cut_lineage(named.join(kept, ["plan_id", "wall_id", "kind", "ord"], "left_semi").drop("along"))
     limited = openings.limit_exterior_windows(single, final)
     removed = (
         _dropped(raw, usable, "opening_invalid").unionByName(_dropped(usable, near, "furniture"))
         .unionByName(_dropped(named, single, "opening_duplicate")).unionByName(_dropped(single, limited, "window_limit")))
-    return free.unionByName(limited), removed
+    return cut_lineage(free.unionByName(limited)), removed
 
 
 def clean(raw_walls: DataFrame, raw_openings: DataFrame, plans: DataFrame) -> Structures:
