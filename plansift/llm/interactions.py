@@ -26,7 +26,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import permutations
-from math import factorial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
