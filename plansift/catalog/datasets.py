@@ -10,7 +10,7 @@ from plansift import views as V
 from plansift.catalog.registry import query, rnd
 from plansift.functions.ranking import number_by
 from plansift.operators import datasets as D
-from plansift.sources import archives, cases, files, labels, structures
+from plansift.sources import archives, cases, files, labels, reports, structures
 
 AUDIT = """
 ra AS (SELECT *, wall / greatest(total, 1) AS ratio FROM audit_input),
@@ -212,6 +212,39 @@ def _(spark, sf):
         "plan_id", "wall_id", "orientation", "x1", "y1", "thickness", "is_exterior")
 
 
+def structure_files(spark, sf):
+    """Structure documents, one line each, with walls, openings at the walls' middles and a junction at every first end."""
+    one = V.walls(spark, sf).withColumn("flat", F.col("orientation") == "horizontal").selectExpr(
+        "k AS doc_id", "ord", """named_struct('id', wall_id, 'orientation', orientation, 'thickness', thickness, 'confidence', confidence, 'is_exterior', flat, 'polyline',
+         array(named_struct('x', if(flat, s, coord), 'y', if(flat, coord, s)), named_struct('x', if(flat, e, coord), 'y', if(flat, coord, e)))) AS wall""",
+        """named_struct('id', concat('o-', wall_id), 'kind', if(flat, 'door', 'window'), 'wall_id', wall_id, 'orientation', orientation, 'offset', 0D, 'span', (e - s) / 4,
+         'position', named_struct('x', if(flat, (s + e) / 2, coord), 'y', if(flat, coord, (s + e) / 2))) AS opening""",
+        "named_struct('type', if(flat, 'L', 'T'), 'wall_ids', array(wall_id), 'point', named_struct('x', if(flat, s, coord), 'y', if(flat, coord, s))) AS junction")
+    docs = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "wall", "opening", "junction"))).alias("r")).select(
+        "doc_id", F.to_json(F.struct(F.col("r.wall").alias("walls"), F.col("r.opening").alias("openings"), F.col("r.junction").alias("junctions"))).alias("doc"))
+    path = files.scratch(spark) + "/structures"
+    structures.write_lines(docs, "doc_id", "doc", path)
+    return structures.read_lines(spark, path)
+
+
+@query("s04_structure_walls", "walls", """SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY ord, wall_id) - 1 AS n, wall_id, CASE orientation WHEN 'horizontal' THEN s ELSE coord END AS x1,
+ CASE orientation WHEN 'horizontal' THEN coord ELSE s END AS y1, CASE orientation WHEN 'horizontal' THEN e ELSE coord END AS x2, CASE orientation WHEN 'horizontal' THEN coord ELSE e END AS y2, thickness FROM walls""")
+def _(spark, sf):
+    return structures.explode_walls(structure_files(spark, sf), "doc_id").select("doc_id", F.col("ord").alias("n"), "wall_id", "x1", "y1", "x2", "y2", "thickness")
+
+
+@query("s04_structure_openings", "walls", """SELECT k AS doc_id, concat('o-', wall_id) AS opening_id, CASE orientation WHEN 'horizontal' THEN 'door' ELSE 'window' END AS kind, wall_id,
+ CASE orientation WHEN 'horizontal' THEN (s + e) / 2 ELSE coord END AS x, CASE orientation WHEN 'horizontal' THEN coord ELSE (s + e) / 2 END AS y, (e - s) / 4 AS span FROM walls""")
+def _(spark, sf):
+    return structures.explode_openings(structure_files(spark, sf), "doc_id").select("doc_id", "opening_id", "kind", "wall_id", "x", "y", "span")
+
+
+@query("s04_structure_junctions", "walls", """SELECT k AS doc_id, CASE orientation WHEN 'horizontal' THEN 'L' ELSE 'T' END AS type, wall_id,
+ CASE orientation WHEN 'horizontal' THEN s ELSE coord END AS x, CASE orientation WHEN 'horizontal' THEN coord ELSE s END AS y FROM walls""")
+def _(spark, sf):
+    return structures.explode_junctions(structure_files(spark, sf), "doc_id").select("doc_id", "type", F.element_at("wall_ids", 1).alias("wall_id"), "x", "y")
+
+
 LABEL = """
 dim AS (SELECT doc_id, (8 + doc_id % 5)::BIGINT AS h, (10 + doc_id % 7)::BIGINT AS w FROM documents),
 rn AS (SELECT doc_id AS sample_id, ch AS channel, (doc_id + y + b + ch) % 3 AS cls, y, 4 * b AS x0, least(4 * b + 3, w - 1) AS x1
@@ -265,6 +298,53 @@ def _(spark, sf):
     return files.read_report(spark, path).select("case_id", "run_id", "dataset")
 
 
+# runs of a benchmark: a customer's orders of one priority are one case of one run
+RUNS = """
+rr AS (SELECT concat(o_orderpriority, '/', o_custkey % 3) AS run_id, o_custkey // 3 AS case_id, o_orderstatus <> 'F' AS success, o_orderstatus = 'P' AS needs_review,
+ CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 3 > 0 END AS meets_thresholds, o_orderkey % 4 = 0 AS normalized, floor(o_totalprice)::BIGINT AS elapsed_ms FROM orders),
+ru AS (SELECT DISTINCT concat(o_orderpriority, '/', o_custkey % 3) AS run_id, concat('d', ascii(o_orderpriority) % 2) AS dataset, concat('b', o_custkey % 3) AS backend,
+ substr(o_orderpriority, 1, 1) IN ('2', '3') AS is_baseline FROM orders)"""
+
+
+def write_runs(spark, sf):
+    """A report of all runs; a first report of one backend's runs is faulty and replaced by the second."""
+    orders = V.load(spark, sf, "orders")
+    run = "concat(o_orderpriority, '/', o_custkey % 3) AS run_id"
+    results = orders.selectExpr(
+        run, "o_custkey div 3 AS case_id", "o_orderstatus <> 'F' AS success", "o_orderstatus = 'P' AS needs_review",
+        "if(o_orderkey % 7 > 0, o_orderkey % 3 > 0, null) AS meets_thresholds", "o_orderkey % 4 = 0 AS normalized", "cast(floor(o_totalprice) AS bigint) AS elapsed_ms")
+    runs = orders.selectExpr(
+        run, "concat('d', ascii(o_orderpriority) % 2) AS dataset", "concat('b', o_custkey % 3) AS backend", "substr(o_orderpriority, 1, 1) IN ('2', '3') AS is_baseline").distinct()
+    path = files.scratch(spark) + "/runs"
+    faulty = "backend = 'b1'"
+    reports.write(results.withColumn("success", F.lit(False)).withColumn("case_id", F.lit(-1).cast("long")), runs.filter(faulty), path)
+    reports.write(results, runs, path)
+    return path
+
+
+@query("s07_run_summary", "", RUNS + f"""
+SELECT run_id, dataset, backend, is_baseline, count(*) AS total, count_if(success) AS passed, count_if(NOT success) AS failed, {rnd('count_if(success) / count(*)', 6)} AS pass_rate,
+ count_if(meets_thresholds) AS threshold_passed, count_if(NOT meets_thresholds) AS threshold_failed, {rnd('count_if(meets_thresholds) / count(*)', 6)} AS threshold_pass_rate,
+ {rnd('count_if(needs_review) / count(*)', 6)} AS review_rate, {rnd('sum(elapsed_ms) / count(*)', 6)} AS avg_elapsed_ms, count_if(normalized) AS normalized_case_count, count_if(NOT normalized) AS native_case_count
+FROM rr JOIN ru USING (run_id) GROUP BY ALL""")
+def _(spark, sf):
+    path = write_runs(spark, sf)
+    return reports.read(spark, path, reports.RUNS).join(reports.read(spark, path, reports.SUMMARY), "run_id")
+
+
+@query("s07_baseline_changes", "", RUNS + f""",
+cs AS (SELECT run_id, case_id, bool_and(success) AS ok, max(elapsed_ms) AS ms FROM rr GROUP BY ALL),
+ch AS (SELECT a.run_id, max(b.run_id) AS baseline_id FROM ru a JOIN ru b ON a.dataset = b.dataset AND a.backend = b.backend AND a.run_id <> b.run_id WHERE b.is_baseline GROUP BY a.run_id),
+ba AS (SELECT ch.run_id, case_id, ok AS base_ok, ms AS base_ms FROM cs JOIN ch ON cs.run_id = baseline_id),
+mi AS (SELECT cs.* FROM cs SEMI JOIN ch USING (run_id)),
+bo AS (SELECT run_id, ok, base_ok, ms - base_ms AS change FROM mi FULL JOIN ba USING (run_id, case_id))
+SELECT run_id, baseline_id, count_if(ok IS NOT NULL AND base_ok IS NOT NULL) AS shared, count_if(base_ok IS NULL) AS added, count_if(ok IS NULL) AS missing, count_if(base_ok AND NOT ok) AS broken,
+ count_if(ok AND NOT base_ok) AS mended, {rnd('sum(change) / nullif(count(change), 0)', 6)} AS avg_elapsed_change FROM bo JOIN ch USING (run_id) GROUP BY ALL""")
+def _(spark, sf):
+    path = write_runs(spark, sf)
+    return reports.against_baseline(*(reports.read(spark, path, t) for t in (reports.RESULTS, reports.RUNS, reports.BASELINES)))
+
+
 @query("s08_array_summary", "", LABEL + """,
 d AS (SELECT doc_id AS sample_id, h, w FROM dim)
 SELECT sample_id, channel::BIGINT AS channel, concat('[', h, ',', w, ']') AS shape, 'uint8' AS dtype, coalesce(sum(x1 - x0 + 1) FILTER (cls <> 0), 0)::BIGINT AS nonzero_count,
@@ -355,6 +435,34 @@ def _(spark, sf):
     return archives.member_counters(V.members(spark, sf))
 
 
+HINTS = """
+hn AS (SELECT archive, ordinal, name, 'annotation' AS hint FROM members WHERE regexp_matches(lower(name), '[.](json|xml|txt|csv)|annotation|label')
+ UNION ALL SELECT archive, ordinal, name, 'image' FROM members WHERE regexp_matches(lower(name), '[.](png|jpg|jpeg|bmp)$'))"""
+
+
+@query("a16_hint_lists", "members", HINTS + """
+SELECT archive, hint, rn, ordinal, name FROM (SELECT *, row_number() OVER (PARTITION BY archive, hint ORDER BY ordinal, name) AS rn FROM hn) WHERE rn <= 50""")
+def _(spark, sf):
+    return archives.hint_lists(V.members(spark, sf))
+
+
+@query("a16_archive_totals", "members", HINTS + """,
+hc AS (SELECT archive, count_if(hint = 'annotation') AS annotation_like, count_if(hint = 'image') AS image_like FROM hn GROUP BY archive)
+SELECT archive, count(*) AS members_scanned, coalesce(any_value(annotation_like), 0) AS annotation_like, coalesce(any_value(image_like), 0) AS image_like,
+ count(DISTINCT lower(regexp_extract(name, '[^/]*([.][^./]+)$', 1))) AS extensions, count(DISTINCT split_part(name, '/', 1)) AS top_level FROM members LEFT JOIN hc USING (archive) GROUP BY archive""")
+def _(spark, sf):
+    return archives.archive_totals(V.members(spark, sf))
+
+
+@query("a16_semantic_totals", "", SVG_ROWS + """,
+ct AS (SELECT doc_id % 7 AS archive, kind, value FROM (SELECT doc_id, 'tag' AS kind, tag AS value FROM el UNION ALL SELECT doc_id, 'layer', layer FROM el WHERE n = 1
+ UNION ALL SELECT doc_id, 'semantic_id', semantic_id FROM el UNION ALL SELECT doc_id, 'stroke', stroke FROM el) WHERE value IS NOT NULL)
+SELECT archive, kind, value, count(*) AS n FROM ct GROUP BY ALL""")
+def _(spark, sf):
+    elements = archives.svg_elements(svg_docs(spark, sf)).withColumn("archive", F.col("archive") % 7)
+    return archives.counters(elements, ("archive",))
+
+
 @query("s15_sample_manifest", "manifest plans", """SELECT sample_id, concat(dataset, '/', sample_id, '/image.png') AS image_path, concat(dataset, '/', sample_id, '/label.npy') AS label_path,
  concat('[3,', 320 + sample_id % 50, ',', 400 + sample_id % 50, ']') AS image_shape FROM manifest""")
 def _(spark, sf):

@@ -293,6 +293,19 @@ def _(spark, sf):
     return r6(D.preview_lines(annotations(spark, sf)).withColumnRenamed("by", "by_"), "ax", "ay", "bx", "by_", n=4)
 
 
+@query("p30_preview_arcs", "openings", ANN + f""",
+sw AS (SELECT *, CASE WHEN abs(y2 - y1) >= abs(x2 - x1) THEN CASE WHEN swing IN ('up', 'down') THEN 'left' ELSE swing END ELSE CASE WHEN swing IN ('left', 'right') THEN 'up' ELSE swing END END AS to_ FROM an),
+tp AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS w FROM sw WHERE type = 'door'),
+ar AS (SELECT *, x1 + CASE to_ WHEN 'left' THEN -w WHEN 'right' THEN w ELSE 0 END AS tx, y1 + CASE to_ WHEN 'up' THEN -w WHEN 'down' THEN w ELSE 0 END AS ty FROM tp)
+SELECT plan_id, opening_id, {rnd('tx', 4)} AS start_x, {rnd('ty', 4)} AS start_y, {rnd('tx + x2 - x1', 4)} AS control_x, {rnd('ty + y2 - y1', 4)} AS control_y, {rnd('x2', 4)} AS end_x, {rnd('y2', 4)} AS end_y FROM ar""")
+def _(spark, sf):
+    # the first swing is turned to one the axis allows, where it is not
+    rows = D.review_annotations(annotations(spark, sf))
+    first = F.element_at(D.swing_options(), 1)
+    allowed = D.with_swing(rows, F.when(F.array_contains(D.swing_options(), F.col("swing")), F.col("swing")).otherwise(first))
+    return r6(D.preview_arcs(allowed), "start_x", "start_y", "control_x", "control_y", "end_x", "end_y", n=4)
+
+
 @query("p32_entity_measures", "entities", f"""
 m AS (SELECT *, (end_angle - start_angle + 720) % 360 AS sp FROM entities)
 SELECT file_id, handle, type, CASE type WHEN 'LINE' THEN {rnd('sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))', 4)} WHEN 'ARC' THEN {rnd('radians(sp) * radius', 4)} END AS length,

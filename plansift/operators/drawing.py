@@ -319,13 +319,44 @@ def swing_target(swing: Column) -> tuple[Column, Column]:
     return x, y
 
 
+def review_annotations(rows: DataFrame) -> DataFrame:
+    """Doors and windows with four numeric ends; anything else is not under review."""
+    ends = [F.col(c).try_cast("double") for c in ("x1", "y1", "x2", "y2")]
+    known = F.col("type").isin("door", "window")
+    for end in ends:
+        known = known & end.isNotNull() & ~F.isnan(end)
+    return rows.filter(known).withColumns(dict(zip(("x1", "y1", "x2", "y2"), ends)))
+
+
+def with_swing(rows: DataFrame, swing: Column) -> DataFrame:
+    """Set the swing; one that is not allowed for the annotation's axis leaves the old one."""
+    return rows.withColumn("swing", F.when(F.array_contains(swing_options(), swing), swing).otherwise(F.col("swing")))
+
+
+def slab_tip(swing: Column) -> tuple[Column, Column]:
+    """Free end of an open door leaf, one opening width from the hinge (x1, y1) towards the swing."""
+    width = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    slab = {"up": -math.pi / 2, "down": math.pi / 2, "left": math.pi, "right": 0.0}
+    turn = F.element_at(F.create_map(*[F.lit(v) for kv in slab.items() for v in kv]), swing)
+    return F.col("x1") + F.cos(turn) * width, F.col("y1") + F.sin(turn) * width
+
+
+def preview_arcs(rows: DataFrame) -> DataFrame:
+    """Quadratic curve of each door from the leaf's tip to the other jamb; windows have none.
+
+    The control point completes hinge, tip and jamb to a parallelogram.
+    """
+    tip_x, tip_y = slab_tip(F.col("swing"))
+    return rows.filter("type = 'door'").select(
+        "plan_id", "opening_id", tip_x.alias("start_x"), tip_y.alias("start_y"),
+        (tip_x + F.col("x2") - F.col("x1")).alias("control_x"), (tip_y + F.col("y2") - F.col("y1")).alias("control_y"),
+        F.col("x2").alias("end_x"), F.col("y2").alias("end_y"))
+
+
 def preview_lines(rows: DataFrame) -> DataFrame:
     """Preview segments of an annotation with type, ends and swing: two slab lines of a door, six of a window."""
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    width = F.hypot(x2 - x1, y2 - y1)
-    slab = {"up": -math.pi / 2, "down": math.pi / 2, "left": math.pi, "right": 0.0}
-    turn = F.element_at(F.create_map(*[F.lit(v) for kv in slab.items() for v in kv]), F.col("swing"))
-    tip_x, tip_y = x1 + F.cos(turn) * width, y1 + F.sin(turn) * width
+    tip_x, tip_y = slab_tip(F.col("swing"))
     lean = F.atan2(y2 - y1, x2 - x1)
     ox, oy = F.cos(lean) * 3, F.sin(lean) * 3
 

@@ -150,19 +150,23 @@ def assign_windows(windows: DataFrame, segments: DataFrame, coord_tol: float = 2
     """Segment with the least cross distance (+4 for the other orientation), first on ties.
 
     ``windows``: plan_id, opening_id, x, y, orientation; ``segments``: plan_id, seg_id, orientation, coord, s, e.
+    Equal windows look once and equal segments are one, the first of them, so
+    a crowded plan costs its distinct places and lines.
     """
     flat = F.col("seg_o") == "horizontal"
-    probe = windows.withColumn("seg_o", F.explode(F.array(F.lit("horizontal"), F.lit("vertical")))).withColumns(
+    place = ["plan_id", "x", "y", "orientation"]
+    probe = windows.select(*place).distinct().withColumn("seg_o", F.explode(F.array(F.lit("horizontal"), F.lit("vertical")))).withColumns(
         {"along": F.when(flat, F.col("x")).otherwise(F.col("y")), "cross": F.when(flat, F.col("y")).otherwise(F.col("x"))})
     probe = probe.withColumn("ac", cell_of(F.col("along"))).withColumn("cc", F.explode(F.sequence(cell_of(F.col("cross") - coord_tol), cell_of(F.col("cross") + coord_tol))))
-    listed = segments.select("plan_id", "seg_id", F.col("orientation").alias("seg_o"), "coord", "s", "e").withColumn(
+    lines = segments.groupBy("plan_id", F.col("orientation").alias("seg_o"), "coord", "s", "e").agg(F.min("seg_id").alias("seg_id"))
+    listed = lines.withColumn(
         "ac", F.explode(F.sequence(cell_of(F.col("s") - range_tol), cell_of(F.col("e") + range_tol)))).withColumn("cc", cell_of(F.col("coord")))
     diff = F.abs(F.col("cross") - F.col("coord"))
     score = diff + F.when(F.col("orientation") != F.col("seg_o"), 4.0).otherwise(0.0)
-    return probe.join(listed, ["plan_id", "seg_o", "ac", "cc"]).filter(
+    found = probe.join(listed, ["plan_id", "seg_o", "ac", "cc"]).filter(
         F.col("along").between(F.col("s") - range_tol, F.col("e") + range_tol) & (diff <= coord_tol)
-    ).groupBy("plan_id", "opening_id").agg(F.min_by(F.struct("seg_id", "along", score.alias("score")), F.struct(score.alias("score"), F.col("seg_id"))).alias("m")).select(
-        "plan_id", "opening_id", "m.seg_id", F.col("m.along").alias("center"), "m.score")
+    ).groupBy(*place).agg(F.min_by(F.struct("seg_id", "along", score.alias("score")), F.struct(score.alias("score"), F.col("seg_id"))).alias("m"))
+    return windows.select(*place, "opening_id").join(found, place).select("plan_id", "opening_id", "m.seg_id", F.col("m.along").alias("center"), "m.score")
 
 
 def openings_on_walls(openings: DataFrame, walls: DataFrame, tol: float = 8.0) -> DataFrame:

@@ -276,21 +276,24 @@ def legacy_openings(sides: DataFrame) -> DataFrame:
 
 
 def match_legacy(openings: DataFrame, walls: DataFrame) -> DataFrame:
-    """The shortest wall on the same line that contains the opening; equal exterior flag first."""
-    w = walls.select("plan_id", "orientation", "coord", "wall_id", "s", "e", F.col("is_exterior").alias("w_ext"))
+    """The shortest wall on the same line that contains the opening; equal exterior flag first.
+
+    Ties go by wall id. Equal walls are one, the first of them, and equal
+    intervals look once; both meet in the grid cells along the line that the
+    opening's start falls in, so a line with many walls does not meet all its openings.
+    """
+    line = ["plan_id", "orientation", "coord"]
     inside = (F.col("s") <= F.col("start") + 1e-6) & (F.col("e") >= F.col("end") - 1e-6)
-    return (
-        openings.join(w, ["plan_id", "orientation", "coord"])
-        .filter(inside)
-        .groupBy("plan_id", "room_id", "side", "kind", "start", "end", "span")
-        .agg(
-            F.min_by(
-                F.struct("wall_id", "s"),
-                F.struct((F.col("w_ext") != F.col("is_exterior")).alias("other"), (F.col("e") - F.col("s")).alias("len"), "wall_id"),
-            ).alias("m")
-        )
-        .select("plan_id", "room_id", "side", "kind", "span", "m.wall_id", round_to(F.col("start") - F.col("m.s"), 4).alias("offset"))
-    )
+    w = walls.groupBy(*line, "s", "e", F.col("is_exterior").alias("w_ext")).agg(F.min("wall_id").alias("wall_id")).withColumn(
+        "cell", F.explode(F.sequence(cell_of(F.col("s") - 1e-6), cell_of(F.col("e") + 1e-6))))
+    place = [*line, "start", "end", "is_exterior"]
+    probe = openings.select(*place).distinct().withColumn("cell", cell_of(F.col("start")))
+    best = probe.join(w, [*line, "cell"]).filter(inside).groupBy(*place).agg(F.min(
+        F.struct((F.col("w_ext") != F.col("is_exterior")).alias("other"), (F.col("e") - F.col("s")).alias("len"), "wall_id", "s")).alias("m"))
+    rows = openings.select(*place, "room_id", "side", "kind", "span").join(best, place)
+    # a room's opening that is listed more than once has one match
+    return rows.groupBy("plan_id", "room_id", "side", "kind", "start", "end", "span").agg(F.min("m").alias("m")).select(
+        "plan_id", "room_id", "side", "kind", "span", "m.wall_id", round_to(F.col("start") - F.col("m.s"), 4).alias("offset"))
 
 
 # -- model output adapters -----------------------------------------------------

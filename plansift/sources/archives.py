@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import itertools
 import tarfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# fixed values: what a member's name holds or ends with
+ANNOTATION_HINTS = (".json", ".xml", ".txt", ".csv", "annotation", "label")
+IMAGE_ENDS = (".png", ".jpg", ".jpeg", ".bmp")
+
 LABEL = "{http://www.inkscape.org/namespaces/inkscape}label"
 
 
@@ -60,6 +65,44 @@ def member_counters(members: DataFrame) -> DataFrame:
     return members.select("archive", F.inline(parts)).groupBy("archive", "kind", "value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
 
 
+def hints(name: Column) -> Column:
+    """Which lists a member's name belongs to: ``annotation``, ``image``, both or none."""
+    low = F.lower(name)
+
+    def any_of(tests: list[Column]) -> Column:
+        return functools.reduce(Column.__or__, tests)
+
+    annotation = any_of([low.contains(hint) for hint in ANNOTATION_HINTS])
+    image = any_of([low.endswith(end) for end in IMAGE_ENDS])
+    return F.array_compact(F.array(F.when(annotation, F.lit("annotation")), F.when(image, F.lit("image"))))
+
+
+def hint_lists(members: DataFrame, n: int = 50) -> DataFrame:
+    """The first ``n`` annotation-like and image-like members of every archive, by ordinal.
+
+    Ties of an ordinal go by name. Ranks are cut in buckets first, so a list
+    is picked from a few rows a bucket, however many members an archive has.
+    """
+    listed = members.select("archive", "ordinal", "name", F.explode(hints(F.col("name"))).alias("hint"))
+    keys, order = ["archive", "hint"], [F.asc_nulls_last("ordinal"), F.asc("name")]
+    few = listed.withColumn("_b", F.pmod(F.xxhash64("ordinal", "name"), F.lit(256))).withColumn(
+        "_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))).filter(F.col("_r") <= n)
+    return few.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rn") <= n).select(*keys, "rn", "ordinal", "name")
+
+
+def archive_totals(members: DataFrame) -> DataFrame:
+    """Per archive the members scanned, those of either hint and the numbers of extensions and top folders."""
+    ext = F.lower(F.regexp_extract("name", r"[^/]*(\.[^./]+)$", 1))
+    top = F.element_at(F.filter(F.split("name", "/"), lambda p: p != ""), 1)
+    marked = members.select("archive", hints(F.col("name")).alias("h"), ext.alias("ext"), top.alias("top"))
+    # one row per archive, extension and folder leaves the map side; a huge archive never gathers its members
+    groups = marked.groupBy("archive", "ext", "top").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("h", "annotation")).alias("a"), F.count_if(F.array_contains("h", "image")).alias("i"))
+    return groups.groupBy("archive").agg(
+        F.sum("n").alias("members_scanned"), F.sum("a").alias("annotation_like"), F.sum("i").alias("image_like"),
+        F.count_distinct("ext").alias("extensions"), F.count_distinct("top").alias("top_level"))
+
+
 def _elements(batches):
     for batch in batches:
         rows = []
@@ -82,7 +125,7 @@ def svg_elements(docs: DataFrame) -> DataFrame:
     return docs.select("archive", "svg").mapInPandas(_elements, schema)
 
 
-def counters(elements: DataFrame) -> DataFrame:
-    """Counts of tags, layers, semantic ids and strokes, most common first."""
+def counters(elements: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of tags, layers, semantic ids and strokes, most common first; in all or for each ``by``."""
     parts = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (("tag", "tag"), ("layer", "own_label"), ("semantic_id", "semantic_id"), ("stroke", "stroke"))])
-    return elements.select(F.inline(parts)).filter("value IS NOT NULL").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
+    return elements.select(*by, F.inline(parts)).filter("value IS NOT NULL").groupBy(*by, "kind", "value").agg(F.count(F.lit(1)).alias("n")).orderBy(*by, F.desc("n"))

@@ -53,8 +53,8 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_report(results: DataFrame, path: str) -> None:
-    """Result rows partitioned by run, so one run is one folder."""
-    results.write.mode("overwrite").partitionBy("run_id").parquet(path)
+    """Result rows partitioned by run; runs that are not in ``results`` keep their folders."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def read_report(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:

@@ -21,6 +21,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(rows, "value")
 
 
+def write_lines(docs: DataFrame, key: str, column: str, path: str) -> None:
+    """Many structures per file, one line each: the key, a tab, the document.
+
+    JSON text holds no raw line break or tab, so a line is a document whatever
+    its strings are. A null document is written as an empty one.
+    """
+    line = F.concat_ws("\t", F.col(key).cast("string"), F.coalesce(F.col(column), F.lit("{}")))
+    docs.filter(F.col(key).isNotNull()).select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_lines(spark: SparkSession, path: str, key: str = "doc_id", kind: str = "long") -> DataFrame:
+    """Structures written by ``write_lines``. Files are split by size, so millions of small documents need few tasks.
+
+    A line whose document cannot be parsed keeps its key and has no parts.
+    """
+    parts = F.split("value", "\t", 2)
+    rows = spark.read.text(path).select(parts[0].cast(kind).alias(key), parts[1].alias("_doc"))
+    return parse(rows, "_doc").drop("_doc")
+
+
 def parse(docs: DataFrame, column: str) -> DataFrame:
     return docs.withColumn("structure", F.from_json(column, STRUCTURE))
 
