@@ -247,7 +247,7 @@ def _(spark, sf):
 
 LABEL = """
 dim AS (SELECT doc_id, (8 + doc_id % 5)::BIGINT AS h, (10 + doc_id % 7)::BIGINT AS w FROM documents),
-rn AS (SELECT doc_id AS sample_id, ch AS channel, (doc_id + y + b + ch) % 3 AS cls, y, 4 * b AS x0, least(4 * b + 3, w - 1) AS x1
+rn AS (SELECT doc_id AS sample_id, ch AS channel, (doc_id + y + b + ch) % 6 AS cls, y, 4 * b AS x0, least(4 * b + 3, w - 1) AS x1
  FROM dim, (VALUES (0), (1)) c(ch), LATERAL (SELECT unnest(range(h)) AS y), LATERAL (SELECT unnest(range((w + 3) // 4)) AS b))"""
 
 

@@ -14,15 +14,16 @@ def number_rows(rows: DataFrame, keys: list[str], buckets: list[str], order: lis
 
     Rows are counted per bucket; a bucket's offset is a sum over the small table
     of counts, and only the rows of one bucket are sorted together. ``buckets``
-    must be far fewer than rows and small enough to sort.
+    must be far fewer than rows and small enough to sort. Rows that come
+    partitioned by some of these columns are ranked where they are, before the join.
     """
     parts = [*keys, *buckets]
     counts = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*[F.col(p).alias(f"_{p}") for p in parts], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
-    joined = rows.join(offsets, reduce(and_, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in parts]))
-    return joined.withColumn(name, (F.col("_before") + inside).cast("long")).drop("_before", *[f"_{p}" for p in parts])
+    joined = rows.withColumn("_inside", inside).join(offsets, reduce(and_, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in parts]))
+    return joined.withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_before", "_inside", *[f"_{p}" for p in parts])
 
 
 def with_range_bucket(rows: DataFrame, keys: list[str], column: str, buckets: int = 256, name: str = "_bucket") -> DataFrame:

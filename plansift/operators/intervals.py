@@ -20,18 +20,38 @@ def merge_spans(
 
     Rows that start at the same place always belong together, so they collapse
     to their furthest end on the map side before the ordered pass. Callers whose
-    rows are distinct already say so and save that shuffle.
+    rows are distinct already say so and save that shuffle. Keys of floating
+    point are normalised anew by an aggregate, which would shuffle the lines once
+    more; there the islands are closed by a window over the same partitions.
     """
     gap = slack if isinstance(slack, Column) else F.lit(slack)
     starts = rows if distinct else rows.groupBy(*keys, low).agg(F.max(high).alias(high))
     order = Window.partitionBy(*keys).orderBy(low)
-    return (
+    islands = (
         starts.withColumn("_reach", F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("_new", (F.col(low) > F.col("_reach") + gap).cast("int"))
         .withColumn("island", F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "island")
-        .agg(F.min(low).alias(low), F.max(high).alias(high))
     )
+    if has_floats(starts, keys):
+        return close_islands(islands, [*keys, "island"], low, {high: F.max(high)}).select(*keys, "island", low, high)
+    return islands.groupBy(*keys, "island").agg(F.min(low).alias(low), F.max(high).alias(high))
+
+
+def has_floats(rows: DataFrame, keys: list[str]) -> bool:
+    return any(kind in ("double", "float") for name, kind in rows.dtypes if name in keys)
+
+
+def close_islands(rows: DataFrame, keys: list[str], low: str, values: dict[str, Column]) -> DataFrame:
+    """One row per group of ``keys``, its first by ``low``, with ``values`` over the whole group.
+
+    The same as an aggregate with a minimum of ``low``, but on rows that are
+    partitioned by some of the keys already it needs no shuffle.
+    """
+    group = Window.partitionBy(*keys).orderBy(low)
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.row_number().over(group)
+    return rows.withColumns({"_first": first} | {f"_{name}": value.over(whole) for name, value in values.items()}).filter("_first = 1").drop(
+        "_first", *[name for name in values if name in rows.columns]).withColumnsRenamed({f"_{name}": name for name in values})
 
 
 def merge_legacy_walls(candidates: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plansift.functions.numeric import round_to
 from plansift.functions.ranking import number_rows
+from plansift.operators.intervals import close_islands
 
 EPS = 1e-6
 DIAGONAL_DEG = 15.0
@@ -259,17 +260,13 @@ def merge_collinear(walls: DataFrame) -> DataFrame:
         .withColumn("island", F.sum(F.coalesce("_new", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("line_ord", F.min("first_ord").over(Window.partitionBy(*line)))
     )
-    merged = (
-        islands.groupBy(*line, "island", "line_ord")
-        .agg(
-            F.min("s").alias("s"), F.max("e").alias("e"),
-            (F.sum("t_sum") / F.sum("n")).alias("thickness"),
-            round_to(F.least(F.lit(0.99), F.sum("c_sum") / F.sum("n") + 0.15), 4).alias("confidence"),
-            F.sum("n").alias("n_sources"), F.any_value("cfg").alias("cfg"),
-        )
-        .filter(F.col("e") - F.col("s") >= F.col("cfg.min_length"))
-    )
-    return number_rows(merged, ["plan_id"], ["line_ord"], ["s"], "ord").select(
+    # windows over the partitions at hand; an aggregate would shuffle the lines again for their floating coordinate
+    merged = close_islands(islands, [*line, "line_ord", "island"], "s", {
+        "e": F.max("e"), "t_sum": F.sum("t_sum"), "c_sum": F.sum("c_sum"), "n_sources": F.sum("n"),
+    }).filter(F.col("e") - F.col("s") >= F.col("cfg.min_length")).select(
+        *line, "line_ord", "s", "e", (F.col("t_sum") / F.col("n_sources")).alias("thickness"),
+        round_to(F.least(F.lit(0.99), F.col("c_sum") / F.col("n_sources") + 0.15), 4).alias("confidence"), "n_sources", "cfg")
+    return number_rows(merged, ["plan_id"], ["line_ord", "orientation", "coord"], ["s"], "ord").select(
         "plan_id", F.format_string("wall-%04d", "ord").alias("wall_id"), "ord", "orientation", "coord", "s", "e",
         "thickness", "confidence", F.lit(False).alias("is_exterior"), F.lit(None).cast("string").alias("side"),
         "n_sources", "cfg",
