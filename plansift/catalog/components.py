@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plansift import views as V
 from plansift.catalog.cleaning import base
-from plansift.catalog.masks import BASE, CLOSED, FRAME, ICONS, closed_mask, frame, icon_mask, runs_digest, sql_close, sql_complement, sql_dilate, sql_merge, sql_open, wall_mask
+from plansift.catalog.masks import BASE, CLOSED, FRAME, ICONS, closed_rooms, frame, icon_mask, runs_digest, sql_close, sql_complement, sql_dilate, sql_merge, sql_open, wall_mask
 from plansift.catalog.registry import query, rnd
 from plansift.functions.formats import feet_inches
 from plansift.operators import components as C, masks as M, regions as R
@@ -43,14 +43,15 @@ def rounded(stats):
 
 @query("g02_components", "walls plans", BASE + "," + sql_label("wm", "lb") + "," + sql_stats("lb", "st") + " " + ROUND + "st")
 def _(spark, sf):
-    return rounded(C.component_stats(C.label_boxes(wall_mask(spark, sf))))
+    return rounded(C.component_stats(C.label_boxes(wall_mask(spark, sf), frame=frame(spark, sf))))
 
 
 FREE = CLOSED + "," + sql_complement("closed", "fr") + "," + sql_label("fr", "lf", 0)
 
 
 def free_boxes(spark, sf):
-    return C.label_boxes(M.complement(closed_mask(spark, sf), frame(spark, sf)), diagonal=False)
+    masks, rule, reach = closed_rooms(spark, sf)
+    return C.labelled(masks, frame(spark, sf), lambda s: [s.free(rule(s))], diagonal=False, reach=reach).drop("cls")
 
 
 # nearest free pixel per label, pixel by pixel
@@ -135,7 +136,8 @@ def _(spark, sf):
        + " SELECT s.plan_id, comp, area FROM st s JOIN frame USING (plan_id) WHERE bx0 > 0 AND by0 > 0 AND bx1 < w - 1 AND by1 < h - 1")
 def _(spark, sf):
     f = frame(spark, sf)
-    free = C.label_boxes(M.complement(M.dilate(wall_mask(spark, sf), M.rect_kernel(3), f), f), diagonal=False)
+    steps = [M.grow(M.rect_kernel(3))]
+    free = C.labelled({"walls": wall_mask(spark, sf)}, f, lambda s: [s.free(s.morph(s["walls"], steps))], diagonal=False, reach=M.reach_of(steps))
     return C.inner_components(C.component_stats(free), f).select("plan_id", "comp", "area")
 
 
@@ -145,7 +147,8 @@ ir AS (SELECT lf.plan_id, unnest(range(y0, y1 + 1)) AS y, x0, x1 FROM lf JOIN en
 al AS (SELECT plan_id, y, x0, x1 FROM wm UNION ALL SELECT plan_id, y, x0, x1 FROM ir),""" + sql_close("al", "fp", M.rect_kernel(5)) + "," + sql_label("fp", "lp") + "," + sql_stats("lp", "sp") + """
 SELECT plan_id, count(*) AS n_components, arg_min(area, (-area, comp))::BIGINT AS area, arg_min(comp, (-area, comp))::BIGINT AS comp, sum(area)::BIGINT AS total_area FROM sp GROUP BY plan_id""")
 def _(spark, sf):
-    stats = C.component_stats(C.label_boxes(C.footprint(wall_mask(spark, sf), frame(spark, sf))))
+    masks, f, rule, reach = C.footprint_sheets(wall_mask(spark, sf), frame(spark, sf))
+    stats = C.component_stats(C.labelled(masks, f, rule, reach=reach))
     total = stats.groupBy("plan_id").agg(F.sum("area").alias("total_area"))
     return C.largest_component(stats).join(total, "plan_id").select("plan_id", "n_components", "top.area", "top.comp", "total_area")
 
@@ -154,7 +157,7 @@ def _(spark, sf):
 SELECT plan_id, sum(area)::BIGINT AS nonzero_pixel_count, {rnd('sum(area) / any_value(w * h)', 6)} AS coverage_ratio, count(*) AS component_count, max(area) AS largest_component_area,
  min(bx0) AS x1, min(by0) AS y1, max(bx1) + 1 AS x2, max(by1) + 1 AS y2 FROM st JOIN frame USING (plan_id) GROUP BY plan_id""")
 def _(spark, sf):
-    return R.mask_summary(C.component_stats(C.label_boxes(wall_mask(spark, sf))), frame(spark, sf))
+    return R.mask_summary(C.component_stats(C.label_boxes(wall_mask(spark, sf), frame=frame(spark, sf))), frame(spark, sf))
 
 
 @query("m09_heatmap_junctions", "pixel_grid", "frame AS (SELECT DISTINCT image_id AS plan_id, 64 AS w, 64 AS h FROM pixel_grid), pt AS (SELECT image_id AS plan_id, y, x AS x0, x AS x1 FROM pixel_grid),"
@@ -182,7 +185,7 @@ def _(spark, sf):
 
 @query("f12_minimum_area", "walls plans", BASE + "," + sql_label("wm", "lb") + "," + sql_stats("lb", "st") + " SELECT plan_id, comp, area FROM st WHERE area >= 150")
 def _(spark, sf):
-    return C.component_stats(C.label_boxes(wall_mask(spark, sf))).filter("area >= 150").select("plan_id", "comp", "area")
+    return C.component_stats(C.label_boxes(wall_mask(spark, sf), frame=frame(spark, sf))).filter("area >= 150").select("plan_id", "comp", "area")
 
 
 @query("g01_endpoint_clusters", "walls", """
@@ -256,4 +259,4 @@ hr AS (SELECT wm.* FROM wm JOIN nd USING (plan_id) WHERE x1 - x0 + 1 >= need),""
 SELECT plan_id, comp, bx1 - bx0 + 1 AS length, by1 - by0 + 1 AS depth, CASE WHEN bx1 - bx0 + 1 < need OR by1 - by0 + 1 < 2 THEN 'too_short'
  WHEN (bx1 - bx0 + 1) / (by1 - by0 + 1) < 2.5 THEN 'insufficient_aspect_ratio' END AS skip_reason FROM st JOIN nd USING (plan_id)""")
 def _(spark, sf):
-    return R.candidates(wall_mask(spark, sf), frame(spark, sf), horizontal=True).select("plan_id", "comp", "length", "depth", "skip_reason")
+    return R.candidates({"walls": wall_mask(spark, sf)}, frame(spark, sf), ("horizontal",)).select("plan_id", "comp", "length", "depth", "skip_reason")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from plansift import views as V
 from plansift.catalog.registry import query, rnd
-from plansift.operators import masks as M
+from plansift.operators import masks as M, sheets
 
 
 def frame(spark, sf):
@@ -12,11 +12,12 @@ def frame(spark, sf):
 
 
 def wall_mask(spark, sf):
-    return M.rasterize(V.walls(spark, sf), frame(spark, sf))
+    """Boxes of the walls, as they are drawn; masks are cut to the frame where they are worked on."""
+    return M.wall_boxes(V.walls(spark, sf))
 
 
 def truth_mask(spark, sf):
-    return M.rasterize(V.truth_walls(spark, sf), frame(spark, sf))
+    return M.wall_boxes(V.truth_walls(spark, sf))
 
 
 # -- SQL twins of the mask operators; each names its output relation ------------------------------
@@ -104,10 +105,17 @@ def digest(name):
             f"sum((y + 3) * (x1 + 1))::BIGINT AS check_end FROM {name} GROUP BY plan_id")
 
 
-def runs_digest(runs):
-    return runs.groupBy("plan_id").agg(
-        F.count(F.lit(1)).alias("runs"), F.sum(F.col("x1") - F.col("x0") + 1).alias("pixels"),
-        F.sum(F.col("y") * (F.col("x0") + 1)).alias("check_start"), F.sum((F.col("y") + 3) * (F.col("x1") + 1)).alias("check_end"))
+def runs_digest(boxes):
+    """The digest of the runs of disjoint boxes that are as wide as the mask goes: sums over rows in closed form."""
+    n = F.col("y1") - F.col("y0") + 1
+    rows = F.call_function("div", n * (F.col("y0") + F.col("y1")), F.lit(2))
+    return boxes.groupBy("plan_id").agg(
+        F.sum(n).alias("runs"), F.sum(n * (F.col("x1") - F.col("x0") + 1)).alias("pixels"),
+        F.sum(rows * (F.col("x0") + 1)).alias("check_start"), F.sum((rows + 3 * n) * (F.col("x1") + 1)).alias("check_end"))
+
+
+def pixels_of(boxes, *keys):
+    return boxes.groupBy(*keys).agg(F.sum((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)).alias("pixels"))
 
 
 BASE = FRAME + "," + sql_raster("walls", "wm")
@@ -116,7 +124,7 @@ BOTH = BASE + "," + sql_raster("truth_walls", "tm")
 
 @query("m01_rasterize_walls", "walls plans", BASE + digest("wm"))
 def _(spark, sf):
-    return runs_digest(wall_mask(spark, sf))
+    return runs_digest(M.rasterize_boxes(V.walls(spark, sf), frame(spark, sf)))
 
 
 @query("m03_dilate_ellipse", "walls plans", BASE + "," + sql_dilate("wm", "dl", M.ellipse_kernel(5)) + digest("dl"))
@@ -148,11 +156,12 @@ vt AS (SELECT plan_id, sum(n) AS v_pixels, sum(x * y0) AS v_check FROM vl GROUP
 SELECT plan_id, coalesce(h_pixels, 0)::BIGINT AS h_pixels, coalesce(h_check, 0)::BIGINT AS h_check, coalesce(v_pixels, 0)::BIGINT AS v_pixels,
  coalesce(v_check, 0)::BIGINT AS v_check FROM hz FULL JOIN vt USING (plan_id)""")
 def _(spark, sf):
-    runs = wall_mask(spark, sf)
-    h = M.open_lines(runs, 60, True).groupBy("plan_id").agg(
-        F.sum(F.col("x1") - F.col("x0") + 1).alias("h_pixels"), F.sum(F.col("y0") * F.col("x0")).alias("h_check"))
+    mask = M.rasterize_boxes(V.walls(spark, sf), frame(spark, sf))
+    tall = F.col("y1") - F.col("y0") + 1
+    h = M.open_lines(mask, 60, True).groupBy("plan_id").agg(
+        F.sum((F.col("x1") - F.col("x0") + 1) * tall).alias("h_pixels"), F.sum(F.call_function("div", tall * (F.col("y0") + F.col("y1")), F.lit(2)) * F.col("x0")).alias("h_check"))
     wide = F.col("x1") - F.col("x0") + 1
-    v = M.open_lines(runs, 60, False).groupBy("plan_id").agg(
+    v = M.open_lines(mask, 60, False).groupBy("plan_id").agg(
         F.sum((F.col("y1") - F.col("y0") + 1) * wide).alias("v_pixels"),
         F.sum((F.col("y0") * wide * (F.col("x0") + F.col("x1")) / 2)).cast("long").alias("v_check"))
     return h.join(v, "plan_id", "full").fillna(0)
@@ -162,7 +171,7 @@ def _(spark, sf):
 sm AS (SELECT plan_id, coalesce(sum(x1 - x0 + 1) FILTER (p AND t), 0)::BIGINT AS inter, sum(x1 - x0 + 1)::BIGINT AS uni, coalesce(sum(x1 - x0 + 1) FILTER (t), 0)::BIGINT AS truth_px FROM sw GROUP BY plan_id)
 SELECT *, {rnd('inter / nullif(uni, 0)', 6)} AS iou, {rnd('inter / nullif(truth_px, 0)', 6)} AS recall FROM sm""")
 def _(spark, sf):
-    return M.mask_scores(wall_mask(spark, sf), truth_mask(spark, sf))
+    return M.mask_scores(wall_mask(spark, sf), truth_mask(spark, sf), frame(spark, sf))
 
 
 @query("a10_footprint_scores", "walls truth_walls plans", FRAME + """,
@@ -171,9 +180,8 @@ sm AS (SELECT plan_id, coalesce(sum(x1 - x0 + 1) FILTER (p AND t), 0)::BIGINT AS
 SELECT plan_id, {rnd('inter / nullif(truth_px, 0)', 6)} AS shell_recall FROM sm""")
 def _(spark, sf):
     # the exterior shell: the walls both sources flag as exterior
-    f = frame(spark, sf)
-    outer = [M.rasterize(w.filter("k % 4 = 1"), f) for w in (V.walls(spark, sf), V.truth_walls(spark, sf))]
-    return M.mask_scores(*outer).select("plan_id", F.col("recall").alias("shell_recall"))
+    outer = [M.wall_boxes(w.filter("k % 4 = 1")) for w in (V.walls(spark, sf), V.truth_walls(spark, sf))]
+    return M.mask_scores(*outer, frame(spark, sf)).select("plan_id", F.col("recall").alias("shell_recall"))
 
 
 @query("a11_relaxed_scores", "walls truth_walls plans", BOTH + "," + sql_dilate("wm", "wd", M.ellipse_kernel(3)) + "," + sql_dilate("tm", "td", M.ellipse_kernel(3)) + ","
@@ -188,9 +196,8 @@ def _(spark, sf):
 SELECT plan_id, sum(x1 - x0 + 1)::BIGINT AS union_px, coalesce(sum(x1 - x0 + 1) FILTER (p AND t), 0)::BIGINT AS both_px, coalesce(sum(x1 - x0 + 1) FILTER (p AND NOT t), 0)::BIGINT AS only_px
  FROM sw GROUP BY plan_id""")
 def _(spark, sf):
-    a, b = wall_mask(spark, sf), truth_mask(spark, sf)
-    n = F.sum(F.col("x1") - F.col("x0") + 1)
-    parts = [op(a, b).groupBy("plan_id").agg(n.alias(name)) for op, name in ((M.union, "union_px"), (M.intersect, "both_px"), (M.subtract, "only_px"))]
+    a, b, f = wall_mask(spark, sf), truth_mask(spark, sf), frame(spark, sf)
+    parts = [pixels_of(op(a, b, f), "plan_id").withColumnRenamed("pixels", name) for op, name in ((M.union, "union_px"), (M.intersect, "both_px"), (M.subtract, "only_px"))]
     return parts[0].join(parts[1], "plan_id", "full").join(parts[2], "plan_id", "full").fillna(0)
 
 
@@ -209,20 +216,24 @@ def icon_mask(spark, sf, kind):
     boxes = V.openings(spark, sf).filter(F.col("kind") == kind).selectExpr(
         "plan_id", f"cast(x - if({flat}, floor(span / 2), 3) AS bigint) AS x0", f"cast(x + if({flat}, floor(span / 2), 2) AS bigint) AS x1",
         f"cast(y - if({flat}, 3, floor(span / 2)) AS bigint) AS y0", f"cast(y + if({flat}, 2, floor(span / 2)) AS bigint) AS y1")
-    return M.merge_runs(M.boxes_to_runs(M.clip(boxes, frame(spark, sf)).distinct()))
+    return boxes
 
 
 @query("m06_precedence_overlay", "walls openings plans", BASE + "," + ICONS + "," + sql_sweep({"door": "dm", "win": "nm", "wall": "wm"}, "sw") + """
 SELECT plan_id, CASE WHEN door THEN 'door' WHEN win THEN 'win' ELSE 'wall' END AS cls, sum(x1 - x0 + 1)::BIGINT AS pixels FROM sw GROUP BY 1, 2""")
 def _(spark, sf):
-    out = M.overlay({"door": icon_mask(spark, sf, "door"), "win": icon_mask(spark, sf, "window"), "wall": wall_mask(spark, sf)})
-    return out.groupBy("plan_id", "cls").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("pixels"))
+    out = M.overlay({"door": icon_mask(spark, sf, "door"), "win": icon_mask(spark, sf, "window"), "wall": wall_mask(spark, sf)}, frame(spark, sf))
+    return pixels_of(out, "plan_id", "cls")
 
 
 @query("f13_eraser", "walls openings plans", BASE + "," + ICONS + "," + sql_union("dm", "nm", "er") + "," + sql_sub("wm", "er", "cut") + digest("cut"))
 def _(spark, sf):
-    erased = M.union(icon_mask(spark, sf, "door"), icon_mask(spark, sf, "window"))
-    return runs_digest(M.subtract(wall_mask(spark, sf), erased))
+    return runs_digest(cut_mask(spark, sf))
+
+
+def cut_mask(spark, sf):
+    """Walls without the openings."""
+    return M.subtract(wall_mask(spark, sf), icon_mask(spark, sf, "door").unionByName(icon_mask(spark, sf, "window")), frame(spark, sf))
 
 
 @query("m05_paint_rules", "walls plans", FRAME + """,
@@ -233,11 +244,10 @@ SELECT plan_id, 'wall' AS cls, sum(x1 - x0 + 1)::BIGINT AS pixels FROM pw GROUP
 def _(spark, sf):
     f = frame(spark, sf)
     walls = V.walls(spark, sf)
-    dark = M.rasterize(walls.filter("k % 3 = 0"), f)
-    orange = M.rasterize(walls.filter("k % 3 <> 0").withColumn("thickness", F.expr("if(k % 2 = 0, thickness, 8D)")), f)
+    dark = M.wall_boxes(walls.filter("k % 3 = 0"))
+    orange = M.wall_boxes(walls.filter("k % 3 <> 0").withColumn("thickness", F.expr("if(k % 2 = 0, thickness, 8D)")))
     wall, door = M.split_paint(dark, orange, f)
-    n = F.sum(F.col("x1") - F.col("x0") + 1).alias("pixels")
-    return wall.groupBy("plan_id").agg(n).withColumn("cls", F.lit("wall")).unionByName(door.groupBy("plan_id").agg(n).withColumn("cls", F.lit("door")))
+    return pixels_of(wall, "plan_id").withColumn("cls", F.lit("wall")).unionByName(pixels_of(door, "plan_id").withColumn("cls", F.lit("door")))
 
 
 @query("m05_paint_colors", "pixels", """SELECT image_id, count(*) FILTER (r < 80 AND g < 80 AND b < 80) AS dark, count(*) FILTER (r > 130 AND r - b > 80 AND g < 160) AS orange FROM pixels GROUP BY image_id""")
@@ -277,15 +287,15 @@ def _(spark, sf):
 @query("m11_closed_mask", "walls openings plans", BASE + "," + ICONS + "," + sql_close("wm", "cw", M.rect_kernel(5, 2)) + ", th AS (SELECT * REPLACE (14 AS thickness) FROM walls WHERE k % 5 = 0),"
        + sql_raster("th", "tk") + "," + sql_union("dm", "nm", "ic") + "," + sql_union("cw", "tk", "c1") + "," + sql_union("c1", "ic", "closed") + digest("closed"))
 def _(spark, sf):
-    return runs_digest(closed_mask(spark, sf))
+    masks, rule, reach = closed_rooms(spark, sf)
+    return runs_digest(sheets.drawn(masks, frame(spark, sf), rule, reach))
 
 
-def closed_mask(spark, sf):
-    """Walls closed by 5 x 5 twice, annotated walls at 14 pixels, openings painted shut."""
-    f = frame(spark, sf)
-    thick = M.rasterize(V.walls(spark, sf).filter("k % 5 = 0").withColumn("thickness", F.lit(14.0)), f)
-    icons = M.union(icon_mask(spark, sf, "door"), icon_mask(spark, sf, "window"))
-    return M.union(M.union(M.close(wall_mask(spark, sf), M.rect_kernel(5, 2), f), thick), icons)
+def closed_rooms(spark, sf):
+    """Walls closed by 5 x 5 twice, annotated walls at 14 pixels, openings painted shut: masks, rule and reach."""
+    thick = M.wall_boxes(V.walls(spark, sf).filter("k % 5 = 0").withColumn("thickness", F.lit(14.0)))
+    icons = icon_mask(spark, sf, "door").unionByName(icon_mask(spark, sf, "window"))
+    return M.close_rooms(wall_mask(spark, sf), thick, icons)
 
 
 CLOSED = BASE + "," + ICONS + "," + sql_close("wm", "cw", M.rect_kernel(5, 2)) + ", th AS (SELECT * REPLACE (14 AS thickness) FROM walls WHERE k % 5 = 0)," + sql_raster("th", "tk") + "," + sql_union("dm", "nm", "ic") + "," + sql_union("cw", "tk", "c1") + "," + sql_union("c1", "ic", "closed")

@@ -321,7 +321,7 @@ def gaps_along_walls(walls: DataFrame, mask: DataFrame) -> DataFrame:
     boxes = strips.select("plan_id", "wall_id", "orientation", "lo", "hi", F.when(flat, F.col("lo")).otherwise(F.col("near")).alias("bx0"), F.when(flat, F.col("hi")).otherwise(F.col("far")).alias("bx1"),
                           F.when(flat, F.col("near")).otherwise(F.col("lo")).alias("by0"), F.when(flat, F.col("far")).otherwise(F.col("hi")).alias("by1"))
     cells = boxes.withColumn("cx", F.explode(F.sequence(cell_of(F.col("bx0")), cell_of(F.col("bx1"))))).withColumn("cy", F.explode(F.sequence(cell_of(F.col("by0")), cell_of(F.col("by1")))))
-    blocks = M.compact(mask).withColumn("cx", F.explode(F.sequence(cell_of(F.col("x0")), cell_of(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(cell_of(F.col("y0")), cell_of(F.col("y1")))))
+    blocks = (mask if "y0" in mask.columns else M.compact(mask)).withColumn("cx", F.explode(F.sequence(cell_of(F.col("x0")), cell_of(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(cell_of(F.col("y0")), cell_of(F.col("y1")))))
     hit = cells.join(blocks, ["plan_id", "cx", "cy"]).filter((F.col("x0") <= F.col("bx1")) & (F.col("x1") >= F.col("bx0")) & (F.col("y0") <= F.col("by1")) & (F.col("y1") >= F.col("by0")))
     runs = hit.select("plan_id", "wall_id", "lo", "hi", F.greatest("lo", F.when(flat, F.col("x0")).otherwise(F.col("y0"))).alias("r0"), F.least("hi", F.when(flat, F.col("x1")).otherwise(F.col("y1"))).alias("r1"))
     return merge_spans(runs, ["plan_id", "wall_id", "lo", "hi"], "r0", "r1", 1).select("plan_id", "wall_id", "lo", "hi", F.col("r0").alias("x0"), F.col("r1").alias("x1"))
@@ -335,8 +335,8 @@ def compare_stages(left: DataFrame, right: DataFrame, frame: DataFrame) -> DataF
     def counts(walls: DataFrame, side: str) -> DataFrame:
         return walls.groupBy("plan_id").agg(F.count(F.lit(1)).alias(f"walls_{side}"), F.count_if("is_exterior").alias(f"exterior_{side}"))
 
-    scores = M.mask_scores(M.rasterize(left, frame), M.rasterize(right, frame)).select("plan_id", F.col("iou").alias("wall_footprint_iou"))
-    shell = M.mask_scores(M.rasterize(left.filter("is_exterior"), frame), M.rasterize(right.filter("is_exterior"), frame)).select("plan_id", F.col("recall").alias("exterior_shell_recall"))
+    scores = M.mask_scores(M.wall_boxes(left), M.wall_boxes(right), frame).select("plan_id", F.col("iou").alias("wall_footprint_iou"))
+    shell = M.mask_scores(M.wall_boxes(left.filter("is_exterior")), M.wall_boxes(right.filter("is_exterior")), frame).select("plan_id", F.col("recall").alias("exterior_shell_recall"))
     out = counts(left, "left").join(counts(right, "right"), "plan_id", "full").fillna(0)
     return out.withColumn("wall_count_diff", F.col("walls_left") - F.col("walls_right")).join(scores, "plan_id", "left").join(shell, "plan_id", "left")
 
@@ -396,12 +396,12 @@ def compare_all_stages(
 def compare_lines(drawn: DataFrame, planned: DataFrame, frame: DataFrame) -> DataFrame:
     """Line counts, difference and IoU of one-pixel line masks; two empty sides agree fully."""
     def thin(lines: DataFrame) -> DataFrame:
-        return M.rasterize(lines.withColumn("thickness", F.lit(1.0)), frame)
+        return M.wall_boxes(lines.withColumn("thickness", F.lit(1.0)))
 
     def count(lines: DataFrame, name: str) -> DataFrame:
         return lines.groupBy("plan_id").agg(F.count(F.lit(1)).alias(name))
 
-    iou = M.mask_scores(thin(drawn), thin(planned)).select("plan_id", "iou")
+    iou = M.mask_scores(thin(drawn), thin(planned), frame).select("plan_id", "iou")
     both = frame.select("plan_id").join(count(drawn, "predicted"), "plan_id", "left").join(count(planned, "expected"), "plan_id", "left").fillna(0)
     return both.join(iou, "plan_id", "left").select(
         "plan_id", "predicted", "expected", (F.col("predicted") - F.col("expected")).alias("diff"),
