@@ -48,6 +48,8 @@ SCALE = 10**9
 PACK = 64
 #: Counts a task gathers before it adds them up and passes them on.
 MEMORY = 1 << 22
+#: Terms of a batch that a task passes on.
+OUT_ROWS = 1 << 14
 #: Stands for the number of a source where documents are counted.
 DOCUMENTS = -1
 #: Pack pairs a task keeps sums of (PACK x PACK numbers each).
@@ -86,35 +88,52 @@ class TermIds(dict):
         return number
 
 
+def added_up(gathered: list[tuple[int, int, np.ndarray, np.ndarray]], langs: list[str], ids: TermIds) -> Iterator[pa.RecordBatch]:
+    """The counts that a task holds (language, source, terms and their counts), a row per term in small batches.
+
+    What is held is emptied as soon as it stands in columns, and every column is
+    replaced as it is ordered, so the task needs little more than one copy.
+    """
+    lengths = [len(found) for _, _, found, _ in gathered]
+    lang, k = (np.repeat(np.array([g[i] for g in gathered], np.int32), lengths) for i in (0, 1))
+    term, n = (np.concatenate([g[i] for g in gathered]) for i in (2, 3))
+    gathered.clear()
+    words = pa.array(list(ids), pa.binary())
+    ids.clear()
+    order = np.lexsort((k, lang, term))
+    lang = lang[order]
+    k = k[order]
+    term = term[order]
+    n = n[order]
+    del order
+    row = np.append(True, (term[1:] != term[:-1]) | (lang[1:] != lang[:-1]))
+    entry = np.flatnonzero(row | np.append(True, k[1:] != k[:-1]))
+    n, k = np.add.reduceat(n, entry), k[entry]
+    first = np.flatnonzero(row)
+    lang, term = lang[first], term[first]
+    offsets = np.append(np.searchsorted(entry, first), len(entry))
+    del row, entry, first
+    names = pa.array(langs, pa.string())
+    for start in range(0, len(term), OUT_ROWS):
+        end = min(start + OUT_ROWS, len(term))
+        part = slice(offsets[start], offsets[end])
+        entries = pa.StructArray.from_arrays([pa.array(k[part], pa.int32()), pa.array(n[part], pa.int64())], names=["k", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets[start : end + 1] - offsets[start], pa.int32()), entries)
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(lang[start:end])), words.take(pa.array(term[start:end])).cast(pa.string()), lists], ["lang", "term", "e"])
+
+
 def term_counts(texts: DataFrame) -> DataFrame:
     """lang, term, k and n: occurrences in source k, or documents of the language where k is DOCUMENTS."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, int] = {}
         ids, gathered, size = TermIds(), [], 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            lengths = [len(found) for _, _, found, _ in gathered]
-            lang, k = (np.repeat(np.array([g[i] for g in gathered]), lengths) for i in (0, 1))
-            term, n = (np.concatenate([g[i] for g in gathered]) for i in (2, 3))
-            order = np.lexsort((k, lang, term))
-            lang, k, term, n = lang[order], k[order], term[order], n[order]
-            row = np.concatenate([[True], (np.diff(term) != 0) | (np.diff(lang) != 0)])
-            entry = np.flatnonzero(row | np.concatenate([[True], np.diff(k) != 0]))
-            sums, first = np.add.reduceat(n, entry), np.flatnonzero(row)
-            offsets = np.concatenate([np.searchsorted(entry, first), [len(entry)]])
-            names, words = pa.array(list(langs), pa.string()), pa.array(list(ids), pa.binary())
-            entries = pa.StructArray.from_arrays([pa.array(k[entry], pa.int32()), pa.array(sums, pa.int64())], names=["k", "n"])
-            yield pa.RecordBatch.from_arrays([
-                names.take(pa.array(lang[first])), words.take(pa.array(term[first])).cast(pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)],
-                ["lang", "term", "e"])
-            gathered.clear()
-            ids.clear()
-
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for i, (name, ks, ns) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("lang", "k", "n")], strict=True)):
                 words = terms(texts[i].as_py())
-                found, times = np.unique(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), return_counts=True)
+                found, times = np.unique(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)), return_counts=True)
                 if not len(found):
                     continue
                 lang = langs.setdefault(name, len(langs))
@@ -122,10 +141,10 @@ def term_counts(texts: DataFrame) -> DataFrame:
                 gathered.extend((lang, k, found, times * n) for k, n in zip(ks, ns, strict=True))
                 size += len(found) * (1 + len(ks))
                 if size >= MEMORY:
-                    yield from out()
+                    yield from added_up(gathered, list(langs), ids)
                     size = 0
         if gathered:
-            yield from out()
+            yield from added_up(gathered, list(langs), ids)
 
     each = texts.mapInArrow(run, "lang string, term string, e array<struct<k:int,n:long>>").repartition("lang", "term")
     return each.select("lang", "term", F.inline("e")).groupBy("lang", "term", "k").agg(F.sum("n").alias("n"))
