@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from plansift.functions.numeric import round_half_even, round_to
 from plansift.operators import sheets
-from plansift.operators.intervals import merge_spans
 from plansift.operators.sheets import KEY, Boxes, Sheet, as_boxes
 
 
