@@ -133,8 +133,8 @@ GAPS = ON_WALL + ", gp AS (SELECT plan_id, wall_id, opening_id, along - span / 2
 
 
 def gaps(spark, sf):
-    rows = on_wall(spark, sf).withColumn("offset", F.lit(None).cast("double"))
-    return D.opening_intervals(rows, geometry(spark, sf)).select("plan_id", "wall_id", "opening_id", "g1", "g2")
+    rows = on_wall(spark, sf).withColumns({"offset": F.lit(None).cast("double"), "wall_o": F.col("line.orientation"), "base_start": F.col("line.s")}).drop("line")
+    return D.opening_intervals(rows, None).select("plan_id", "wall_id", "opening_id", "g1", "g2")
 
 
 @query("j20_openings_on_walls", "walls openings plans", GAPS + " SELECT * FROM gp")

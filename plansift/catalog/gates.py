@@ -17,7 +17,8 @@ SELECT plan_id, coalesce(wall_count, 0) AS wall_count, coalesce(exterior_wall_co
  coalesce(door_count, 0) AS door_count, coalesce(window_count, 0) AS window_count, coalesce(filtered_opening_count, 0) AS filtered_opening_count,
  coalesce(wall_count, 0) - coalesce(exterior_wall_count, 0) AS interior_wall_count FROM plans LEFT JOIN wm USING (plan_id) LEFT JOIN om USING (plan_id)""")
 def _(spark, sf):
-    return G.structure_metrics(V.plans(spark, sf), final_walls(spark, sf), anchored(spark, sf))
+    walls = final_walls(spark, sf)
+    return G.structure_metrics(V.plans(spark, sf), walls, anchored(spark, sf, walls))
 
 
 SHELL = f"""

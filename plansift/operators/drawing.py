@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansift.functions.numeric import round_half_even, round_to
-from plansift.operators.intervals import solid_parts
+from plansift.operators.intervals import cut_walls
 from plansift.operators.openings import lookup
 
 # fixed values: names of the dimension types
@@ -167,12 +167,16 @@ def wall_geometry(walls: DataFrame, detected: Column) -> DataFrame:
                               "base_start": F.col("s"), "base_end": F.col("e")})
 
 
-def opening_intervals(openings: DataFrame, geometry: DataFrame) -> DataFrame:
-    """J20 + P26: interval of each opening on its wall; openings of unknown walls are dropped."""
-    g = geometry.select("plan_id", "wall_id", F.col("orientation").alias("wall_o"), "base_start")
+def opening_intervals(openings: DataFrame, geometry: DataFrame | None) -> DataFrame:
+    """J20 + P26: interval of each opening on its wall; openings of unknown walls are dropped.
+
+    Without ``geometry`` the openings tell ``wall_o`` and ``base_start`` of their wall themselves.
+    """
+    if geometry is not None:
+        openings = openings.join(geometry.select("plan_id", "wall_id", F.col("orientation").alias("wall_o"), "base_start"), ["plan_id", "wall_id"])
     along = F.when(F.col("wall_o") == "horizontal", F.col("x")).otherwise(F.col("y"))
     start = F.coalesce(F.col("base_start") + F.col("offset"), along - F.col("span") / 2)
-    return openings.join(g, ["plan_id", "wall_id"]).withColumn("g1", start).withColumn("g2", F.col("g1") + F.col("span")).drop("wall_o", "base_start")
+    return openings.withColumn("g1", start).withColumn("g2", F.col("g1") + F.col("span")).drop("wall_o", "base_start")
 
 
 def extend_at_junctions(geometry: DataFrame, members: DataFrame) -> DataFrame:
@@ -206,19 +210,18 @@ def extend_at_junctions(geometry: DataFrame, members: DataFrame) -> DataFrame:
 def line_entities(geometry: DataFrame, gaps: DataFrame) -> DataFrame:
     """Two faces per solid part and two caps per gap."""
     keys = ["plan_id", "wall_id"]
-    info = geometry.select(*keys, "orientation", "coord", "draw_thickness")
+    cut = cut_walls(geometry, gaps, ["orientation", "coord", "draw_thickness"])
     c0, c1 = F.col("coord"), F.col("coord") + F.col("draw_thickness")
 
-    def entity(a0, c_a, a1, c_b) -> Column:
+    def entity(kind, a0, c_a, a1, c_b) -> Column:
         flat = F.col("orientation") == "horizontal"
-        return F.struct(F.when(flat, a0).otherwise(c_a).alias("x1"), F.when(flat, c_a).otherwise(a0).alias("y1"),
+        return F.struct(F.lit(kind).alias("kind"), F.when(flat, a0).otherwise(c_a).alias("x1"), F.when(flat, c_a).otherwise(a0).alias("y1"),
                         F.when(flat, a1).otherwise(c_b).alias("x2"), F.when(flat, c_b).otherwise(a1).alias("y2"))
 
-    s, e = F.col("start"), F.col("end")
-    faces = solid_parts(geometry, gaps).join(info, keys).select(*keys, F.lit("face").alias("kind"), F.inline(F.array(entity(s, c0, e, c0), entity(s, c1, e, c1))))
+    faces = F.flatten(F.transform("parts", lambda p: F.array(*[entity("face", p["start"], c, p["end"], c) for c in (c0, c1)])))
     g1, g2 = F.col("g1"), F.col("g2")
-    caps = gaps.select(*keys, "g1", "g2").join(info, keys).select(*keys, F.lit("cap").alias("kind"), F.inline(F.array(entity(g1, c0, g1, c1), entity(g2, c0, g2, c1))))
-    return faces.unionByName(caps)
+    caps = F.when(g1.isNotNull(), F.array(*[entity("cap", g, c0, g, c1) for g in (g1, g2)])).otherwise(F.array())
+    return cut.select(*keys, F.inline(F.concat(faces, caps)))
 
 
 def bounds_filter(lines: DataFrame, bounds: DataFrame, margin: float) -> DataFrame:
