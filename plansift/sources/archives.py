@@ -6,9 +6,11 @@ import functools
 import io
 import itertools
 import tarfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,17 +21,35 @@ IMAGE_ENDS = (".png", ".jpg", ".jpeg", ".bmp")
 LABEL = "{http://www.inkscape.org/namespaces/inkscape}label"
 
 
+#: Members that a task hands on at a time.
+MEMBERS = 1 << 13
+
+
 def scan(contents: DataFrame, scan_limit: int | None = None) -> DataFrame:
-    """(archive, content) -> members in archive order, all of them unless ``scan_limit`` is given."""
+    """(archive, content) -> members in archive order, all of them unless ``scan_limit`` is given.
 
-    def walk(batches):
+    A task reads one archive at a time, in the place where its bytes lie, and
+    hands on a bounded number of members, however many archives come together.
+    """
+    schema = pa.schema([("archive", pa.int64()), ("ordinal", pa.int64()), ("name", pa.string())])
+
+    def members(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for archive, content in zip(batch.column("archive"), batch.column("content")):
+            with pa.BufferReader(content.as_buffer()) as file, tarfile.open(fileobj=file) as tar:
+                for ordinal in itertools.count() if scan_limit is None else range(scan_limit):
+                    member = tar.next()
+                    if member is None:
+                        break
+                    # the archive would keep every member it has read
+                    tar.members.clear()
+                    yield archive.as_py(), ordinal, member.name
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, content in zip(batch["archive"], batch["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    rows = [(archive, ordinal, member.name) for ordinal, member in enumerate(itertools.islice(tar, scan_limit))]
-                yield pd.DataFrame(rows, columns=["archive", "ordinal", "name"])
+            for rows in itertools.batched(members(batch), MEMBERS):
+                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), schema.types)], schema=schema)
 
-    return contents.select("archive", "content").mapInPandas(walk, "archive long, ordinal long, name string")
+    return contents.select("archive", "content").mapInArrow(walk, "archive long, ordinal long, name string")
 
 
 def paired_stems(members: DataFrame) -> DataFrame:

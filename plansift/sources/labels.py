@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN_SCHEMA = "sample_id long, channel int, cls int, y int, x0 int, x1 int"
+#: Runs that a task hands on at a time, or the one array that has more.
+RUNS = 1 << 16
+#: Array files that are made at a time.
+ENCODED = 64
 
 
 def _decode(batches):
     for batch in batches:
-        frames = []
+        frames, n = [], 0
         for sample_id, content in zip(batch["sample_id"], batch["content"]):
             label = np.load(io.BytesIO(content))
             if label.ndim != 3 or label.shape[0] < 2:
@@ -27,6 +31,10 @@ def _decode(batches):
                 last = np.append(y[1:] != y[:-1], True)
                 x1 = np.where(last, plane.shape[1] - 1, np.append(x0[1:], 0) - 1)
                 frames.append(pd.DataFrame({"sample_id": sample_id, "channel": channel, "cls": plane[y, x0], "y": y, "x0": x0, "x1": x1}))
+                n += len(y)
+            if n >= RUNS:
+                yield pd.concat(frames, ignore_index=True)
+                frames, n = [], 0
         if frames:
             yield pd.concat(frames, ignore_index=True)
 
@@ -39,14 +47,16 @@ def read_label_runs(contents: DataFrame) -> DataFrame:
 def encode_test_labels(batches):
     """Label files for the registered query: class (id + row + block + channel) mod 6, blocks of four columns."""
     for batch in batches:
-        blobs = []
-        for sample_id, h, w in zip(batch["sample_id"], batch["h"], batch["w"]):
-            y, x = np.mgrid[0:h, 0:w]
-            label = np.stack([(sample_id + y + x // 4 + c) % 6 for c in (0, 1)]).astype(np.uint8)
-            buffer = io.BytesIO()
-            np.save(buffer, label)
-            blobs.append(buffer.getvalue())
-        yield pd.DataFrame({"sample_id": batch["sample_id"], "content": blobs})
+        for start in range(0, len(batch), ENCODED):
+            part = batch.iloc[start : start + ENCODED]
+            blobs = []
+            for sample_id, h, w in zip(part["sample_id"], part["h"], part["w"]):
+                y, x = np.mgrid[0:h, 0:w]
+                label = np.stack([(sample_id + y + x // 4 + c) % 6 for c in (0, 1)]).astype(np.uint8)
+                buffer = io.BytesIO()
+                np.save(buffer, label)
+                blobs.append(buffer.getvalue())
+            yield pd.DataFrame({"sample_id": part["sample_id"], "content": blobs})
 
 
 def explode_heatmaps(docs: DataFrame) -> DataFrame:
