@@ -65,8 +65,11 @@ rg AS (SELECT k.plan_id, label_ord, p.comp AS comp, p.x AS seed_x, p.y AS seed_y
 
 
 def regions(spark, sf, free=None):
-    free = free_boxes(spark, sf) if free is None else free
-    return C.room_regions(V.labels(spark, sf), free, frame(spark, sf))
+    labels, f = V.labels(spark, sf), frame(spark, sf)
+    if free is not None:
+        return C.room_regions(labels, free, f)
+    masks, rule, reach = closed_rooms(spark, sf)
+    return C.seeded_regions(labels, masks, f, lambda s: s.free(rule(s)), reach)
 
 
 @query("g03_room_regions", "walls openings labels3", SEEDED + " SELECT * FROM rg")

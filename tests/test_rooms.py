@@ -1,5 +1,5 @@
 from plansift import catalog
-from plansift.operators import openings as O
+from plansift.operators import components as C, openings as O
 
 SIDES = "plan_id long, room_id long, x double, y double, w double, h double"
 
@@ -15,3 +15,31 @@ def test_edges_meet_over_the_borders_of_cells(spark):
     rooms = [(1, 1, 0, 0, 62, 1000), (1, 2, 66, 700, 100, 20), (1, 3, 300, 250, 50, 6), (1, 4, 300, 258, 50, 9), (2, 5, 0, 0, 62, 10), (2, 6, 67, 0, 9, 10)]
     found = O.room_sides(spark.createDataFrame([(p, r, *map(float, v)) for p, r, *v in rooms], SIDES)).filter("interior").collect()
     assert sorted((r.room_id, r.side) for r in found) == [(1, "right"), (2, "left"), (3, "top"), (4, "bottom")]
+
+
+def test_seeds_meet_free_boxes_on_their_sheet(spark):
+    catalog.load_all()
+    plan = catalog.QUERIES["g03_room_regions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_seeds_on_sheets_find_what_seeds_over_cells_find(spark):
+    # low plans and one of several blocks; seeds inside walls, between rooms, beyond the frame, without a place or label
+    boxes, frames, labels = [], [], []
+    for plan, (w, h) in enumerate([(300, 200), (130, 70), (90, 5000), (64, 64), (0, 10)]):
+        frames.append((plan, w, h))
+        boxes += [(plan, x, x + (7 * x + plan) % 90, y, y + 3) for x in range(0, 300, 37) for y in range(0, 5000, 61)]
+        boxes += [(plan, x, x + 2, y, y + (5 * y) % 150) for x in range(0, 300, 41) for y in range(0, 5000, 97)]
+        labels += [(plan, i, (53 * i + plan) % 330 - 15, (389 * i) % (h + 30) - 15) for i in range(60)]
+        labels += [(plan, 90, None, 5), (plan, 91, 5, None), (plan, None, 20, 10)]
+    boxes += [(3, 0, 63, 0, 63), (9, 0, 5, 0, 5)]
+    walls = spark.createDataFrame(boxes, "plan_id long, x0 long, x1 long, y0 long, y1 long")
+    frame = spark.createDataFrame(frames, "plan_id long, w long, h long")
+    seeds = spark.createDataFrame(labels + [(9, 1, 3, 3), (None, 1, 3, 3)], "plan_id long, label_ord int, seed_x int, seed_y int")
+    free = C.labelled({"m": walls}, frame, lambda s: [s.free(s["m"])], diagonal=False)
+    found = C.seeded_regions(seeds, {"m": walls}, frame, lambda s: s.free(s["m"]), 0)
+    want = C.room_regions(seeds, free, frame).select(*found.columns)
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    rows = sorted(map(tuple, found.collect()), key=key)
+    assert len(rows) > 100 and rows == sorted(map(tuple, want.collect()), key=key)
+    assert found.schema["label_ord"].dataType == seeds.schema["label_ord"].dataType
