@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansift.functions.numeric import round_to
 from plansift.functions.ranking import number_by
+from plansift.functions.zones import by_zone, chunks, floats, ramps
 from plansift.operators import components as C
 from plansift.operators import masks as M, sheets as S
 from plansift.operators.junctions import cell_of
@@ -130,19 +133,79 @@ def region_rectangles(accepted: DataFrame, frame: DataFrame) -> DataFrame:
 
 
 PAGE_CELL = 128.0
+#: Rectangles of a plan that one task compares with each other; plans with more of them list theirs in cells.
+FEW = 256
 
 
-def trim_rectangles(rects: DataFrame) -> DataFrame:
+def _crowded(rects: DataFrame) -> DataFrame:
+    return rects.groupBy("plan_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > FEW).select("plan_id")
+
+
+def trim_rectangles(rects: DataFrame, number: str | None = None) -> DataFrame:
     """Ends of horizontal rectangles move to the vertical ones they meet, then the reverse.
 
     Each pass tests the bounds it started with; of several matches the last in
-    order wins. The second pass reads the moved horizontal bounds.
+    order wins. The second pass reads the moved horizontal bounds. ``number``
+    adds the position by ``ord`` within the plan and orientation. A plan's
+    rectangles meet in one task, in one shuffle; only plans with more than
+    ``FEW`` list them in cells.
     """
-    h = rects.filter("orientation = 'horizontal'")
-    v = rects.filter("orientation = 'vertical'")
+    rects = rects.filter("orientation IN ('horizontal', 'vertical')")
+    crowded = _crowded(rects)
+    if crowded.isEmpty():
+        return _trim_plans(rects, number)
+    crowded = cut_lineage(crowded)
+    many = rects.join(crowded, "plan_id", "left_semi")
+    if number is not None:
+        many = number_by(many, ["plan_id", "orientation"], "ord", number)
+    h = many.filter("orientation = 'horizontal'")
+    v = many.filter("orientation = 'vertical'")
     h2 = _trim(h, v, "x", "y")
     v2 = _trim(v, h2, "y", "x")
-    return h2.unionByName(v2)
+    return _trim_plans(rects.join(crowded, "plan_id", "left_anti"), number).unionByName(h2).unionByName(v2)
+
+
+def _trim_plans(rects: DataFrame, number: str | None) -> DataFrame:
+    bounds = ["x1", "y1", "x2", "y2"]
+    placed = rects.withColumns({c: F.col(c).cast("double") for c in bounds}).repartition("plan_id")
+    if number is not None:
+        placed = placed.withColumn(number, F.row_number().over(Window.partitionBy("plan_id", "orientation").orderBy("ord")).cast("long"))
+    names = placed.columns
+
+    def work(table: pa.RecordBatch, zone: np.ndarray) -> list[pa.Array]:
+        flat = pc.equal(table.column("orientation"), "horizontal").to_numpy(zero_copy_only=False)
+        old = dict(zip(bounds, floats(table, *bounds)))
+        new = {c: v.copy() for c, v in old.items()}
+        known = pc.and_(table.column("plan_id").is_valid(), table.column("ord").is_valid()).to_numpy(zero_copy_only=False)
+        last = pc.rank(table.column("ord"), tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = np.flatnonzero(known)
+        h, v = rows[flat[rows]], rows[~flat[rows]]
+        _move(h, v, zone, last, old, new, "x", "y")
+        _move(v, h, zone, last, {**old, "x1": new["x1"], "x2": new["x2"]}, new, "y", "x")
+        return [pa.array(new[c], from_pandas=True) if c in new else table.column(c) for c in names]
+
+    return by_zone(placed, ["plan_id"], work, placed.schema, placed=True)
+
+
+def _move(mine: np.ndarray, other: np.ndarray, zone: np.ndarray, last: np.ndarray, old: dict, new: dict, a: str, c: str) -> None:
+    """``_trim`` for the rows ``mine`` and ``other`` of the same zones, into ``new``."""
+    lo, hi = old[f"{a}1"], old[f"{a}2"]
+    mid = (old[f"{c}1"] + old[f"{c}2"]) / 2
+    start = np.searchsorted(zone[other], zone[mine])
+    counts = np.searchsorted(zone[other], zone[mine], "right") - start
+    for part in chunks(counts):
+        n = counts[part]
+        m, o = np.repeat(mine[part], n), other[np.repeat(start[part], n) + ramps(n)]
+        hit = (mid[m] >= old[f"{c}1"][o] - TRIM_TOLERANCE) & (mid[m] <= old[f"{c}2"][o] + TRIM_TOLERANCE) & (lo[m] < hi[o]) & (hi[m] > lo[o])
+        m, o = m[hit], o[hit]
+        # the last in order is written last
+        order = np.lexsort((last[o], m))
+        m, o = m[order], o[order]
+        far = (hi[o] - lo[o]) * TRIM_MARGIN
+        high = (lo[o] - TRIM_TOLERANCE < hi[m]) & (hi[m] < hi[o] + far)
+        low = (lo[o] - far < lo[m]) & (lo[m] < hi[o] + TRIM_TOLERANCE)
+        new[f"{a}2"][m[high]] = hi[o[high]]
+        new[f"{a}1"][m[low]] = lo[o[low]]
 
 
 def _trim(mine: DataFrame, other: DataFrame, a: str, c: str) -> DataFrame:
@@ -201,16 +264,13 @@ def region_plan(mask: DataFrame, frame: DataFrame, erasers: DataFrame | None = N
         return cleaned if erasers is None else s.minus(cleaned, s["erasers"])
 
     found = candidates(masks, frame, ("horizontal", "vertical"), clean, M.reach_of(steps)).filter("skip_reason IS NULL")
-    before = cut_lineage(region_rectangles(found, frame))
-    after = trim_rectangles(before)
     names = ["x1", "y1", "x2", "y2"]
-    old = before.select("plan_id", "orientation", "ord", *[F.col(n).alias(f"raw_{n}") for n in names])
+    before = cut_lineage(region_rectangles(found, frame)).withColumns({f"raw_{n}": F.col(n) for n in names})
+    after = trim_rectangles(before, "_number")
     adjusted = F.lit(False)
     for n in names:
         adjusted = adjusted | (F.abs(F.col(n) - F.col(f"raw_{n}")) > 1e-6)
-    joined = clamp_thickness(after.join(old, ["plan_id", "orientation", "ord"]).withColumn("adjusted", adjusted))
-    numbered = number_by(joined, ["plan_id", "orientation"], "ord", "_number")
-    return numbered.withColumn("region_id", F.format_string("%s-region-%04d", F.substring("orientation", 1, 1), "_number")).drop("_number")
+    return clamp_thickness(after.withColumn("adjusted", adjusted)).withColumn("region_id", F.format_string("%s-region-%04d", F.substring("orientation", 1, 1), "_number")).drop("_number")
 
 
 def region_meta(plan: DataFrame) -> DataFrame:
