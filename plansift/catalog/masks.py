@@ -233,7 +233,11 @@ def _(spark, sf):
 
 def cut_mask(spark, sf):
     """Walls without the openings."""
-    return M.subtract(wall_mask(spark, sf), icon_mask(spark, sf, "door").unionByName(icon_mask(spark, sf, "window")), frame(spark, sf))
+    return M.subtract(wall_mask(spark, sf), erasers(spark, sf), frame(spark, sf))
+
+
+def erasers(spark, sf):
+    return icon_mask(spark, sf, "door").unionByName(icon_mask(spark, sf, "window"))
 
 
 @query("m05_paint_rules", "walls plans", FRAME + """,

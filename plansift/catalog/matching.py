@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plansift import views as V
 from plansift.catalog.cleaning import base, sql_junctions
-from plansift.catalog.masks import BASE, FRAME, ICONS, cut_mask, frame, sql_raster, sql_sub, sql_sweep, sql_union
+from plansift.catalog.masks import BASE, FRAME, ICONS, erasers, frame, sql_raster, sql_sub, sql_sweep, sql_union, wall_mask
 from plansift.catalog.openings import SQL_FINAL, final_walls
 from plansift.catalog.registry import query, rnd
 from plansift.operators import config, intervals as I, junctions as J, masks as M, matching as X, nearest as N
@@ -270,7 +270,8 @@ gz AS (SELECT plan_id, wall_id, lo, hi, b + 1 AS g0, coalesce(lead(a) OVER (PART
 SELECT plan_id, wall_id, g0 - lo AS gap_start, g1 - lo AS gap_end FROM gz WHERE g1 - g0 >= 12 AND g0 - lo >= 8 AND hi + 1 - g1 >= 8""")
 def _(spark, sf):
     walls = V.walls(spark, sf).selectExpr("plan_id", "wall_id", "orientation", "cast(coord AS bigint) AS c0", "cast(coord + thickness - 1 AS bigint) AS c1", "s", "e")
-    return I.gaps_in_line(X.gaps_along_walls(walls, cut_mask(spark, sf)), ["plan_id", "wall_id"])
+    masks = {"walls": wall_mask(spark, sf), "erasers": erasers(spark, sf)}
+    return X.wall_gaps(walls, masks, frame(spark, sf), lambda s: s.minus(s["walls"], s["erasers"]))
 
 
 @query("j25_stage_comparison", "walls truth_walls plans", FRAME + ", le AS (SELECT * FROM walls WHERE k % 4 = 1), re AS (SELECT * FROM truth_walls WHERE k % 4 = 1)," + sql_raster("walls", "lm") + "," + sql_raster("truth_walls", "rm") + ","

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import groupby
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plansift.functions.folds import fold_sorted
 from plansift.functions.numeric import round_half_even, round_to
-from plansift.operators import masks as M
-from plansift.operators.intervals import merge_spans
+from plansift.operators import masks as M, sheets
+from plansift.operators.intervals import gaps_in_line, merge_spans
 from plansift.operators.junctions import CELL, cell_of, junction_summary, junctions
 from plansift.session import cut_lineage
 
@@ -308,15 +309,74 @@ def _hand_on(items: Iterator[tuple]) -> Iterator[tuple]:
     yield from ((at, s, e) for s, e in held)
 
 
+def _strips(walls: DataFrame) -> DataFrame:
+    center = F.floor((F.col("c0") + F.col("c1")) / 2)
+    reach = F.greatest(F.lit(3), (F.col("c1") - F.col("c0") + 2).cast("int"))
+    return walls.filter("e > s").select(
+        "plan_id", "wall_id", "orientation", (center - reach).alias("near"), (center + reach).alias("far"), F.col("s").cast("long").alias("lo"), F.col("e").cast("long").alias("hi"))
+
+
+def wall_gaps(walls: DataFrame, masks: dict[str, DataFrame], frame: DataFrame, rule: Callable[[sheets.Sheet], sheets.Boxes], reach: int = 0, min_gap: int = 12, min_context: int = 8) -> DataFrame:
+    """Gaps (plan_id, wall_id, gap_start, gap_end) of walls in the mask that ``rule`` draws; ``walls`` as for ``gaps_along_walls``.
+
+    Distinct strips come along to the sheet of their plan, which tells their
+    gaps; walls find the gaps of their strip by one join. Only plans of several
+    blocks list strips and boxes in cells.
+    """
+    strip = ["plan_id", "_flat", "near", "far", "lo", "hi"]
+    known = _strips(walls).withColumn("_flat", F.coalesce(F.col("orientation") == "horizontal", F.lit(False)))
+    # an upright strip is told by its ends across, which change places
+    flat = F.col("_flat")
+    ends = {"x0": ("lo", "far"), "x1": ("hi", "near"), "y0": ("near", "lo"), "y1": ("far", "hi")}
+    points = known.filter("plan_id IS NOT NULL").select(*strip).distinct().select(
+        "plan_id", F.lit(0).cast("long").alias("block"), *[F.when(flat, F.col(a)).otherwise(F.col(b)).cast("long").alias(c) for c, (a, b) in ends.items()])
+
+    def work(s: sheets.Sheet) -> dict[str, np.ndarray]:
+        p, mask = s.points, rule(s)
+        upright = p.x0 > p.x1
+        boxes = sheets.Boxes(p.g, np.minimum(p.x0, p.x1), np.maximum(p.x0, p.x1), p.y0, p.y1)
+        lo, hi = np.where(upright, p.y0, p.x0), np.where(upright, p.y1, p.x1)
+        found = [(i, np.maximum(lo[i], np.where(upright[i], mask.y0[j], mask.x0[j])), np.minimum(hi[i], np.where(upright[i], mask.y1[j], mask.x1[j]))) for i, j in sheets.meetings(boxes, mask)]
+        n, r0, r1 = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*found) if found else ((), (), ())))
+        order = np.lexsort((r0, n))
+        n, r0, r1 = n[order], r0[order], r1[order]
+        # how far the runs of a strip reach, as a number that grows from strip to strip
+        base = r0.min(initial=0)
+        wide = r1.max(initial=0) - base + 3
+        reached = np.maximum.accumulate(n * wide + r1 - base)
+        new = np.append(True, n[1:] * wide + r0[1:] - base > reached[:-1] + 1)[: len(n)]
+        first = np.flatnonzero(new)
+        at, a = n[first], r0[first]
+        b = reached[np.append(first[1:], len(n))[: len(first)] - 1] - at * wide + base
+        head = np.append(True, at[1:] != at[:-1])[: len(at)]
+        last = np.append(at[1:] != at[:-1], True)[: len(at)]
+        at = np.append(at, at[head])
+        g0 = np.append(b + 1, lo[at[len(a) :]])
+        g1 = np.append(np.where(last, hi[at[: len(a)]] + 1, np.append(a[1:], 0)[: len(a)]), a[head])
+        keep = (g1 - g0 >= min_gap) & (g0 - lo[at] >= min_context) & (hi[at] + 1 - g1 >= min_context)
+        at, g0, g1 = at[keep], g0[keep], g1[keep]
+        near, far = np.where(upright, boxes.x0, p.y0), np.where(upright, boxes.x1, p.y1)
+        return {"g": p.g[at], "_flat": ~upright[at], "near": near[at], "far": far[at], "lo": lo[at], "hi": hi[at], "gap_start": g0 - lo[at], "gap_end": g1 - lo[at]}
+
+    low = frame.filter(F.col("h") <= sheets.BLOCK)
+    gaps = sheets.on_sheets(masks, low, work, "_flat boolean, near long, far long, lo long, hi long, gap_start long, gap_end long", reach, points=points)
+    columns = ["plan_id", "wall_id", "gap_start", "gap_end"]
+    out = known.join(gaps, strip).select(*columns)
+    tall = frame.filter(F.col("h") > sheets.BLOCK)
+    if tall.isEmpty():
+        return out
+    ids = tall.select("plan_id").distinct()
+    mask = sheets.drawn({name: m.join(ids, "plan_id", "left_semi") for name, m in masks.items()}, tall, rule, reach)
+    runs = gaps_along_walls(walls.join(ids, "plan_id", "left_semi"), mask.drop("cls"))
+    return out.unionByName(gaps_in_line(runs, ["plan_id", "wall_id"], min_gap, min_context).select(*columns))
+
+
 def gaps_along_walls(walls: DataFrame, mask: DataFrame) -> DataFrame:
     """W15 input: presence of mask pixels along each wall's strip, as runs with the strip bounds.
 
     ``walls``: plan_id, wall_id, orientation, c0, c1 (first and last line of the wall), s, e.
     """
-    center = F.floor((F.col("c0") + F.col("c1")) / 2)
-    reach = F.greatest(F.lit(3), (F.col("c1") - F.col("c0") + 2).cast("int"))
-    strips = walls.filter("e > s").select(
-        "plan_id", "wall_id", "orientation", (center - reach).alias("near"), (center + reach).alias("far"), F.col("s").cast("long").alias("lo"), F.col("e").cast("long").alias("hi"))
+    strips = _strips(walls)
     flat = F.col("orientation") == "horizontal"
     boxes = strips.select("plan_id", "wall_id", "orientation", "lo", "hi", F.when(flat, F.col("lo")).otherwise(F.col("near")).alias("bx0"), F.when(flat, F.col("hi")).otherwise(F.col("far")).alias("bx1"),
                           F.when(flat, F.col("near")).otherwise(F.col("lo")).alias("by0"), F.when(flat, F.col("far")).otherwise(F.col("hi")).alias("by1"))

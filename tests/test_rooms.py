@@ -1,5 +1,8 @@
+import numpy as np
+
 from plansift import catalog
-from plansift.operators import components as C, openings as O
+from plansift.functions import zones
+from plansift.operators import components as C, intervals as I, matching as X, openings as O, sheets as S
 
 SIDES = "plan_id long, room_id long, x double, y double, w double, h double"
 
@@ -43,3 +46,42 @@ def test_seeds_on_sheets_find_what_seeds_over_cells_find(spark):
     rows = sorted(map(tuple, found.collect()), key=key)
     assert len(rows) > 100 and rows == sorted(map(tuple, want.collect()), key=key)
     assert found.schema["label_ord"].dataType == seeds.schema["label_ord"].dataType
+
+
+def test_gaps_are_told_on_sheets_as_over_cells(spark):
+    # walls inside, over and beside the frame, on a low plan and on one of several blocks
+    boxes, walls = [], []
+    for plan, high in ((1, 400), (2, 6000)):
+        for i in range(60):
+            flat, c, s = i % 2 == 0, (i * 83) % min(high, 500) - 20, (i * 41) % 90 - 30
+            long = high + 50 if i % 7 == 0 and not flat else 60 + (i * 29) % 300
+            walls.append((plan, f"w{i}", "horizontal" if flat else "vertical", c, c + 3 + i % 4, float(s), float(s + long)))
+            for at in range(s + i % 5, s + long, 31 + i % 11):
+                span = (at, at + 12 + i % 9) if i % 3 else (at, at + 40)
+                boxes.append((plan, *span, c, c + 3) if flat else (plan, c, c + 3, *span))
+    # equal strips of two walls, a strip without a mask, no length, no plan
+    walls += [(1, "again", *walls[2][2:]), (1, "bare", "horizontal", 9000, 9004, 0.0, 90.0), (1, "none", "vertical", 5, 9, 7.0, 7.0), (None, "lost", *walls[0][2:]), (8, "alone", *walls[0][2:])]
+    walls = spark.createDataFrame(walls, "plan_id long, wall_id string, orientation string, c0 long, c1 long, s double, e double")
+    boxes = spark.createDataFrame(boxes, "plan_id long, x0 long, x1 long, y0 long, y1 long")
+    frame = spark.createDataFrame([(1, 450, 400), (2, 450, 6000), (3, 10, 10)], "plan_id long, w long, h long")
+    for least, context in ((12, 8), (1, 0)):
+        got = X.wall_gaps(walls, {"m": boxes}, frame, lambda s: s["m"], 0, least, context)
+        runs = X.gaps_along_walls(walls, C.label_boxes(boxes, frame=frame).drop("id", "comp"))
+        want = sorted(map(tuple, I.gaps_in_line(runs, ["plan_id", "wall_id"], least, context).collect()))
+        rows = sorted(map(tuple, got.collect()))
+        assert {p for p, *_ in rows} == {1, 2} and rows == want
+    assert any(w == "again" for _, w, *_ in rows)
+
+
+def test_boxes_of_a_sheet_meet_once(monkeypatch):
+    pick = np.random.default_rng(3)
+
+    def some(n):
+        x, y = pick.integers(-150, 300, n), pick.integers(-150, 300, n)
+        return S.Boxes(pick.integers(0, 3, n), x, x + pick.integers(0, 200, n), y, y + pick.integers(0, 200, n))
+
+    monkeypatch.setattr(zones, "PAIRS", 50)
+    a, b = some(80), some(120)
+    found = [pair for i, j in S.meetings(a, b) for pair in zip(i.tolist(), j.tolist())]
+    want = [(i, j) for i in range(80) for j in range(120) if a.g[i] == b.g[j] and a.x0[i] <= b.x1[j] and b.x0[j] <= a.x1[i] and a.y0[i] <= b.y1[j] and b.y0[j] <= a.y1[i]]
+    assert sorted(found) == want
