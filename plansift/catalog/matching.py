@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plansift import views as V
 from plansift.catalog.cleaning import base, sql_junctions
-from plansift.catalog.masks import BASE, FRAME, ICONS, erasers, frame, sql_raster, sql_sub, sql_sweep, sql_union, wall_mask
+from plansift.catalog.masks import BASE, FRAME, ICONS, erasers, frame, sql_raster, sql_sub, sql_sweep, sql_union, truth_mask, wall_mask
 from plansift.catalog.openings import SQL_FINAL, final_walls
 from plansift.catalog.registry import query, rnd
 from plansift.operators import config, intervals as I, junctions as J, masks as M, matching as X, nearest as N
@@ -63,8 +63,9 @@ def openings_with_walls(spark, sf):
     flat = F.col("o.orientation") == "horizontal"
     along, cross = F.when(flat, F.col("o.x")).otherwise(F.col("o.y")), F.when(flat, F.col("o.y")).otherwise(F.col("o.x"))
     on = found.alias("o").join(V.walls(spark, sf).alias("w"), (F.col("o.plan_id") == F.col("w.plan_id")) & (F.col("o.orientation") == F.col("w.orientation")) & (cross == F.col("w.coord"))
-                               & along.between(F.col("w.s"), F.col("w.e"))).groupBy("o.plan_id", "o.ord").agg(F.min_by("w.wall_id", "w.ord").alias("wall_id"))
-    return found.join(on, ["plan_id", "ord"], "left")
+                               & along.between(F.col("w.s"), F.col("w.e")))
+    first = F.min_by(F.struct("w.orientation", "w.coord", "w.s", "w.e", "w.thickness"), "w.ord")
+    return on.groupBy("o.plan_id", "o.ord", "o.x", "o.y", "o.span").agg(first.alias("wall")).select("plan_id", "ord", "x", "y", "span", "wall.*")
 
 
 @query("j22_opening_match", "openings walls truth_walls plans", FRAME + "," + sql_raster("truth_walls", "tm") + "," + OPENING_WALL + """,
@@ -85,8 +86,7 @@ SELECT plan_id, predicted""").replace(" AS recall FROM al", f""" AS recall, coal
  {rnd("CASE WHEN predicted > 0 THEN coalesce(anchored, 0) / predicted WHEN expected = 0 THEN 1.0::DOUBLE ELSE 0 END", 6)} AS anchor_precision FROM al LEFT JOIN an USING (plan_id)"""))
 def _(spark, sf):
     pred, truth = opening_sides(spark, sf)
-    named = openings_with_walls(spark, sf)
-    supported = X.wall_support(named.filter("wall_id IS NOT NULL"), V.walls(spark, sf), M.rasterize_boxes(V.truth_walls(spark, sf), frame(spark, sf)))
+    supported = X.drawn_support(openings_with_walls(spark, sf), truth_mask(spark, sf), frame(spark, sf))
     return X.opening_metrics(pred, truth, X.greedy_match(X.opening_pairs(pred, truth)), supported)
 
 

@@ -19,6 +19,8 @@ from plansift.operators.junctions import CELL, cell_of, junction_summary, juncti
 from plansift.session import cut_lineage
 
 JUNCTION_REACH = 12.0
+#: Side of the cells in which openings meet; wider than most of them reach, so few are listed twice.
+OPENING_CELL = 128.0
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:
@@ -62,11 +64,12 @@ def opening_pairs(pred: DataFrame, truth: DataFrame, same_kind: bool = True) ->
     """J22 candidates: close enough and of similar span. Inputs: plan_id, ord, x, y, span, kind."""
     # spans differ by half at most, so the distance limit is below 1.5 predicted spans
     reach = F.greatest(F.lit(12.0), F.col("span") * 1.5)
-    p = pred.filter("span > 0").select("plan_id", F.col("ord").alias("p_ord"), "x", "y", "span", F.col("kind")).withColumn("reach", reach).withColumn(
-        "cx", F.explode(F.sequence(cell_of(F.col("x") - F.col("reach")), cell_of(F.col("x") + F.col("reach"))))).withColumn(
-        "cy", F.explode(F.sequence(cell_of(F.col("y") - F.col("reach")), cell_of(F.col("y") + F.col("reach")))))
+    cell = lambda v: cell_of(v, OPENING_CELL)
+    p = pred.filter("span > 0").select("plan_id", F.col("ord").alias("p_ord"), "x", "y", "span", F.col("kind")).withColumn(
+        "cx", F.explode(F.sequence(cell(F.col("x") - reach), cell(F.col("x") + reach)))).withColumn(
+        "cy", F.explode(F.sequence(cell(F.col("y") - reach), cell(F.col("y") + reach))))
     e = truth.filter("span > 0").select("plan_id", F.col("ord").alias("e_ord"), F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("span").alias("e_span"),
-                                        F.col("kind").alias("e_kind")).withColumns({"cx": cell_of(F.col("ex")), "cy": cell_of(F.col("ey"))})
+                                        F.col("kind").alias("e_kind")).withColumns({"cx": cell(F.col("ex")), "cy": cell(F.col("ey"))})
     dist = F.sqrt((F.col("x") - F.col("ex")) * (F.col("x") - F.col("ex")) + (F.col("y") - F.col("ey")) * (F.col("y") - F.col("ey")))
     longest = F.greatest("span", "e_span")
     error = F.abs(F.col("span") - F.col("e_span")) / longest
@@ -88,31 +91,44 @@ def match_metrics(pred: DataFrame, truth: DataFrame, matches: DataFrame) -> Data
     return out.withColumns({"precision": round_to(precision, 6), "recall": round_to(recall, 6)})
 
 
-def wall_support(openings: DataFrame, walls: DataFrame, mask: DataFrame) -> DataFrame:
+def wall_support(openings: DataFrame, walls: DataFrame, mask: DataFrame, frame: DataFrame | None = None) -> DataFrame:
     """Openings whose wall is drawn in the mask around them (plan_id, ord).
 
-    ``openings``: plan_id, ord, wall_id, x, y, span; ``mask``: disjoint boxes of
-    the other side's walls. An opening's own wall is drawn and cut to a square
-    of max(8, span) around the opening; at least max(3, thickness) pixels of
-    that must be in the mask. Openings without a known wall have no support.
+    ``openings``: plan_id, ord, wall_id, x, y, span; ``mask``: boxes of the
+    other side's walls, cut to the frame. An opening's own wall is drawn and cut
+    to a square of max(8, span) around the opening; at least max(3, thickness)
+    pixels of that must be in the mask. Openings without a known wall have no
+    support. Distinct cuts come along to the sheets of the mask, which count
+    their pixels.
     """
+    wall = ["orientation", "coord", "s", "e", "thickness"]
+    known = openings.select("plan_id", "ord", "wall_id", "x", "y", "span").join(walls.select("plan_id", "wall_id", *wall), ["plan_id", "wall_id"])
+    return drawn_support(known, mask, frame)
+
+
+def drawn_support(openings: DataFrame, mask: DataFrame, frame: DataFrame | None = None) -> DataFrame:
+    """``wall_support`` of openings that carry their wall's orientation, coord, s, e and thickness."""
     pixel = lambda c: round_half_even(c).cast("long")
-    radius = F.greatest(F.lit(8), pixel("span"))
-    need = F.greatest(F.lit(3), pixel("thickness"))
-    drawn = M.wall_boxes(walls.select("plan_id", "wall_id", "orientation", "coord", "s", "e", "thickness"))
-    near = openings.select("plan_id", "ord", "wall_id", pixel("x").alias("cx"), pixel("y").alias("cy"), radius.alias("r")).join(
-        drawn, ["plan_id", "wall_id"]).select(
-        "plan_id", "ord", need.alias("need"),
-        F.greatest("x0", F.col("cx") - F.col("r")).alias("ax"), F.least("x1", F.col("cx") + F.col("r")).alias("bx"),
-        F.greatest("y0", F.col("cy") - F.col("r")).alias("ay"), F.least("y1", F.col("cy") + F.col("r")).alias("by")).filter("ax <= bx AND ay <= by")
-    over = lambda lo, hi: F.explode(F.sequence(cell_of(F.col(lo)), cell_of(F.col(hi))))
-    probe = near.withColumn("gx", over("ax", "bx")).withColumn("gy", over("ay", "by"))
-    listed = mask.select("plan_id", "x0", "x1", "y0", "y1").withColumn("gx", over("x0", "x1")).withColumn("gy", over("y0", "y1"))
-    # two boxes meet in the cell where their common part begins, and only there
-    x, y = F.greatest("ax", "x0"), F.greatest("ay", "y0")
-    width, height = F.least("bx", "x1") - x + 1, F.least("by", "y1") - y + 1
-    return probe.join(listed, ["plan_id", "gx", "gy"]).filter((width > 0) & (height > 0) & (cell_of(x) == F.col("gx")) & (cell_of(y) == F.col("gy"))).groupBy(
-        "plan_id", "ord", "need").agg(F.sum(width * height).alias("pixels")).filter("pixels >= need").select("plan_id", "ord")
+    x, y, r = pixel("x"), pixel("y"), F.greatest(F.lit(8), pixel("span"))
+    near = M.wall_boxes(openings).select(
+        "plan_id", "ord", F.greatest(F.lit(3), pixel("thickness")).alias("need"),
+        F.greatest("x0", x - r).alias("x0"), F.least("x1", x + r).alias("x1"), F.greatest("y0", y - r).alias("y0"), F.least("y1", y + r).alias("y1")).filter("x0 <= x1 AND y0 <= y1")
+    cut = ["plan_id", "x0", "x1", "y0", "y1"]
+    block = lambda y: F.floor(F.col(y) / sheets.BLOCK)
+    points = near.select(*cut).distinct().withColumn("block", F.explode(F.sequence(block("y0"), block("y1"))))
+
+    def work(s: sheets.Sheet) -> dict[str, np.ndarray]:
+        p, drawn = s.points, s.own(s["m"])
+        pixels = np.zeros(len(p.g), np.int64)
+        for i, j in sheets.meetings(p, drawn):
+            wide, high = (np.minimum(p_hi[i], d_hi[j]) - np.maximum(p_lo[i], d_lo[j]) + 1 for p_lo, p_hi, d_lo, d_hi in ((p.x0, p.x1, drawn.x0, drawn.x1), (p.y0, p.y1, drawn.y0, drawn.y1)))
+            np.add.at(pixels, i, wide * high)
+        met = np.flatnonzero(pixels)
+        return p.take(met).columns() | {"pixels": pixels[met]}
+
+    counts = sheets.on_sheets({"m": mask}, frame, work, "x0 long, x1 long, y0 long, y1 long, pixels long", points=points)
+    total = counts.groupBy(*cut).agg(F.sum("pixels").alias("pixels"))
+    return near.join(total, cut).filter("pixels >= need").select("plan_id", "ord")
 
 
 def opening_metrics(pred: DataFrame, truth: DataFrame, matches: DataFrame, supported: DataFrame) -> DataFrame:

@@ -231,3 +231,16 @@ def test_nearest_point_over_grid_levels(spark):
         if near:
             want[p, i] = (near[1], round(near[0], 6))
     assert got == want
+
+
+def test_wall_support_counts_a_pixel_once_and_over_blocks(spark):
+    lines = walls(spark, [(V, 100, 4000, 4200)])
+    ops = spark.createDataFrame([(1, 0, "w0", 100.0, 4096.0, 4.0), (1, 1, "w0", 100.0, 4030.0, 4.0)], "plan_id long, ord long, wall_id string, x double, y double, span double")
+    frame = spark.createDataFrame([(1, 300, 5000)], "plan_id long, w long, h long")
+    columns = "plan_id long, x0 long, x1 long, y0 long, y1 long"
+    # ord 0 sees two pixels above and two below the border of blocks; ord 1 sees two, drawn twice
+    drawn = spark.createDataFrame([(1, 99, 99, 4094, 4097), (1, 99, 100, 4030, 4030), (1, 99, 100, 4030, 4030), (1, 98, 100, 4030, 4030)], columns)
+    assert [r.ord for r in matching.wall_support(ops, lines, drawn, frame).collect()] == [0]
+    # four of them, one in both boxes
+    more = drawn.unionByName(spark.createDataFrame([(1, 100, 101, 4030, 4030)], columns))
+    assert sorted(r.ord for r in matching.wall_support(ops, lines, more, frame).collect()) == [0, 1]
