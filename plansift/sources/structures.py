@@ -14,6 +14,9 @@ STRUCTURE = (
     f"structure_meta:struct<unit:string,scale_status:string,scale_hint:double,image_size:struct<width:int,height:int>>>"
 )
 
+#: Documents of a file.
+FILE_ROWS = 50_000
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One structure per file, the file name as plan id."""
@@ -25,14 +28,15 @@ def write_lines(docs: DataFrame, key: str, column: str, path: str) -> None:
     """Many structures per file, one line each: the key, a tab, the document.
 
     JSON text holds no raw line break or tab, so a line is a document whatever
-    its strings are. A null document is written as an empty one.
+    its strings are. A null document is written as an empty one. Files are
+    compressed and hold ``FILE_ROWS`` documents at most, so one is read by a task.
     """
     line = F.concat_ws("\t", F.col(key).cast("string"), F.coalesce(F.col(column), F.lit("{}")))
-    docs.filter(F.col(key).isNotNull()).select(line.alias("value")).write.mode("overwrite").text(path)
+    docs.filter(F.col(key).isNotNull()).select(line.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).text(path, compression="gzip")
 
 
 def read_lines(spark: SparkSession, path: str, key: str = "doc_id", kind: str = "long") -> DataFrame:
-    """Structures written by ``write_lines``. Files are split by size, so millions of small documents need few tasks.
+    """Structures written by ``write_lines``. Files are gathered by size, so millions of small documents need few tasks.
 
     A line whose document cannot be parsed keeps its key and has no parts.
     """

@@ -3,6 +3,7 @@
 import math
 from collections import Counter, defaultdict
 
+from plansift.catalog import datasets
 from plansift.operators import drawing, matching, openings
 from plansift.sources import archives, reports, structures
 
@@ -136,3 +137,24 @@ def test_legacy_openings_on_a_crowded_line(spark):
         spark.createDataFrame(doors, "plan_id long, room_id string, side string, kind string, orientation string, coord double, start double, end double, span double, is_exterior boolean"),
         spark.createDataFrame(walls, "plan_id long, orientation string, coord double, wall_id string, s double, e double, is_exterior boolean"))
     assert {r.room_id: (r.wall_id, r.offset) for r in got.collect()} == want
+
+
+def test_structure_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(structures, "FILE_ROWS", 100, raising=False)
+    docs = spark.range(1000).coalesce(1).selectExpr("id AS doc_id", """concat('{"walls":[', repeat('{"id":"w","orientation":"horizontal"},', 20), '{"id":"last"}]}') AS doc""")
+    text = docs.selectExpr("sum(length(doc)) AS n").first()["n"]
+    structures.write_lines(docs, "doc_id", "doc", str(tmp_path / "s"))
+    files = [p for p in (tmp_path / "s").iterdir() if p.name.startswith("part-")]
+    assert len(files) == 10 and sum(p.stat().st_size for p in files) < text / 5
+    back = structures.read_lines(spark, str(tmp_path / "s")).selectExpr("doc_id", "size(structure.walls) AS n").collect()
+    assert sorted((r.doc_id, r.n) for r in back) == [(i, 21) for i in range(1000)]
+
+
+def test_structure_documents_are_built_behind_the_shuffle(spark, monkeypatch, tmp_path):
+    written = []
+    monkeypatch.setattr(structures, "write_lines", lambda docs, *rest: written.append(docs))
+    monkeypatch.setattr(structures, "read_lines", lambda spark, path: None)
+    datasets.structure_files(spark, "/root/testdata/sf0.001")
+    rows = str(written[0]._jdf.queryExecution().optimizedPlan())
+    # what is gathered by document names no part of one
+    assert "polyline" not in rows[rows.index("Aggregate"):]
