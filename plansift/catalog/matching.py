@@ -11,12 +11,10 @@ from plansift.catalog.openings import SQL_FINAL, final_walls
 from plansift.catalog.registry import query, rnd
 from plansift.operators import config, intervals as I, junctions as J, masks as M, matching as X, nearest as N
 from plansift.functions.numeric import round_to
-from plansift.functions.ranking import number_rows
 
 
 def numbered_junctions(walls):
-    points = J.junctions(config.with_default_config(walls))
-    return number_rows(points, ["plan_id"], ["x"], ["y"], "ord")
+    return J.numbered_junctions(config.with_default_config(walls))
 
 
 GREEDY = f"""
@@ -34,8 +32,8 @@ pd AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY x, y) AS ord F
 pr AS (SELECT pd.plan_id, pd.ord AS p_ord, td.ord AS e_ord, sqrt((pd.x - td.x) * (pd.x - td.x) + (pd.y - td.y) * (pd.y - td.y)) AS score FROM pd JOIN td ON pd.plan_id = td.plan_id AND pd.type = td.type
  AND sqrt((pd.x - td.x) * (pd.x - td.x) + (pd.y - td.y) * (pd.y - td.y)) <= 12),""" + GREEDY)
 def _(spark, sf):
-    from plansift.session import cut_lineage
-    pred, truth = (cut_lineage(numbered_junctions(w)) for w in (V.walls(spark, sf), V.truth_walls(spark, sf)))
+    from plansift.session import keep_rows
+    pred, truth = (keep_rows(numbered_junctions(w)) for w in (V.walls(spark, sf), V.truth_walls(spark, sf)))
     return X.match_metrics(pred, truth, X.greedy_match(X.junction_pairs(pred, truth)))
 
 
@@ -328,7 +326,7 @@ SELECT f.plan_id, q.lft AS "left", q.rgt AS "right", coalesce(a.n, 0) AS walls_l
  om."precision" AS opening_precision, om.recall AS opening_recall FROM frame f, sq q LEFT JOIN ct a ON a.plan_id = f.plan_id AND a.stage = q.lft LEFT JOIN ct b ON b.plan_id = f.plan_id AND b.stage = q.rgt
  LEFT JOIN mk ON mk.plan_id = f.plan_id AND mk.pair = q.pair LEFT JOIN jmm jm ON jm.plan_id = f.plan_id * {len(STAGE_PAIRS)} + q.pair LEFT JOIN omm om ON om.plan_id = f.plan_id * {len(STAGE_PAIRS)} + q.pair""")
 def _(spark, sf):
-    from plansift.session import cut_lineage
+    from plansift.session import keep_rows
     raw, truth = (w.withColumn("is_exterior", F.col("k") % 4 == 1) for w in (V.walls(spark, sf), V.truth_walls(spark, sf)))
     post = final_walls(spark, sf)
     columns = ["plan_id", "orientation", "coord", "s", "e", "thickness", "is_exterior"]
@@ -336,7 +334,7 @@ def _(spark, sf):
     walls = named(raw.select(columns), "raw")
     for rows, stage in ((post, "post"), (post.withColumn("thickness", F.when(F.col("thickness") >= 5, 6.0).otherwise(4.0)), "plan"), (post.withColumn("thickness", F.lit(1.0)), "drawing"), (truth, "truth")):
         walls = walls.unionByName(named(rows.select(columns), stage))
-    found = {stage: cut_lineage(numbered_junctions(rows.drop("cfg"))) for stage, rows in (("raw", raw), ("post", post), ("truth", truth))}
+    found = {stage: keep_rows(numbered_junctions(rows.drop("cfg"))) for stage, rows in (("raw", raw), ("post", post), ("truth", truth))}
     points = named(found["raw"], "raw")
     for stage, of in (("post", "post"), ("plan", "post"), ("drawing", "post"), ("truth", "truth")):
         points = points.unionByName(named(found[of], stage))

@@ -77,23 +77,15 @@ def set_areas(masks: dict[str, DataFrame], frame: DataFrame | None = None, rule:
     return found.groupBy("plan_id", "bits").agg(F.sum("area").alias("area"))
 
 
-def areas_by_set(boxes: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Pixels (``area``) per set of masks that cover them, in one sweep over any number of masks.
+def areas_by_set(boxes: DataFrame, keys: list[str] = KEY, frame: DataFrame | None = None) -> DataFrame:
+    """Pixels (``area``) per set of masks that cover them, for up to 62 masks, behind one shuffle of distinct boxes.
 
-    ``boxes`` has ``bit`` (one bit of a number per mask); the boxes of a mask
-    are disjoint. Along a slab of equal rows the bits of boxes that begin are
-    added and those of boxes that end are taken away, so the running sum is the
-    set (``bits``) of masks at hand.
+    ``boxes`` has ``bit``: the masks that a box belongs to, a bit per mask. Boxes
+    may overlap and, with ``frame``, reach over it.
     """
-    cut = _pieces(boxes.select(*keys, "bit", "x0", "x1", "y0", "y1"), keys, carry=("bit",))
-    slab = [*keys, "band", "y0", "y1"]
-    ends = F.array(F.struct(F.col("x0").alias("x"), F.col("bit").alias("d")), F.struct((F.col("x1") + 1).alias("x"), (-F.col("bit")).alias("d")))
-    steps = cut.select(*slab, F.inline(ends)).groupBy(*slab, "x").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy(*slab).orderBy("x")
-    parts = steps.select(
-        *slab, F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("bits"),
-        ((F.lead("x").over(order) - F.col("x")) * (F.col("y1") - F.col("y0") + 1)).alias("area"))
-    return parts.filter("bits <> 0").groupBy(*keys, "bits").agg(F.sum("area").alias("area"))
+    rows = boxes.select(*keys, F.col("bit").alias("bits"), "x0", "x1", "y0", "y1")
+    found = sheets.on_sheets({}, frame, lambda s: s.areas_by_set(), "bits long, area long", keys=keys, layered=rows)
+    return found.groupBy(*keys, "bits").agg(F.sum("area").alias("area"))
 
 
 def _like(boxes: DataFrame, mask: DataFrame) -> DataFrame:
@@ -264,30 +256,6 @@ def compact(runs: DataFrame, keys: list[str] = KEY) -> DataFrame:
     )
 
 
-#: Rows of a band, one bit each. A band has at most BAND + 1 row edges, whatever it holds.
-BAND = 64
-
-
-def _pieces(boxes: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
-    """Boxes cut at every row edge inside their band of rows: keys, band, y0, y1, x0, x1, and the columns to carry.
-
-    One shuffle by (keys, band) brings a band together; its edges are one
-    64-bit number. Boxes are read once, so nothing has to be written between steps.
-    """
-    first, last = F.floor(F.col("y0") / BAND), F.floor(F.col("y1") / BAND)
-    banded = boxes.select(*keys, *carry, "x0", "x1", "y0", "y1", F.explode(F.sequence(first, last)).alias("band")).select(
-        *keys, *carry, "band", "x0", "x1", F.greatest("y0", F.col("band") * BAND).alias("y0"), F.least("y1", F.col("band") * BAND + BAND - 1).alias("y1"))
-    # the row edges of a band are the bits of one number; the edge below its last row ends every piece anyway
-    bit = lambda y: F.call_function("shiftleft", F.lit(1).cast("long"), y.cast("int"))
-    top, below = F.col("y0") - F.col("band") * BAND, F.col("y1") + 1 - F.col("band") * BAND
-    edges = bit(top).bitwiseOR(F.when(below < BAND, bit(below)).otherwise(F.lit(0).cast("long")))
-    marked = banded.withColumn("_edges", F.bit_or(edges).over(Window.partitionBy(*keys, "band")))
-    starts = F.filter(F.sequence("y0", "y1"), lambda y: (y == F.col("y0")) | (F.call_function("shiftrightunsigned", F.col("_edges"), (y - F.col("band") * BAND).cast("int")).bitwiseAND(1) == 1))
-    cut = marked.select(*keys, *carry, "band", "x0", "x1", "y1", starts.alias("_own"))
-    rows = F.transform("_own", lambda y, i: F.struct(y.alias("y0"), F.coalesce(F.get("_own", i + 1) - 1, F.col("y1")).alias("y1")))
-    return cut.select(*keys, *carry, "band", "x0", "x1", F.inline(rows))
-
-
 def merge_boxes(boxes: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """Overlapping boxes -> disjoint stacked boxes of the same pixels."""
     return sheets.drawn({"m": boxes}, None, lambda s: s["m"], keys=keys).drop("cls")

@@ -8,36 +8,49 @@ from functools import partial
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from plansift.functions.folds import fold_sorted
 from plansift.functions.numeric import round_half_even, round_to
+from plansift.functions.zones import GATHER, by_zone, floats, near_pairs
 from plansift.operators import masks as M, sheets
 from plansift.operators.intervals import gaps_in_line, merge_spans
-from plansift.operators.junctions import CELL, cell_of, junction_summary, junctions
-from plansift.session import cut_lineage
+from plansift.operators.junctions import TILE, cell_of
+from plansift.session import cut_lineage, keep_rows
 
 JUNCTION_REACH = 12.0
 #: Side of the cells in which openings meet; wider than most of them reach, so few are listed twice.
 OPENING_CELL = 128.0
 
 
+#: Pairs of a plan that one task settles; larger plans are settled in rounds over rows.
+SETTLE = 1 << 18
+
+
 def greedy_match(pairs: DataFrame) -> DataFrame:
     """One-to-one greedy matching of candidate pairs (plan_id, p_ord, e_ord, score).
 
     Predictions choose in the order of p_ord, each the free partner with the
-    least (score, e_ord). A pair is settled once it is the best of its
-    prediction and no earlier prediction wants its partner, whatever happens
-    elsewhere. Each round settles all such pairs, with a minimum per side, and
-    takes their ends out by anti joins. The first open prediction of a plan
-    always settles or runs out of partners, so the rounds end; their number is
-    that of the longest chain of choices that wait for each other, and no
-    component is ever gathered in one place.
+    least (score, e_ord). The pairs of a plan come to one task, which settles
+    plans of at most ``SETTLE`` pairs in that order and passes on the pairs of
+    larger ones, so it holds a bounded number. Those are settled in rounds over
+    rows: a pair is settled once it is the best of its prediction and no earlier
+    prediction wants its partner, whatever happens elsewhere. Each round settles
+    all such pairs, with a minimum per side, and takes their ends out by anti
+    joins. The first open prediction of a plan always settles or runs out of
+    partners, so the rounds end; their number is that of the longest chain of
+    choices that wait for each other.
     """
     p, e = ["plan_id", "p_ord"], ["plan_id", "e_ord"]
-    left = cut_lineage(pairs.select(*p, "e_ord", "score"))
-    settled = left.filter("1 = 0")
+    rows = pairs.filter("plan_id IS NOT NULL AND p_ord IS NOT NULL AND e_ord IS NOT NULL").select(*p, "e_ord", "score")
+    schema = rows.schema.add("settled", "boolean")
+    state = keep_rows(rows.repartition("plan_id").sortWithinPartitions("plan_id", "p_ord", "score", "e_ord").mapInArrow(partial(_settle, SETTLE, to_arrow_schema(schema)), schema))
+    settled, left = state.filter("settled").drop("settled"), state.filter("NOT settled").drop("settled")
     while not left.isEmpty():
         best = left.groupBy(*p).agg(F.min(F.struct("score", "e_ord")).alias("b")).select(*p, "b.e_ord", "b.score")
         first = left.groupBy(*e).agg(F.min("p_ord").alias("first"))
@@ -49,15 +62,136 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
     return settled
 
 
+def _settle(most: int, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs in the order of plan, prediction and score -> the settled pairs, and all pairs of plans with more than ``most`` of them."""
+    held: list[pa.RecordBatch] = []
+    n, wait, large = 0, GATHER, None
+
+    def marked(table: pa.RecordBatch, settled: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*table.columns, pa.array(np.full(table.num_rows, settled))], schema=schema)
+
+    def chosen(table: pa.RecordBatch) -> pa.RecordBatch:
+        plan, p, e = (c.dictionary_encode().indices.to_numpy() for c in table.columns[:3])
+        node = (plan.astype(np.int64) * (int(e.max(initial=0)) + 1) + e).tolist()
+        rows, taken, done = [], set(), None
+        for row, (at, partner) in enumerate(zip(zip(plan.tolist(), p.tolist()), node)):
+            if at != done and partner not in taken:
+                taken.add(partner)
+                rows.append(row)
+                done = at
+        return marked(table.take(pa.array(rows, pa.int64())), True)
+
+    def worked(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, n, wait, large
+        table = pa.concat_batches(held)
+        plan = table.column(0)
+        passing = 0
+        if large is not None:
+            passing = pc.sum(pc.equal(plan, large)).as_py() or 0
+            yield marked(table.slice(0, passing), False)
+            table, plan = table.slice(passing), plan.slice(passing)
+        if not table.num_rows:
+            held, n = [], 0
+            return
+        large = None
+        # the last plan may go on in the next batch
+        stop = table.num_rows if last else pc.index(plan, plan[-1]).as_py()
+        if stop:
+            sizes = pc.value_counts(plan.slice(0, stop))
+            big = sizes.field("values").filter(pc.greater(sizes.field("counts"), most))
+            is_big = pc.is_in(plan.slice(0, stop), value_set=big)
+            yield chosen(table.slice(0, stop).filter(pc.invert(is_big)))
+            yield marked(table.slice(0, stop).filter(is_big), False)
+        rest = table.slice(stop)
+        if rest.num_rows > most:
+            large = plan[-1]
+            yield marked(rest, False)
+            rest = rest.slice(0, 0)
+        held, n = [rest] if rest.num_rows else [], rest.num_rows
+        wait = max(GATHER, 2 * n)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= wait:
+            yield from worked(False)
+    if held:
+        yield from worked(True)
+
+
 def junction_pairs(pred: DataFrame, truth: DataFrame, reach: float = JUNCTION_REACH) -> DataFrame:
-    """Same-type junctions within ``reach``. Inputs: plan_id, ord, x, y, type."""
-    ring = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    p = pred.select("plan_id", F.col("ord").alias("p_ord"), "x", "y", "type", F.inline(ring)).withColumns(
-        {"cx": cell_of(F.col("x"), reach) + F.col("dx"), "cy": cell_of(F.col("y"), reach) + F.col("dy")})
-    e = truth.select("plan_id", F.col("ord").alias("e_ord"), F.col("x").alias("ex"), F.col("y").alias("ey"), "type").withColumns(
-        {"cx": cell_of(F.col("ex"), reach), "cy": cell_of(F.col("ey"), reach)})
-    dist = F.sqrt((F.col("x") - F.col("ex")) * (F.col("x") - F.col("ex")) + (F.col("y") - F.col("ey")) * (F.col("y") - F.col("ey")))
-    return p.join(e, ["plan_id", "type", "cx", "cy"]).withColumn("score", dist).filter(F.col("score") <= reach).select("plan_id", "p_ord", "e_ord", "score")
+    """Same-type junctions within ``reach``. Inputs: plan_id, ord, x, y, type.
+
+    Both sides meet in tiles of their plan, in one shuffle; a tile holds the
+    junctions of the truth within reach of it and the others stream by.
+    """
+    side = max(TILE, 4.0 * reach)
+    tile = lambda at: F.floor(at / side + 0.5)
+    # a unit of slack for rounding
+    around = lambda at: F.explode(F.sequence(tile(F.col(at) - reach - 1.0), tile(F.col(at) + reach + 1.0)))
+    place = [F.col(c).cast("double").alias(c) for c in ("x", "y")]
+    p = pred.filter("plan_id IS NOT NULL").select("plan_id", F.col("ord").alias("p_ord"), *place, "type").withColumns({"_tx": tile(F.col("x")), "_ty": tile(F.col("y")), "_truth": F.lit(False)})
+    e = truth.filter("plan_id IS NOT NULL").select("plan_id", F.col("ord").alias("e_ord"), *place, "type").withColumn("_tx", around("x")).withColumn("_ty", around("y")).withColumn("_truth", F.lit(True))
+    together = p.unionByName(e, allowMissingColumns=True)
+    schema = StructType([together.schema[c] for c in ("plan_id", "p_ord", "e_ord")]).add("score", "double")
+    return by_zone(together, ["plan_id", "_tx", "_ty"], partial(_near_junctions, reach), schema, stay="_truth")
+
+
+def stage_junction_pairs(points: DataFrame, pairs: list[tuple[str, str]], reach: float = JUNCTION_REACH) -> DataFrame:
+    """``junction_pairs`` of all (left, right) pairs of stages, with the number of the ``pair``, in one shuffle.
+
+    ``points``: stage, plan_id, ord, x, y, type. A tile holds the junctions of all stages.
+    """
+    names = sorted({name for pair in pairs for name in pair})
+    side = max(TILE, 4.0 * reach)
+    tile = lambda at: F.floor(at / side + 0.5)
+    around = lambda at: F.explode(F.sequence(tile(F.col(at) - reach - 1.0), tile(F.col(at) + reach + 1.0)))
+    number = F.element_at(F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, k)]), F.col("stage"))
+    rows = points.filter(F.col("plan_id").isNotNull() & F.col("stage").isin(names)).select(
+        "plan_id", number.alias("_stage"), "ord", *[F.col(c).cast("double").alias(c) for c in ("x", "y")], "type").withColumn("_tx", around("x")).withColumn("_ty", around("y"))
+    rows = rows.withColumn("_home", (F.col("_tx") == tile(F.col("x"))) & (F.col("_ty") == tile(F.col("y"))))
+    schema = StructType([rows.schema["plan_id"]]).add("pair", "integer")
+    for name in ("p_ord", "e_ord"):
+        schema = schema.add(name, rows.schema["ord"].dataType)
+    numbers = [(names.index(a), names.index(b)) for a, b in pairs]
+    return by_zone(rows, ["plan_id", "_tx", "_ty"], partial(_near_stages, reach, numbers), schema.add("score", "double"))
+
+
+def _near_stages(reach: float, pairs: list[tuple[int, int]], table: pa.RecordBatch, zone: np.ndarray) -> list[pa.Array]:
+    """Pairs of junctions of one type, the left one at home in its tile, for all pairs of stages."""
+    stage = table.column("_stage").to_numpy()
+    home = table.column("_home").to_numpy(zero_copy_only=False)
+    found = [_near(reach, table, zone, np.flatnonzero(home & (stage == a)), np.flatnonzero(stage == b)) for a, b in pairs]
+    pair = np.repeat(np.arange(len(pairs), dtype=np.int32), [len(f[0]) for f in found])
+    a, b, score = (np.concatenate(c) for c in zip(*found))
+    rows, ord_ = pa.array(a), table.column("ord")
+    return [table.column("plan_id").take(rows), pa.array(pair), ord_.take(rows), ord_.take(pa.array(b)), pa.array(score)]
+
+
+def _near(reach: float, table: pa.RecordBatch, zone: np.ndarray, p: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``p`` and of ``e`` of one zone and type within ``reach``, and how far they are apart."""
+    x, y = floats(table, "x", "y")
+    kind = pc.fill_null(table.column("type").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    p, e = p[kind[p] >= 0], e[kind[e] >= 0]
+    group = zone * (int(kind.max(initial=0)) + 1) + kind
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for a, b in near_pairs(group[p], x[p], y[p], group[e], x[e], y[e], reach):
+        a, b = p[a], e[b]
+        dx, dy = x[a] - x[b], y[a] - y[b]
+        score = np.sqrt(dx * dx + dy * dy)
+        near = score <= reach
+        found.append((a[near], b[near], score[near]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _near_junctions(reach: float, table: pa.RecordBatch, zone: np.ndarray) -> list[pa.Array]:
+    """Pairs of junctions of one type among the rows of a tile."""
+    truth = table.column("_truth").to_numpy(zero_copy_only=False)
+    a, b, score = _near(reach, table, zone, np.flatnonzero(~truth), np.flatnonzero(truth))
+    rows = pa.array(a)
+    return [table.column("plan_id").take(rows), table.column("p_ord").take(rows), table.column("e_ord").take(pa.array(b)), pa.array(score)]
 
 
 def opening_pairs(pred: DataFrame, truth: DataFrame, same_kind: bool = True) -> DataFrame:
@@ -436,9 +570,8 @@ def compare_all_stages(
     shell = {name: 1 << (k + len(names)) for k, name in enumerate(names)}
     number = lambda table: F.element_at(F.create_map(*[F.lit(x) for name, b in table.items() for x in (name, b)]), F.col("stage")).cast("long")
     known = walls.filter(F.col("stage").isin(names))
-    tagged = known.withColumn("bit", F.explode(F.filter(F.array(number(bit), F.when(F.col("is_exterior"), number(shell))), lambda b: b.isNotNull())))
-    boxes = M.merge_boxes(M.clip(M.wall_boxes(tagged).select("plan_id", "bit", "x0", "x1", "y0", "y1"), frame), ["plan_id", "bit"])
-    areas = M.areas_by_set(boxes)
+    tagged = known.withColumn("bit", number(bit) + F.when(F.col("is_exterior"), number(shell)).otherwise(0))
+    areas = M.areas_by_set(M.wall_boxes(tagged), frame=frame.select("plan_id", "w", "h"))
 
     listed = F.array(*[F.struct(F.lit(k).alias("pair"), F.lit(a).alias("left"), F.lit(b).alias("right")) for k, (a, b) in enumerate(pairs)])
     of = lambda bits, side: F.col("bits").bitwiseAND(F.element_at(F.create_map(*[F.lit(x) for name, b in bits.items() for x in (name, b)]), F.col(side)).cast("long")) != 0
@@ -457,15 +590,16 @@ def compare_all_stages(
         keyed = rows.select("*", F.inline(listed)).withColumn("plan_id", F.col("plan_id") * len(pairs) + F.col("pair"))
         return keyed.filter("stage = left").drop("stage", "pair", "left", "right"), keyed.filter("stage = right").drop("stage", "pair", "left", "right")
 
-    def scores(rows: DataFrame, candidates, what: str) -> DataFrame:
+    def scores(rows: DataFrame, candidates: DataFrame, what: str) -> DataFrame:
         left, right = sides(rows)
-        found = match_metrics(left, right, greedy_match(candidates(left, right)))
+        found = match_metrics(left, right, greedy_match(candidates))
         return found.select(
             F.floor(F.col("plan_id") / len(pairs)).cast("long").alias("plan_id"), F.pmod("plan_id", F.lit(len(pairs))).cast("int").alias("pair"),
             F.col("precision").alias(f"{what}_precision"), F.col("recall").alias(f"{what}_recall"))
 
+    met = stage_junction_pairs(points, pairs).withColumn("plan_id", F.col("plan_id") * len(pairs) + F.col("pair")).drop("pair")
     out = each.fillna(0).join(masks, ["plan_id", "pair"], "left")
-    out = out.join(scores(points, junction_pairs, "junction"), ["plan_id", "pair"], "left").join(scores(openings, opening_pairs, "opening"), ["plan_id", "pair"], "left")
+    out = out.join(scores(points, met, "junction"), ["plan_id", "pair"], "left").join(scores(openings, opening_pairs(*sides(openings)), "opening"), ["plan_id", "pair"], "left")
     return out.withColumn("wall_count_diff", F.col("walls_left") - F.col("walls_right")).drop("pair")
 
 
