@@ -49,11 +49,6 @@ def _(spark, sf):
 FREE = CLOSED + "," + sql_complement("closed", "fr") + "," + sql_label("fr", "lf", 0)
 
 
-def free_boxes(spark, sf):
-    masks, rule, reach = closed_rooms(spark, sf)
-    return C.labelled(masks, frame(spark, sf), lambda s: [s.free(rule(s))], diagonal=False, reach=reach).drop("cls")
-
-
 # nearest free pixel per label, pixel by pixel
 SEEDED = FREE + "," + sql_stats("lf", "st") + """,
 sd AS (SELECT l.*, greatest(0, least(seed_x, w - 1)) AS sx, greatest(0, least(seed_y, h - 1)) AS sy FROM labels3 l JOIN frame USING (plan_id)),
@@ -64,12 +59,9 @@ pick AS (SELECT plan_id, label_ord, arg_min({'comp': comp, 'x': sx + dx, 'y': sy
 rg AS (SELECT k.plan_id, label_ord, p.comp AS comp, p.x AS seed_x, p.y AS seed_y, area, bx0, bx1, by0, by1 FROM pick k JOIN st ON st.plan_id = k.plan_id AND st.comp = k.p.comp WHERE area >= 50)"""
 
 
-def regions(spark, sf, free=None):
-    labels, f = V.labels(spark, sf), frame(spark, sf)
-    if free is not None:
-        return C.room_regions(labels, free, f)
+def regions(spark, sf):
     masks, rule, reach = closed_rooms(spark, sf)
-    return C.seeded_regions(labels, masks, f, lambda s: s.free(rule(s)), reach)
+    return C.seeded_regions(V.labels(spark, sf), masks, frame(spark, sf), lambda s: s.free(rule(s)), reach)
 
 
 @query("g03_room_regions", "walls openings labels3", SEEDED + " SELECT * FROM rg")
@@ -129,9 +121,8 @@ vr AS (SELECT plan_id, comp, x, min(y0) AS y0, max(y1) AS y1 FROM vg GROUP BY pl
 vx AS (SELECT bd.plan_id, label_ord, max(y1 - y0) AS span_h FROM bd JOIN vr ON vr.plan_id = bd.plan_id AND vr.comp = bd.comp AND seed_y BETWEEN y0 AND y1 AND x BETWEEN seed_x - band AND seed_x + band GROUP BY ALL)
 SELECT plan_id, label_ord, span_w, span_h FROM hx JOIN vx USING (plan_id, label_ord)""")
 def _(spark, sf):
-    from plansift.session import cut_lineage
-    free = cut_lineage(free_boxes(spark, sf))
-    out = C.seed_spans(regions(spark, sf, free), free)
+    masks, rule, reach = closed_rooms(spark, sf)
+    out = C.seeded_spans(V.labels(spark, sf), masks, frame(spark, sf), lambda s: s.free(rule(s)), reach)
     return out.select("plan_id", F.col("label_ord").cast("long").alias("label_ord"), "span_w", "span_h")
 
 

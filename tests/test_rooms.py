@@ -85,3 +85,22 @@ def test_boxes_of_a_sheet_meet_once(monkeypatch):
     found = [pair for i, j in S.meetings(a, b) for pair in zip(i.tolist(), j.tolist())]
     want = [(i, j) for i in range(80) for j in range(120) if a.g[i] == b.g[j] and a.x0[i] <= b.x1[j] and b.x0[j] <= a.x1[i] and a.y0[i] <= b.y1[j] and b.y0[j] <= a.y1[i]]
     assert sorted(found) == want
+def test_room_spans_are_told_on_sheets_as_over_cells(spark):
+    boxes, frames, labels = [], [], []
+    for plan, (w, h) in enumerate([(300, 200), (130, 70), (90, 5000), (64, 64)]):
+        frames.append((plan, w, h))
+        boxes += [(plan, x, x + (7 * x + plan) % 90, y, y + 3) for x in range(0, 300, 37) for y in range(0, 5000, 61)]
+        boxes += [(plan, x, x + 2, y, y + (5 * y) % 150) for x in range(0, 300, 41) for y in range(0, 5000, 97)]
+        labels += [(plan, i, (53 * i + plan) % 330 - 15, (389 * i) % (h + 30) - 15) for i in range(60)] + [(plan, None, 20, 10)]
+    walls = spark.createDataFrame(boxes, "plan_id long, x0 long, x1 long, y0 long, y1 long")
+    frame = spark.createDataFrame(frames, "plan_id long, w long, h long")
+    seeds = spark.createDataFrame(labels + labels[:9], "plan_id long, label_ord int, seed_x int, seed_y int")
+    free = C.labelled({"m": walls}, frame, lambda s: [s.free(s["m"])], diagonal=False)
+    want = C.seed_spans(C.room_regions(seeds, free, frame), free)
+    found = C.seeded_spans(seeds, {"m": walls}, frame, lambda s: s.free(s["m"]), 0)
+    rows = sorted(map(tuple, found.collect()))
+    assert len(rows) > 100 and rows == sorted(map(tuple, want.collect()))
+    plan = C.seeded_spans(seeds, {"m": walls}, frame.filter("h < 4000"), lambda s: s.free(s["m"]), 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
