@@ -104,3 +104,23 @@ def test_room_spans_are_told_on_sheets_as_over_cells(spark):
     assert "Join" not in plan
 
 
+
+
+def test_rooms_of_a_plan_share_sides_in_one_task_as_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(zones, "GATHER", 64)
+    rng = np.random.default_rng(9)
+    rooms = [(int(p), i % 150, *(float(v) for v in (10 * rng.integers(0, 12) + rng.integers(0, 4), 10 * rng.integers(0, 12), 10 * rng.integers(1, 4), 10 * rng.integers(1, 4)))) for i, p in enumerate(rng.integers(0, 9, 400))]
+    # rooms that come twice, with a number of their own, with several boxes, far out, without plan, number or place
+    rooms += rooms[:30] + [(0, 900, *r[2:]) for r in rooms[:5]] + [(p, 901, float(30 * p), 500.0, 30.0, 30.0) for p in (1, 1, 2)] + [(1, 901, 90.0, 700.0, 9.0, 9.0), (1, 902, 60.0, 500.0, 30.0, 30.0)]
+    rooms += [(20, 1, 0.0, 9000.0, 10.0, 10.0), (20, 2, 10.0, 9000.0, 10.0, 10.0), (None, 1, 0.0, 0.0, 9.0, 9.0), (3, None, 0.0, 0.0, 30.0, 30.0), (3, 903, None, 0.0, 9.0, 9.0)]
+    table = spark.createDataFrame(rooms, SIDES)
+    got, want = O.room_sides(table), O._sides_over_cells(table)
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
+def test_rooms_of_a_plan_meet_in_one_shuffle(spark):
+    catalog.load_all()
+    plan = catalog.QUERIES["j09_room_adjacency"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange ") <= 3
