@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plansift import catalog
 from plansift.operators import junctions as J, masks as M, matching as X
@@ -31,6 +32,17 @@ def test_junctions_of_tiles_are_those_of_the_hits(spark, wide):
     assert numbered == expected
 
 
+def test_walls_without_a_place_have_no_junctions(spark):
+    rows = walls(spark, random_walls(6)).unionByName(walls(spark, random_walls(7), plan=2))
+    for c, of in (("coord", 7), ("s", 11), ("e", 13), ("thickness", 5), ("plan_id", 17)):
+        rows = rows.withColumn(c, F.when(F.col("ord") % of != 3, F.col(c)))
+    want = sorted(map(tuple, J.junctions_from_hits(J.junction_hits(rows)).collect()))
+    assert sorted(map(tuple, J.junctions(rows).collect())) == want and len(want) > 100
+    known = rows.filter("plan_id IS NOT NULL AND thickness IS NOT NULL")
+    counts = {tuple(r) for r in J.line_connections(J.junction_hits(known)).collect()}
+    assert {tuple(r) for r in J.count_connections(known).collect()} == counts
+
+
 def greedy(pairs):
     out, p_done, e_done = set(), set(), set()
     for plan, p, score, e in sorted((r[0], r[1], r[3], r[2]) for r in pairs):
